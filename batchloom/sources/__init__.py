@@ -1 +1 @@
-
+"""Where relations come from."""

@@ -1 +1 @@
-
+"""Continuous forms of the operators."""
