@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, search
+from .groups import bounds, map_groups
 from .store import landed
 
 TABLES, PROJECTIONS, WIDTH, SEED, BLOCK = 24, 8, 1.25, 7, 2_048
@@ -98,19 +99,26 @@ def link_block(x: np.ndarray, keys: np.ndarray, side: np.ndarray, across: bool,
     return got, search(n, lambda i, others: linked[i, others])
 
 
-def _bucket(cosine: float, tables: int, pdf):
-    import pandas as pd
+_LINKS = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("partner", pa.int64())])
 
-    out = []
-    for _, g in pdf.sort_values("rep").groupby(pdf["unit"].str.len()):
-        x = np.frombuffer(b"".join(g["unit"]), "<f8").reshape(len(g), -1)
-        keys = np.frombuffer(b"".join(g["keys"]), "<i8").reshape(len(g), tables)
-        across = bool(g["lo"].iloc[0] != g["hi"].iloc[0])
-        got, label = link_block(x, keys, g["side"].to_numpy(), across, int(g["table"].iloc[0]), cosine, g["copies"].to_numpy().astype(np.float64))
-        rep = g["rep"].to_numpy()
-        out.append(pd.DataFrame({"rep": rep, "links": got, "partner": rep[label]}))
-    d = pd.concat(out)
-    return d[(d["links"] > 0) | (d["partner"] != d["rep"])]
+
+def _buckets(cosine: float, tables: int, task: pa.Table) -> Iterator[dict]:
+    reps, t, lo, hi, side, copies = (task.column(c).to_numpy() for c in ("rep", "table", "lo", "hi", "side", "copies"))
+    units, keys = task.column("unit").to_pylist(), task.column("keys").to_pylist()
+    for a, z in bounds(task):
+        sizes: dict[int, list[int]] = {}
+        for i in range(a, z):
+            sizes.setdefault(len(units[i]), []).append(i)
+        for at in sizes.values():
+            if len(at) < 2:
+                continue
+            x = np.frombuffer(b"".join([units[i] for i in at]), "<f8").reshape(len(at), -1)
+            k = np.frombuffer(b"".join([keys[i] for i in at]), "<i8").reshape(len(at), tables)
+            got, label = link_block(x, k, side[at], bool(lo[a] != hi[a]), int(t[a]), cosine, copies[at].astype(np.float64))
+            rep = reps[at]
+            for r, n, p in zip(rep.tolist(), got.tolist(), rep[label].tolist(), strict=True):
+                if n or p != r:
+                    yield {"rep": r, "links": n, "partner": p}
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH, seed: int = SEED, block: int = BLOCK) -> DataFrame:
@@ -128,7 +136,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
     every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "mine").alias("lo"), F.greatest(o, "mine").alias("hi")))
     tasks = shared.withColumn("pair", F.explode(every)).select("label", "table", "key", "rep", "pair.lo", "pair.hi", F.col("mine").alias("side"))
     rows = tasks.join(cls.select("rep", "unit", "keys", "copies"), "rep")
-    links = rows.groupBy("label", "table", "key", "lo", "hi").applyInPandas(lambda pdf: _bucket(cosine, tables, pdf), "rep long, links long, partner long")
+    columns = ["rep", "table", "lo", "hi", "side", "copies", "unit", "keys"]
+    links = map_groups(rows, ["label", "table", "key", "lo", "hi"], columns, lambda task: _buckets(cosine, tables, task), "rep long, links long, partner long", _LINKS)
     links = landed(links, "links")
     comp = components(links.where("rep != partner").select(F.col("rep").alias("u"), F.col("partner").alias("v")))
     per_class = links.groupBy("rep").agg(F.sum("links").alias("links")).join(comp.withColumnRenamed("node", "rep"), "rep", "left")

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, search
+from .groups import bounds, map_groups
 from .store import landed, small_or_shuffled
 from .words import words_of
 
@@ -122,22 +123,40 @@ def _sketches(shingle: int, bands: int, rows: int, bits: int, batches: Iterator[
 _POP = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
-def _sketch_bucket(limit: int, pdf):
-    import pandas as pd
+_EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
-    pdf = pdf.sort_values("rep")
-    s = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(len(pdf), -1)
-    label = search(len(pdf), lambda i, others: _POP[s[others] ^ s[i]].sum(1, dtype=np.int64) <= limit)
-    rep = pdf["rep"].to_numpy()
-    d = pd.DataFrame({"u": rep, "v": rep[label]})
-    return d[d["u"] != d["v"]]
 
+def _edges(rep: np.ndarray, label: np.ndarray) -> Iterator[dict]:
+    for u, v in zip(rep.tolist(), rep[label].tolist(), strict=True):
+        if u != v:
+            yield {"u": u, "v": v}
 
-def _confirm(similar: tuple[int, int], shingle: int, pdf):
-    import pandas as pd
 
-    pdf = pdf.sort_values("rep")
-    sets = [shingle_set(t, shingle) for t in pdf["text"]]
+def _sketch_groups(limit: int, table: pa.Table) -> Iterator[dict]:
+    """Edges between classes of a bucket whose sketches differ in at most ``limit`` bits."""
+    reps = table.column("rep").to_numpy()
+    s = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(len(reps), -1)
+    groups = bounds(table)
+    pairs = np.array([a for a, z in groups if z - a == 2], np.int64)
+    near = pairs[_POP[s[pairs] ^ s[pairs + 1]].sum(1, dtype=np.int64) <= limit] if len(pairs) else pairs
+    for u, v in zip(reps[near + 1].tolist(), reps[near].tolist(), strict=True):
+        if u != v:
+            yield {"u": u, "v": v}
+    for a, z in groups:
+        if z - a > 2:
+            x = s[a:z]
+            yield from _edges(reps[a:z], search(z - a, lambda i, others, x=x: _POP[x[others] ^ x[i]].sum(1, dtype=np.int64) <= limit))
+
+
+def _confirm_groups(similar: tuple[int, int], shingle: int, table: pa.Table) -> Iterator[dict]:
+    reps, texts = table.column("rep").to_numpy(), table.column("text")
+    for a, z in bounds(table):
+        sets = [shingle_set(t, shingle) for t in texts.slice(a, z - a).to_pylist()]
+        yield from _edges(reps[a:z], confirmed(sets, similar))
+
+
+def confirmed(sets: list[np.ndarray], similar: tuple[int, int]) -> np.ndarray:
+    """Component labels of sets under exact similarity links."""
     size = np.array([len(s) for s in sets])
     flat, inverse = np.unique(np.concatenate(sets), return_inverse=True)
     start = np.concatenate([[0], np.cumsum(size)])
@@ -157,10 +176,7 @@ def _confirm(similar: tuple[int, int], shingle: int, pdf):
         marks[mine] = False
         return out
 
-    label = search(len(sets), near)
-    rep = pdf["rep"].to_numpy()
-    d = pd.DataFrame({"u": rep, "v": rep[label]})
-    return d[d["u"] != d["v"]]
+    return search(len(sets), near)
 
 
 def _dealt(df: DataFrame, blocks, keys: list[str]) -> DataFrame:
@@ -188,14 +204,15 @@ def near_duplicates(docs: DataFrame, similar: tuple[int, int] = SIMILAR, shingle
     # bands that gather the same classes ask the same question: one of them is enough
     count = count.groupBy("n", "who").agg(F.min(F.struct("band", "key")).alias("w")).select("n", "w.band", "w.key")
     shared = _dealt(at.join(count, ["band", "key"]), F.ceil(F.col("n") / SKETCH_BLOCK), ["band", "key"])
-    rough = shared.join(cls.select("rep", "sketch"), "rep").groupBy("band", "key", "lo", "hi").applyInPandas(lambda pdf: _sketch_bucket(limit, pdf), "u long, v long")
+    rough = map_groups(shared.join(cls.select("rep", "sketch"), "rep"), ["band", "key", "lo", "hi"], ["rep", "sketch"], lambda t: _sketch_groups(limit, t), "u long, v long", _EDGES)
     cluster = landed(components(rough).select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "clusters")
     weight = cluster.join(cls.select("rep", "n_shingles"), "rep")
     load = weight.groupBy("cluster").agg(F.sum("n_shingles").alias("load"))
     spread = _dealt(cluster.join(load, "cluster"), F.ceil(F.col("load") / SET_BLOCK), ["cluster"])
     spread = landed(spread, "spread")
     texts = base.join(small_or_shuffled(spread.select(F.col("rep").alias("doc_id")).distinct()), "doc_id")
-    sure = spread.join(texts.withColumnRenamed("doc_id", "rep"), "rep").groupBy("cluster", "lo", "hi").applyInPandas(lambda pdf: _confirm(similar, shingle, pdf), "u long, v long")
+    whole = spread.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    sure = map_groups(whole, ["cluster", "lo", "hi"], ["rep", "text"], lambda t: _confirm_groups(similar, shingle, t), "u long, v long", _EDGES)
     comp = components(sure).select(F.col("node").alias("rep"), "component")
     known = cls.select("digest", "rep").join(comp, "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
