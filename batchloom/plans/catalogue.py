@@ -1,4 +1,6 @@
 """Registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import jobs_queries, ledger_queries, metric_queries, ordered_queries  # noqa: F401  they register themselves
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
