@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .store import landed
 from .words import encoder
 
-ROUNDS, PER_ROUND, MIN_COUNT, HASH_BITS = 5, 1500, 8, 18
-BLOCK_TOKENS = 1 << 20
+ROUNDS, PER_ROUND, MIN_COUNT, HASH_BITS = 3, 2500, 8, 17
+BLOCK_TOKENS = 1 << 19
 END_ID = 2
 BLOCK_SCHEMA = (
     "shard int, block int, before long, n_tokens long, doc_ids array<long>, doc_tokens binary, doc_symbols binary, "
@@ -45,28 +45,40 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = ROUNDS, p
         if len(seq) < 2:
             break
         left, right = seq[:-1], seq[1:]
-        slot = ((left * np.uint32(2654435761) ^ (right * np.uint32(2246822519))) * np.uint32(3266489917) >> np.uint32(32 - HASH_BITS)).astype(np.intp)
-        inside = np.flatnonzero(~last[:-1])
-        of = np.zeros(1 << HASH_BITS, np.intp)
-        of[slot[inside]] = inside  # a slot stands for one of its pairs
-        rep = of[slot]
-        same = (left == left[rep]) & (right == right[rep]) & ~last[:-1]
-        count = np.bincount(slot[same], minlength=1 << HASH_BITS)
-        top = np.argpartition(count, -per_round)[-per_round:]
-        top = top[count[top] >= min_count]
+        slot = (left * np.uint32(2654435761) ^ right * np.uint32(2246822519)) * np.uint32(3266489917) >> np.uint32(32 - HASH_BITS)
+        slot[last[:-1]] = 0  # pairs over a document's end are not counted
+        count = np.bincount(slot, minlength=1 << HASH_BITS)
+        count[0] = 0
+        wide = np.argpartition(count, -per_round)[-per_round:]
+        wide = wide[count[wide] >= min_count]
+        rule_of = np.full(1 << HASH_BITS, -1, np.int32)
+        rule_of[wide] = np.arange(len(wide))
+        rule = rule_of[slot]
+        at = np.flatnonzero(rule >= 0)
+        if not len(at):
+            break
+        rule, a, b = rule[at], left[at], right[at]
+        of = np.zeros(len(wide), np.intp)
+        of[rule] = np.arange(len(at))  # a slot stands for one of its pairs
+        same = (a == a[of][rule]) & (b == b[of][rule])
+        count = np.bincount(rule[same], minlength=len(wide))
+        top = np.flatnonzero(count >= min_count)
         if not len(top):
             break
         top = top[np.lexsort((top, -count[top]))]
-        rule_of = np.full(1 << HASH_BITS, -1, np.int64)
-        rule_of[top] = np.arange(len(top))
-        rule = rule_of[slot]
-        hit = np.flatnonzero((rule >= 0) & same)
+        number = np.full(len(wide), -1, np.int64)
+        number[top] = np.arange(len(top))
+        rule = number[rule]
+        same &= rule >= 0
+        hit, rule = at[same], rule[same]
+        pairs = np.stack([a[of[top]], b[of[top]]], 1)
         starts = np.r_[True, np.diff(hit) > 1]
-        at = np.arange(len(hit))
-        take = hit[(at - np.maximum.accumulate(np.where(starts, at, 0))) % 2 == 0]  # overlapping pairs: every other one
-        rules.append(np.stack([left[of[top]], right[of[top]]], 1))
+        place = np.arange(len(hit))
+        even = (place - np.maximum.accumulate(np.where(starts, place, 0))) % 2 == 0  # overlapping pairs: every other one
+        take = hit[even]
+        rules.append(pairs)
         new = seq.copy()
-        new[take] = (base + n_rules + rule[take]).astype(np.uint32)
+        new[take] = (base + n_rules + rule[even]).astype(np.uint32)
         last[take] |= last[take + 1]
         keep = np.ones(len(seq), bool)
         keep[take + 1] = False

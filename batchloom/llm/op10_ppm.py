@@ -1,7 +1,7 @@
 """Language identification by prediction by partial matching.
 
 Every language has a tree of byte contexts of orders 0 to ``ORDER`` with escape method C. Bytes are
-first folded to 64 symbols (letters without case, digits, blanks, marks, and one symbol for each
+first folded to 48 symbols (letters without case, digits, blanks, marks, and one symbol for each
 of the commonest other bytes of the sample), so a context with its next symbol is a small integer.
 Statistics are frozen after training, hence the exact code length of a symbol depends only on the
 last ORDER + 1 symbols: the trees are evaluated once into a table of code lengths, a worker's
@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ORDER, SYMBOLS, BITS = 3, 64, 6
-MOST_ROWS, MOST_TABLE, FOLDS = 1_500, 192 << 20, 5
+ORDER, SYMBOLS = 3, 48
+MOST_ROWS, MOST_TABLE, FOLDS = 1_500, 96 << 20, 5
 UNITS = 512  # code lengths are kept in 1/512 bit
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -37,13 +37,13 @@ def fold(doc_id: Column) -> Column:
 
 
 def alphabet(byte_counts: np.ndarray) -> np.ndarray:
-    """Symbol of each byte: letters 0-25, digits 26, blanks 27, other ASCII 28, commonest others 29-62, rest 63."""
+    """Symbol of each byte: letters 0-25, digits 26, blanks 27, other ASCII 28, commonest others 29-46, rest 47."""
     out = np.full(256, 28, np.uint8)
     for c in range(26):
         out[65 + c] = out[97 + c] = c
     out[48:58], out[[9, 10, 11, 12, 13, 32]] = 26, 27
     high = 128 + np.lexsort((np.arange(128), -byte_counts[128:]))
-    out[high[:34]], out[high[34:]] = np.arange(29, 63), 63
+    out[high[:18]], out[high[18:]] = np.arange(29, 47), 47
     return out
 
 
@@ -52,7 +52,7 @@ def grams(raw: bytes, symbol: np.ndarray, order: int) -> np.ndarray:
     s = np.concatenate([np.full(order, 27, np.uint8), symbol[np.frombuffer(raw, np.uint8)]]).astype(np.uint32)
     n, key = len(raw), np.zeros(len(raw), np.uint32)
     for k in range(order + 1):
-        key = key << np.uint32(BITS) | s[k : k + n]
+        key = key * np.uint32(SYMBOLS) + s[k : k + n]
     return key
 
 
@@ -74,7 +74,7 @@ class Model:
         cost = np.full(SYMBOLS, np.log2(SYMBOLS), np.float32)  # order -1: all symbols alike
         for k in range(self.order + 1):
             size = SYMBOLS ** (k + 1)
-            c = np.bincount(key & np.uint32(size - 1), n, size).astype(np.float32).reshape(-1, SYMBOLS)
+            c = np.bincount(key % np.uint32(size), n, size).astype(np.float32).reshape(-1, SYMBOLS)
             total, kinds = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True).astype(np.float32)
             seen = np.maximum(total + kinds, 1)
             with np.errstate(divide="ignore"):

@@ -1,10 +1,12 @@
-"""Byte-level word splitting and memoised tokenizers encoding, used inside executors."""
+"""Byte-level word splitting and memoised tokenizers encoding, used inside executors (little-endian hosts)."""
 
 from __future__ import annotations
 
 import functools
-
-import numpy as np
+import json
+import re
+from array import array
+from collections.abc import Callable
 
 #: Lower-cases A-Z only.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -21,55 +23,92 @@ def letter_words(text: str | None) -> list[bytes]:
     return text.encode().translate(LETTERS).split() if text else []
 
 
+#: The normalizer and pre-tokenizer that the memo below is exact for.
+KNOWN_NORMALIZER = ["NFC", ("Replace", "\\s+", " "), "Lowercase"]
+KNOWN_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Anything but ASCII without apostrophes and controls, and Latin-1 letters.
+OTHER = re.compile(r"[^\t\n\x0b\x0c\r\x20-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]")
+CHUNK = re.compile(rb"[a-z\x80-\xff]+|[^a-z\x80-\xff\x09-\x0d\x20]+")
+MARKS = re.compile(rb"[0-9]|[^0-9]+")
+
+
+def _byte_level() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class _Memo(dict):
+    """Chunk to packed ids in two generations of at most ``limit`` chunks."""
+
+    def __init__(self, one: Callable[[bytes], bytes], limit: int):
+        super().__init__()
+        self.one, self.limit, self.old = one, limit, {}
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        got = self.old.get(chunk)
+        if got is None:
+            got = self.one(chunk)
+        self[chunk] = got
+        return got
+
+
 class WordEncoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
-    Every distinct word between ASCII blanks is encoded once by the tokenizers library and then
-    looked up. That equals encoding the whole text for tokenizers whose pre-tokenizer never joins
-    over blanks and drops them, and whose normalizer does not act across them; ``check`` proves it
-    on each text of a sample where a caller wants proof. The memo holds two generations of at most
-    ``limit`` words each.
+    Texts of ASCII (without apostrophes, control characters and "<|") and Latin-1 letters fall
+    into runs of letters, single digits and runs of other marks whatever stands around them, if
+    the file has the known normalizer and pre-tokenizer. Each distinct run then goes once through
+    the library's BPE model and is looked up afterwards. All other texts, and all texts under
+    other files, go through the library whole. Both ways give the same ids.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.limit = limit
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def _learn(self, missing: list[bytes]) -> None:
-        old, new = self.old, self.new
-        fresh = []
-        for w in missing:
-            if (got := old.get(w)) is None:
-                fresh.append(w)
-            else:
-                new[w] = got
-        encode = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
-        for i in range(0, len(fresh), 4096):
-            part = fresh[i : i + 4096]
-            for w, e in zip(part, encode([x.decode() for x in part], add_special_tokens=False), strict=True):
-                new[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+        self.model = self.tok.model
+        self.level = _byte_level()
+        self.memo = _Memo(self._one, limit)
+        with open(path) as f:
+            self.known = self._is_known(json.load(f))
+
+    @staticmethod
+    def _is_known(doc: dict) -> bool:
+        try:
+            got = [n["type"] if n["type"] != "Replace" else ("Replace", n["pattern"]["Regex"], n["content"]) for n in doc["normalizer"]["normalizers"]]
+            split, level = doc["pre_tokenizer"]["pretokenizers"]
+            same = got == KNOWN_NORMALIZER and split["pattern"]["Regex"] == KNOWN_SPLIT and split["behavior"] == "Removed" and split["invert"]
+            marked = all(t["content"].startswith("<|") for t in doc["added_tokens"])
+            return bool(same and marked and level["type"] == "ByteLevel" and not level["add_prefix_space"] and not level["use_regex"] and doc["model"]["type"] == "BPE")
+        except (KeyError, TypeError, ValueError):
+            return False
+
+    def _one(self, chunk: bytes) -> bytes:
+        tokenize = self.model.tokenize
+        if 97 <= chunk[0] <= 122 or chunk[0] >= 128:
+            if chunk.isascii():
+                return array("I", [t.id for t in tokenize(chunk.decode())]).tobytes()
+            runs = [chunk.decode().lower().encode()]
+        else:
+            runs = MARKS.findall(chunk)
+        return b"".join([array("I", [t.id for t in tokenize(run.decode("latin-1").translate(self.level))]).tobytes() for run in runs])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out = []
-        for i in range(0, len(texts), 128):
-            split = [t.encode().split() if t else [] for t in texts[i : i + 128]]
-            missing = set().union(*split).difference(self.new)
-            if missing:
-                if len(self.new) > self.limit:
-                    self.old, self.new = self.new, {}
-                    missing = set().union(*split)
-                self._learn(sorted(missing))
-            get = self.new.__getitem__
-            out += [b"".join(map(get, w)) for w in split]
+        out, get = [], self.memo.__getitem__
+        for t in texts:
+            if not t:
+                out.append(b"")
+            elif self.known and "<|" not in t and OTHER.search(t) is None:
+                out.append(b"".join(map(get, CHUNK.findall(t.encode().translate(LOWER)))))
+            else:
+                out.append(array("I", self.tok.encode(t, add_special_tokens=False).ids).tobytes())
         return out
 
-    def check(self, text: str) -> bool:
-        return np.frombuffer(self.encode([text])[0], "<u4").tolist() == self.tok.encode(text, add_special_tokens=False).ids
-
 
 @functools.lru_cache(maxsize=4)
 def encoder(path: str) -> WordEncoder:

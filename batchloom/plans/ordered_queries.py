@@ -27,7 +27,7 @@ def produce_chunks(r: Relations):
     return offsets.chunks(r.log.select("event_id", "topic", "partition_id", "offset"), ["offset"], ["topic", "partition_id"], 50).drop("offset")
 
 
-QUEUE = """w AS (SELECT c_mktsegment AS lane, o_custkey AS tenant_id, o_orderkey AS pos, (o_totalprice)::BIGINT % 60 + 1 AS duration, CASE WHEN o_custkey % 7 = 0 THEN 1.0 WHEN o_custkey % 4 = 0 THEN 4.0 WHEN o_custkey % 4 = 1 THEN 2.0 ELSE 1.0 END AS weight
+QUEUE = """w AS (SELECT c_mktsegment AS lane, o_custkey AS tenant_id, o_orderkey AS pos, floor(o_totalprice)::BIGINT % 60 + 1 AS duration, CASE WHEN o_custkey % 7 = 0 THEN 1.0 WHEN o_custkey % 4 = 0 THEN 4.0 WHEN o_custkey % 4 = 1 THEN 2.0 ELSE 1.0 END AS weight
   FROM orders JOIN customer ON c_custkey = o_custkey)"""
 
 
@@ -38,7 +38,7 @@ def weights(r: Relations):
 
 def queue(r: Relations):
     lanes = r.customer.select(F.col("c_custkey").alias("tenant_id"), F.col("c_mktsegment").alias("lane"))
-    rows = r.orders.select(F.col("o_custkey").alias("tenant_id"), F.col("o_orderkey").alias("pos"), (F.round("o_totalprice").cast("bigint") % 60 + 1).alias("duration"))
+    rows = r.orders.select(F.col("o_custkey").alias("tenant_id"), F.col("o_orderkey").alias("pos"), (F.floor("o_totalprice") % 60 + 1).alias("duration"))
     return fairness.weighted(rows.join(lanes, "tenant_id"), weights(r))
 
 
