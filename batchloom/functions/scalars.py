@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,7 +37,6 @@ def fingerprint(worker_class: Column, payload: Column) -> Column:
 
 def parity_fingerprint(worker_class: Column, payload: Column) -> Column:
     """Byte-compatible variant: two seed-0 XXH64 digests, the second salted, little-endian hex."""
-    import pandas as pd
     import xxhash
 
     @F.pandas_udf("string")
@@ -66,7 +66,7 @@ def to_float(text: Column, default: float = 0.0) -> Column:
 
 
 def split_urls(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "[,\n\r]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "[,\n\r]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def metric_name(event: Column) -> Column:
