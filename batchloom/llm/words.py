@@ -29,6 +29,7 @@ KNOWN_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Anything but ASCII without apostrophes and controls, and Latin-1 letters.
 OTHER = re.compile(r"[^\t\n\x0b\x0c\r\x20-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]")
 CHUNK = re.compile(rb"[a-z\x80-\xff]+|[^a-z\x80-\xff\x09-\x0d\x20]+")
+PLAIN = bytes([*b"\t\n\x0b\x0c\r .,", *range(97, 123), *range(128, 256)])
 MARKS = re.compile(rb"[0-9]|[^0-9]+")
 
 
@@ -42,20 +43,35 @@ def _byte_level() -> dict[int, str]:
 class _Memo(dict):
     """Chunk to packed ids in two generations of at most ``limit`` chunks."""
 
-    def __init__(self, one: Callable[[bytes], bytes], limit: int):
+    def __init__(self, tokenize: Callable[[str], list], level: dict[int, str], limit: int):
         super().__init__()
-        self.one, self.limit, self.old = one, limit, {}
+        self.tokenize, self.level, self.limit, self.old = tokenize, level, limit, {}
 
     def __missing__(self, chunk: bytes) -> bytes:
+        got = self.old.get(chunk)
+        if got is None:
+            # ASCII letters stand for themselves in byte-level vocabularies
+            got = array("I", [t.id for t in self.tokenize(chunk.decode())]).tobytes() if chunk.isalpha() else self._mixed(chunk)
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
-        got = self.old.get(chunk)
-        if got is None:
-            got = self.one(chunk)
         self[chunk] = got
         return got
 
+    def _mixed(self, chunk: bytes) -> bytes:
+        runs = [chunk.decode().lower().encode()] if chunk[0] >= 128 or 97 <= chunk[0] <= 122 else MARKS.findall(chunk)
+        return b"".join([array("I", [t.id for t in self.tokenize(run.decode("latin-1").translate(self.level))]).tobytes() for run in runs])
+
+
+def chunks(low: bytes) -> list[bytes]:
+    """Runs of letters and of marks between blanks.
+
+    Where the only marks are single stops and commas, blanks around those and a split give the same.
+    """
+    if not low.translate(None, PLAIN) and not (b".." in low or b",," in low or b".," in low or b",." in low):
+        return low.replace(b".", b" . ").replace(b",", b" , ").split()
+    return CHUNK.findall(low)
+
 
 class WordEncoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
@@ -67,13 +83,11 @@ class WordEncoder:
     other files, go through the library whole. Both ways give the same ids.
     """
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.model = self.tok.model
-        self.level = _byte_level()
-        self.memo = _Memo(self._one, limit)
+        self.memo = _Memo(self.tok.model.tokenize, _byte_level(), limit)
         with open(path) as f:
             self.known = self._is_known(json.load(f))
 
@@ -88,23 +102,13 @@ class WordEncoder:
         except (KeyError, TypeError, ValueError):
             return False
 
-    def _one(self, chunk: bytes) -> bytes:
-        tokenize = self.model.tokenize
-        if 97 <= chunk[0] <= 122 or chunk[0] >= 128:
-            if chunk.isascii():
-                return array("I", [t.id for t in tokenize(chunk.decode())]).tobytes()
-            runs = [chunk.decode().lower().encode()]
-        else:
-            runs = MARKS.findall(chunk)
-        return b"".join([array("I", [t.id for t in tokenize(run.decode("latin-1").translate(self.level))]).tobytes() for run in runs])
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out, get = [], self.memo.__getitem__
         for t in texts:
             if not t:
                 out.append(b"")
             elif self.known and "<|" not in t and OTHER.search(t) is None:
-                out.append(b"".join(map(get, CHUNK.findall(t.encode().translate(LOWER)))))
+                out.append(b"".join(map(get, chunks(t.encode().translate(LOWER)))))
             else:
                 out.append(array("I", self.tok.encode(t, add_special_tokens=False).ids).tobytes())
         return out
