@@ -78,29 +78,32 @@ def cron_stale(stale: DataFrame) -> DataFrame:
     return stale.where("stale").select(*finding("cron_stale", "warning", F.col("id").cast("string")))
 
 
-def hysteresis(findings: DataFrame, ticks: DataFrame, open_after: int = 3, close_after: int = 2) -> DataFrame:
-    """Open and resolve transitions per fingerprint over dense ticks.
+def hysteresis(findings: DataFrame, last_tick: int, open_after: int = 3, close_after: int = 2) -> DataFrame:
+    """Open and resolve transitions per fingerprint; ticks are numbered without gaps up to ``last_tick``.
 
     Opening needs ``open_after`` breaches in total since the last resolve (healthy ticks do not
-    reset them); resolving needs ``close_after`` healthy ticks in a row. The fold runs JVM-side in
-    one aggregate over each fingerprint's tick array, so state per fingerprint is one array.
+    reset them); resolving needs ``close_after`` healthy ticks in a row. Only breaches are
+    gathered: the healthy ticks between two of them are their distance, so a fingerprint costs an
+    array of its breaches, folded JVM-side.
     """
-    grid = findings.select("fingerprint").distinct().crossJoin(F.broadcast(ticks.select("tick")))
-    seen = grid.join(findings.select("fingerprint", "tick", F.lit(True).alias("breach")).distinct(), ["fingerprint", "tick"], "left")
-    per = seen.groupBy("fingerprint").agg(F.sort_array(F.collect_list(F.struct("tick", F.coalesce("breach", F.lit(False)).alias("b")))).alias("ticks"))
+    per = findings.groupBy("fingerprint").agg(F.sort_array(F.collect_set(F.col("tick").cast("bigint"))).alias("ticks"))
     none = F.array().cast("array<struct<tick:bigint,change:string>>")
-    zero = F.struct(F.lit(0).alias("bad"), F.lit(0).alias("good"), F.lit(False).alias("open"), none.alias("out"))
-
-    def step(s: Column, t: Column) -> Column:
-        bad = F.when(t["b"], s["bad"] + 1).otherwise(s["bad"])
-        good = F.when(t["b"], 0).when(s["open"], s["good"] + 1).otherwise(0)
-        opens, closes = ~s["open"] & t["b"] & (bad >= open_after), s["open"] & ~t["b"] & (good >= close_after)
-        change = F.when(opens, "opened").when(closes, "resolved")
-        out = F.when(change.isNotNull(), F.concat(s["out"], F.array(F.struct(t["tick"].cast("bigint").alias("tick"), change.alias("change"))))).otherwise(s["out"])
-        reset = opens | closes
-        return F.struct(F.when(closes, 0).otherwise(bad).alias("bad"), F.when(reset, 0).otherwise(good).alias("good"), F.when(opens, True).when(closes, False).otherwise(s["open"]).alias("open"), out.alias("out"))
-
-    return per.select("fingerprint", F.explode(F.aggregate("ticks", zero, step, lambda s: s["out"])).alias("t")).select("fingerprint", "t.tick", "t.change")
+    zero = F.struct(F.lit(0).alias("bad"), F.lit(0).cast("bigint").alias("last"), F.lit(False).alias("open"), none.alias("out"))
+    noted = lambda out, tick, change: F.concat(out, F.array(F.struct(tick.cast("bigint").alias("tick"), F.lit(change).alias("change"))))
+
+    def closed(s: Column, upto: Column) -> Column:
+        """State after the healthy ticks between the last breach and ``upto`` (exclusive)."""
+        closes = s["open"] & (upto - s["last"] - 1 >= close_after)
+        out = F.when(closes, noted(s["out"], s["last"] + close_after, "resolved")).otherwise(s["out"])
+        return F.struct(F.when(closes, 0).otherwise(s["bad"]).alias("bad"), s["last"].alias("last"), (s["open"] & ~closes).alias("open"), out.alias("out"))
+
+    def breach(s: Column, tick: Column) -> Column:
+        c = closed(s, tick)
+        opens = ~c["open"] & (c["bad"] + 1 >= open_after)
+        return F.struct((c["bad"] + 1).alias("bad"), tick.alias("last"), (c["open"] | opens).alias("open"), F.when(opens, noted(c["out"], tick, "opened")).otherwise(c["out"]).alias("out"))
+
+    folded = F.aggregate("ticks", zero, breach, lambda s: closed(s, F.lit(last_tick + 1))["out"])
+    return per.select("fingerprint", F.explode(folded).alias("t")).select("fingerprint", "t.tick", "t.change")
 
 
 def incident_diff(findings: DataFrame, incidents: DataFrame) -> DataFrame:

@@ -118,7 +118,7 @@ st AS (SELECT fp, 0::BIGINT AS tick, 0 AS bad, 0 AS good, false AS open, NULL::V
 SELECT fp AS fingerprint, tick, change FROM st WHERE change IS NOT NULL""")
 def hysteresis(r: Relations):
     found = r.events.where("event_type = 'error' and value > 40").select(F.concat(F.lit("user:"), "user_id").alias("fingerprint"), F.dayofmonth("ts").cast("bigint").alias("tick")).distinct()
-    return metrics.hysteresis(found, r.spark.range(1, 32).select(F.col("id").alias("tick")))
+    return metrics.hysteresis(found, 31)
 
 
 @query("""f AS (SELECT DISTINCT user_id AS k FROM events WHERE value > 150), i AS (SELECT DISTINCT user_id AS k FROM events WHERE event_type = 'signup' AND value > 90)
