@@ -46,7 +46,7 @@ _word_hash: dict[bytes, int] = {}
 
 def _hash_words(words: list[bytes]) -> np.ndarray:
     memo = _word_hash
-    if len(memo) > 400_000:
+    if len(memo) > 120_000:
         memo.clear()
     try:
         got = list(map(memo.__getitem__, words))
@@ -99,9 +99,9 @@ def sketch_threshold(similar: float, samples: int, bits: int) -> int:
 def _sketches(shingle: int, bands: int, rows: int, bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1)
-        for i in range(0, len(texts), 1024):
+        for i in range(0, len(texts), 256):
             n, digest, keys, sketch = [], [], [], []
-            for t in texts.slice(i, 1024).to_pylist():
+            for t in texts.slice(i, 256).to_pylist():
                 s = shingle_set(t, shingle)
                 n.append(len(s))
                 if not len(s):
@@ -115,7 +115,7 @@ def _sketches(shingle: int, bands: int, rows: int, bits: int, batches: Iterator[
                 keys.append(band.astype("<u8").tobytes())
                 sketch.append(odd_sketch(m, bits))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, 1024), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.binary()), pa.array(sketch, pa.binary())],
+                [batch.column(0).slice(i, 256), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.binary()), pa.array(sketch, pa.binary())],
                 names=["doc_id", "n_shingles", "digest", "bands", "sketch"],
             )
 

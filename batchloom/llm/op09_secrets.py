@@ -31,7 +31,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # the longest runs, since a run of 24 starts
 WORDS = re.compile(r"password|passwd|secret|token|api", re.ASCII | re.IGNORECASE)
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}")
 DIGEST = re.compile(r"(?i)(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})\Z")
-IDENTIFIER = re.compile(r"(?i)[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}\Z|[0-9_+=/-]+\Z|(?:[a-z]+[0-9]{0,4}[_/=+-]*)+\Z")
+UUID = re.compile(r"(?i)[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}\Z")
+PARTS = re.compile(r"[_/=+-]+")
+NAME = re.compile(r"[A-Z]?[a-z]{2,}(?:[A-Z][a-z]+)*[0-9]{0,4}\Z|[A-Z]+[0-9]{0,4}\Z|[0-9]*\Z")
 
 
 @lru_cache(maxsize=4)
@@ -58,9 +60,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def is_random(run: str, encoding) -> bool:
     """Whether a run mixes digits with letters, is no digest or identifier, and costs many tokens."""
     kinds = (any(c.isdigit() for c in run), any(c.islower() for c in run), any(c.isupper() for c in run))
-    if sum(kinds) < 2 or not kinds[0] or DIGEST.match(run):
-        return False
-    if len(run) <= 256 and IDENTIFIER.match(run) and not re.search(r"[0-9][A-Za-z]+[0-9]", run):
+    if not kinds[0] or sum(kinds) < 2 or DIGEST.match(run) or UUID.match(run) or all(map(NAME.match, PARTS.split(run))):
         return False
     return len(run) / len(encoding.encode_ordinary(run)) <= MOST_CHARS_PER_TOKEN
 
@@ -85,8 +85,8 @@ def _scan(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     enc = vocabulary(path)
     for batch in batches:
         rows = []
-        for i in range(0, batch.num_rows, 512):
-            for doc, text in zip(batch.column(0).slice(i, 512).to_pylist(), batch.column(1).slice(i, 512).to_pylist(), strict=True):
+        for i in range(0, batch.num_rows, 256):
+            for doc, text in zip(batch.column(0).slice(i, 256).to_pylist(), batch.column(1).slice(i, 256).to_pylist(), strict=True):
                 found = spans(text, enc)
                 base = [s for s in found if s[1] < 3]
                 n = [sum(k == j for _, k, _ in found) for j in range(4)]
@@ -119,8 +119,10 @@ def _redact(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     enc = vocabulary(path)
     for batch in batches:
         at = batch.schema.get_field_index("text")
-        new = [redacted(t, enc) for t in batch.column(at).to_pylist()]
-        yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
+        for i in range(0, batch.num_rows, 256):  # small slices: a batch of long texts stands in memory once
+            part = batch.slice(i, 256)
+            new = [redacted(t, enc) for t in part.column(at).to_pylist()]
+            yield part.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
 
 def redact(docs: DataFrame, vocabulary_path: str) -> DataFrame:

@@ -64,23 +64,35 @@ class Model:
     counts: list[tuple[np.ndarray, np.ndarray]]  # per language: sorted grams, counts
 
     def table(self) -> np.ndarray:
-        """Code lengths in 1/UNITS bit: one row per gram, one column per language."""
+        """Code lengths in 1/UNITS bit: one row per gram, one column per language.
+
+        The highest order is filled by first symbol, so building needs little beside the table.
+        """
         out = np.empty((SYMBOLS ** (self.order + 1), len(self.languages)), np.uint16)
+        part = SYMBOLS**self.order
         for j, (key, n) in enumerate(self.counts):
-            out[:, j] = np.minimum(65535, self.code_lengths(key, n) * UNITS + 0.5).astype(np.uint16)
+            lower = self.code_lengths(key, n, self.order - 1)
+            for a in range(SYMBOLS):
+                mine = slice(*np.searchsorted(key, [a * part, (a + 1) * part]))
+                cost = self._order(key[mine] - np.uint32(a * part), n[mine], part, lower.reshape(-1, SYMBOLS))
+                out[a * part : (a + 1) * part, j] = np.minimum(65535, cost * UNITS + 0.5)
         return out
 
-    def code_lengths(self, key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def _order(key: np.ndarray, n: np.ndarray, size: int, lower: np.ndarray) -> np.ndarray:
+        """Code lengths of one order from counts and the lower order's lengths."""
+        c = np.bincount(key, n, size).astype(np.float32).reshape(-1, SYMBOLS)
+        total, kinds = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True).astype(np.float32)
+        seen = np.maximum(total + kinds, 1)
+        escape = np.where(total > 0, -np.log2(np.maximum(kinds, 1) / seen), 0)
+        with np.errstate(divide="ignore"):
+            return np.where(c > 0, -np.log2(c / seen), escape + lower).astype(np.float32).reshape(-1)
+
+    def code_lengths(self, key: np.ndarray, n: np.ndarray, order: int | None = None) -> np.ndarray:
         cost = np.full(SYMBOLS, np.log2(SYMBOLS), np.float32)  # order -1: all symbols alike
-        for k in range(self.order + 1):
+        for k in range((self.order if order is None else order) + 1):
             size = SYMBOLS ** (k + 1)
-            c = np.bincount(key % np.uint32(size), n, size).astype(np.float32).reshape(-1, SYMBOLS)
-            total, kinds = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True).astype(np.float32)
-            seen = np.maximum(total + kinds, 1)
-            with np.errstate(divide="ignore"):
-                escape = np.where(total > 0, -np.log2(np.maximum(kinds, 1) / seen), 0)
-                lower = np.tile(cost.reshape(-1, SYMBOLS), (SYMBOLS if k else 1, 1))
-                cost = np.where(c > 0, -np.log2(c / seen), escape + lower).astype(np.float32).reshape(-1)
+            cost = self._order(key % np.uint32(size), n, size, np.tile(cost.reshape(-1, SYMBOLS), (SYMBOLS if k else 1, 1)))
         return cost
 
 
@@ -104,9 +116,9 @@ def predict(texts: list[str | None], model: Model, table: np.ndarray) -> list[tu
             out.append(("und", 0.0))
             continue
         raw, bits = t.encode(), np.zeros(len(model.languages))
-        for i in range(0, len(raw), 1 << 20):  # pieces overlap by the order, so contexts run on
+        for i in range(0, len(raw), 1 << 18):  # pieces overlap by the order, so contexts run on
             lead = min(i, model.order)
-            key = grams(raw[i - lead : i + (1 << 20)], model.symbol, model.order)[lead:]
+            key = grams(raw[i - lead : i + (1 << 18)], model.symbol, model.order)[lead:]
             bits += table[key].sum(0, dtype=np.int64)
         bits /= UNITS
         best = int(bits.argmin())
@@ -158,8 +170,8 @@ def _predict(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     model, table = _table(shared)
     for batch in batches:
         got = []
-        for i in range(0, batch.num_rows, 512):
-            got += predict(batch.column(2).slice(i, 512).to_pylist(), model, table)
+        for i in range(0, batch.num_rows, 256):
+            got += predict(batch.column(2).slice(i, 256).to_pylist(), model, table)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
 
@@ -176,8 +188,8 @@ def _keep(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index("text"))
         keep = []
-        for i in range(0, batch.num_rows, 512):
-            keep += [lang != "und" for lang, _ in predict(texts.slice(i, 512).to_pylist(), model, table)]
+        for i in range(0, batch.num_rows, 256):
+            keep += [lang != "und" for lang, _ in predict(texts.slice(i, 256).to_pylist(), model, table)]
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
