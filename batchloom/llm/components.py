@@ -1,8 +1,9 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
 Every round is two aggregations and two joins over the edges. A hub's edges carry the hub as
-key; the minimum per key is pre-aggregated map-side and the join back is left to AQE, which
-splits skewed partitions. State between rounds is a written table.
+key; the minimum per key is pre-aggregated map-side. It is broadcast while the counted edges bound
+it, so hubs meet in no task; beyond that the join back is left to AQE, which splits skewed
+partitions. State between rounds is a written table.
 """
 
 from __future__ import annotations
@@ -11,19 +12,24 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import landed
+from .store import BROADCAST_ROWS, landed
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _small(low: DataFrame, edges: int) -> DataFrame:
+    """One row per node: at most two per edge."""
+    return F.broadcast(low) if 2 * edges <= BROADCAST_ROWS else low
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+    return both.where("v > u").join(_small(low, n), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = down.groupBy("u").agg(F.min("v").alias("m"))
-    joined = down.join(low, "u")
+    joined = down.join(_small(low, n), "u")
     return (
         joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         .union(low.select("u", F.col("m").alias("v")))
@@ -50,7 +56,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        e = landed(_small_star(_large_star(e)), "edges")
+        e = landed(_small_star(_large_star(e, before[0]), before[0]), "edges")
         now = _print_of(e)
         if now == before:
             break
