@@ -22,11 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import landed, small_or_shuffled
+from .store import BROADCAST_ROWS, landed, small_or_shuffled
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 WORD = r"[^\x20\x09-\x0D]+"
-TOLERANCE, MAX_STEPS = 1e-10, 80
+TOLERANCE, MAX_STEPS = 1e-9, 80
 SALT_ROWS, MOST_SALTS = 16_384, 4_096
 
 
@@ -69,10 +69,10 @@ def solve(hist: DataFrame, sources: DataFrame) -> DataFrame:
         F.lit(0.0).alias("lam"), F.lit(-1e6).alias("lo"), F.lit(1e6).alias("hi"), F.lit(False).alias("done"),
     )
     p = landed(p, "multipliers")
-    size = F.col("size")
+    size, few = F.col("size"), p.count() <= BROADCAST_ROWS
     for _ in range(MAX_STEPS):
         r = _rate(F.col("lam"), size, F.col("scale"), F.col("full"))
-        step = hist.join(small_or_shuffled(p), "k").groupBy("k", "source_size", "target", "scale", "full", "lam", "lo", "hi").agg(
+        step = hist.join(F.broadcast(p) if few else p, "k").groupBy("k", "source_size", "target", "scale", "full", "lam", "lo", "hi").agg(
             F.sum(F.col("n") * size * r).alias("got"), F.sum(F.when(r < MOST, F.col("n") * size * size / F.col("scale") * r).otherwise(0.0)).alias("slope")
         )
         miss = F.col("got") - F.col("target")

@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Positives are confirmed toxic documents, everything else is unlabelled (other labels only give the
-class prior). A linear model over the presence of words minimises the risk of Kiryo et al. (2017):
+class prior). A linear model over the presence of words, and of stems by how many words share them, minimises the risk of Kiryo et al. (2017):
 prior * E_P[l(f)] + max(0, E_U[l(-f)] - prior * E_P[l(-f)]) with the sigmoid loss, by Adam in numpy
 on the driver over at most ``MOST_POSITIVE`` + ``MOST_UNLABELLED`` rows (hash samples of the table,
 expected sizes). Scoring reads every whole text once and shuffles nothing.
@@ -13,9 +13,9 @@ an empty table gives an empty result. Labels, lang, source and doc_id never ente
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,23 +26,49 @@ from pyspark.sql import functions as F
 from .store import small_or_shuffled
 from .words import letter_words
 
-MOST_POSITIVE, MOST_UNLABELLED, LEAST_DOCS, LEAST_Z = 2_000, 6_000, 3, 5.0
+MOST_POSITIVE, MOST_UNLABELLED, LEAST_DOCS, LEAST_Z = 2_000, 6_000, 3, 6.0
 STEPS, RATE, DECAY, FOLDS = 600, 0.05, 1e-6, 5
+STEM, MOST_REPEATS = 6, 3
 
 
 def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS))
 
 
-@dataclass(frozen=True)
+def _hash(x: bytes) -> int:
+    return xxhash.xxh64_intdigest(x)
+
+
+def stem_counts(words: set[bytes]) -> dict[bytes, int]:
+    """Distinct words of a text by their first STEM bytes; shorter words have no stem."""
+    out: dict[bytes, int] = {}
+    for w in words:
+        if len(w) > STEM:
+            out[w[:STEM]] = out.get(w[:STEM], 0) + 1
+    return out
+
+
+def features(text: str | None) -> np.ndarray:
+    """Sorted hashes of a whole text's distinct words, and of its stems with 1, 2 and 3 or more words."""
+    words = set(letter_words(text))
+    stems = [_hash(b"%s\0%d" % (stem, k)) for stem, n in stem_counts(words).items() for k in range(1, min(n, MOST_REPEATS) + 1)]
+    return np.array(sorted([*map(_hash, words), *stems]), "<u8")
+
+
 class Model:
-    """Weights by word hash, sorted."""
+    """Weights by feature hash."""
+
+    def __init__(self, keys: np.ndarray, weights: np.ndarray, bias: float):
+        self.keys, self.weights, self.bias = keys, weights, bias
+        self.of = dict(zip(keys.tolist(), weights.tolist(), strict=True))
 
-    keys: np.ndarray
-    weights: np.ndarray
-    bias: float
+    def stem(self, stem: bytes) -> list[float] | None:
+        """Summed weights of a stem with 1, 2, ... words; None if it has none."""
+        got = [self.of.get(_hash(b"%s\0%d" % (stem, k)), 0.0) for k in range(1, MOST_REPEATS + 1)]
+        return list(itertools.accumulate(got)) if any(got) else None
 
     def score(self, texts: list[str | None], memo: dict[bytes, float]) -> list[float]:
+        """``memo`` keeps words' weights between calls; stems that count stand in it by a blank in front."""
         out = []
         for t in texts:
             words = set(letter_words(t))
@@ -50,13 +76,19 @@ class Model:
                 if len(memo) > 500_000:
                     memo.clear()
                     fresh = words
-                fresh = list(fresh)
-                h = np.array([xxhash.xxh64_intdigest(w) for w in fresh], np.uint64)
-                at = np.minimum(np.searchsorted(self.keys, h), max(0, len(self.keys) - 1))
-                got = np.where(self.keys[at] == h, self.weights[at], 0.0) if len(self.keys) else np.zeros(len(h))
-                memo.update(zip(fresh, got.tolist(), strict=True))
+                for w in fresh:
+                    memo[w] = self.of.get(_hash(w), 0.0)
+                    if len(w) > STEM and (stem := b" " + w[:STEM]) not in memo:
+                        memo[stem] = self.stem(w[:STEM])
             # exact summation: the order of a set's words does not show
-            z = self.bias + math.fsum(map(memo.__getitem__, words))
+            parts = list(map(memo.__getitem__, words))
+            if self.of:
+                stems: dict[bytes, int] = {}
+                for w in words:
+                    if len(w) > STEM and memo[b" " + w[:STEM]] is not None:
+                        stems[w[:STEM]] = stems.get(w[:STEM], 0) + 1
+                parts += [memo[b" " + k][min(n, MOST_REPEATS) - 1] for k, n in stems.items()]
+            z = self.bias + math.fsum(parts)
             out.append(1 / (1 + math.exp(-max(-60.0, min(60.0, z)))))
         return out
 
@@ -113,12 +145,13 @@ def train(docs_p: list[np.ndarray], docs_u: list[np.ndarray], prior: float, step
         g[:-1] += DECAY * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-6)
+        np.maximum(w[:-1], 0, out=w[:-1])  # marks of positives speak for nothing else
     return Model(keys, w[:-1], float(w[-1]))
 
 
 def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [np.array(sorted(xxhash.xxh64_intdigest(w) for w in set(letter_words(t))), "<u8").tobytes() for t in batch.column(1).to_pylist()]
+        sets = [features(t).tobytes() for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["positive", "words"])
 
 

@@ -1,0 +1,342 @@
+"""Operators against brute force, exact round trips and held-out accuracy."""
+
+import hashlib
+import itertools
+import re
+import struct
+import zlib
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pyarrow.dataset as ds
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from batchloom.llm import components, op01_repair, op02_balance, op03_pstable, op05_oddsketch, op06_media, op07_nnpu, op08_slack, op09_secrets, op10_ppm, queries
+from batchloom.llm.words import WordEncoder
+
+BPE, RANKS = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@pytest.fixture(scope="module")
+def docs(sf):
+    return ds.dataset(f"{sf}/documents.parquet").to_table().to_pandas().sort_values("doc_id").reset_index(drop=True)
+
+
+@pytest.fixture(scope="module")
+def ids(docs):
+    return [np.array([*e.ids, 2], "<u4") for e in Tokenizer.from_file(BPE).encode_batch(docs.text.tolist(), add_special_tokens=False)]
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return WordEncoder(BPE, limit=50)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("abZ  .,\n\t\x1c\x00'’&#%0179<|>-éÉßİſΣς中😀́\u0085«»"), max_size=30))
+def test_memo_equals_library(encoder, text):
+    assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == encoder.tok.encode(text, add_special_tokens=False).ids
+
+
+def test_op1(spark, sf, docs, ids):
+    got = queries.op1_repair(spark, sf).toPandas().sort_values("doc_id")
+    n = np.array([len(x) for x in ids])
+    assert got.doc_id.tolist() == docs.doc_id.tolist() and (got.n_tokens == n).all() and (got.start == np.cumsum(n) - n).all()
+    assert got.ids_crc32.tolist() == [zlib.crc32(x.tobytes()) for x in ids]
+
+
+def test_op1_random_access(spark, sf, docs, ids):
+    blocks = op01_repair.write_blocks(spark.read.parquet(f"{sf}/documents.parquet"), BPE, block_tokens=20_000)
+    assert blocks.where("length(rules) > 0").count() > 1
+    got = {r.doc_id: r.ids for r in op01_repair.read_ids(blocks, 3, 40).collect()}
+    assert got == {d: x[3:40].tolist() for d, x in zip(docs.doc_id, ids, strict=True)}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=400), st.integers(1, 50))
+def test_repair_round_trip(values, n_ends):
+    ids, last = np.array(values, np.uint32), np.zeros(len(values), bool)
+    last[np.linspace(0, len(values) - 1, n_ends).astype(int)] = True
+    last[-1] = True
+    seq, ends, rules = op01_repair.repair(ids, last, 10, min_count=2)
+    g = op01_repair.Grammar(rules, op01_repair.rule_lengths(rules, 10), 10)
+    assert (g.expand(seq) == ids).all()
+    assert (np.cumsum(g.sizes(seq))[ends] - 1 == np.flatnonzero(last)).all()
+    a = len(ids) // 3
+    assert (g.slice(seq, a, len(ids)) == ids[a:]).all()
+
+
+def test_op2(spark, sf, docs):
+    got = queries.op2_entropy_balance(spark, sf).toPandas().merge(docs, on="doc_id")
+    assert (got["size"] == got.text.map(lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t)))).all() and (got.taken <= 2 * got["size"]).all()
+    s = got.groupby("source").agg(size=("size", "sum"), target=("target", "first"), taken=("taken", "sum"))
+    names = sorted(s.index)
+    weight, total, full = {n: (3, 1, 2)[i % 3] for i, n in enumerate(names)}, 1.5 * s["size"].sum(), set()
+    while True:
+        level = (total - sum(2 * s["size"][n] for n in full)) / sum(weight[n] for n in names if n not in full)
+        over = {n for n in names if n not in full and level * weight[n] > 2 * s["size"][n]}
+        if not over:
+            break
+        full |= over
+    want = {n: 2 * s["size"][n] if n in full else level * weight[n] for n in names}
+    assert all(abs(want[n] - s.target[n]) < 1e-6 * want[n] + 1e-9 for n in names) and ((s.taken - s.target).abs() <= 1).all()
+    again = queries.op2_entropy_balance(spark, sf).toPandas()
+    cols = ["doc_id", "taken", "copies"]
+    assert again[cols].sort_values(cols).values.tolist() == got[cols].sort_values(cols).values.tolist()
+
+
+def test_op2_rates_are_tilted(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    got = op02_balance.mix(d, exact_words=False).toPandas()
+    for _, g in got.groupby("source"):
+        assert abs((g.rate * g["size"]).sum() - g.target.iloc[0]) <= 1e-6 * g.target.iloc[0]
+        open_ = g[g.rate < 2]
+        if len(open_) > 2:  # log rates are proportional to sizes
+            assert np.ptp(np.log(open_.rate) / open_["size"]) < 1e-9
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= g["size"].max() + 1
+
+
+def test_op2_hot_source(spark):
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 5)).alias("source"), F.expr("repeat('w ', 1 + cast(id % 7 as int))").alias("text")).withColumnRenamed("id", "doc_id")
+    got = op02_balance.mix(rows).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("w")).collect()
+    assert all(abs(r.t - r.w) <= 1 for r in got)
+
+
+def test_op3_equals_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    want = sorted(con.execute(queries.OP3_SQL).fetchall())
+    assert sorted(map(tuple, queries.op3_pstable(spark, sf).select("vec_id", "n_links", "component_id", "kept").collect())) == want
+
+
+def test_op3_blocks_and_recall(spark):
+    rng = np.random.default_rng(0)
+    base = rng.normal(size=(6, 16))
+    x = np.repeat(base, 50, 0) + rng.normal(size=(300, 16)) * 0.08
+    x[7] = x[8]
+    df = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
+    got = {r.vec_id: r for r in op03_pstable.near_duplicates(df, block=16).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = (u @ u.T >= 0.98) & (np.arange(300)[:, None] % 2 == np.arange(300)[None, :] % 2)
+    np.fill_diagonal(hit, False)
+    assert all(got[i].n_links <= hit[i].sum() for i in range(300))
+    assert sum(r.n_links for r in got.values()) >= 0.99 * hit.sum()
+
+
+def test_op4(spark, sf, docs):
+    got = queries.op4_external_shuffle(spark, sf).toPandas().merge(docs, on="doc_id")
+    assert len(got) == len(docs) and (got["size"] == got.text.map(lambda t: len(t.encode()) + 1)).all() and (got.text_crc32 == got.text.map(lambda t: zlib.crc32(t.encode()))).all()
+    assert ((got.grown_shard == 8) | (got.grown_shard == got.shard)).all() and (got.grown_shard == 8).any()
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+    cols = ["doc_id", "shard", "slot"]
+    assert queries.op4_external_shuffle(spark, sf).toPandas()[cols].sort_values("doc_id").values.tolist() == got[cols].sort_values("doc_id").values.tolist()
+
+
+def by_force(texts, similar=(85, 100)):
+    sets = []
+    for t in texts:
+        w = t.encode().translate(op05_oddsketch.words_of.__globals__["LOWER"]).split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    up = list(range(len(sets)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        n = len(sets[i] & sets[j])
+        if n and similar[1] * n >= similar[0] * len(sets[i] | sets[j]):
+            a, b = sorted((root(i), root(j)))
+            up[b] = a
+    return [root(i) for i in range(len(sets))], [len(s) for s in sets]
+
+
+def test_op5(spark, sf, docs):
+    got = queries.op5_odd_sketches(spark, sf).toPandas().sort_values("doc_id")
+    comp, n = by_force(docs.text)
+    assert got.component_id.tolist() == [docs.doc_id[i] for i in comp] and got.n_shingles.tolist() == n
+
+
+def test_op5_chains_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(op05_oddsketch, "SKETCH_BLOCK", 8)
+    monkeypatch.setattr(op05_oddsketch, "SET_BLOCK", 3_000)
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(400)]
+    base = rng.choice(words, 120).tolist()
+    texts = [" ".join(base)]
+    for i in range(40):  # a drifting chain: ends are far apart, neighbours are linked
+        base = base.copy()
+        base[(7 * i) % 120] = f"new{i}"
+        texts.append(" ".join(base))
+    texts += [" ".join(rng.choice(words, 60)) for _ in range(10)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = [r.component_id for r in op05_oddsketch.near_duplicates(df).orderBy("doc_id").collect()]
+    assert got == by_force(texts)[0]
+
+
+def test_odd_sketch_estimates():
+    rng = np.random.default_rng(2)
+    pool = rng.integers(0, 2**63, 4000, dtype=np.int64).astype(np.uint64)
+    a, b, c = np.unique(pool[:2000]), np.unique(np.r_[pool[:1900], pool[2000:2100]]), np.unique(pool[2000:])
+    s = [np.frombuffer(op05_oddsketch.odd_sketch(op05_oddsketch.min_hashes(x, 120)), np.uint8) for x in (a, b, c)]
+    limit = op05_oddsketch.sketch_threshold(0.85, 120, 512)
+    bits = lambda x, y: int(np.unpackbits(x ^ y).sum())
+    assert bits(s[0], s[1]) <= limit < bits(s[0], s[2])
+
+
+def test_components(spark):
+    rng = np.random.default_rng(4)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (350, 2))] + [(i, i + 1) for i in range(1000, 1040)] + [(5, 5), (None, 3)]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            x, y = sorted((root(a), root(b)))
+            up[y] = x
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    assert got == {x: root(x) for x in up}
+
+
+def test_op6(spark, sf, docs):
+    got = queries.op6_signatures(spark, sf).toPandas().merge(docs, on="doc_id")
+    for r in got.itertuples():
+        raw = r.text.encode()
+        p = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        assert r.media_bytes == len(p) + 44 and r.feature.startswith("audio/wav;corrected=1")
+
+
+def png():
+    chunk = lambda n, d: struct.pack(">I", len(d)) + n + d + struct.pack(">I", zlib.crc32(n + d))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"")
+
+
+GIF = b"GIF89a\x01\x00\x01\x00\x80\x00\x00\x00\x00\x00\xff\xff\xff,\x00\x00\x00\x00\x01\x00\x01\x00\x00\x02\x02D\x01\x00;"
+
+
+def test_sniffing():
+    assert op06_media.sniff_one(png(), "image/jpeg") == ("image/png", True, [])
+    assert op06_media.sniff_one(GIF, "image/gif") == ("image/gif", False, [])
+    broken = png()[:-6]
+    assert op06_media.sniff_one(broken, "text/plain") == ("text/plain", False, [])
+    wav, _ = op06_media.to_media(b"some text BM GIF8 %PDF- " + png() + b" and " + GIF)
+    kind, corrected, carved = op06_media.sniff_one(wav, None)
+    assert kind == "audio/wav" and corrected and [c[0] for c in carved] == ["image/png", "image/gif"]
+    assert wav[carved[0][1] : carved[0][2]] == png() and wav[carved[1][1] : carved[1][2]] == GIF
+    assert op06_media.from_media(wav).rstrip(b"\0").endswith(GIF)
+
+
+def test_sniff_frame(spark):
+    df = spark.createDataFrame([(1, bytearray(png()), "image/jpeg", "x"), (2, None, None, "y")], "id bigint, media binary, declared string, corrected string")
+    got = op06_media.sniff(df).orderBy("id").collect()
+    assert got[0].detected == "image/png" and got[0].corrected and got[1].detected is None and got[1].carved == []
+
+
+def test_op7_held_out(spark, sf):
+    big = sf.replace("sf0.001", "sf0.1")
+    got = queries.op7_nnpu(spark, big).toPandas().merge(ds.dataset(f"{big}/labels.parquet").to_table().to_pandas(), on="doc_id")
+    assert (got.held_out == got.doc_id.map(lambda d: zlib.crc32(str(d).encode()) % 5 == 0)).all()
+    h = got[got.held_out]
+    assert (h[h.toxic == 0].predicted == 0).mean() > 0.98 and (h[h.toxic == 1].predicted == 1).mean() > 0.7
+    assert got.score.between(0, 1).all() and (got.predicted == (got.score >= 0.5)).all()
+
+
+def test_nnpu_finds_marked_words():
+    rng = np.random.default_rng(3)
+    doc = lambda bad: np.unique(np.r_[rng.integers(100, 400, 30), rng.integers(0, 8, 5) if bad else []].astype(np.uint64))
+    model = op07_nnpu.train([doc(True) for _ in range(200)], [doc(i % 10 == 0) for i in range(2000)], 0.3)
+    keys = set(model.keys[model.weights > 1].tolist())
+    assert keys <= set(range(8)) and len(keys) >= 5
+    score = lambda d: model.bias + sum(dict(zip(model.keys.tolist(), model.weights.tolist(), strict=True)).get(int(x), 0.0) for x in d)
+    assert np.mean([score(doc(True)) > 0 for _ in range(200)]) > 0.9 and np.mean([score(doc(False)) > 0 for _ in range(200)]) < 0.05
+    assert op07_nnpu.upper_tail_prior(np.ones(50), np.r_[np.ones(10), np.zeros(90)]) == pytest.approx(0.1, abs=0.02)
+
+
+def test_op8(spark, sf, docs, ids):
+    got = queries.op8_bin_slack(spark, sf).toPandas().sort_values(["sequence_id", "offset"])
+    by = dict(zip(docs.doc_id, ids, strict=True))
+    assert all(zlib.crc32(by[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in got.itertuples())
+    assert (got.groupby("sequence_id").length.cumsum() - got.length == got.offset).all() and got.groupby("sequence_id").length.sum().max() <= 4096
+    for d, g in got.groupby("doc_id"):
+        g = g.sort_values("start")
+        assert g.start.tolist() == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() == len(by[d]) == g.doc_tokens.iloc[0]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.integers(1, 30), st.integers(1, 4), min_size=1, max_size=6), st.integers(0, 60))
+def test_closest_multiset(counts, room):
+    got = op08_slack.closest_multiset(sorted(counts), counts, room)
+    used = {}
+    for n, k in got:
+        used[n] = used.get(n, 0) + k
+    best = max(s for s in (sum(n * k for n, k in zip(counts, c, strict=True)) for c in itertools.product(*[range(v + 1) for v in counts.values()])) if s <= room)
+    assert sum(n * k for n, k in used.items()) == best and all(k <= counts[n] for n, k in used.items())
+
+
+def spans_by_hand(t):
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["Password", "token", "API_key", "apikey", " ", "=", ":", '"', "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "é", "zz", "secret=abcde", "xyz12.", "\n"]), max_size=14))
+def test_base_spans(parts):
+    assert op09_secrets.base_spans("".join(parts)) == spans_by_hand("".join(parts))
+
+
+def test_op9(spark, sf, docs):
+    got = queries.op9_token_efficiency(spark, sf).toPandas().merge(docs, on="doc_id")
+    assert all(r.base_sha256 == hashlib.sha256(op09_secrets.told(spans_by_hand(r.text)).encode()).hexdigest() for r in got.itertuples())
+
+
+def test_token_efficiency():
+    enc = op09_secrets.vocabulary(RANKS)
+    assert op09_secrets.is_random("xK9mQ2vR7pL4wN8zT3bY6cH1", enc)
+    for calm in ("d41d8cd98f00b204e9800998ecf8427e", "550e8400-e29b-41d4-a716-446655440000", "internationalization_handler", "20240101120000000000", "get_user_account_settings2"):
+        assert not op09_secrets.is_random(calm, enc)
+    t = "key xK9mQ2vR7pL4wN8zT3bY6cH1 end, token=abcdef12"
+    assert op09_secrets.redacted(t, enc) == "key [SECRET] end, [SECRET]"
+
+
+def test_op10_held_out(spark, sf):
+    big = sf.replace("sf0.001", "sf0.01")
+    got = queries.op10_ppm(spark, big).toPandas().merge(ds.dataset(f"{big}/documents.parquet").to_table(columns=["doc_id", "lang"]).to_pandas(), on="doc_id")
+    h = got[got.held_out]
+    assert (h.lang == h.lang_pred).mean() > 0.97 and got.score.between(0, 1).all()
+    assert (got.held_out == got.doc_id.map(lambda d: zlib.crc32(str(d).encode()) % 5 == 0)).all()
+
+
+def test_ppm_code_lengths():
+    raw = b"abracadabra abracadabra"
+    symbol = op10_ppm.alphabet(np.zeros(256))
+    key, n = np.unique(op10_ppm.grams(raw, symbol, 2), return_counts=True)
+    table = op10_ppm.Model(["x"], symbol, 2, [(key, n.astype(np.uint32))]).code_lengths(key, n.astype(np.uint32))
+    s = [27, 27, *symbol[np.frombuffer(raw, np.uint8)].tolist()]
+    hist = [tuple(s[i - 2 : i + 1]) for i in range(2, len(s))]
+
+    def cost(context, x):  # escape method C, without exclusion
+        seen = [h[2] for h in hist if h[2 - len(context) : 2] == context]
+        if seen:
+            total, kinds = len(seen), len(set(seen))
+            if x in seen:
+                return -np.log2(seen.count(x) / (total + kinds))
+            head = -np.log2(kinds / (total + kinds))
+        else:
+            head = 0.0
+        return head + (cost(context[1:], x) if context else np.log2(op10_ppm.SYMBOLS))
+
+    for context, x in [((0, 1), 17), ((0, 1), 4), ((25, 25), 0), ((27, 0), 1), ((17, 0), 27)]:
+        gram = (context[0] * op10_ppm.SYMBOLS + context[1]) * op10_ppm.SYMBOLS + x
+        assert table[gram] == pytest.approx(cost(context, x), abs=1e-4)
