@@ -99,11 +99,11 @@ def link_block(x: np.ndarray, keys: np.ndarray, side: np.ndarray, across: bool,
     return got, search(n, lambda i, others: linked[i, others])
 
 
-_LINKS = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("partner", pa.int64())])
+_LINKS = pa.schema([("cid", pa.int64()), ("rep", pa.int64()), ("links", pa.int64()), ("partner", pa.int64())])
 
 
 def _buckets(cosine: float, tables: int, task: pa.Table) -> Iterator[dict]:
-    reps, t, lo, hi, side, copies = (task.column(c).to_numpy() for c in ("rep", "table", "lo", "hi", "side", "copies"))
+    reps, cids, t, lo, hi, side, copies = (task.column(c).to_numpy() for c in ("rep", "cid", "table", "lo", "hi", "side", "copies"))
     units, keys = task.column("unit").to_pylist(), task.column("keys").to_pylist()
     for a, z in bounds(task):
         sizes: dict[int, list[int]] = {}
@@ -116,9 +116,9 @@ def _buckets(cosine: float, tables: int, task: pa.Table) -> Iterator[dict]:
             k = np.frombuffer(b"".join([keys[i] for i in at]), "<i8").reshape(len(at), tables)
             got, label = link_block(x, k, side[at], bool(lo[a] != hi[a]), int(t[a]), cosine, copies[at].astype(np.float64))
             rep = reps[at]
-            for r, n, p in zip(rep.tolist(), got.tolist(), rep[label].tolist(), strict=True):
+            for c, r, n, p in zip(cids[at].tolist(), rep.tolist(), got.tolist(), rep[label].tolist(), strict=True):
                 if n or p != r:
-                    yield {"rep": r, "links": n, "partner": p}
+                    yield {"cid": c, "rep": r, "links": n, "partner": p}
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH, seed: int = SEED, block: int = BLOCK) -> DataFrame:
@@ -128,20 +128,20 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
     cls = h.where("unit is not null").groupBy("label", "unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min("keys").alias("keys"))
     cls = landed(cls.withColumn("cid", F.xxhash64("label", "unit")), "classes")
     words = F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.struct(t.alias("table"), F.substring("keys", t * 8 + 1, F.lit(8)).alias("key")))
-    at = cls.select("label", "rep", F.explode(words).alias("w")).select("label", "rep", "w.table", "w.key")
+    at = cls.select("label", "rep", "cid", F.explode(words).alias("w")).select("label", "rep", "cid", "w.table", "w.key")
     count = at.groupBy("label", "table", "key").agg(F.count("*").alias("n")).where("n > 1")
     shared = at.join(count, ["label", "table", "key"])
     blocks = F.ceil(F.col("n") / block).cast("int")
-    shared = shared.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("rep", F.lit(seed)), "blocks").cast("int"))
+    shared = shared.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("cid", F.lit(seed)), "blocks").cast("int"))
     every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "mine").alias("lo"), F.greatest(o, "mine").alias("hi")))
-    tasks = shared.withColumn("pair", F.explode(every)).select("label", "table", "key", "rep", "pair.lo", "pair.hi", F.col("mine").alias("side"))
-    rows = tasks.join(cls.select("rep", "unit", "keys", "copies"), "rep")
-    columns = ["rep", "table", "lo", "hi", "side", "copies", "unit", "keys"]
-    links = map_groups(rows, ["label", "table", "key", "lo", "hi"], columns, lambda task: _buckets(cosine, tables, task), "rep long, links long, partner long", _LINKS)
+    tasks = shared.withColumn("pair", F.explode(every)).select("label", "table", "key", "rep", "cid", "pair.lo", "pair.hi", F.col("mine").alias("side"))
+    rows = tasks.join(cls.select("cid", "unit", "keys", "copies"), "cid")
+    columns = ["rep", "cid", "table", "lo", "hi", "side", "copies", "unit", "keys"]
+    links = map_groups(rows, ["label", "table", "key", "lo", "hi"], columns, lambda task: _buckets(cosine, tables, task), "cid long, rep long, links long, partner long", _LINKS)
     links = landed(links, "links")
     comp = components(links.where("rep != partner").select(F.col("rep").alias("u"), F.col("partner").alias("v")))
-    per_class = links.groupBy("rep").agg(F.sum("links").alias("links")).join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    known = cls.select("label", "unit", "rep", "copies").join(per_class, "rep", "left")
+    per_class = links.groupBy("cid").agg(F.sum("links").alias("links"))
+    known = cls.select("label", "unit", "rep", "cid", "copies").join(per_class, "cid", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     out = h.join(known, ["label", "unit"], "left")
     component = F.coalesce("component", "rep", "vec_id")
     return out.select(

@@ -89,3 +89,11 @@ def test_odd_vectors(spark):
     got = {(r.vec_id, r.n_links, r.component_id, r.kept) for r in op03_pstable.near_duplicates(df).collect()}
     assert got == {(0, 2, 0, True), (1, 2, 0, False), *((i, 0, i, True) for i in range(2, 10))}
     assert op03_pstable.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_repeated_vec_id(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, a, 0), (1, b, 0), (2, [1.0, 0.01, 0.0], 0), (3, [0.01, 1.0, 0.0], 0), (4, [0.0, 0.0, 1.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in op03_pstable.near_duplicates(df).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4)]
