@@ -34,6 +34,7 @@ from .components import components, search
 from .groups import bounds, map_groups
 from .store import landed, small_or_shuffled
 from .words import words_of
+from .worker import kept
 
 SHINGLE, BANDS, ROWS, BITS, SEED = 5, 24, 5, 512, 11
 SIMILAR = (85, 100)
@@ -41,11 +42,10 @@ SKETCH_BLOCK, SET_BLOCK = 8_192, 1_500_000
 _rng = np.random.default_rng(SEED)
 _MULT = (_rng.integers(0, 2**32, 1024, dtype=np.uint64).astype(np.uint32)) | np.uint32(1)
 _FLIP = _rng.integers(0, 2**32, 1024, dtype=np.uint64).astype(np.uint32)
-_word_hash: dict[bytes, int] = {}
 
 
 def _hash_words(words: list[bytes]) -> np.ndarray:
-    memo = _word_hash
+    memo = kept("word hashes", dict)
     if len(memo) > 120_000:
         memo.clear()
     try:

@@ -16,12 +16,13 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .worker import kept
+
 KINDS = ("assign", "access", "hex", "token")
 MOST_CHARS_PER_TOKEN, LEAST_RUN = 2.1, 20
 #: The base patterns.
@@ -36,8 +37,11 @@ PARTS = re.compile(r"[_/=+-]+")
 NAME = re.compile(r"[A-Z]?[a-z]{2,}(?:[A-Z][a-z]+)*[0-9]{0,4}\Z|[A-Z]+[0-9]{0,4}\Z|[0-9]*\Z")
 
 
-@lru_cache(maxsize=4)
 def vocabulary(path: str):
+    return kept(("vocabulary", path), lambda: _vocabulary(path))
+
+
+def _vocabulary(path: str):
     import public_tokenizers as P
     import tiktoken
 

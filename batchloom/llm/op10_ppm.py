@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .worker import kept
+
 ORDER, SYMBOLS = 3, 48
 MOST_ROWS, MOST_TABLE, FOLDS = 1_500, 96 << 20, 5
 UNITS = 512  # code lengths are kept in 1/512 bit
@@ -96,16 +98,10 @@ class Model:
         return cost
 
 
-_ready: dict[int, np.ndarray] = {}
-
-
 def _table(shared) -> tuple[Model, np.ndarray]:
     model = shared.value
-    key = hash((tuple(model.languages), tuple(n.sum() for _, n in model.counts), tuple(len(n) for _, n in model.counts)))
-    if key not in _ready:
-        _ready.clear()
-        _ready[key] = model.table()
-    return model, _ready[key]
+    key = ("ppm", *model.languages, *(int(n.sum()) for _, n in model.counts), *(len(n) for _, n in model.counts))
+    return model, kept(key, model.table)
 
 
 def predict(texts: list[str | None], model: Model, table: np.ndarray) -> list[tuple[str, float]]:
