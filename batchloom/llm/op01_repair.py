@@ -45,12 +45,13 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = ROUNDS, p
         if len(seq) < 2:
             break
         left, right = seq[:-1], seq[1:]
-        slot = (left * np.uint32(2654435761) ^ right * np.uint32(2246822519)) * np.uint32(3266489917) >> np.uint32(32 - HASH_BITS)
+        slot = ((left * np.uint32(2654435761) ^ right * np.uint32(2246822519)) * np.uint32(3266489917) >> np.uint32(32 - HASH_BITS)).astype(np.intp)
         slot[last[:-1]] = 0  # pairs over a document's end are not counted
         count = np.bincount(slot, minlength=1 << HASH_BITS)
         count[0] = 0
-        wide = np.argpartition(count, -per_round)[-per_round:]
-        wide = wide[count[wide] >= min_count]
+        wide = np.flatnonzero(count >= min_count)
+        if len(wide) > per_round:
+            wide = wide[np.argpartition(count[wide], -per_round)[-per_round:]]
         rule_of = np.full(1 << HASH_BITS, -1, np.int32)
         rule_of[wide] = np.arange(len(wide))
         rule = rule_of[slot]
@@ -89,9 +90,11 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = ROUNDS, p
 
 def rule_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     """Ids that each rule expands to; a rule refers only to earlier ones."""
-    out = np.ones(len(rules), np.int64)
-    for i, (a, b) in enumerate(rules.tolist()):
-        out[i] = (out[a - base] if a >= base else 1) + (out[b - base] if b >= base else 1)
+    inner = rules >= base
+    to = np.where(inner, rules.astype(np.int64) - base, 0)
+    out = np.full(len(rules), 2, np.int64)
+    while len(rules) and not np.array_equal(out, new := np.where(inner, out[to], 1).sum(1)):
+        out = new  # one pass for every level of nesting
     return out
 
 
@@ -99,42 +102,32 @@ class Grammar:
     """Decoder of one block's symbols."""
 
     def __init__(self, rules: np.ndarray, lengths: np.ndarray, base: int):
-        self.base, self.lengths = base, lengths
-        self.at = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-        flat = np.zeros(int(self.at[-1]), np.uint32)
-        for i, pair in enumerate(rules.tolist()):
-            p = self.at[i]
-            for s in pair:
-                if s < base:
-                    flat[p] = s
-                    p += 1
-                else:
-                    q, n = self.at[s - base], lengths[s - base]
-                    flat[p : p + n] = flat[q : q + n]
-                    p += n
-        self.flat = flat
+        flat = rules.ravel().astype(np.uint32)
+        while (big := flat >= base).any():  # one pass for every level of nesting
+            out = np.repeat(flat, np.where(big, 2, 1))
+            first = np.flatnonzero(big) + np.arange(int(big.sum()))
+            pairs = rules[flat[big].astype(np.int64) - base]
+            out[first], out[first + 1] = pairs[:, 0], pairs[:, 1]
+            flat = out
+        # every symbol's expansion, plain ids included, one after the other
+        self.flat = np.concatenate([np.arange(base, dtype=np.uint32), flat])
+        self.lengths = np.concatenate([np.ones(base, np.int32), lengths.astype(np.int32)])
+        self.at = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int32)
 
     def sizes(self, symbols: np.ndarray) -> np.ndarray:
-        out = np.ones(len(symbols), np.int64)
-        big = symbols >= self.base
-        out[big] = self.lengths[symbols[big].astype(np.int64) - self.base]
-        return out
+        return self.lengths[symbols]
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        size = self.sizes(symbols)
-        ends = np.cumsum(size)
-        out = np.repeat(symbols.astype(np.uint32), size)
-        big = np.flatnonzero(symbols >= self.base)
-        if len(big):
-            n = size[big]
-            inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            to = np.repeat(ends[big] - n, n) + inner
-            out[to] = self.flat[np.repeat(self.at[symbols[big].astype(np.int64) - self.base], n) + inner]
-        return out
+        symbols = symbols.astype(np.intp)
+        size = self.lengths[symbols]
+        ends = np.cumsum(size, dtype=np.int32)
+        at = np.repeat(self.at[symbols] - (ends - size), size)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.flat[at]
 
     def slice(self, symbols: np.ndarray, start: int, stop: int) -> np.ndarray:
         """Ids start..stop of a document or block without decoding the rest."""
-        ends = np.cumsum(self.sizes(symbols))
+        ends = np.cumsum(self.sizes(symbols), dtype=np.int64)
         i, j = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop, "left"))
         before = int(ends[i - 1]) if i else 0
         return self.expand(symbols[i : j + 1])[start - before : stop - before]
