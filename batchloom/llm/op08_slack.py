@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import encoder
+from .words import MEMO, encoder
 
 CAPACITY, WINDOW, END_ID = 4096, 2048, 2
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -95,8 +95,8 @@ class Packer:
             yield out
 
 
-def _pack(path: str, end_id: int, capacity: int, window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
+def _pack(path: str, end_id: int, capacity: int, window: int, memo: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    enc, end = encoder(path, memo), np.array([end_id], "<u4").tobytes()
     packer, task, sequence, rows = Packer(capacity, window), TaskContext.get().partitionId() << 32, 0, []
 
     def out() -> pa.RecordBatch:
@@ -133,7 +133,10 @@ def _pack(path: str, end_id: int, capacity: int, window: int, batches: Iterator[
     yield out()
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, window: int = WINDOW) -> DataFrame:
-    """Pieces of all documents with their sequence and offset (columns in ``PIECES``)."""
+def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, window: int = WINDOW, memo: int = MEMO) -> DataFrame:
+    """Pieces of all documents with their sequence and offset (columns in ``PIECES``).
+
+    ``memo`` bounds the encoder's memory in a worker.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: _pack(tokenizer, end_id, capacity, window, it), PIECES)
+    return rows.mapInArrow(lambda it: _pack(tokenizer, end_id, capacity, window, memo, it), PIECES)
