@@ -40,13 +40,13 @@ def fold(events: DataFrame, totals: DataFrame) -> DataFrame:
     status: success or complete as of the first terminal event, else running; an empty batch is a
     success. complete_at and success_at number the events that claim the two callbacks.
     """
-    r = running(events).join(totals, "batch_id")
+    # totals on the left keep batches without events, in the one join; all sides are dealt by batch
+    r = totals.join(running(events), "batch_id", "left")
     full, over = F.col("completed") >= F.col("total_jobs"), F.col("completed") + F.col("failed") >= F.col("total_jobs")
-    per = r.groupBy("batch_id").agg(
+    out = r.groupBy("batch_id", "total_jobs").agg(
         F.max("touched").alias("touched"), F.max("completed").alias("completed"), F.max("failed").alias("failed"), F.sum(F.col("duplicate").cast("bigint")).alias("duplicates"),
         F.min(F.when(full, F.col("ord"))).alias("success_at"), F.min(F.when(full | over, F.col("ord"))).alias("terminal_at"), F.min(F.when(F.col("touched") >= F.col("total_jobs"), F.col("ord"))).alias("early_at"),
-    )
-    out = totals.join(per, "batch_id", "left").fillna(0, ["touched", "completed", "failed", "duplicates"])
+    ).fillna(0, ["touched", "completed", "failed", "duplicates"])
     status = F.when(F.col("total_jobs") == 0, "success").when(F.col("terminal_at").isNull(), "running").when(F.col("success_at") == F.col("terminal_at"), "success").otherwise("complete")
     return out.select("batch_id", "total_jobs", "touched", "completed", "failed", "duplicates", status.alias("status"), F.least("terminal_at", "early_at").cast("bigint").alias("complete_at"), F.col("success_at").cast("bigint").alias("success_at"))
 
