@@ -6,12 +6,19 @@ import os
 
 from pyspark.sql import SparkSession
 
+#: Bytes of a batch that crosses to Python, and the default that they replace.
+ARROW_BYTES, ARROW_KEY, ARROW_DEFAULT = "8m", "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 
 def package_on_workers(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package from where the driver has it.
 
     On hosts where that folder is missing the package must be installed or passed by --py-files.
+    Batches to Python get a smaller bound in bytes, unless the session has set its own: whole texts
+    stand several times in an executor's and a worker's memory.
     """
+    if spark.conf.get(ARROW_KEY, None) == ARROW_DEFAULT:
+        spark.conf.set(ARROW_KEY, ARROW_BYTES)
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = spark.sparkContext.environment
     path = env.get("PYTHONPATH", "")
