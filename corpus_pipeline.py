@@ -47,7 +47,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of every document with their sequence and offset."""
     package_on_workers(spark)
     # workers here have run the other stages before, so the encoder gets less memory
-    return op08_slack.pack(docs, public_tokenizers.path(WORD_BPE), memo=250_000)
+    return op08_slack.pack(docs, public_tokenizers.path(WORD_BPE), memo=100_000)
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("secrets", secrets), ("mixing", mixing), ("packing", packing)]
