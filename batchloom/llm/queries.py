@@ -45,7 +45,7 @@ def op4_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op05_oddsketch.near_duplicates(table(spark, sf_dir, "documents"))
+    return op05_oddsketch.near_duplicates(table(spark, sf_dir, "documents"), similar=(85, 100))
 
 
 def op6_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:

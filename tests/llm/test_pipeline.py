@@ -39,3 +39,15 @@ def test_repeated_ids(spark):
     got = [r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()]
     assert sorted(got, key=str) == [1, 2, None]
     assert corpus_pipeline.mixing(spark, df.where("doc_id is null or doc_id != 3").dropDuplicates(["doc_id"]), "").count() >= 1
+
+
+def test_near_dedup_at_080(spark):
+    words = [f"w{i}" for i in range(120)]
+    near, far = words.copy(), words.copy()
+    for i in (20, 60):
+        near[i] = f"new{i}"  # 106 of 126 shingles in common: 0.841
+    for i in (20, 60, 100):
+        far[i] = f"other{i}"  # 101 of 131: 0.771
+    assert by_force([" ".join(words), " ".join(near)], (80, 100))[0] == [0, 0] and by_force([" ".join(words), " ".join(near)])[0] == [0, 1]
+    df = spark.createDataFrame([(0, " ".join(words)), (1, " ".join(near)), (2, " ".join(far))], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == [0, 2]
