@@ -1,12 +1,13 @@
 """Language identification by prediction by partial matching.
 
 Every language has a tree of byte contexts of orders 0 to ``ORDER`` with escape method C. Bytes are
-first folded to 48 symbols (letters without case, digits, blanks, marks, and one symbol for each
-of the commonest other bytes of the sample), so a context with its next symbol is a small integer.
-Statistics are frozen after training, hence the exact code length of a symbol depends only on the
-last ORDER + 1 symbols: the trees are evaluated once into a table of code lengths, a worker's
-scoring is one gather a byte for all languages together, and a text's code length per language is
-the sum. The order falls to 2 when the table would pass ``MOST_TABLE`` bytes.
+first folded to 157 symbols (letters without case, digits, blanks, marks, and each other byte its
+own), so a context with its next symbol is a small integer. Statistics are frozen after training,
+hence the exact code length of a symbol depends only on the last ORDER + 1 symbols: the trees are
+evaluated once into code lengths of the grams that any language has seen, in sorted arrays. A
+worker looks a byte's gram up once for ``SLICE`` languages together; a gram none of them has seen
+falls back by their escapes to the next lower order. A text's code length per language is the
+sum. The order is the same for every number of languages, and memory grows with their number only.
 
 Training reads an expected ``MOST_ROWS`` labelled rows per language (a hash sample, whole texts).
 
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .worker import kept
 
-ORDER, SYMBOLS = 3, 48
-MOST_ROWS, MOST_TABLE, FOLDS = 1_500, 96 << 20, 5
+ORDER, SYMBOLS, SLICE = 3, 157, 16
+MOST_ROWS, FOLDS = 1_500, 5
 UNITS = 512  # code lengths are kept in 1/512 bit
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -38,14 +39,13 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS))
 
 
-def alphabet(byte_counts: np.ndarray) -> np.ndarray:
-    """Symbol of each byte: letters 0-25, digits 26, blanks 27, other ASCII 28, commonest others 29-46, rest 47."""
+def alphabet(byte_counts: np.ndarray | None = None) -> np.ndarray:
+    """Symbol of each byte: letters 0-25, digits 26, blanks 27, other ASCII 28, others 29-156, whatever their counts."""
     out = np.full(256, 28, np.uint8)
     for c in range(26):
         out[65 + c] = out[97 + c] = c
     out[48:58], out[[9, 10, 11, 12, 13, 32]] = 26, 27
-    high = 128 + np.lexsort((np.arange(128), -byte_counts[128:]))
-    out[high[:18]], out[high[18:]] = np.arange(29, 47), 47
+    out[128:] = np.arange(29, 157)
     return out
 
 
@@ -65,20 +65,9 @@ class Model:
     order: int
     counts: list[tuple[np.ndarray, np.ndarray]]  # per language: sorted grams, counts
 
-    def table(self) -> np.ndarray:
-        """Code lengths in 1/UNITS bit: one row per gram, one column per language.
-
-        The highest order is filled by first symbol, so building needs little beside the table.
-        """
-        out = np.empty((SYMBOLS ** (self.order + 1), len(self.languages)), np.uint16)
-        part = SYMBOLS**self.order
-        for j, (key, n) in enumerate(self.counts):
-            lower = self.code_lengths(key, n, self.order - 1)
-            for a in range(SYMBOLS):
-                mine = slice(*np.searchsorted(key, [a * part, (a + 1) * part]))
-                cost = self._order(key[mine] - np.uint32(a * part), n[mine], part, lower.reshape(-1, SYMBOLS))
-                out[a * part : (a + 1) * part, j] = np.minimum(65535, cost * UNITS + 0.5)
-        return out
+    def table(self) -> list[Table]:
+        """Code lengths of every gram, for slices of languages."""
+        return [Table.of(self.counts[i : i + SLICE], self) for i in range(0, len(self.languages), SLICE)]
 
     @staticmethod
     def _order(key: np.ndarray, n: np.ndarray, size: int, lower: np.ndarray) -> np.ndarray:
@@ -98,38 +87,93 @@ class Model:
         return cost
 
 
-def _table(shared) -> tuple[Model, np.ndarray]:
+def _find(sorted_keys: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each key and whether it is there."""
+    if not len(sorted_keys):
+        return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, key), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == key
+
+
+@dataclass
+class Table:
+    """Code lengths in 1/UNITS bit for some languages: all grams of order 1, and those seen of each higher order.
+
+    A level holds its grams and their lengths, and their contexts with the bits of an escape, one
+    column per language (0 where the language has not seen the context).
+    """
+
+    base: np.ndarray
+    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+    @classmethod
+    def of(cls, counts: list[tuple[np.ndarray, np.ndarray]], model: Model) -> Table:
+        base = np.stack([model.code_lengths(key, n, 1) for key, n in counts], 1) * UNITS
+        out = cls(np.minimum(65535, base + 0.5).astype(np.uint16), [])
+        for k in range(2, model.order + 1):
+            size, seen = np.uint32(SYMBOLS ** (k + 1)), []
+            for key, n in counts:
+                mine, to = np.unique(key % size, return_inverse=True)
+                seen.append((mine, np.bincount(to, n, len(mine))))
+            union = np.unique(np.concatenate([m for m, _ in seen]))
+            contexts, of = np.unique(union // np.uint32(SYMBOLS), return_inverse=True)
+            cost, escape = out.sums(union, k - 1).astype(np.float64), np.zeros((len(contexts), len(counts)))
+            for j, (mine, n) in enumerate(seen):
+                at = np.searchsorted(union, mine)
+                total, kinds = np.bincount(of[at], n, len(contexts)), np.bincount(of[at], minlength=len(contexts))
+                escape[:, j] = np.where(kinds > 0, -np.log2(np.maximum(kinds, 1) / np.maximum(total + kinds, 1)), 0) * UNITS
+                cost[:, j] += escape[of, j]
+                cost[at, j] = -np.log2(n / (total + kinds)[of[at]]) * UNITS
+            out.levels.append((union, np.minimum(65535, cost + 0.5).astype(np.uint16), contexts, (escape + 0.5).astype(np.uint16)))
+        return out
+
+    def sums(self, key: np.ndarray, k: int) -> np.ndarray:
+        """Code length of each gram's last symbol after ``k`` symbols, per language."""
+        key = key % np.uint32(SYMBOLS ** (k + 1))
+        if k == 1:
+            return self.base[key].astype(np.int32)
+        grams, cost, contexts, escape = self.levels[k - 2]
+        at, hit = _find(grams, key)
+        out = cost[at].astype(np.int32) if len(grams) else np.zeros((len(key), self.base.shape[1]), np.int32)
+        if not hit.all():
+            rest = key[~hit]
+            at, known = _find(contexts, rest // np.uint32(SYMBOLS))
+            lower = self.sums(rest, k - 1)
+            if len(contexts):
+                lower += np.where(known[:, None], escape[at], 0)
+            out[~hit] = lower
+        return out
+
+
+def _table(shared) -> tuple[Model, list[Table]]:
     model = shared.value
     key = ("ppm", *model.languages, *(int(n.sum()) for _, n in model.counts), *(len(n) for _, n in model.counts))
     return model, kept(key, model.table)
 
 
-def predict(texts: list[str | None], model: Model, table: np.ndarray) -> list[tuple[str, float]]:
+def code_bits(text: str, model: Model, table: list[Table]) -> tuple[np.ndarray, int]:
+    """Code length of a text in bits per language, and its bytes."""
+    raw, bits = text.encode(), np.zeros(len(model.languages))
+    for i in range(0, len(raw), 1 << 16):  # pieces overlap by the order, so contexts run on
+        lead = min(i, model.order)
+        key = grams(raw[i - lead : i + (1 << 16)], model.symbol, model.order)[lead:]
+        bits += np.concatenate([t.sums(key, model.order).sum(0, dtype=np.int64) for t in table])
+    return bits / UNITS, len(raw)
+
+
+def predict(texts: list[str | None], model: Model, table: list[Table]) -> list[tuple[str, float]]:
     """(language, posterior of its code length) per text."""
     out = []
     for t in texts:
         if not t or not model.languages or not LETTER.search(t):
             out.append(("und", 0.0))
             continue
-        raw, bits = t.encode(), np.zeros(len(model.languages))
-        for i in range(0, len(raw), 1 << 18):  # pieces overlap by the order, so contexts run on
-            lead = min(i, model.order)
-            key = grams(raw[i - lead : i + (1 << 18)], model.symbol, model.order)[lead:]
-            bits += table[key].sum(0, dtype=np.int64)
-        bits /= UNITS
+        bits, _ = code_bits(t, model, table)
         best = int(bits.argmin())
         out.append((model.languages[best], float(1 / np.exp2(-np.minimum(bits - bits[best], 1000)).sum())))
     return out
 
 
-def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(256, np.int64)
-    for batch in batches:
-        for t in batch.column(0).to_pylist():
-            total += np.bincount(np.frombuffer(t.encode(), np.uint8), minlength=256)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(256, dtype=np.int32)), pa.array(total)], names=["byte", "n"])
-
-
 def _counts(symbol: np.ndarray, order: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, list[np.ndarray]] = {}
     for batch in batches:
@@ -140,26 +184,22 @@ def _counts(symbol: np.ndarray, order: int, batches: Iterator[pa.RecordBatch]) -
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key)), pa.array(key.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
 
-def fit(docs: DataFrame, most_rows: int = MOST_ROWS, most_table: int = MOST_TABLE) -> Model:
+def fit(docs: DataFrame, most_rows: int = MOST_ROWS) -> Model:
     """Frozen context trees from labelled rows of the training folds."""
+    symbol = alphabet()
     rows = docs.where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     count = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
     languages = sorted(count)
     if not languages:
-        return Model([], alphabet(np.zeros(256)), ORDER, [])
-    order = ORDER if SYMBOLS ** (ORDER + 1) * 2 * len(languages) <= most_table else 2
+        return Model([], symbol, ORDER, [])
     share = F.element_at(F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(int(min(1.0, most_rows / count[k]) * 1_000_000)))]), F.col("lang"))
     sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < share).select("lang", F.col("text").cast("string").alias("text"))
-    by_byte = np.zeros(256, np.int64)
-    for r in sample.select("text").mapInArrow(_bytes, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
-        by_byte[r["byte"]] = r["n"]
-    symbol = alphabet(by_byte)
-    got = sample.mapInArrow(lambda it: _counts(symbol, order, it), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    got = sample.mapInArrow(lambda it: _counts(symbol, ORDER, it), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     counts = []
     for lang in languages:
         g = got[got["lang"] == lang].sort_values("gram")
         counts.append((g["gram"].to_numpy().astype(np.uint32), g["n"].to_numpy().astype(np.uint32)))
-    return Model(languages, symbol, order, counts)
+    return Model(languages, symbol, ORDER, counts)
 
 
 def _predict(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -340,3 +340,30 @@ def test_ppm_code_lengths():
     for context, x in [((0, 1), 17), ((0, 1), 4), ((25, 25), 0), ((27, 0), 1), ((17, 0), 27)]:
         gram = (context[0] * op10_ppm.SYMBOLS + context[1]) * op10_ppm.SYMBOLS + x
         assert table[gram] == pytest.approx(cost(context, x), abs=1e-4)
+
+
+def test_op10_many_languages(spark):
+    """Twelve languages keep order 3; two of them share Cyrillic letters and differ in their order only."""
+    rng = np.random.default_rng(5)
+    syllables = {f"l{i:02}": ["".join(rng.choice(list("bcdfglmnprst"), 1)) + "".join(rng.choice(list("aeiou"), 1)) for _ in range(14)] for i in range(10)}
+    syllables |= {"ru": ["ба", "во", "гу", "де", "жи", "ло"], "uk": ["ав", "об", "ге", "ду", "ил", "жо"]}
+    rows = []
+    for lang, parts in syllables.items():
+        rows += [(len(rows) + i, " ".join("".join(rng.choice(parts, rng.integers(2, 5))) for _ in range(25)), lang) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = op10_ppm.fit(df)
+    assert model.order == op10_ppm.ORDER and len(model.languages) == 12 and len(set(model.symbol[128:])) == 128
+    got = op10_ppm.identify(df, model).join(df.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
+    assert (got.lang == got.lang_pred).mean() > 0.95 and (got[got.lang.isin(["ru", "uk"])].lang == got[got.lang.isin(["ru", "uk"])].lang_pred).all()
+
+
+def test_op10_tables_agree():
+    """Sparse lengths are the dense ones, and languages do not depend on the slice they are in."""
+    rng = np.random.default_rng(2)
+    symbol, texts = op10_ppm.alphabet(), [bytes(rng.choice(np.frombuffer("abc dé".encode(), np.uint8), 300)) for _ in range(20)]
+    counts = [np.unique(op10_ppm.grams(t, symbol, 2), return_counts=True) for t in texts]
+    model = op10_ppm.Model([str(i) for i in range(20)], symbol, 2, counts)
+    key = op10_ppm.grams(b"abcd zz a" * 20 + texts[3], symbol, 2)
+    got = np.concatenate([t.sums(key, 2) for t in model.table()], 1)
+    want = np.stack([model.code_lengths(*counts[j])[key] for j in (0, 3, 19)], 1) * op10_ppm.UNITS
+    assert np.abs(got[:, [0, 3, 19]] - want).max() <= 2
