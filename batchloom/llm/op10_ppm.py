@@ -14,13 +14,21 @@ Training reads an expected ``MOST_ROWS`` labelled rows per language (a hash samp
 Defined cases: null text or text without letters is ``und`` with score 0; without any training row
 everything is ``und``; repeated rows agree; a null doc_id is held out; empty table: empty result.
 lang, source and doc_id never enter a prediction.
+
+``keep_identified`` judges no row by trees that the row taught: rows are dealt into
+``PARTS`` parts by doc_id, and a row is scored by trees of the other parts (a language with rows in
+one part only is in all). It rejects a text whose best code length is more than ``FAR`` times that
+language's usual bits a byte plus ``SHORT`` bits, and writes predictions of a posterior from
+``SURE`` on, and those of rows without lang, into lang. The usual figure is the median over the
+training rows so scored; a language without any takes the median of all, and without any row at
+all the bound is infinite.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +39,7 @@ from .worker import kept
 
 ORDER, SYMBOLS, SLICE = 3, 157, 16
 MOST_ROWS, FOLDS = 1_500, 5
+PARTS, FAR, SHORT, SURE = 5, 3.0, 64, 0.99
 UNITS = 512  # code lengths are kept in 1/512 bit
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -64,6 +73,7 @@ class Model:
     symbol: np.ndarray
     order: int
     counts: list[tuple[np.ndarray, np.ndarray]]  # per language: sorted grams, counts
+    usual: list[float] | None = None  # per language: bits a byte of its training texts
 
     def table(self) -> list[Table]:
         """Code lengths of every gram, for slices of languages."""
@@ -145,10 +155,18 @@ class Table:
         return out
 
 
+def _key(model: Model) -> tuple:
+    return ("ppm", *model.languages, *(int(n.sum()) for _, n in model.counts), *(len(n) for _, n in model.counts))
+
+
 def _table(shared) -> tuple[Model, list[Table]]:
     model = shared.value
-    key = ("ppm", *model.languages, *(int(n.sum()) for _, n in model.counts), *(len(n) for _, n in model.counts))
-    return model, kept(key, model.table)
+    return model, kept(_key(model), model.table)
+
+
+def _parts(shared) -> tuple[list[Model], list[list[Table]]]:
+    models = shared.value
+    return models, kept(("parts", *map(_key, models)), lambda: [m.table() for m in models])
 
 
 def code_bits(text: str, model: Model, table: list[Table]) -> tuple[np.ndarray, int]:
@@ -175,33 +193,86 @@ def predict(texts: list[str | None], model: Model, table: list[Table]) -> list[t
 
 
 def _counts(symbol: np.ndarray, order: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, list[np.ndarray]] = {}
+    held: dict[tuple[str, int], list[np.ndarray]] = {}
     for batch in batches:
-        for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            held.setdefault(lang, []).append(grams(t.encode(), symbol, order))
-    for lang in sorted(held):
-        key, n = np.unique(np.concatenate(held[lang]), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key)), pa.array(key.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+        for lang, t, part in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            held.setdefault((lang, part), []).append(grams(t.encode(), symbol, order))
+    for lang, part in sorted(held):
+        key, n = np.unique(np.concatenate(held[lang, part]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key)), pa.array([part] * len(key), pa.int32()), pa.array(key.astype(np.int64)), pa.array(n)], names=["lang", "part", "gram", "n"])
 
 
-def fit(docs: DataFrame, most_rows: int = MOST_ROWS) -> Model:
-    """Frozen context trees from labelled rows of the training folds."""
-    symbol = alphabet()
+def _rates(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bits a byte of each text in its own language, by trees of the other parts."""
+    models, tables = _parts(shared)
+    at = {lang: i for i, lang in enumerate(models[0].languages)}
+    for batch in batches:
+        langs, parts, rates = [], [], []
+        for lang, t, part in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if LETTER.search(t):
+                bits, n = code_bits(t, models[part], tables[part])
+                langs.append(lang), parts.append(part), rates.append(float(bits[at[lang]]) / n)
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(parts, pa.int32()), pa.array(rates, pa.float64())], names=["lang", "part", "rate"])
+
+
+def part_of(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id, F.lit(7)), F.lit(PARTS)).cast("int")
+
+
+def _sample(docs: DataFrame, most_rows: int) -> tuple[list[str], DataFrame | None]:
+    """Languages, and lang, text, part of the training sample."""
     rows = docs.where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     count = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
     languages = sorted(count)
     if not languages:
-        return Model([], symbol, ORDER, [])
+        return [], None
     share = F.element_at(F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(int(min(1.0, most_rows / count[k]) * 1_000_000)))]), F.col("lang"))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < share).select("lang", F.col("text").cast("string").alias("text"))
-    got = sample.mapInArrow(lambda it: _counts(symbol, ORDER, it), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < share)
+    return languages, sample.select("lang", F.col("text").cast("string").alias("text"), part_of(F.col("doc_id")).alias("part"))
+
+
+def _grams(sample: DataFrame, symbol: np.ndarray):
+    return sample.mapInArrow(lambda it: _counts(symbol, ORDER, it), "lang string, part int, gram long, n long").groupBy("lang", "part", "gram").agg(F.sum("n").alias("n")).toPandas()
+
+
+def _model(languages: list[str], symbol: np.ndarray, found) -> Model:
     counts = []
     for lang in languages:
-        g = got[got["lang"] == lang].sort_values("gram")
-        counts.append((g["gram"].to_numpy().astype(np.uint32), g["n"].to_numpy().astype(np.uint32)))
+        mine = found[found["lang"] == lang].groupby("gram")["n"].sum()  # sorted
+        counts.append((mine.index.to_numpy().astype(np.uint32), mine.to_numpy().astype(np.uint32)))
     return Model(languages, symbol, ORDER, counts)
 
 
+def fit(docs: DataFrame, most_rows: int = MOST_ROWS) -> Model:
+    """Frozen context trees from labelled rows of the training folds."""
+    symbol = alphabet()
+    languages, sample = _sample(docs, most_rows)
+    if not languages:
+        return Model([], symbol, ORDER, [])
+    return _model(languages, symbol, _grams(sample.withColumn("part", F.lit(0)), symbol))
+
+
+def fit_parts(docs: DataFrame, most_rows: int = MOST_ROWS) -> list[Model]:
+    """For the rows of each part, the trees of the other parts with the usual bits a byte."""
+    symbol = alphabet()
+    languages, sample = _sample(docs, most_rows)
+    if not languages:
+        return [Model([], symbol, ORDER, [])] * PARTS
+    found = _grams(sample, symbol)
+    alone = found.groupby("lang")["part"].transform("nunique") == 1
+    models = [_model(languages, symbol, found[(found["part"] != h) | alone]) for h in range(PARTS)]
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+    rates = sample.mapInArrow(lambda it: _rates(shared, it), "lang string, part int, rate double").toPandas()  # at most the sample's rows
+    out = []
+    for h, model in enumerate(models):
+        mine = rates[rates["part"] == h]
+        mine = mine if len(mine) else rates
+        every = float(mine["rate"].median()) if len(mine) else float("inf")
+        usual = mine.groupby("lang")["rate"].median().to_dict()
+        out.append(replace(model, usual=[float(usual.get(k, every)) for k in languages]))
+    return out
+
+
 def _predict(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     model, table = _table(shared)
     for batch in batches:
@@ -219,17 +290,32 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(lambda it: _predict(shared, it), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def decide(text: str | None, lang: str | None, model: Model, table: list[Table]) -> tuple[bool, str | None]:
+    """Whether a text is in a learned language, and its lang from now on."""
+    if not text or not model.languages or not LETTER.search(text):
+        return False, lang
+    bits, n = code_bits(text, model, table)
+    best = int(bits.argmin())
+    if model.usual is not None and bits[best] > FAR * model.usual[best] * n + SHORT:
+        return False, lang
+    sure = 1 / np.exp2(-np.minimum(bits - bits[best], 1000)).sum() >= SURE
+    return True, model.languages[best] if sure or lang is None else lang
+
+
 def _keep(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    model, table = _table(shared)
+    models, tables = _parts(shared)
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index("text"))
-        keep = []
+        part, batch = batch.column(batch.num_columns - 1), batch.select(range(batch.num_columns - 1))
+        text, lang = batch.schema.get_field_index("text"), batch.schema.get_field_index("lang")
+        got = []
         for i in range(0, batch.num_rows, 256):
-            keep += [lang != "und" for lang, _ in predict(texts.slice(i, 256).to_pylist(), model, table)]
-        yield batch.filter(pa.array(keep, pa.bool_()))
+            rows = batch.slice(i, 256)
+            got += [decide(t, k, models[h], tables[h]) for t, k, h in zip(rows.column(text).to_pylist(), rows.column(lang).to_pylist(), part.slice(i, 256).to_pylist(), strict=True)]
+        field = batch.schema.field(lang)
+        yield batch.set_column(lang, field, pa.array([k for _, k in got], field.type)).filter(pa.array([k for k, _ in got], pa.bool_()))
 
 
-def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """Rows of ``docs`` that have a language; all columns unchanged."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(lambda it: _keep(shared, it), docs.schema)
+def keep_identified(docs: DataFrame, models: list[Model]) -> DataFrame:
+    """Rows of ``docs`` in a learned language, with lang as predicted where sure; other columns unchanged."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+    return docs.select("*", part_of(F.col("doc_id"))).mapInArrow(lambda it: _keep(shared, it), docs.schema)

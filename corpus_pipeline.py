@@ -13,9 +13,9 @@ from batchloom.session import package_on_workers
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an identifiable language go."""
+    """Documents in no learned language go; sure predictions are written into lang."""
     package_on_workers(spark)
-    return op10_ppm.keep_identified(docs, op10_ppm.fit(docs))
+    return op10_ppm.keep_identified(docs, op10_ppm.fit_parts(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

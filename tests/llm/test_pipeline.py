@@ -1,5 +1,6 @@
 """The pipeline's stages against brute force on a small table."""
 
+import numpy as np
 import public_tokenizers
 import pyarrow.dataset as ds
 
@@ -51,3 +52,16 @@ def test_near_dedup_at_080(spark):
     assert by_force([" ".join(words), " ".join(near)], (80, 100))[0] == [0, 0] and by_force([" ".join(words), " ".join(near)])[0] == [0, 1]
     df = spark.createDataFrame([(0, " ".join(words)), (1, " ".join(near)), (2, " ".join(far))], "doc_id bigint, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == [0, 2]
+
+
+def test_language_id_decides(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rng = np.random.default_rng(3)
+    gibberish = " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(40))
+    unlearned = "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw " * 3
+    german = max((r.text for r in docs.where("lang = 'de'").collect()), key=len)
+    more = [(-1, gibberish, "en"), (-2, unlearned, None), (-3, german, "fr"), (-4, german, None), (-5, "Все люди рождаются свободными и равными в своем достоинстве", None)]
+    more = spark.createDataFrame(more, "doc_id bigint, text string, lang string").selectExpr("doc_id", "text", "lang", "'s' as source", "length(text) as n_chars")
+    got = {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, docs.unionByName(more), sf).collect()}
+    assert {d for d in got if d < 0} == {-3, -4} and got[-3] == got[-4] == "de"
+    assert sum(d >= 0 for d in got) == docs.count()  # clean documents stay
