@@ -2,8 +2,13 @@
 
 The base finds assignments, access keys and long hex runs. The method looks at every longer run of
 key-like characters outside base spans: random strings cost many tokens, so a low number of
-characters per token under a tiktoken vocabulary exposes them. Runs that are known digests
-(32, 40, 56, 64, 96 or 128 hex characters), UUIDs, numbers or word-like identifiers are left out.
+characters per token under a tiktoken vocabulary exposes them. It is taken of the whole run and,
+where that is calm, of each stretch between its word-like parts (words and numbers that cost few
+tokens), so a key behind a path is seen. Known digests (32, 40, 56, 64, 96 or 128 hex characters),
+UUIDs, numbers and word-like identifiers are left out. An identifier is word-like when each part
+between separators is a name (one case, capitalised or camel case, four digits at the end at most)
+without five consonants in a row, y being a vowel. Keys without digits count like others. A key
+glued to words without a separator is seen only if the whole part's ratio is low.
 
 Offsets are code points, ends exclusive. Defined cases: null or empty text has no span; repeated
 rows repeat; an empty table gives an empty result; other columns are ignored by ``scan`` and kept
@@ -33,7 +38,8 @@ WORDS = re.compile(r"password|passwd|secret|token|api", re.ASCII | re.IGNORECASE
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}")
 DIGEST = re.compile(r"(?i)(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})\Z")
 UUID = re.compile(r"(?i)[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}\Z")
-PARTS = re.compile(r"[_/=+-]+")
+PARTS, PART = re.compile(r"[_/=+-]+"), re.compile(r"[^_/=+-]+")
+CLUSTER = re.compile(r"(?i)[b-df-hj-np-tv-xz]{5}")
 NAME = re.compile(r"[A-Z]?[a-z]{2,}(?:[A-Z][a-z]+)*[0-9]{0,4}\Z|[A-Z]+[0-9]{0,4}\Z|[0-9]*\Z")
 
 
@@ -61,12 +67,34 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def is_name(part: str) -> bool:
+    return bool(NAME.match(part)) and not CLUSTER.search(part)
+
+
+def chars_per_token(run: str, encoding) -> float:
+    return len(run) / len(encoding.encode_ordinary(run))
+
+
 def is_random(run: str, encoding) -> bool:
-    """Whether a run mixes digits with letters, is no digest or identifier, and costs many tokens."""
-    kinds = (any(c.isdigit() for c in run), any(c.islower() for c in run), any(c.isupper() for c in run))
-    if not kinds[0] or sum(kinds) < 2 or DIGEST.match(run) or UUID.match(run) or all(map(NAME.match, PARTS.split(run))):
+    """Whether a run has letters, is no digest or identifier, and costs many tokens."""
+    if not any(map(str.isalpha, run)) or DIGEST.match(run) or UUID.match(run) or all(map(is_name, PARTS.split(run))):
         return False
-    return len(run) / len(encoding.encode_ordinary(run)) <= MOST_CHARS_PER_TOKEN
+    return chars_per_token(run, encoding) <= MOST_CHARS_PER_TOKEN
+
+
+def stretches(run: str, encoding) -> Iterator[tuple[int, int]]:
+    """The longest stretches of a run's parts that hold no word-like part."""
+    start = end = None
+    for m in PART.finditer(run):
+        part = m[0]
+        if is_name(part) and len(part) >= 4 and (part.isdigit() or chars_per_token(part, encoding) > MOST_CHARS_PER_TOKEN):
+            if start is not None:
+                yield start, end
+            start = None
+        else:
+            start, end = m.start() if start is None else start, m.end()
+    if start is not None:
+        yield start, end
 
 
 def spans(text: str | None, encoding) -> list[tuple[int, int, int]]:
@@ -78,6 +106,11 @@ def spans(text: str | None, encoding) -> list[tuple[int, int, int]]:
     for m in RUN.finditer(text):
         if all(m.end() <= a or z <= m.start() for a, _, z in found) and is_random(m[0], encoding):
             more.append((m.start(), 3, m.end()))
+            continue
+        for a, z in stretches(m[0], encoding):
+            a, z = a + m.start(), z + m.start()
+            if z - a >= LEAST_RUN and (a, z) != m.span() and all(z <= b or e <= a for b, _, e in found) and is_random(text[a:z], encoding):
+                more.append((a, 3, z))
     return sorted(found + more)
 
 

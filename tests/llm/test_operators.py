@@ -367,3 +367,16 @@ def test_op10_tables_agree():
     got = np.concatenate([t.sums(key, 2) for t in model.table()], 1)
     want = np.stack([model.code_lengths(*counts[j])[key] for j in (0, 3, 19)], 1) * op10_ppm.UNITS
     assert np.abs(got[:, [0, 3, 19]] - want).max() <= 2
+
+
+def test_token_efficiency_recall():
+    enc, rng = op09_secrets.vocabulary(RANKS), np.random.default_rng(6)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    path = "/services/production/configuration/credentials/"
+    for n, alphabet, before in [(20, letters, ""), (40, letters, ""), (32, letters[:26], ""), (32, letters + list("0123456789"), path), (40, letters + list("0123456789+/"), path), (32, letters, path)]:
+        keys = ["".join(rng.choice(alphabet, n)) for _ in range(200)]
+        assert np.mean([bool(op09_secrets.spans(before + k, enc)) for k in keys]) > 0.9
+    key = "xK9mQ2vR7pL4wN8zT3bY6cH1"
+    assert key not in op09_secrets.redacted(f"see {path}{key}.", enc)
+    for calm in ("getHTTPResponseStatusCode", "CONFIGURATION_DEFAULT_SETTINGS", "Donaudampfschifffahrtsgesellschaft", "/usr/local/lib/python3/site-packages/numpy", "HTTPS_PROXY_SERVER_ADDRESS"):
+        assert not op09_secrets.spans(calm, enc)
