@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import BROADCAST_ROWS, landed
+from .store import BROADCAST_ROWS, discard, landed
 
 
 def _small(low: DataFrame, edges: int) -> DataFrame:
@@ -56,7 +56,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        e = landed(_small_star(_large_star(e, before[0]), before[0]), "edges")
+        old, e = e, landed(_small_star(_large_star(e, before[0]), before[0]), "edges")
+        discard(old)
         now = _print_of(e)
         if now == before:
             break

@@ -1,16 +1,18 @@
 """Token-id shards compressed by Re-Pair grammars, with random-access decoding.
 
 A shard block holds the ids of consecutive documents. Re-Pair replaces frequent neighbouring
-pairs by new symbols; rules are chosen many at a time (``PER_ROUND`` most frequent pairs a round,
-``ROUNDS`` rounds), which keeps every round a handful of vector passes. No rule crosses a document
-end, so every document starts on a symbol of the block. Rules store the length of their
+pairs by new symbols until none is left that occurs ``MIN_COUNT`` times; counts are exact, and the
+most frequent pairs of a round become rules together, which keeps a round a handful of vector
+passes. No rule crosses a document end, so every document starts on a symbol of the block. Rules store the length of their
 expansion, so any id range decodes by a search in summed lengths and one partial expansion.
 
 Blocks are rows of a Parquet table (columns in ``BLOCK_SCHEMA``): Spark's writer commits them, so
 lost tasks leave nothing behind and any file system works.
 
-Defined cases: null text is empty (only the end id); rows with one doc_id are ordered by text;
-null doc_id sorts first; an empty table gives no block; other columns are ignored.
+Defined cases: null text is empty (only the end id); rows with one doc_id are ordered by a hash of
+the text and then the text, and a hot doc_id (null too) is split over tasks by that hash; null
+doc_id sorts first; a very long text is one block of its own size; an empty table gives no block;
+only doc_id and text are read, so no other column's name can clash.
 """
 
 from __future__ import annotations
@@ -24,66 +26,77 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import landed
+from .store import landed, small_or_shuffled
 from .words import encoder
 
-ROUNDS, PER_ROUND, MIN_COUNT, HASH_BITS = 3, 2500, 8, 17
+MIN_COUNT, STEP, HASH_BITS = 8, 0.25, 18
 BLOCK_TOKENS = 1 << 19
 END_ID = 2
+_LOW = np.uint64(0xFFFFFFFF)
 BLOCK_SCHEMA = (
     "shard int, block int, before long, n_tokens long, doc_ids array<long>, doc_tokens binary, doc_symbols binary, "
     "base int, rules binary, rule_lengths binary, width int, symbols binary"
 )
 
 
-def repair(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = ROUNDS, per_round: int = PER_ROUND, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, last-of-document flags, rules of shape (k, 2)); symbol ``base + i`` stands for rule i."""
+def repeated_pairs(seq: np.ndarray, last: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs as one integer each, their exact counts, places, pair of each place) of pairs seen ``min_count`` times or more.
+
+    A pair over a document's end does not count; of overlapping occurrences of one pair (a run of
+    one symbol) every other counts. A hash only leaves out places whose pair is surely too rare.
+    """
+    left, right = seq[:-1], seq[1:]
+    slot = ((left * np.uint32(2654435761) ^ right * np.uint32(2246822519)) * np.uint32(3266489917) >> np.uint32(32 - HASH_BITS)).astype(np.intp)
+    inside = ~last[:-1]
+    at = np.flatnonzero((np.bincount(slot[inside], minlength=1 << HASH_BITS)[slot] >= min_count) & inside)
+    pair, of, count = np.unique(left[at].astype(np.uint64) << np.uint64(32) | right[at], return_inverse=True, return_counts=True)
+    twin = np.flatnonzero((pair >> np.uint64(32) == pair & _LOW)[of])
+    if len(twin):
+        starts = np.r_[True, (np.diff(at[twin]) > 1) | (np.diff(of[twin]) != 0)]
+        place = np.arange(len(twin))
+        over = twin[(place - np.maximum.accumulate(np.where(starts, place, 0))) % 2 == 1]
+        count = count - np.bincount(of[over], minlength=len(pair))
+        at, of = np.delete(at, over), np.delete(of, over)
+    often = (count >= min_count)[of]
+    return pair, count, at[often], of[often]
+
+
+def repair(ids: np.ndarray, last: np.ndarray, base: int, min_count: int = MIN_COUNT, step: float = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, last-of-document flags, rules of shape (k, 2)); symbol ``base + i`` stands for rule i.
+
+    Rounds go on until no pair is seen ``min_count`` times. A round takes the pairs at least ``step``
+    times as frequent as its most frequent one; where two overlap, the more frequent one's place is
+    replaced, and a pair that keeps fewer than ``min_count`` places waits for the next round. The
+    most frequent pair loses no place, so every round makes a rule.
+    """
     seq, last = ids.astype(np.uint32), last.copy()
     rules: list[np.ndarray] = []
     n_rules = 0
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        left, right = seq[:-1], seq[1:]
-        slot = ((left * np.uint32(2654435761) ^ right * np.uint32(2246822519)) * np.uint32(3266489917) >> np.uint32(32 - HASH_BITS)).astype(np.intp)
-        slot[last[:-1]] = 0  # pairs over a document's end are not counted
-        count = np.bincount(slot, minlength=1 << HASH_BITS)
-        count[0] = 0
-        wide = np.flatnonzero(count >= min_count)
-        if len(wide) > per_round:
-            wide = wide[np.argpartition(count[wide], -per_round)[-per_round:]]
-        rule_of = np.full(1 << HASH_BITS, -1, np.int32)
-        rule_of[wide] = np.arange(len(wide))
-        rule = rule_of[slot]
-        at = np.flatnonzero(rule >= 0)
+    while len(seq) > 1:
+        pair, count, at, of = repeated_pairs(seq, last, min_count)
         if not len(at):
             break
-        rule, a, b = rule[at], left[at], right[at]
-        of = np.zeros(len(wide), np.intp)
-        of[rule] = np.arange(len(at))  # a slot stands for one of its pairs
-        same = (a == a[of][rule]) & (b == b[of][rule])
-        count = np.bincount(rule[same], minlength=len(wide))
-        top = np.flatnonzero(count >= min_count)
-        if not len(top):
-            break
-        top = top[np.lexsort((top, -count[top]))]
-        number = np.full(len(wide), -1, np.int64)
-        number[top] = np.arange(len(top))
-        rule = number[rule]
-        same &= rule >= 0
-        hit, rule = at[same], rule[same]
-        pairs = np.stack([a[of[top]], b[of[top]]], 1)
-        starts = np.r_[True, np.diff(hit) > 1]
-        place = np.arange(len(hit))
-        even = (place - np.maximum.accumulate(np.where(starts, place, 0))) % 2 == 0  # overlapping pairs: every other one
-        take = hit[even]
-        rules.append(pairs)
-        new = seq.copy()
-        new[take] = (base + n_rules + rule[even]).astype(np.uint32)
-        last[take] |= last[take + 1]
+        order = np.lexsort((pair, -count))
+        rank = np.empty(len(pair), np.int64)
+        rank[order] = np.arange(len(pair))
+        taken = (count >= max(min_count, int(count.max() * step)))[of]
+        at, of = at[taken], of[taken]
+        mine, close = rank[of], np.diff(at) == 1
+        wins = np.ones(len(at), bool)
+        wins[1:] &= ~(close & (mine[1:] >= mine[:-1]))
+        wins[:-1] &= ~(close & (mine[:-1] > mine[1:]))
+        made = np.bincount(of[wins], minlength=len(pair)) >= min_count
+        wins &= made[of]
+        at, of = at[wins], of[wins]
+        top = order[made[order]]
+        number = np.zeros(len(pair), np.uint32)
+        number[top] = np.arange(base + n_rules, base + n_rules + len(top))
+        rules.append(np.stack([pair[top] >> np.uint64(32), pair[top] & _LOW], 1).astype(np.uint32))
+        seq[at] = number[of]
+        last[at] |= last[at + 1]
         keep = np.ones(len(seq), bool)
-        keep[take + 1] = False
-        seq, last = new[keep], last[keep]
+        keep[at + 1] = False
+        seq, last = seq[keep], last[keep]
         n_rules += len(top)
     return seq, last, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
@@ -184,8 +197,8 @@ def _blocks(path: str, end_id: int, block_tokens: int, batches: Iterator[pa.Reco
 
 def encode_blocks(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Blocks of all documents in ascending doc_id order (order: shard, block, place in the block)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
     return ordered.mapInArrow(lambda it: _blocks(tokenizer, end_id, block_tokens, it), BLOCK_SCHEMA)
 
 
@@ -216,7 +229,7 @@ def document_digests(blocks: DataFrame) -> DataFrame:
     totals = blocks.groupBy("shard").agg(F.max(F.col("before") + F.col("n_tokens")).alias("n"))
     order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per writing task
     starts = totals.select("shard", F.coalesce(F.sum("n").over(order), F.lit(0)).cast("long").alias("shard_start"))
-    joined = blocks.join(F.broadcast(starts), "shard")
+    joined = blocks.join(small_or_shuffled(starts), "shard")
     return joined.mapInArrow(_digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

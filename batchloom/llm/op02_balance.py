@@ -12,9 +12,10 @@ source. Ranks for rounding are taken inside (source, size, salt) groups, the sal
 number of rows. What is broadcast is one row per source, and only when counted as small.
 
 Defined cases: null or empty text has size 0, is taken 0 times and has rate 1; a null source is a
-source of its own, ordered last; repeated rows are separate documents; an empty table gives an
-empty result; a table without words has targets 0. Clashing column names: only doc_id, text and
-source are read.
+source of its own, ordered last; repeated rows and rows without doc_id are separate documents;
+documents of equal size tie and are ordered by a hash of the row; very long texts count whole; an
+empty table gives an empty result; a table without words has targets 0. Columns must be hashable
+(no maps); no name can clash, since rows travel as one struct.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import BROADCAST_ROWS, landed, small_or_shuffled
+from .store import BROADCAST_ROWS, discard, landed, row_keys, small_or_shuffled
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 WORD = r"[^\x20\x09-\x0D]+"
-TOLERANCE, MAX_STEPS = 1e-9, 80
+TOLERANCE, MAX_STEPS, STEPS_AT_ONCE = 1e-9, 81, 3
 SALT_ROWS, MOST_SALTS = 16_384, 4_096
 
 
@@ -60,7 +61,8 @@ def _rate(lam: Column, size: Column, scale: Column, full: Column) -> Column:
 def solve(hist: DataFrame, sources: DataFrame) -> DataFrame:
     """Multipliers per source: k, source_size, target, scale, lam, full.
 
-    hist(k, size, n) counts documents. Steps end when every source meets its target.
+    hist(k, size, n) counts documents. Steps end when every source meets its target, and raise
+    where they do not.
     """
     scale = hist.groupBy("k").agg((F.sum(F.col("n") * F.col("size") * F.col("size").cast("double")) / F.greatest(F.sum(F.col("n") * F.col("size")), F.lit(1))).alias("scale"))
     p = sources.join(scale, "k").select(
@@ -69,36 +71,50 @@ def solve(hist: DataFrame, sources: DataFrame) -> DataFrame:
         F.lit(0.0).alias("lam"), F.lit(-1e6).alias("lo"), F.lit(1e6).alias("hi"), F.lit(False).alias("done"),
     )
     p = landed(p, "multipliers")
-    size, few = F.col("size"), p.count() <= BROADCAST_ROWS
-    for _ in range(MAX_STEPS):
-        r = _rate(F.col("lam"), size, F.col("scale"), F.col("full"))
-        step = hist.join(F.broadcast(p) if few else p, "k").groupBy("k", "source_size", "target", "scale", "full", "lam", "lo", "hi").agg(
-            F.sum(F.col("n") * size * r).alias("got"), F.sum(F.when(r < MOST, F.col("n") * size * size / F.col("scale") * r).otherwise(0.0)).alias("slope")
-        )
-        miss = F.col("got") - F.col("target")
-        low, high = F.when(miss < 0, F.greatest("lo", "lam")).otherwise(F.col("lo")), F.when(miss >= 0, F.least("hi", "lam")).otherwise(F.col("hi"))
-        step = step.withColumns({"lo2": low, "hi2": high, "newton": F.when(F.col("slope") > 0, F.col("lam") - miss / F.when(F.col("slope") > 0, F.col("slope")))})
-        halved = F.when(F.col("lo2") < -9e5, F.least(F.lit(-1.0), F.col("lam") * 2 - 1)).when(F.col("hi2") > 9e5, F.greatest(F.lit(1.0), F.col("lam") * 2 + 1)).otherwise((F.col("lo2") + F.col("hi2")) / 2)
-        done = F.col("full") | (F.abs(miss) <= TOLERANCE * F.col("target") + 1e-9) | (F.col("hi2") - F.col("lo2") <= 1e-13)
-        p = landed(step.select(
-            "k", "source_size", "target", "scale", "full",
-            F.when(done, F.col("lam")).when((F.col("newton") > F.col("lo2")) & (F.col("newton") < F.col("hi2")), F.col("newton")).otherwise(halved).alias("lam"),
-            F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), done.alias("done"),
-        ), "multipliers")
+    few = p.count() <= BROADCAST_ROWS
+    for _ in range(MAX_STEPS // STEPS_AT_ONCE):
+        old = p
+        for _ in range(STEPS_AT_ONCE):  # one job each round: steps of a source that is done change nothing
+            p = _step(hist, p, few)
+        p = landed(p, "multipliers")
+        discard(old)
         if p.where("not done").isEmpty():
             break
+    else:
+        raise RuntimeError("entropy balancing did not settle")
     # ten digits: summation order no longer shows, so reruns agree
     return p.select("k", "source_size", "target", "scale", "full", F.round("lam", 10).alias("lam"))
 
 
+def _step(hist: DataFrame, p: DataFrame, few: bool) -> DataFrame:
+    """One safeguarded Newton step of every source's multiplier."""
+    size = F.col("size")
+    r = _rate(F.col("lam"), size, F.col("scale"), F.col("full"))
+    step = hist.join(F.broadcast(p) if few else p, "k").groupBy("k", "source_size", "target", "scale", "full", "lam", "lo", "hi").agg(
+        F.sum(F.col("n") * size * r).alias("got"), F.sum(F.when(r < MOST, F.col("n") * size * size / F.col("scale") * r).otherwise(0.0)).alias("slope")
+    )
+    miss = F.col("got") - F.col("target")
+    low, high = F.when(miss < 0, F.greatest("lo", "lam")).otherwise(F.col("lo")), F.when(miss >= 0, F.least("hi", "lam")).otherwise(F.col("hi"))
+    step = step.withColumns({"lo2": low, "hi2": high, "newton": F.when(F.col("slope") > 0, F.col("lam") - miss / F.when(F.col("slope") > 0, F.col("slope")))})
+    halved = F.when(F.col("lo2") < -9e5, F.least(F.lit(-1.0), F.col("lam") * 2 - 1)).when(F.col("hi2") > 9e5, F.greatest(F.lit(1.0), F.col("lam") * 2 + 1)).otherwise((F.col("lo2") + F.col("hi2")) / 2)
+    done = F.col("full") | (F.abs(miss) <= TOLERANCE * F.col("target") + 1e-9) | (F.col("hi2") - F.col("lo2") <= 1e-13 * F.greatest(F.lit(1.0), F.abs("lam")))
+    lam = F.when(done, F.col("lam")).when((F.col("newton") > F.col("lo2")) & (F.col("newton") < F.col("hi2")), F.col("newton")).otherwise(halved)
+    return step.select("k", "source_size", "target", "scale", "full", lam.alias("lam"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), done.alias("done"))
+
+
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, exact_words: bool = True) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies, cut_words, taken for every row of ``docs``.
+    """doc_id, source, size, source_size, target, rate, copies, cut_words, taken, k1, k2 for every row of ``docs``.
 
     ``copies`` are whole copies (0 to 2); ``cut_words`` (only with ``exact_words``) are words taken
-    beyond them, or left out of them if negative, on one document of a source.
+    beyond them, or left out of them if negative, on one document of a source. ``k1`` and ``k2``
+    identify the row by its columns.
     """
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("a"), F.col("source").cast("string")))
-    base = landed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), key.alias("k"), word_count(F.col("text").cast("string")).alias("size")), "sizes")
+    k1, k2 = row_keys(docs)
+    base = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), key.alias("k"), word_count(F.col("text").cast("string")).alias("size"), k1.alias("k1"), k2.alias("k2")
+    )
+    base = landed(base, "sizes")
     hist = landed(base.groupBy("k", "size").agg(F.count("*").alias("n")), "histogram")
     per_source = hist.groupBy("k").agg(F.sum(F.col("n") * F.col("size")).cast("long").alias("source_size"))
     solved = landed(solve(hist, landed(targets(per_source, weights, share), "targets")), "solved")
@@ -108,7 +124,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, exact_w
     extra = rate - F.floor(rate)
     n_rows = base.count()
     salts = max(1, min(MOST_SALTS, -(-n_rows // SALT_ROWS)))
-    salted = base.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(salts)))
+    salted = base.withColumn("salt", F.pmod(F.xxhash64("k1", F.lit(17)), F.lit(salts)))
     fine = salted.groupBy("k", "size", "salt").agg(F.count("*").alias("n"))
     # fractions summed up to each size, then up to each salt of the size; whole numbers passed give the extra copies
     by_size = Window.partitionBy("k").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
@@ -117,13 +133,13 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, exact_w
     quota = fine.withColumn("n_before", F.coalesce(F.sum("n").over(by_salt), F.lit(0))).join(coarse, ["k", "size"])
     start = F.col("before") + F.col("n_before") * F.col("extra")
     quota = quota.select("k", "size", "salt", (F.floor(start + F.col("n") * F.col("extra") + 0.5) - F.floor(start + 0.5)).alias("quota"))
-    in_group = Window.partitionBy("k", "size", "salt").orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id")
+    in_group = Window.partitionBy("k", "size", "salt").orderBy("k2", "k1")
     ranked = salted.withColumn("place", F.row_number().over(in_group)).join(quota, ["k", "size", "salt"])
     copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.floor(rate) + F.when(F.col("place") <= F.col("quota"), 1).otherwise(0)).cast("long")
     rounded = ranked.join(p, "k").withColumns({"rate": rate, "copies": F.least(copies, F.lit(MOST))})
     if not exact_words:
-        return rounded.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", F.lit(0).cast("long").alias("cut_words"), (F.col("copies") * F.col("size")).alias("taken"))
-    rounded = landed(rounded.select("doc_id", "source", "k", "size", "salt", "place", "source_size", "target", "rate", "copies"), "copies")
+        return rounded.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", F.lit(0).cast("long").alias("cut_words"), (F.col("copies") * F.col("size")).alias("taken"), "k1", "k2")
+    rounded = landed(rounded.select("doc_id", "source", "k1", "k2", "k", "size", "salt", "place", "source_size", "target", "rate", "copies"), "copies")
     whole = F.col("copies") * F.col("size")
     who = lambda x: F.max(F.struct(x.alias("words"), F.col("size").alias("size"), F.col("salt").alias("salt"), F.col("place").alias("place")))
     gap = rounded.groupBy("k").agg(
@@ -133,12 +149,22 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, exact_w
     gap = gap.where("gap != 0").select("k", pick["size"].alias("size"), pick["salt"].alias("salt"), pick["place"].alias("place"), (F.signum("gap") * F.least(F.abs("gap"), pick["words"])).cast("long").alias("cut"))
     cut = F.coalesce("cut", F.lit(0)).cast("long")
     return rounded.join(small_or_shuffled(gap), ["k", "size", "salt", "place"], "left").select(
-        "doc_id", "source", "size", "source_size", "target", "rate", "copies", cut.alias("cut_words"), (whole + cut).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", "rate", "copies", cut.alias("cut_words"), (whole + cut).alias("taken"), "k1", "k2"
     )
 
 
 def materialise(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """Rows of ``docs`` repeated by the copies of ``mixed``; rows of one doc_id share the most copies."""
-    many = mixed.groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").cast("int").alias("mixed_copies")).where("mixed_copies > 0")
-    joined = docs.join(small_or_shuffled(many), F.col("doc_id").cast("long").eqNullSafe(F.col("mixed_id")))
-    return joined.withColumn("mixed_copies", F.explode(F.sequence(F.lit(1), "mixed_copies"))).select(*docs.columns)
+    """Rows of ``docs`` repeated by their copies in ``mixed``, a mix of the same ``docs``.
+
+    Copies follow the row (two hashes of all its columns), not its doc_id. Equal rows cannot be told
+    apart, so one of them stands for all and is repeated as often as they together.
+    """
+    per = landed(mixed.where("k1 is not null").groupBy("k1", "k2").agg(F.count("*").alias("n"), F.sum("copies").cast("int").alias("copies")).where("copies > 0"), "copies")
+    k1, k2 = row_keys(docs)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), k1.alias("k1"), k2.alias("k2"))
+    alone, equal = per.where("n = 1"), per.where("n > 1")
+    out = keyed.join(small_or_shuffled(alone), ["k1", "k2"]).select("record", "copies")
+    if not equal.isEmpty():
+        one = keyed.join(small_or_shuffled(equal), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+        out = out.unionByName(one.select("record", "copies"))
+    return out.select("record", F.explode(F.sequence(F.lit(1), "copies"))).select("record.*")

@@ -13,7 +13,10 @@ with probability 0.87; 8 in each of 24 tables leave a miss of 0.0002, less for c
 
 Defined cases: null, empty, zero vectors or null/non-finite parts, and null labels: no links, a
 component of their own. Vectors of different lengths never link. Repeated vec_ids are separate
-vectors with a common component. Empty table: empty result.
+vectors. Null vec_ids link like others; a component without any id is null, nothing of it is kept.
+Equal vectors tie: all of a class have its links, and a component
+is named by its smallest vec_id. Empty table: empty result. Only vec_id, embedding and label are
+read, so no other column's name can clash.
 """
 
 from __future__ import annotations
@@ -99,13 +102,13 @@ def link_block(x: np.ndarray, keys: np.ndarray, side: np.ndarray, across: bool,
     return got, search(n, lambda i, others: linked[i, others])
 
 
-_LINKS = pa.schema([("cid", pa.int64()), ("rep", pa.int64()), ("links", pa.int64()), ("partner", pa.int64())])
+_LINKS = pa.schema([("cid", pa.int64()), ("links", pa.int64()), ("partner", pa.int64())])
 
 
 def _buckets(cosine: float, tables: int, task: pa.Table) -> Iterator[dict]:
-    reps, cids, t, lo, hi, side, copies = (task.column(c).to_numpy() for c in ("rep", "cid", "table", "lo", "hi", "side", "copies"))
+    cids, t, lo, hi, side, copies = (task.column(c).to_numpy() for c in ("cid", "table", "lo", "hi", "side", "copies"))
     units, keys = task.column("unit").to_pylist(), task.column("keys").to_pylist()
-    for a, z in bounds(task):
+    for a, z in bounds(task, 5):
         sizes: dict[int, list[int]] = {}
         for i in range(a, z):
             sizes.setdefault(len(units[i]), []).append(i)
@@ -115,10 +118,10 @@ def _buckets(cosine: float, tables: int, task: pa.Table) -> Iterator[dict]:
             x = np.frombuffer(b"".join([units[i] for i in at]), "<f8").reshape(len(at), -1)
             k = np.frombuffer(b"".join([keys[i] for i in at]), "<i8").reshape(len(at), tables)
             got, label = link_block(x, k, side[at], bool(lo[a] != hi[a]), int(t[a]), cosine, copies[at].astype(np.float64))
-            rep = reps[at]
-            for c, r, n, p in zip(cids[at].tolist(), rep.tolist(), got.tolist(), rep[label].tolist(), strict=True):
-                if n or p != r:
-                    yield {"cid": c, "rep": r, "links": n, "partner": p}
+            mine = cids[at]
+            for c, n, p in zip(mine.tolist(), got.tolist(), mine[label].tolist(), strict=True):
+                if n or p != c:
+                    yield {"cid": c, "links": n, "partner": p}
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH, seed: int = SEED, block: int = BLOCK) -> DataFrame:
@@ -126,25 +129,26 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
     h = landed(hashed(vectors, tables, projections, width, seed), "hashed")
     # classes of equal unit vectors; the double image of a class is one value, so equality is exact
     cls = h.where("unit is not null").groupBy("label", "unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min("keys").alias("keys"))
-    cls = landed(cls.withColumn("cid", F.xxhash64("label", "unit")), "classes")
+    cls = landed(cls.withColumn("cid", F.monotonically_increasing_id()), "classes")
     words = F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.struct(t.alias("table"), F.substring("keys", t * 8 + 1, F.lit(8)).alias("key")))
-    at = cls.select("label", "rep", "cid", F.explode(words).alias("w")).select("label", "rep", "cid", "w.table", "w.key")
+    at = cls.select("label", "cid", F.explode(words).alias("w")).select("label", "cid", "w.table", "w.key")
     count = at.groupBy("label", "table", "key").agg(F.count("*").alias("n")).where("n > 1")
     shared = at.join(count, ["label", "table", "key"])
     blocks = F.ceil(F.col("n") / block).cast("int")
     shared = shared.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("cid", F.lit(seed)), "blocks").cast("int"))
     every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "mine").alias("lo"), F.greatest(o, "mine").alias("hi")))
-    tasks = shared.withColumn("pair", F.explode(every)).select("label", "table", "key", "rep", "cid", "pair.lo", "pair.hi", F.col("mine").alias("side"))
+    tasks = shared.withColumn("pair", F.explode(every)).select("label", "table", "key", "cid", "pair.lo", "pair.hi", F.col("mine").alias("side"))
     rows = tasks.join(cls.select("cid", "unit", "keys", "copies"), "cid")
-    columns = ["rep", "cid", "table", "lo", "hi", "side", "copies", "unit", "keys"]
-    links = map_groups(rows, ["label", "table", "key", "lo", "hi"], columns, lambda task: _buckets(cosine, tables, task), "cid long, rep long, links long, partner long", _LINKS)
+    columns = ["cid", "side", "copies", "unit", "keys"]
+    links = map_groups(rows, ["label", "table", "key", "lo", "hi"], columns, lambda task: _buckets(cosine, tables, task), "cid long, links long, partner long", _LINKS)
     links = landed(links, "links")
-    comp = components(links.where("rep != partner").select(F.col("rep").alias("u"), F.col("partner").alias("v")))
+    comp = components(links.where("cid != partner").select(F.col("cid").alias("u"), F.col("partner").alias("v"))).withColumnRenamed("node", "cid")
     per_class = links.groupBy("cid").agg(F.sum("links").alias("links"))
-    known = cls.select("label", "unit", "rep", "cid", "copies").join(per_class, "cid", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+    least = cls.select("cid", "rep").join(comp, "cid").groupBy("component").agg(F.min("rep").alias("least"))
+    known = cls.select("label", "unit", "rep", "cid", "copies").join(per_class, "cid", "left").join(comp, "cid", "left").join(least, "component", "left")
     out = h.join(known, ["label", "unit"], "left")
-    component = F.coalesce("component", "rep", "vec_id")
+    component = F.coalesce("least", "rep", "vec_id")
     return out.select(
         "vec_id", F.coalesce(F.coalesce("links", F.lit(0)) + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"), (F.col("vec_id") == component).alias("kept"),
+        component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"),
     )

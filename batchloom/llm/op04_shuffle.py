@@ -6,12 +6,13 @@ to it as one array, and writes it. The law is ``key``: rendezvous hashing of (do
 decides the shard, so one more shard takes rows only into itself.
 
 Buckets hold a bounded number of bytes because the bucket count follows the table's bytes and
-doc_ids hash evenly; a hot source or a group of equal texts spreads like everything else. Slots
+(doc_id, text) hashes evenly; a hot source, a group of equal texts or a hot doc_id with many texts
+spreads like everything else (only rows equal in both share a bucket whatever their number). Slots
 are the bucket's first slot (sums over bucket counts) plus the place in the bucket.
 
 Defined cases: null text has size 1 and the crc32 of no bytes; rows of equal doc_id share a shard
 and are ordered by all their columns before the shuffle (so columns must be orderable: no maps); null doc_id is one more key; an empty table gives no row. Records keep
-all their columns under ``record``, so no name can clash.
+all their columns under ``record``, so no name can clash; a very long text is one record of its bucket.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def external_shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bu
     total = docs.agg(F.sum(text_bytes(F.col("text").cast("string")))).first()[0] or 0
     per_shard = max(1, -(-total // (shards * bucket_bytes)))
     placed = docs.select(F.struct(*docs.columns).alias("record")).withColumns({"key": F.col("record.doc_id").cast("long")})
-    placed = placed.withColumns({"shard": shard_of(F.col("key"), shards, seed), "bucket": F.pmod(F.xxhash64("key", F.lit(seed + 1)), F.lit(per_shard)).cast("int")})
+    placed = placed.withColumns({"shard": shard_of(F.col("key"), shards, seed), "bucket": F.pmod(F.xxhash64("key", F.col("record.text"), F.lit(seed + 1)), F.lit(per_shard)).cast("int")})
     # one fixed partition count, so a bucket's generator state depends on nothing but the data
     width = min(shards * per_shard, MOST_TASKS)
     scattered = placed.repartition(width, "shard", "bucket")

@@ -7,7 +7,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local_roots: dict[str, str] = {}
@@ -33,18 +33,32 @@ def landed(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/batchloom/{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path.rsplit("/", 1)[0]))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._landed = (spark, path.rsplit("/", 1)[0])
+    _written.append(out._landed)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # a table that cannot be deleted now goes with its folder
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete landed tables that nothing reads any more; other relations are left alone."""
+    for df in tables:
+        entry = getattr(df, "_landed", None)
+        if entry in _written:
+            _written.remove(entry)
+            _delete(*entry)
 
 
 def release() -> None:
     """Delete every intermediate table written by this process; results that still read them end here."""
     while _written:
-        spark, path = _written.pop()
-        with contextlib.suppress(Exception):
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(*_written.pop())
 
 
 atexit.register(release)
@@ -56,3 +70,10 @@ BROADCAST_ROWS = 500_000
 def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint when its counted rows are within ``limit``; unchanged otherwise."""
     return F.broadcast(df) if df.count() <= limit else df
+
+
+def row_keys(df: DataFrame) -> list[Column]:
+    """Two hashes (128 bits together) of all columns of a row, nulls included; equal rows have equal keys."""
+    nulls = F.concat(*[F.when(F.col(f"`{c}`").isNull(), "1").otherwise("0") for c in df.columns])
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return [F.xxhash64(nulls, *columns), F.xxhash64(F.lit(0x5EED), *columns, nulls)]

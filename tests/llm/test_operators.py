@@ -69,6 +69,27 @@ def test_repair_round_trip(values, n_ends):
     assert (np.cumsum(g.sizes(seq))[ends] - 1 == np.flatnonzero(last)).all()
     a = len(ids) // 3
     assert (g.slice(seq, a, len(ids)) == ids[a:]).all()
+    assert max(apart(seq, ends).values(), default=0) < 2
+
+
+def apart(seq, last):
+    """Occurrences of each pair inside documents that do not overlap, from left to right."""
+    counts, end = {}, {}
+    for i in range(len(seq) - 1):
+        pair = (int(seq[i]), int(seq[i + 1]))
+        if not last[i] and end.get(pair, -1) < i:
+            counts[pair], end[pair] = counts.get(pair, 0) + 1, i + 1
+    return counts
+
+
+def test_repair_leaves_no_frequent_pair(ids):
+    flat = np.concatenate(ids)
+    last = np.zeros(len(flat), bool)
+    last[np.cumsum([len(x) for x in ids]) - 1] = True
+    base = 1 << 16
+    seq, ends, rules = op01_repair.repair(flat, last, base)
+    assert max(apart(seq, ends).values()) < op01_repair.MIN_COUNT <= max(apart(flat, last).values())
+    assert len(rules) and 2 * len(seq) + 12 * len(rules) < 0.45 * 4 * len(flat)  # bytes stored against ids of four bytes
 
 
 def test_op2(spark, sf, docs):
