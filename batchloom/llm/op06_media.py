@@ -5,18 +5,25 @@ with one Aho-Corasick automaton over the whole payload; a validator per format w
 and returns the exact length, so a signature without a sound body counts for nothing. The object
 at offset 0 corrects the declared type; sound objects further inside are carved, outermost first.
 
-Defined cases: null text is stored as no bytes; null media has a null type and no objects; rows
-repeat freely; an empty table gives an empty result; other columns are ignored by the query and
-kept by ``sniff`` (its columns win a clash).
+Validators share one ``Payload``, whose markers are found once and whose dead ends are walked once,
+so a very long payload full of signatures takes time in proportion to its length (checksums of
+nested sound chunks aside).
+
+Defined cases: null text is stored as no bytes; null media has a null type and no objects; of
+objects with one start, the first by format order counts; rows repeat freely; an empty table gives
+an empty result; other columns are ignored by the query and kept by ``sniff`` (its columns win a
+clash).
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +33,71 @@ UNIT, RATE = 64, 8000
 OBJECT = "type string, start long, stop long"
 
 
-def _wav(b: bytes, at: int) -> int | None:
+class Payload:
+    """Bytes with what several validators share, each found once: markers' places and dead ends.
+
+    A walk over a format's structure that ends in nothing marks the places it passed, and a later
+    walk of the kind stops there, so all walks together are linear in the payload.
+    """
+
+    def __init__(self, raw: bytes):
+        self.raw = raw
+        self.dead: dict[str, bytearray] = {}
+
+    def walk(self, kind: str, p: int, step: Callable[[int], int | None], done: Callable[[int], int | None]) -> int | None:
+        """The end that ``done`` gives for a place on the way from ``p`` by ``step``; None where the way ends."""
+        if kind not in self.dead:
+            self.dead[kind] = bytearray(len(self.raw))
+        dead, passed = self.dead[kind], []
+        at: int | None = p
+        while at is not None and 0 <= at < len(self.raw) and not dead[at]:
+            if (end := done(at)) is not None:
+                return end
+            passed.append(at)
+            at = step(at)
+        for q in passed:
+            dead[q] = 1
+        return None
+
+    @cached_property
+    def jpeg_markers(self) -> list[int]:
+        """Places of 0xFF before a byte that is neither stuffing, a restart nor a fill byte."""
+        return [m.start() for m in re.finditer(rb"\xff[^\x00\xd0-\xd7\xff]", self.raw)]
+
+    @cached_property
+    def zip_ends(self) -> dict[int, int]:
+        """Start of an archive to the end of its last end record, by the record's own directory offset."""
+        out = {}
+        for m in re.finditer(rb"PK\x05\x06", self.raw):
+            if (e := m.start()) + 22 <= len(self.raw):
+                size, first, comment = struct.unpack_from("<IIH", self.raw, e + 12)
+                start, end = e - size - first, e + 22 + comment
+                if start >= 0 and end <= len(self.raw) and self.raw[start + first : start + first + 4] == b"PK\x01\x02":
+                    out[start] = end
+        return out
+
+    @cached_property
+    def pdf_ends(self) -> tuple[dict[int, int], list[int], dict[int, list[int]]]:
+        """(start of a file to the end of its last section, places of xref tables, offsets told to ends).
+
+        A section ends in startxref, an offset and %%EOF; the offset leads from the file's start to
+        the section's own xref table or stream, the nearest before. A linearised file's last
+        section leads to the first table instead.
+        """
+        tables = [m.start() for m in re.finditer(rb"(?<![a-z])xref(?=\s)", self.raw)]
+        objects = [m.start() for m in re.finditer(rb"(?<![0-9])[0-9]+ [0-9]+ obj\b", self.raw)]
+        ends, told = {}, {}
+        for m in re.finditer(rb"startxref\s+([0-9]{1,15})\s+%%EOF", self.raw):
+            offset = int(m[1])
+            told.setdefault(offset, []).append(m.end())
+            for places in (tables, objects):
+                if at := bisect.bisect_left(places, m.start()):
+                    ends[places[at - 1] - offset] = m.end()
+        return ends, tables, told
+
+
+def _wav(p: Payload, at: int) -> int | None:
+    b = p.raw
     if len(b) < at + 44 or b[at + 8 : at + 12] != b"WAVE":
         return None
     end, p, fmt, data = at + 8 + struct.unpack_from("<I", b, at + 4)[0], at + 12, False, False
@@ -38,60 +109,58 @@ def _wav(b: bytes, at: int) -> int | None:
     return end if fmt and data and p in (end, end + 1) else None
 
 
-def _png(b: bytes, at: int) -> int | None:
-    p, first = at + 8, True
-    while p + 12 <= len(b):
-        n, name = struct.unpack_from(">I", b, p)[0], b[p + 4 : p + 8]
-        if p + 12 + n > len(b) or first and (name != b"IHDR" or n != 13):
-            return None
-        if zlib.crc32(b[p + 4 : p + 8 + n]) != struct.unpack_from(">I", b, p + 8 + n)[0]:
+def _png(p: Payload, at: int) -> int | None:
+    b = p.raw
+    if b[at + 8 : at + 16] != b"\0\0\0\x0dIHDR":
+        return None
+
+    def chunk(q: int) -> int | None:
+        return q + 12 + struct.unpack_from(">I", b, q)[0] if q + 12 <= len(b) else None
+
+    # lengths first: only a chain of chunks that ends is worth its checksums
+    end = p.walk("png", at + 8, chunk, lambda q: q + 12 if b[q : q + 8] == b"\0\0\0\0IEND" and q + 12 <= len(b) else None)
+    q = at + 8
+    while end is not None and q < end:
+        n = struct.unpack_from(">I", b, q)[0]
+        if zlib.crc32(memoryview(b)[q + 4 : q + 8 + n]) != struct.unpack_from(">I", b, q + 8 + n)[0]:
             return None
-        p, first = p + 12 + n, False
-        if name == b"IEND":
-            return p
-    return None
-
-
-def _jpeg(b: bytes, at: int) -> int | None:
-    p = at + 2
-    while p + 4 <= len(b) and b[p] == 0xFF:
-        kind = b[p + 1]
-        if kind == 0xD9:
-            return p + 2
-        n = struct.unpack_from(">H", b, p + 2)[0]
-        if n < 2:
+        q += 12 + n
+    return end
+
+
+def _jpeg(p: Payload, at: int) -> int | None:
+    b, markers = p.raw, p.jpeg_markers
+
+    def segment(q: int) -> int | None:
+        if b[q] != 0xFF or q + 4 > len(b) or (n := struct.unpack_from(">H", b, q + 2)[0]) < 2:
             return None
-        p += 2 + n
-        if kind == 0xDA:  # entropy-coded data up to the next real marker
-            while (p := b.find(b"\xff", p)) >= 0 and p + 1 < len(b) and (b[p + 1] == 0 or 0xD0 <= b[p + 1] <= 0xD7):
-                p += 2
-            if p < 0:
-                return None
-            if b[p + 1 : p + 2] == b"\xd9":
-                return p + 2
-    return None
-
-
-def _gif(b: bytes, at: int) -> int | None:
+        if b[q + 1] != 0xDA:
+            return q + 2 + n
+        after = bisect.bisect_left(markers, q + 2 + n)  # entropy-coded data up to the next real marker
+        return markers[after] if after < len(markers) else None
+
+    return p.walk("jpeg", at + 2, segment, lambda q: q + 2 if b[q : q + 2] == b"\xff\xd9" else None)
+
+
+def _gif(p: Payload, at: int) -> int | None:
+    b = p.raw
     if len(b) < at + 13 or b[at + 4 : at + 6] not in (b"7a", b"9a"):
         return None
-    p = at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 0x80 else 0)
-    while p < len(b):
-        if b[p] == 0x3B:
-            return p + 1
-        if b[p] == 0x2C and p + 10 <= len(b):
-            p += 10 + (3 << (b[p + 9] & 7) + 1 if b[p + 9] & 0x80 else 0) + 1
-        elif b[p] == 0x21:
-            p += 2
-        else:
-            return None
-        while p < len(b) and b[p]:
-            p += 1 + b[p]
-        p += 1
-    return None
 
+    def after_blocks(q: int) -> int | None:
+        return p.walk("gif data", q, lambda x: x + 1 + b[x], lambda x: x + 1 if not b[x] else None)
 
-def _bmp(b: bytes, at: int) -> int | None:
+    def section(q: int) -> int | None:
+        if b[q] == 0x2C and q + 10 <= len(b):
+            return after_blocks(q + 10 + (3 << (b[q + 9] & 7) + 1 if b[q + 9] & 0x80 else 0) + 1)
+        return after_blocks(q + 2) if b[q] == 0x21 else None
+
+    first = at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 0x80 else 0)
+    return p.walk("gif", first, section, lambda q: q + 1 if b[q] == 0x3B else None)
+
+
+def _bmp(p: Payload, at: int) -> int | None:
+    b = p.raw
     if len(b) < at + 54:
         return None
     size, zero, first, head = struct.unpack_from("<IIII", b, at + 2)
@@ -99,47 +168,100 @@ def _bmp(b: bytes, at: int) -> int | None:
     return at + size if sound else None
 
 
-def _pdf(b: bytes, at: int) -> int | None:
+def _pdf(p: Payload, at: int) -> int | None:
+    """The last section whose offset leads from this header to its own table."""
+    b = p.raw
     if not b[at + 5 : at + 6].isdigit() or b[at + 6 : at + 7] != b".":
         return None
-    end = b.find(b"%%EOF", at)
-    return end + 5 if end >= 0 and b.find(b"startxref", at, end) >= 0 else None
+    ends, tables, told = p.pdf_ends
+    found = [ends[at]] if ends.get(at, 0) > at else []
+    if b.find(b"/Linearized", at, at + 1024) >= 0 and (i := bisect.bisect_left(tables, at)) < len(tables):
+        places = told.get(tables[i] - at, [])
+        found += places[(j := bisect.bisect_right(places, tables[i])) : j + 1]
+    return max(found, default=None)
+
 
+def _zip(p: Payload, at: int) -> int | None:
+    return p.zip_ends.get(at)
 
-def _zip(b: bytes, at: int) -> int | None:
-    end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b):
+
+def _flac_frame(b: bytes, p: int) -> tuple[int, int] | None:
+    """(samples, length of the header) of a frame header whose checksum holds."""
+    if b[p : p + 2] not in (b"\xff\xf8", b"\xff\xf9") or p + 6 > len(b):
+        return None
+    block, rate, channels, bits = b[p + 2] >> 4, b[p + 2] & 15, b[p + 3] >> 4, b[p + 3] >> 1 & 7
+    if not block or rate == 15 or channels > 10 or bits == 3 or b[p + 3] & 1:
         return None
-    size, first, comment = struct.unpack_from("<IIH", b, end + 12)
-    sound = first + size == end - at and b[at + first : at + first + 4] == b"PK\x01\x02" and end + 22 + comment <= len(b)
-    return end + 22 + comment if sound else None
+    lead = b[p + 4]
+    q = p + 5 + (7 - (~lead & 0xFF).bit_length() if lead >= 0xC0 else 0)  # the frame's number, coded like UTF-8
+    if block in (6, 7):
+        samples = int.from_bytes(b[q : q + block - 5], "big") + 1
+        q += block - 5
+    else:
+        samples = 192 if block == 1 else 576 << block - 2 if block < 6 else 256 << block - 8
+    q += {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    crc = 0
+    for x in b[p : q + 1]:
+        crc ^= x
+        for _ in range(8):
+            crc = (crc << 1 ^ (0x07 if crc & 0x80 else 0)) & 0xFF
+    return (samples, q + 1 - p) if q < len(b) and not crc else None
 
 
-def _flac(b: bytes, at: int) -> int | None:
-    p = at + 4
-    if len(b) < p + 38 or b[p] & 0x7F or b[p + 1 : p + 4] != b"\0\0\x22":
+@lru_cache(maxsize=1)
+def _crc16() -> list[int]:
+    out = []
+    for x in range(256):
+        c = x << 8
+        for _ in range(8):
+            c = (c << 1 ^ (0x8005 if c & 0x8000 else 0)) & 0xFFFF
+        out.append(c)
+    return out
+
+
+def _flac(p: Payload, at: int) -> int | None:
+    """Metadata blocks, then frames until the stream's samples are reached; a frame ends where its checksum does."""
+    b = p.raw
+    if len(b) < at + 42 or b[at + 4] & 0x7F or b[at + 5 : at + 8] != b"\0\0\x22":
         return None
-    while p + 4 <= len(b):
-        last, n = b[p] >> 7, int.from_bytes(b[p + 1 : p + 4], "big")
-        p += 4 + n
-        if last:  # frames have no length of their own: the stream reaches to the payload's end
-            return len(b) if p <= len(b) else None
-    return None
-
-
-def _ogg(b: bytes, at: int) -> int | None:
-    p, ended = at, False
-    while not ended and b[p : p + 5] == b"OggS\0" and p + 27 <= len(b):
-        n = b[p + 26]
-        if p + 27 + n > len(b):
+    info = int.from_bytes(b[at + 8 : at + 42], "big")
+    least, most, total = info >> 34 * 8 - 56 & 0xFFFFFF, info >> 34 * 8 - 80 & 0xFFFFFF, info >> 128 & (1 << 36) - 1
+    block = lambda q: q + 4 + int.from_bytes(b[q + 1 : q + 4], "big")
+    q = p.walk("flac", at + 4, lambda x: block(x) if x + 4 <= len(b) and not b[x] >> 7 else None, lambda x: block(x) if x + 4 <= len(b) and b[x] >> 7 and block(x) <= len(b) else None)
+    if q is None or not total:
+        return q
+    table, seen = _crc16(), 0
+    while seen < total:
+        head = _flac_frame(b, q)
+        if head is None:
             return None
-        ended = bool(b[p + 5] & 4)
-        p += 27 + n + sum(b[p + 27 : p + 27 + n])
-    return p if ended and p <= len(b) else None
+        crc, stop = 0, min(len(b), q + most if most else len(b))
+        for r in range(q, stop):
+            crc = (crc << 8 ^ table[crc >> 8 ^ b[r]]) & 0xFFFF
+            # the checksum holds after a whole frame; what follows is a frame or, at the last, anything
+            if not crc and r + 1 - q >= max(least, head[1] + 3) and (seen + head[0] >= total or _flac_frame(b, r + 1)):
+                seen, q = seen + head[0], r + 1
+                break
+        else:
+            return None
+    return q
+
+
+def _ogg(p: Payload, at: int) -> int | None:
+    b = p.raw
+
+    def page(q: int) -> int | None:
+        n = q + 27 + b[q + 26] if q + 27 <= len(b) and b[q : q + 5] == b"OggS\0" else len(b) + 1
+        return n + sum(b[q + 27 : n]) if n <= len(b) else None
+
+    def last(q: int) -> int | None:
+        return end if q + 27 <= len(b) and b[q + 5] & 4 and (end := page(q)) is not None and end <= len(b) else None
+
+    return p.walk("ogg", at, page, last)
 
 
 #: Published magic bytes of each format.
-FORMATS: dict[str, tuple[bytes, Callable[[bytes, int], int | None]]] = {
+FORMATS: dict[str, tuple[bytes, Callable[[Payload, int], int | None]]] = {
     "audio/wav": (b"RIFF", _wav),
     "image/png": (b"\x89PNG\r\n\x1a\n", _png),
     "image/jpeg": (b"\xff\xd8\xff", _jpeg),
@@ -166,11 +288,12 @@ def _automaton():
 def objects(media: bytes) -> list[tuple[str, int, int]]:
     """(type, start, stop) of every sound object, outermost first, none nested in a carved one."""
     found: list[tuple[str, int, int]] = []
+    payload = Payload(media)
     for last, (kind, n) in _automaton().iter(media.decode("latin-1")):
         at = last - n + 1
         if found and found[-1][1] > 0 and at < found[-1][2]:
             continue
-        if (stop := FORMATS[kind][1](media, at)) is not None:
+        if (stop := FORMATS[kind][1](payload, at)) is not None:
             found.append((kind, at, stop))
     return found
 

@@ -1,17 +1,20 @@
 """Secret scans: fixed base patterns plus a token-efficiency test.
 
 The base finds assignments, access keys and long hex runs. The method looks at every longer run of
-key-like characters outside base spans: random strings cost many tokens, so a low number of
-characters per token under a tiktoken vocabulary exposes them. It is taken of the whole run and,
-where that is calm, of each stretch between its word-like parts (words and numbers that cost few
-tokens), so a key behind a path is seen. Known digests (32, 40, 56, 64, 96 or 128 hex characters),
+key-like characters: random strings cost many tokens, so a low number of characters per token under
+a tiktoken vocabulary exposes them. It is taken of the whole run and, where that is calm, of each
+stretch between its word-like parts (words and numbers that cost few tokens), so a key behind a
+path is seen. Of a run that base spans cut, every piece outside them is tested by itself, from
+``LEAST_REST`` characters on, so that no remainder of a secret stays. Known digests (32, 40, 56, 64, 96 or 128 hex characters),
 UUIDs, numbers and word-like identifiers are left out. An identifier is word-like when each part
 between separators is a name (one case, capitalised or camel case, four digits at the end at most)
 without five consonants in a row, y being a vowel. Keys without digits count like others. A key
 glued to words without a separator is seen only if the whole part's ratio is low.
 
-Offsets are code points, ends exclusive. Defined cases: null or empty text has no span; repeated
-rows repeat; an empty table gives an empty result; other columns are ignored by ``scan`` and kept
+Offsets are code points, ends exclusive; spans of one start tie and follow the kinds' order. Runs
+longer than ``SLICE`` are tokenised in slices of that length, so time is linear in the text, very
+long ones included. Defined cases: null or empty text has no span; repeated rows repeat; an empty
+table gives an empty result; other columns, whatever their names, are ignored by ``scan`` and kept
 by ``redact``.
 """
 
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from .worker import kept
 
 KINDS = ("assign", "access", "hex", "token")
-MOST_CHARS_PER_TOKEN, LEAST_RUN = 2.1, 20
+MOST_CHARS_PER_TOKEN, LEAST_RUN, LEAST_REST, SLICE = 2.1, 20, 8, 1024
 #: The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -72,7 +75,7 @@ def is_name(part: str) -> bool:
 
 
 def chars_per_token(run: str, encoding) -> float:
-    return len(run) / len(encoding.encode_ordinary(run))
+    return len(run) / sum(len(encoding.encode_ordinary(run[i : i + SLICE])) for i in range(0, len(run), SLICE))
 
 
 def is_random(run: str, encoding) -> bool:
@@ -97,20 +100,46 @@ def stretches(run: str, encoding) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
+def outside(covered: list[tuple[int, int]], at: int, start: int, stop: int) -> tuple[int, list[tuple[int, int]]]:
+    """(first interval that may reach beyond ``start``, pieces of start..stop outside the intervals).
+
+    ``covered`` are disjoint and sorted; ``at`` is what the call for an earlier run returned.
+    """
+    while at < len(covered) and covered[at][1] <= start:
+        at += 1
+    pieces, j = [], at
+    while j < len(covered) and covered[j][0] < stop:
+        pieces.append((start, covered[j][0]))
+        start = covered[j][1]
+        j += 1
+    return at, [(a, z) for a, z in [*pieces, (start, stop)] if a < z]
+
+
 def spans(text: str | None, encoding) -> list[tuple[int, int, int]]:
     """Base and token-efficiency spans, sorted by start, then kind."""
     if not text:
         return []
     found = base_spans(text)
-    more = []
+    covered: list[tuple[int, int]] = []
+    for a, _, z in found:
+        if covered and a <= covered[-1][1]:
+            covered[-1] = covered[-1][0], max(z, covered[-1][1])
+        else:
+            covered.append((a, z))
+    more, at = [], 0
     for m in RUN.finditer(text):
-        if all(m.end() <= a or z <= m.start() for a, _, z in found) and is_random(m[0], encoding):
-            more.append((m.start(), 3, m.end()))
-            continue
-        for a, z in stretches(m[0], encoding):
-            a, z = a + m.start(), z + m.start()
-            if z - a >= LEAST_RUN and (a, z) != m.span() and all(z <= b or e <= a for b, _, e in found) and is_random(text[a:z], encoding):
+        at, pieces = outside(covered, at, m.start(), m.end())
+        least = LEAST_RUN if pieces == [m.span()] else LEAST_REST
+        for a, z in pieces:
+            piece = text[a:z].strip("_/=+-") if least == LEAST_REST else text[a:z]
+            a = text.index(piece, a)
+            z = a + len(piece)
+            if len(piece) < least:
+                continue
+            if is_random(piece, encoding):
                 more.append((a, 3, z))
+                continue
+            more += [(a + x, 3, a + y) for x, y in stretches(piece, encoding) if y - x >= LEAST_RUN and y - x < len(piece) and is_random(piece[x:y], encoding)]
     return sorted(found + more)
 
 

@@ -1,6 +1,7 @@
 """Language identification by prediction by partial matching.
 
-Every language has a tree of byte contexts of orders 0 to ``ORDER`` with escape method C. Bytes are
+Every language has a tree of byte contexts of orders 0 to ``ORDER`` with escape method C (without
+exclusion of the symbols of longer contexts, so lengths are those of a code with some slack). Bytes are
 first folded to 157 symbols (letters without case, digits, blanks, marks, and each other byte its
 own), so a context with its next symbol is a small integer. Statistics are frozen after training,
 hence the exact code length of a symbol depends only on the last ORDER + 1 symbols: the trees are
@@ -12,8 +13,10 @@ sum. The order is the same for every number of languages, and memory grows with
 Training reads an expected ``MOST_ROWS`` labelled rows per language (a hash sample, whole texts).
 
 Defined cases: null text or text without letters is ``und`` with score 0; without any training row
-everything is ``und``; repeated rows agree; a null doc_id is held out; empty table: empty result.
-lang, source and doc_id never enter a prediction.
+everything is ``und``; languages of equal code length tie and the first by name is taken; very long
+texts are scored whole, in pieces that overlap by the order; repeated rows agree; a null doc_id is
+held out; empty table: empty result. lang, source and doc_id never enter a prediction. Columns are
+read by their own names, so no other column can clash.
 
 ``keep_identified`` judges no row by trees that the row taught: rows are dealt into
 ``PARTS`` parts by doc_id, and a row is scored by trees of the other parts (a language with rows in
