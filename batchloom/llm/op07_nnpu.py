@@ -6,15 +6,18 @@ prior * E_P[l(f)] + max(0, E_U[l(-f)] - prior * E_P[l(-f)]) with the sigmoid los
 on the driver over at most ``MOST_POSITIVE`` + ``MOST_UNLABELLED`` rows (hash samples of the table,
 expected sizes). Scoring reads every whole text once and shuffles nothing.
 
-Defined cases: null or empty text scores by the bias alone; repeated rows score alike; without a
-confirmed example every score is half the prior, below 0.5; a null doc_id is held out of training;
-an empty table gives an empty result. Labels, lang, source and doc_id never enter a score.
+Defined cases: null or empty text scores by the bias alone; very long texts score by all their
+words; repeated rows score alike; a score of exactly 0.5 predicts 1; without a confirmed example
+every score is half the prior, below 0.5; a doc_id with several labels takes the largest; a null
+doc_id is held out of training; an empty table gives an empty result. Labels, lang, source and
+doc_id never enter a score. Columns are read by their own names, so no other column can clash.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +29,9 @@ from pyspark.sql import functions as F
 from .store import small_or_shuffled
 from .words import letter_words
 
-MOST_POSITIVE, MOST_UNLABELLED, LEAST_DOCS, LEAST_Z = 2_000, 6_000, 3, 6.0
-STEPS, RATE, DECAY, FOLDS = 600, 0.05, 1e-6, 5
-STEM, MOST_REPEATS = 6, 3
+MOST_POSITIVE, MOST_UNLABELLED, LEAST_DOCS, LEAST_Z, LEAST_RATIO = 2_000, 6_000, 3, 6.0, 3.0
+STEPS, RATE, PULL, START, FOLDS = 600, 0.05, 0.2, 0.85, 5
+STEMS, MOST_REPEATS = (4, 5, 6, 7), 4
 
 
 def fold(doc_id: Column) -> Column:
@@ -40,16 +43,12 @@ def _hash(x: bytes) -> int:
 
 
 def stem_counts(words: set[bytes]) -> dict[bytes, int]:
-    """Distinct words of a text by their first STEM bytes; shorter words have no stem."""
-    out: dict[bytes, int] = {}
-    for w in words:
-        if len(w) > STEM:
-            out[w[:STEM]] = out.get(w[:STEM], 0) + 1
-    return out
+    """Distinct words of a text by each of their beginnings of STEMS bytes; a word is longer than its stem."""
+    return Counter(w[:n] for w in words for n in STEMS if len(w) > n)
 
 
 def features(text: str | None) -> np.ndarray:
-    """Sorted hashes of a whole text's distinct words, and of its stems with 1, 2 and 3 or more words."""
+    """Sorted hashes of a whole text's distinct words, and of its stems with 1 to MOST_REPEATS or more words."""
     words = set(letter_words(text))
     stems = [_hash(b"%s\0%d" % (stem, k)) for stem, n in stem_counts(words).items() for k in range(1, min(n, MOST_REPEATS) + 1)]
     return np.array(sorted([*map(_hash, words), *stems]), "<u8")
@@ -61,34 +60,32 @@ class Model:
     def __init__(self, keys: np.ndarray, weights: np.ndarray, bias: float):
         self.keys, self.weights, self.bias = keys, weights, bias
         self.of = dict(zip(keys.tolist(), weights.tolist(), strict=True))
+        self.stems: dict[bytes, list[float] | None] = {}
 
     def stem(self, stem: bytes) -> list[float] | None:
         """Summed weights of a stem with 1, 2, ... words; None if it has none."""
-        got = [self.of.get(_hash(b"%s\0%d" % (stem, k)), 0.0) for k in range(1, MOST_REPEATS + 1)]
-        return list(itertools.accumulate(got)) if any(got) else None
-
-    def score(self, texts: list[str | None], memo: dict[bytes, float]) -> list[float]:
-        """``memo`` keeps words' weights between calls; stems that count stand in it by a blank in front."""
+        if stem not in self.stems:
+            if len(self.stems) > 300_000:
+                self.stems = {k: v for k, v in self.stems.items() if v}  # those that count are the model's
+            got = [self.of.get(_hash(b"%s\0%d" % (stem, k)), 0.0) for k in range(1, MOST_REPEATS + 1)]
+            self.stems[stem] = list(itertools.accumulate(got)) if any(got) else None
+        return self.stems[stem]
+
+    def score(self, texts: list[str | None], memo: dict[bytes, tuple]) -> list[float]:
+        """``memo`` keeps each word's weight and those of its stems that count, between calls."""
         out = []
         for t in texts:
             words = set(letter_words(t))
             if fresh := words.difference(memo):
-                if len(memo) > 500_000:
+                if len(memo) > 300_000:
                     memo.clear()
                     fresh = words
                 for w in fresh:
-                    memo[w] = self.of.get(_hash(w), 0.0)
-                    if len(w) > STEM and (stem := b" " + w[:STEM]) not in memo:
-                        memo[stem] = self.stem(w[:STEM])
+                    memo[w] = self.of.get(_hash(w), 0.0), [k for n in STEMS if len(w) > n and self.stem(k := w[:n])]
+            found = list(map(memo.__getitem__, words))
+            seen = Counter(k for _, stems in found for k in stems)
             # exact summation: the order of a set's words does not show
-            parts = list(map(memo.__getitem__, words))
-            if self.of:
-                stems: dict[bytes, int] = {}
-                for w in words:
-                    if len(w) > STEM and memo[b" " + w[:STEM]] is not None:
-                        stems[w[:STEM]] = stems.get(w[:STEM], 0) + 1
-                parts += [memo[b" " + k][min(n, MOST_REPEATS) - 1] for k, n in stems.items()]
-            z = self.bias + math.fsum(parts)
+            z = self.bias + math.fsum([*(w for w, _ in found if w), *(self.stems[k][min(n, MOST_REPEATS) - 1] for k, n in seen.items())])
             out.append(1 / (1 + math.exp(-max(-60.0, min(60.0, z)))))
         return out
 
@@ -107,7 +104,8 @@ def upper_tail_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 def train(docs_p: list[np.ndarray], docs_u: list[np.ndarray], prior: float, steps: int = STEPS) -> Model:
     """Fit on hashed word sets of positive and unlabelled documents.
 
-    Words count as features if positives hold them more often by ``LEAST_Z`` deviations. ``prior``
+    Words and stems count as features if positives hold them more often by ``LEAST_Z`` deviations and
+    ``LEAST_RATIO`` times as often as the unlabelled. ``prior``
     (the labels' share of toxic rows) is the upper bound of the class prior: labels may favour
     toxic rows, so the tails of a first score lower it where they show less.
     """
@@ -125,30 +123,42 @@ def train(docs_p: list[np.ndarray], docs_u: list[np.ndarray], prior: float, step
         return at[ok], row[ok]
 
     share_p, share_u = count / n_p, (np.bincount(rows(docs_u, keys)[0], minlength=len(keys)) + 1) / (n_u + 2)
-    marked = (share_p - share_u) / np.sqrt(share_u * (1 - share_u) / n_p) >= LEAST_Z
+    marked = ((share_p - share_u) / np.sqrt(share_u * (1 - share_u) / n_p) >= LEAST_Z) & (share_p >= LEAST_RATIO * share_u)
     keys = keys[marked]
     ratio = np.log(share_p[marked] / share_u[marked])
     if not len(keys):
         return Model(np.zeros(0, np.uint64), np.zeros(0), math.log(floor / (1 - floor)))
-    (pc, pr), (uc, ur) = rows(docs_p, keys), rows(docs_u, keys)
-    prior = min(prior, upper_tail_prior(np.bincount(pr, ratio[pc], n_p), np.bincount(ur, ratio[uc], n_u)))
-    w = np.append(ratio, -np.median(ratio) / 2)
+    held_p, held_u = rows(docs_p, keys), rows(docs_u, keys)
+    prior = min(prior, upper_tail_prior(np.bincount(held_p[1], ratio[held_p[0]], n_p), np.bincount(held_u[1], ratio[held_u[0]], n_u)))
+    # few positives say little about each word, so weights are pulled to their log ratios, the more the fewer there are
+    first, pull = START * ratio, PULL * prior / n_p
+    w = np.append(first, -np.median(ratio) / 2)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        fp = np.bincount(pr, w[pc], n_p) + w[-1]
-        fu = np.bincount(ur, w[uc], n_u) + w[-1]
-        sp, su = 1 / (1 + np.exp(-np.clip(fp, -50, 50))), 1 / (1 + np.exp(-np.clip(fu, -50, 50)))
-        dp, du = sp * (1 - sp) / n_p, su * (1 - su) / n_u  # slopes of the sigmoid loss
-        negative = su.mean() - prior * sp.mean()  # risk of the unlabelled less that of positives as negatives
-        gp, gu = (-2 * prior * dp, du) if negative >= 0 else (prior * dp, -du)
-        g = np.append(np.bincount(pc, gp[pr], len(keys)) + np.bincount(uc, gu[ur], len(keys)), gp.sum() + gu.sum())
-        g[:-1] += DECAY * w[:-1]
+        _, g = risk(w, held_p, held_u, n_p, n_u, prior)
+        g[:-1] += pull * (w[:-1] - first)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-6)
         np.maximum(w[:-1], 0, out=w[:-1])  # marks of positives speak for nothing else
     return Model(keys, w[:-1], float(w[-1]))
 
 
+def risk(w: np.ndarray, held_p: tuple[np.ndarray, np.ndarray], held_u: tuple[np.ndarray, np.ndarray], n_p: int, n_u: int, prior: float) -> tuple[float, np.ndarray]:
+    """(non-negative positive-unlabelled risk of weights and bias ``w``, direction of descent).
+
+    ``held`` are (feature, document) of the features that documents hold. Where the unlabelled risk
+    less the positives' part falls below zero, the direction climbs that part alone (Kiryo et al.).
+    """
+    (pc, pr), (uc, ur) = held_p, held_u
+    fp, fu = np.bincount(pr, w[pc], n_p) + w[-1], np.bincount(ur, w[uc], n_u) + w[-1]
+    sp, su = 1 / (1 + np.exp(-np.clip(fp, -50, 50))), 1 / (1 + np.exp(-np.clip(fu, -50, 50)))
+    dp, du = sp * (1 - sp) / n_p, su * (1 - su) / n_u  # slopes of the sigmoid loss
+    negative = su.mean() - prior * sp.mean()
+    gp, gu = (-2 * prior * dp, du) if negative >= 0 else (prior * dp, -du)
+    g = np.append(np.bincount(pc, gp[pr], len(w) - 1) + np.bincount(uc, gu[ur], len(w) - 1), gp.sum() + gu.sum())
+    return prior * (1 - sp).mean() + max(0.0, negative), g
+
+
 def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [features(t).tobytes() for t in batch.column(1).to_pylist()]
