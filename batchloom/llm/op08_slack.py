@@ -4,12 +4,16 @@ A document's ids (plus the end id) are cut into full sequences of ``capacity`` a
 Remainders wait in a window; each sequence takes the longest waiting remainder and then the
 multiset of others that comes closest to the capacity: a subset-sum dynamic program over Python
 integers used as bitsets, counts taken by binary splitting, stopped as soon as the capacity is
-reached and backtracked into counts. Every task packs its own documents, so nothing is shuffled
-and at most the last sequences of a task stay partly filled. sequence_id holds the task in its
-high 32 bits.
-
-Defined cases: null or empty text is one end id; repeated rows are packed as often as they occur;
-null doc_id is kept; an empty table gives no piece; other columns are ignored.
+reached and backtracked into counts. Every task packs its own documents; texts and ids are never
+shuffled. What a task's last window cannot fill well (sequences with more than ``SLACK`` left
+over) stays loose, and the loose remainders of all tasks, a few numbers each, are packed again
+together, so the fill does not depend on the number of tasks. sequence_id holds the task in its
+high 32 bits and the second round in bit 62.
+
+Defined cases: null or empty text is one end id; very long texts are cut into full sequences;
+remainders of equal length tie and the last one added goes first; repeated rows are packed as
+often as they occur; null doc_id is kept; an empty table gives no piece; only doc_id and text are
+read, so no other column's name can clash.
 """
 
 from __future__ import annotations
@@ -24,9 +28,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import landed
 from .words import MEMO, encoder
 
 CAPACITY, WINDOW, END_ID = 4096, 2048, 2
+SLACK, LOOSE_ROWS, SECOND = 16, 50_000, 1 << 62
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = [p.split()[0] for p in PIECES.split(", ")]
 
@@ -95,22 +101,28 @@ class Packer:
             yield out
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=_NAMES)
+
+
+def _placed(pieces: list[tuple[int, tuple]], sequence: int | None) -> Iterator[tuple]:
+    at = 0
+    for n, (doc, start, crc, total) in pieces:
+        yield doc, start, n, crc, total, sequence, None if sequence is None else at
+        at += n
+
+
 def _pack(path: str, end_id: int, capacity: int, window: int, memo: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     enc, end = encoder(path, memo), np.array([end_id], "<u4").tobytes()
     packer, task, sequence, rows = Packer(capacity, window), TaskContext.get().partitionId() << 32, 0, []
 
-    def out() -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [[]] * len(_NAMES)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=_NAMES)
-
-    def drain(down_to: int) -> None:
+    def drain(down_to: int, slack: int) -> None:
         nonlocal sequence
         for pieces in packer.sequences(down_to):
-            at = 0
-            for n, (doc, start, crc, total) in pieces:
-                rows.append((doc, start, n, crc, total, task + sequence, at))
-                at += n
-            sequence += 1
+            full = capacity - sum(n for n, _ in pieces) <= slack
+            rows.extend(_placed(pieces, task + sequence if full else None))
+            sequence += full
 
     for batch in batches:
         keys, texts = batch.column(0).to_pylist(), batch.column(1)
@@ -124,13 +136,34 @@ def _pack(path: str, end_id: int, capacity: int, window: int, memo: int, batches
                     sequence += 1
                 if total > full:
                     packer.add(total - full, (k, full, zlib.crc32(raw[4 * full :]), total))
+            if packer.waiting > window:
+                drain(window // 2, capacity)
+        if len(rows) >= 10_000:
+            yield _batch(rows)
+            rows.clear()
+    drain(0, SLACK)
+    yield _batch(rows)
+
+
+def _pack_loose(capacity: int, window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    packer, task, sequence, rows = Packer(capacity, window), SECOND + (TaskContext.get().partitionId() << 32), 0, []
+
+    def drain(down_to: int) -> None:
+        nonlocal sequence
+        for pieces in packer.sequences(down_to):
+            rows.extend(_placed(pieces, task + sequence))
+            sequence += 1
+
+    for batch in batches:
+        for doc, start, n, crc, total in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            packer.add(n, (doc, start, crc, total))
             if packer.waiting > window:
                 drain(window // 2)
         if len(rows) >= 10_000:
-            yield out()
-            rows = []
+            yield _batch(rows)
+            rows.clear()
     drain(0)
-    yield out()
+    yield _batch(rows)
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, window: int = WINDOW, memo: int = MEMO) -> DataFrame:
@@ -139,4 +172,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int =
     ``memo`` bounds the encoder's memory in a worker.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: _pack(tokenizer, end_id, capacity, window, memo, it), PIECES)
+    first = landed(rows.mapInArrow(lambda it: _pack(tokenizer, end_id, capacity, window, memo, it), PIECES), "pieces")
+    loose = first.where("sequence_id is null").select(*_NAMES[:5])
+    n = loose.count()
+    if not n:
+        return first
+    # dealt and ordered by their values, so a task that runs again packs alike
+    dealt = loose.repartition(-(-n // LOOSE_ROWS), F.xxhash64(*_NAMES[:5])).sortWithinPartitions(F.xxhash64(*_NAMES[:5]), *_NAMES[:5])
+    return first.where("sequence_id is not null").unionByName(dealt.mapInArrow(lambda it: _pack_loose(capacity, window, it), PIECES))

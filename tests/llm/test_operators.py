@@ -426,6 +426,17 @@ def test_op8(spark, sf, docs, ids):
         assert g.start.tolist() == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() == len(by[d]) == g.doc_tokens.iloc[0]
 
 
+def test_op8_fill(spark, sf):
+    """The fill does not depend on the number of tasks; every id is packed once."""
+    raw = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    total = None
+    for tasks in (1, 60):
+        got = op08_slack.pack(raw.repartition(tasks), BPE).toPandas()
+        total = total or got.length.sum()
+        assert got.length.sum() == total and got.length.sum() / (4096 * got.sequence_id.nunique()) > 0.99
+        assert got.groupby("sequence_id").length.sum().max() <= 4096 and not got.duplicated(["sequence_id", "offset"]).any()
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.dictionaries(st.integers(1, 30), st.integers(1, 4), min_size=1, max_size=6), st.integers(0, 60))
 def test_closest_multiset(counts, room):
