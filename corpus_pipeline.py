@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from batchloom.llm import op02_balance, op05_oddsketch, op08_slack, op09_secrets, op10_ppm
 from batchloom.llm.queries import BYTE_BPE, WORD_BPE
-from batchloom.llm.store import landed, small_or_shuffled
+from batchloom.llm.store import landed
 from batchloom.session import package_on_workers
 
 
@@ -19,16 +18,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each component of near-duplicates (0.8 of five-word shingles) stays; rows without doc_id stay."""
+    """One row of each component of near-duplicates (0.8 of five-word shingles) stays: that of the smallest doc_id."""
     package_on_workers(spark)
-    found = landed(op05_oddsketch.near_duplicates(docs, similar=(80, 100)), "near_duplicates")
-    gone = found.where("doc_id is not null and not kept").select("doc_id").distinct()
-    kept = docs.join(small_or_shuffled(gone), "doc_id", "left_anti")
-    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))
+    return op05_oddsketch.keep_one(docs, similar=(80, 100))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +30,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents appear as often as the balanced mix takes them."""
+    """Rows appear as often as the balanced mix takes them."""
     mixed = landed(op02_balance.mix(docs, exact_words=False), "mixed")
     return op02_balance.materialise(docs, mixed)
 
