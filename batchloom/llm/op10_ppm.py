@@ -202,7 +202,7 @@ def _counts(symbol: np.ndarray, order: int, batches: Iterator[pa.RecordBatch]) -
             held.setdefault((lang, part), []).append(grams(t.encode(), symbol, order))
     for lang, part in sorted(held):
         key, n = np.unique(np.concatenate(held[lang, part]), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key)), pa.array([part] * len(key), pa.int32()), pa.array(key.astype(np.int64)), pa.array(n)], names=["lang", "part", "gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array([part] * len(key), pa.int32()), pa.array(key.astype(np.int64)), pa.array(n, pa.int64())], names=["lang", "part", "gram", "n"])
 
 
 def _rates(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

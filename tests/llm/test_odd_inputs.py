@@ -8,9 +8,9 @@ from batchloom.llm import op01_repair, op02_balance, op03_pstable, op04_shuffle,
 
 BPE, RANKS = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Names that the operators use inside.
-CLASH = ["size", "k", "salt", "place", "copies", "shard", "bucket", "record", "rep", "g", "cluster", "u", "v", "start", "length", "media", "declared", "row", "mixed_id", "positive", "held_out", "n_chars"]
+CLASH = ["size", "k", "salt", "place", "copies", "shard", "bucket", "record", "rep", "g", "cluster", "u", "v", "start", "length", "media", "declared", "row", "mixed_id", "mixed_copies", "positive", "held_out", "n_chars", "k1", "k2", "cid", "root", "b", "h", "part", "hi", "lo", "mine", "blocks"]
 SCHEMA = "doc_id bigint, text string, lang string, source string"
-LONG = "lorem ipsum dolor, sit amet consectetur. " * 6000
+LONG = "lorem ipsum dolor, sit amet consectetur. " * 30_000  # beyond every piece, slice and block of the operators
 ROWS = [
     (0, None, None, None), (1, "", "en", "a"), (2, " \n\t ", "en", "a"), (3, "one two", "de", None), (4, LONG, "en", "b"), (5, LONG, "en", "b"), (6, "one two", "de", "a"),
     (7, "the quick brown fox jumps over the lazy dog", "en", "b"), (7, "the quick brown fox jumps over the lazy dog", "en", "b"), (None, "no id here at all", "en", "c"), (8, "É ñ 中文 <|endoftext|> don't 12.5", None, "c"),
@@ -97,3 +97,29 @@ def test_repeated_vec_id(spark):
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
     got = sorted((r.vec_id, r.n_links, r.component_id) for r in op03_pstable.near_duplicates(df).collect())
     assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4)]
+
+
+def test_one_id_with_many_texts(spark):
+    """Rows of one doc_id keep an order of their own, and null ids come first."""
+    rows = [(d, f"{d} text {i}") for d in (3, 3, 3, 1, None, None) for i in range(4)] + [(2, None), (2, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [tuple(r) for r in op01_repair.document_digests(op01_repair.write_blocks(df, BPE)).collect()]
+    again = [tuple(r) for r in op01_repair.document_digests(op01_repair.write_blocks(df.repartition(7), BPE)).collect()]
+    key = lambda r: r[1]
+    assert sorted(got, key=key) == sorted(again, key=key) and [r[0] for r in sorted(got, key=key)] == sorted([r[0] for r in rows], key=lambda d: -1 if d is None else d)
+    assert sum(r[2] for r in got) == max(r[1] + r[2] for r in got)
+
+
+def test_mix_row_that_closes_the_gap(spark):
+    """Of documents that could close a source's gap equally well, one does, the same in every run."""
+    df = spark.createDataFrame([(i, "one two three four five", "a") for i in range(7)] + [(i, "six words stand in this text", "b") for i in range(7, 12)], "doc_id bigint, text string, source string")
+    runs = [sorted((r.doc_id, r.taken, r.cut_words) for r in op02_balance.mix(d).collect()) for d in (df, df.repartition(5))]
+    assert runs[0] == runs[1] and sum(c != 0 for _, _, c in runs[0]) <= 2
+    for source, t in {r.source: (r.t, r.w) for r in op02_balance.mix(df).groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("w")).collect()}.items():
+        assert abs(t[0] - t[1]) <= 1, source
+
+
+def test_null_vec_ids_link(spark):
+    df = spark.createDataFrame([(None, [1.0, 0.0], 1), (None, [1.0, 0.01], 1), (None, [0.0, 1.0], 1), (4, [0.0, 1.0], 1)], "vec_id bigint, embedding array<double>, label int")
+    got = sorted(map(tuple, op03_pstable.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(None, 1, None, False), (None, 1, None, False), (None, 1, 4, False), (4, 1, 4, True)], key=str)

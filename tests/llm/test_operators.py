@@ -201,6 +201,63 @@ def test_op5_chains_and_blocks(spark, monkeypatch):
     assert got == by_force(texts)[0]
 
 
+def test_hot_group_travels_a_few_times(spark, monkeypatch):
+    """30,000 near-copies: no task searches more than two blocks, and rows travel about three times, not once a block."""
+    monkeypatch.setattr(op05_oddsketch, "SKETCH_BLOCK", 1_000)
+    monkeypatch.setattr(op05_oddsketch, "SET_BLOCK", 40_000)
+    sent = []
+    real = op05_oddsketch.map_groups
+
+    def counted(df, keys, columns, *rest):
+        if keys[0] == "cluster":
+            sent.append(df.groupBy(*keys).count().agg(F.sum("count"), F.max("count")).first())
+        return real(df, keys, columns, *rest)
+
+    monkeypatch.setattr(op05_oddsketch, "map_groups", counted)
+    base = " ".join(f"w{i}" for i in range(60))
+    df = spark.range(30_000).selectExpr("id as doc_id", f"concat('{base} v', id) as text").union(spark.createDataFrame([(50_000, "quite another text of some words")], "doc_id bigint, text string"))
+    got = op05_oddsketch.near_duplicates(df).groupBy("component_id").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 30_000), (50_000, 1)]
+    assert sum(n or 0 for n, _ in sent) < 4 * 30_000 and max(m or 0 for _, m in sent) < 3_000
+
+
+def test_groups_are_told_apart_by_their_keys(spark):
+    """Neighbouring groups differ in one key column only, and some run over batches."""
+    from batchloom.llm.groups import bounds, map_groups
+
+    rows = [(a, bytes([b]), i) for a in range(3) for b in range(4) for i in range(50 * b + 1)]
+    df = spark.createDataFrame(rows, "a int, b binary, i int").repartition(3)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        import pyarrow as pa
+
+        def of(table):
+            for x, z in bounds(table, 2):
+                yield {"a": table.column("a")[x].as_py(), "b": table.column("b")[x].as_py()[0], "n": z - x}
+
+        got = map_groups(df, ["a", "b"], ["i"], of, "a int, b int, n int", pa.schema([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int32())])).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert sorted(map(tuple, got)) == [(a, b, 50 * b + 1) for a in range(3) for b in range(4)]
+
+
+def test_shuffle_is_one(spark, sf, docs):
+    """The order in a shard is a seeded permutation: no key order is left, and another seed gives another one."""
+    from batchloom.llm import op04_shuffle
+
+    raw = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    runs = {}
+    for seed in (op04_shuffle.SEED, 5):
+        got = op04_shuffle.slots(*op04_shuffle.external_shuffle(raw, shards=1, seed=seed)).select("slot", "record.doc_id").orderBy("slot").toPandas()
+        runs[seed] = got.doc_id.to_numpy()
+        assert sorted(runs[seed]) == sorted(docs.doc_id)
+        n = len(got)
+        rank = np.argsort(np.argsort(runs[seed]))
+        assert abs(np.corrcoef(rank, np.arange(n))[0, 1]) < 5 / np.sqrt(n) and 0.3 < (np.diff(rank) > 0).mean() < 0.7
+    assert (runs[5] != runs[op04_shuffle.SEED]).mean() > 0.9
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(2)
     pool = rng.integers(0, 2**63, 4000, dtype=np.int64).astype(np.uint64)

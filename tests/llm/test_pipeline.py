@@ -3,10 +3,13 @@
 import numpy as np
 import public_tokenizers
 import pyarrow.dataset as ds
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from batchloom.llm import op09_secrets
+from batchloom.llm import op02_balance, op09_secrets
 
+from .test_odd_inputs import LONG, ROWS, SCHEMA, clashing
 from .test_operators import by_force
 
 
@@ -17,7 +20,7 @@ def test_stages(spark, sf):
     one = corpus_pipeline.language_id(spark, docs, sf)
     assert one.columns == docs.columns and one.count() == len(raw)  # every document has a language
     two = corpus_pipeline.near_dedup(spark, one, sf)
-    comp, _ = by_force(raw.text)
+    comp, _ = by_force(raw.text, (80, 100))
     kept = [raw.doc_id[i] for i in range(len(raw)) if comp[i] == i]
     assert two.columns == docs.columns and sorted(r.doc_id for r in two.select("doc_id").collect()) == kept
     three = corpus_pipeline.secrets(spark, two, sf).toPandas().set_index("doc_id")
@@ -39,6 +42,11 @@ def test_repeated_ids(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "length(text) as n_chars")
     got = [r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()]
     assert sorted(got, key=str) == [1, 2, None]
+    rows = [(1, "a b c d e f"), (1, "other words under the same id"), (2, "other words under the same id"), (None, "x y z x y z q"), (None, "x y z x y z q"), (None, "X y z x y z q"), (4, None), (4, None)]
+    apart = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [tuple(r) for r in corpus_pipeline.near_dedup(spark, apart, "").collect()]
+    assert [t.lower() for d, t in got if d is None] == ["x y z x y z q"]
+    assert sorted(x for x in got if x[0] is not None and x[1]) == [(1, "a b c d e f"), (1, "other words under the same id")] and got.count((4, None)) == 2
     assert corpus_pipeline.mixing(spark, df.where("doc_id is null or doc_id != 3").dropDuplicates(["doc_id"]), "").count() >= 1
 
 
@@ -65,3 +73,41 @@ def test_language_id_decides(spark, sf):
     got = {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, docs.unionByName(more), sf).collect()}
     assert {d for d in got if d < 0} == {-3, -4} and got[-3] == got[-4] == "de"
     assert sum(d >= 0 for d in got) == docs.count()  # clean documents stay
+
+
+def test_mixing_by_row(spark):
+    """Rows without doc_id are mixed one by one, equal rows together; the mix comes out as rows."""
+    rows = [(None, f"{'w ' * (1 + i % 7)}t{i}", "a" if i % 3 else "b") for i in range(60)] + [(5, "same row here", "a")] * 9 + [(6, None, None), (7, "", "a")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").selectExpr("*", "1 as mixed_id", "2 as mixed_copies", "3 as copies", "4 as k1", "5 as record")
+    want = op02_balance.mix(df, exact_words=False).groupBy().agg(F.sum("taken").alias("t"), F.sum("copies").alias("c")).first()
+    got = corpus_pipeline.mixing(spark, df, "")
+    assert got.columns == df.columns
+    got = got.collect()
+    assert len(got) == want.c and sum(len((r.text or "").split()) for r in got) == want.t
+    texts = [r.text for r in got if r.doc_id is None]
+    assert max(texts.count(t) for t in set(texts)) <= 2
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_odd_rows_at_every_stage(spark, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    odd = clashing(spark.createDataFrame(ROWS, SCHEMA))
+    got = stage(spark, odd, "")
+    if name != "packing":
+        assert got.columns == odd.columns
+    rows = got.collect()
+    assert rows
+    if name == "secrets":
+        assert len(rows) == len(ROWS) and {r.text for r in rows if r.doc_id == 10} == {"\U0001f600 idiot trash [SECRET]"}
+    if name == "near_dedup":
+        assert [r.doc_id for r in rows if r.text == LONG] == [4] and sum(r.text is None for r in rows) == 1
+    if name == "language_id":
+        assert {0, 1, 2, 9}.isdisjoint(r.doc_id for r in rows)
+    none = stage(spark, clashing(spark.createDataFrame([], SCHEMA)), "")
+    assert none.count() == 0
+
+
+def test_stages_of_nulls_only(spark):
+    df = spark.createDataFrame([(None, None, None, None)] * 3, SCHEMA)
+    assert corpus_pipeline.language_id(spark, df, "").count() == 0 and corpus_pipeline.near_dedup(spark, df, "").count() == 3
+    assert corpus_pipeline.secrets(spark, df, "").count() == 3 and corpus_pipeline.mixing(spark, df, "").count() == 0 and corpus_pipeline.packing(spark, df, "").count() == 3
