@@ -11,10 +11,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .operators import control, ledger, offsets, routing, schedule
+from .operators import control, ledger, routing
 from .sources import config
 
 
+def _due(jobs: DataFrame, now: Column, after: Column | None) -> DataFrame:
+    return jobs if after is None else jobs.withColumn("run_at", routing.run_at_after(after, now))
+
+
 @dataclass
 class JobClient:
     manifest: DataFrame
@@ -46,28 +50,22 @@ class JobClient:
         """Jobs of open batches with sequence, target topic and chunk; unknown job types raise no error but are marked."""
         return control.push_many(jobs, self.manifest, F.col("job_id") if uniq_key is None else uniq_key, order or ["job_id"], self.chunk)
 
-    def push_many_at(self, jobs: DataFrame, now: Column, **options) -> tuple[DataFrame, DataFrame]:
-        """(due now, index rows) of pushed jobs with run_at."""
-        return control.schedule_jobs(self.push_many(jobs, **options), now, self.horizon_days)
-
-    def push_many_in(self, jobs: DataFrame, seconds: Column, now: Column, **options) -> tuple[DataFrame, DataFrame]:
-        return self.push_many_at(jobs.withColumn("run_at", now + schedule.seconds(seconds.cast("int"))), now, **options)
+    def push_later(self, jobs: DataFrame, now: Column, after: Column | None = None, **options) -> tuple[DataFrame, DataFrame]:
+        """(due now, index rows) of pushed jobs with run_at, or ``after`` that many seconds."""
+        return control.schedule_jobs(self.push_many(_due(jobs, now, after), **options), now, self.horizon_days)
 
     # standalone jobs ---------------------------------------------------------------------------
 
     def enqueue_many(self, jobs: DataFrame, assigned: DataFrame | None = None) -> DataFrame:
-        """Envelopes of jobs with topic, key and partition, in chunks per topic."""
-        routed = routing.route(jobs, self.manifest, assigned, self.default_topic).select("job_id", "to_topic", "to_key", "to_partition")
-        out = routing.envelope(jobs, self.manifest, self.retries).join(routed, "job_id")
-        return offsets.chunks(out, ["job_id"], ["to_topic"], self.chunk)
+        """Envelopes of jobs with topic, key and partition, in one pass; a sink writes them in chunks."""
+        routed = routing.route(jobs, self.manifest, assigned, self.default_topic)
+        return routed.select(*routing.envelope_columns(self.retries), "to_topic", "to_key", "to_partition")
 
-    def enqueue_many_at(self, jobs: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-        due, later = control.schedule_jobs(jobs, now, self.horizon_days)
+    def enqueue_later(self, jobs: DataFrame, now: Column, after: Column | None = None) -> tuple[DataFrame, DataFrame]:
+        """(envelopes due now, index rows) of jobs with run_at, or ``after`` that many seconds."""
+        due, later = control.schedule_jobs(_due(jobs, now, after), now, self.horizon_days)
         return self.enqueue_many(due), later
 
-    def enqueue_many_in(self, jobs: DataFrame, seconds: Column, now: Column) -> tuple[DataFrame, DataFrame]:
-        return self.enqueue_many_at(jobs.withColumn("run_at", now + schedule.seconds(seconds.cast("int"))), now)
-
     def by_worker_class(self, messages: DataFrame) -> DataFrame:
         """Messages that name a worker class, with the job type it stands for."""
         out = routing.job_type_of(messages, self.manifest)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import routing, schedule
+from .sides import small
 
 CONTROL_TOPICS = ("events", "callbacks", "retry", "scheduled", "dlt")
 
@@ -69,11 +70,11 @@ def parked(messages: DataFrame, error: Column, source: Column, now: Column) -> D
     return messages.withColumns({"dlt_type": F.lit("unproducible"), "dlt_source_topic": source, "dlt_error_class": F.lit("ProduceError"), "dlt_error_message": F.substring(error, 1, 500), "dlt_at": now})
 
 
-def poll(due: DataFrame, log: DataFrame, bounds: DataFrame, most_misses: int = 10) -> DataFrame:
-    """One tick over due pointers(partition_id, offset, misses): dispatch, drop lost ones, retry misses."""
+def poll(due: DataFrame, log: DataFrame, bounds: DataFrame, most_misses: int = 10, of: tuple[str, ...] = ("partition_id",)) -> DataFrame:
+    """One tick over due pointers(offset, misses and the columns ``of``): dispatch, drop lost ones, retry misses."""
     from . import offsets
 
-    j = offsets.lookup(due, log, bounds)
+    j = offsets.lookup(due, log, bounds, of)
     misses = F.col("misses") + 1
     action = F.when(F.col("result") == "found", "dispatch").when(F.col("result") == "lost", "drop_lost").when(misses >= most_misses, "drop_missing").otherwise("retry_later")
     return j.withColumn("action", action)
@@ -103,11 +104,11 @@ def all_topics(groups: DataFrame) -> DataFrame:
     return fairness.ranks(groups).groupBy("topic").agg(F.min(F.struct("rank", "group")).alias("first")).select("topic", "first.group", "first.rank")
 
 
-def sampled(events: DataFrame, rate: float, seed: int | None = None) -> DataFrame:
-    """A random share of metric events, 0 < rate <= 1."""
+def sampled(events: DataFrame, rate: float, key: Column) -> DataFrame:
+    """The share of metric events whose key's digest is low, 0 < rate <= 1: the same in every run and partitioning."""
     if not 0 < rate <= 1:
         raise ValueError("rate must lie in (0, 1]")
-    return events if rate == 1 else events.sample(rate, seed)
+    return events if rate == 1 else events.where(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8) < F.lit(f"{int(rate * 2**32):08x}"))
 
 
 def pauses(stores: list[DataFrame]) -> DataFrame:
@@ -115,16 +116,22 @@ def pauses(stores: list[DataFrame]) -> DataFrame:
     out = stores[-1]
     for s in reversed(stores[:-1]):
         filled = s.limit(1).select(F.lit(True).alias("filled"))
-        out = s.unionByName(out.join(F.broadcast(filled), F.lit(True), "left_anti"))
+        out = s.unionByName(out.join(F.broadcast(filled), F.lit(True), "left_anti"))  # one row at most
     return out.distinct()
 
 
 def consumed(log: DataFrame, paused: DataFrame) -> DataFrame:
     """Records of partitions that are not paused."""
-    p = F.broadcast(paused.select(F.col("topic").alias("p_topic"), F.col("partition_id").alias("p_partition")).distinct())
+    p = small(paused.select(F.col("topic").alias("p_topic"), F.col("partition_id").alias("p_partition")).distinct())
     return log.join(p, (F.col("topic") == F.col("p_topic")) & ((F.col("p_partition") == -1) | (F.col("p_partition") == F.col("partition_id"))), "left_anti")
 
 
+def held(log: DataFrame, paused: DataFrame) -> DataFrame:
+    """Records of partitions that are paused."""
+    p = small(paused.select(F.col("topic").alias("p_topic"), F.col("partition_id").alias("p_partition")).distinct())
+    return log.join(p, (F.col("topic") == F.col("p_topic")) & ((F.col("p_partition") == -1) | (F.col("p_partition") == F.col("partition_id"))), "left_semi")
+
+
 def notices(findings: DataFrame, sent: DataFrame, interval: int, now: Column) -> DataFrame:
     """Findings to notify about: none sent within clamp(3 * interval, 120, 3600) seconds."""
     ttl = min(3600, max(120, 3 * interval))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sides import small
+
 
 def weighted(rows: DataFrame, weights: DataFrame, default: float = 1.0) -> DataFrame:
     """Rows with their tenant's weight; a missing or non-positive weight is the default."""
@@ -39,15 +41,23 @@ def queue_cap(queue: DataFrame, window: int = 100) -> DataFrame:
     return queue.withColumn("accepted", F.row_number().over(Window.partitionBy("lane", "tenant_id").orderBy("pos")) <= window)
 
 
-def inflight_caps(tenants: DataFrame, budget: int, hard_cap: int | None = None) -> DataFrame:
+def candidates(ring: DataFrame, budget: int) -> DataFrame:
+    """The tenants of every lane that a checkout looks at: the first max(60, 3 * budget) by vtime."""
+    rank = F.row_number().over(Window.partitionBy("lane").orderBy("vtime", "tenant_id"))
+    return ring.withColumn("place", rank).where(F.col("place") <= max(60, 3 * budget))
+
+
+def inflight_caps(tenants: DataFrame, budget: int | Column, hard_cap: int | None = None) -> DataFrame:
     """Per-tenant shares of a lane's budget: weighted floor and equal ceiling, at least 1 each.
 
-    tenants(lane, tenant_id, weight) with one row per active tenant.
+    tenants(lane, tenant_id, weight) with one row per active tenant. ``budget`` may use the lane's
+    ``active`` and ``lane_weight``.
     """
     lane = tenants.groupBy("lane").agg(F.sum("weight").alias("lane_weight"), F.count("*").alias("active"))
-    t = tenants.join(F.broadcast(lane), "lane")
-    by_weight = F.greatest(F.floor(F.lit(budget) * F.col("weight") / F.col("lane_weight")), F.lit(1))
-    even = F.greatest(F.ceil(F.lit(budget) / F.col("active")), F.lit(1))
+    t = tenants.join(small(lane), "lane")
+    budget = budget if isinstance(budget, Column) else F.lit(budget)
+    by_weight = F.greatest(F.floor(budget * F.col("weight") / F.col("lane_weight")), F.lit(1))
+    even = F.greatest(F.ceil(budget / F.col("active")), F.lit(1))
     cap = lambda c: F.least(c, F.lit(hard_cap)) if hard_cap else c
     return t.withColumns({"weighted_cap": cap(by_weight).cast("bigint"), "even_cap": cap(even).cast("bigint")})
 
@@ -59,11 +69,11 @@ def assign_partitions(tenants: DataFrame, fixed: DataFrame, partitions: int) ->
     goes through one ordered window.
     """
     held = fixed.where((F.col("partition_id") >= 0) & (F.col("partition_id") < partitions)).select("tenant_id", "partition_id")
-    free = tenants.sparkSession.range(partitions).select(F.col("id").cast("int").alias("partition_id")).join(F.broadcast(held.select("partition_id")), "partition_id", "left_anti")
+    free = tenants.sparkSession.range(partitions).select(F.col("id").cast("int").alias("partition_id")).join(small(held.select("partition_id")), "partition_id", "left_anti")
     free = free.withColumn("rank", F.row_number().over(Window.orderBy("partition_id")))
     waiting = tenants.select("tenant_id").distinct().join(held, "tenant_id", "left_anti").orderBy("tenant_id").limit(partitions)
-    got = waiting.withColumn("rank", F.row_number().over(Window.orderBy("tenant_id"))).join(F.broadcast(free), "rank", "left").select("tenant_id", "partition_id")
-    return tenants.select("tenant_id").distinct().join(F.broadcast(held.unionByName(got)), "tenant_id", "left")
+    got = waiting.withColumn("rank", F.row_number().over(Window.orderBy("tenant_id"))).join(small(free), "rank", "left").select("tenant_id", "partition_id")
+    return tenants.select("tenant_id").distinct().join(small(held.unionByName(got)), "tenant_id", "left")
 
 
 def stale_forwards(forwards: DataFrame, leases: DataFrame, now: float, grace: float = 5.0) -> DataFrame:

@@ -1,12 +1,12 @@
 """Batch ledger: the order-sensitive fold of completion events into counters, status and callbacks.
 
-One shuffle by batch_id serves every window: the arrival order per batch, the firsts per
-(batch, seq) and the running counters.
+Events reduce map-side to their firsts per (batch, seq); only those that count are ordered, so a
+hot batch costs a sort of its distinct jobs and not of its events.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPS = ("success", "failed", "executed")
@@ -17,47 +17,71 @@ def normalized(events: DataFrame) -> DataFrame:
     return events.where("batch_id is not null and batch_seq >= 1").withColumn("op", F.when(F.col("op").isin(*OPS), F.col("op")).otherwise("failed"))
 
 
-def running(events: DataFrame) -> DataFrame:
-    """Every event with its effect and the counters after it.
+def marks(events: DataFrame) -> DataFrame:
+    """The events that count, with what they count as: batch_id, batch_seq, arrival, touch, good, bad, n.
 
-    events(batch_id, batch_seq, op, arrival): the arrival column orders the events of a batch.
+    events(batch_id, batch_seq, op, arrival): the arrival column, unique in its batch, orders the
+    events. A sequence is touched by its first event, good by its first success and bad by its
+    first failure unless a success came before. ``n`` holds the number of a sequence's events on
+    its touching one, else 0.
     """
-    seq = Window.partitionBy("batch_id", "batch_seq")
-    order = Window.partitionBy("batch_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    e = normalized(events).withColumn("ord", F.row_number().over(Window.partitionBy("batch_id").orderBy("arrival")))
-    e = e.withColumns({
-        "first_any": F.min("ord").over(seq), "first_success": F.min(F.when(F.col("op") == "success", F.col("ord"))).over(seq), "first_failed": F.min(F.when(F.col("op") == "failed", F.col("ord"))).over(seq)
-    })
-    touch, good = F.col("ord") == F.col("first_any"), F.coalesce(F.col("ord") == F.col("first_success"), F.lit(False))
-    bad = F.coalesce((F.col("ord") == F.col("first_failed")) & (F.col("first_success").isNull() | (F.col("first_failed") < F.col("first_success"))), F.lit(False))
-    e = e.withColumns({"touch": touch.cast("bigint"), "good": good.cast("bigint"), "bad": bad.cast("bigint")})
-    return e.withColumns({"touched": F.sum("touch").over(order), "completed": F.sum("good").over(order), "failed": F.sum("bad").over(order), "duplicate": F.col("touch") + F.col("good") + F.col("bad") == 0})
-
-
-def fold(events: DataFrame, totals: DataFrame) -> DataFrame:
-    """One row per batch of ``totals(batch_id, total_jobs)``: counters, sticky status, callback positions.
-
-    status: success or complete as of the first terminal event, else running; an empty batch is a
-    success. complete_at and success_at number the events that claim the two callbacks.
+    first = lambda op: F.min(F.when(F.col("op") == op, F.col("arrival")))
+    f = normalized(events).groupBy("batch_id", "batch_seq").agg(F.count("*").alias("events"), F.min("arrival").alias("touched_at"), first("success").alias("good_at"), first("failed").alias("failed_at"))
+    f = f.withColumn("bad_at", F.when(F.col("good_at").isNull() | (F.col("failed_at") < F.col("good_at")), F.col("failed_at")))
+
+    def mark(at: str, n) -> Column:
+        same = lambda other: F.coalesce(F.col(at) == F.col(other), F.lit(False)).cast("bigint")
+        return F.struct(F.col(at).alias("arrival"), same("touched_at").alias("touch"), same("good_at").alias("good"), same("bad_at").alias("bad"), F.lit(n).cast("bigint").alias("n") if isinstance(n, int) else F.col(n).alias("n"))
+
+    each = F.array(mark("touched_at", "events"), F.when(F.col("good_at") != F.col("touched_at"), mark("good_at", 0)), F.when(F.col("bad_at") != F.col("touched_at"), mark("bad_at", 0)))
+    return f.select("batch_id", "batch_seq", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("m")).select("batch_id", "batch_seq", "m.*")
+
+
+def running(events: DataFrame) -> DataFrame:
+    """The events that count with their batch's counters after them."""
+    order = Window.partitionBy("batch_id").orderBy("arrival").rowsBetween(Window.unboundedPreceding, 0)
+    return marks(events).withColumns({"touched": F.sum("touch").over(order), "completed": F.sum("good").over(order), "failed": F.sum("bad").over(order)})
+
+
+def _conditions() -> tuple[Column, Column, Column, Column]:
+    """(batch is counted for outcomes, all good, all good or bad, all touched)."""
+    total = F.col("total_jobs")
+    live = F.coalesce(F.col("sealed"), F.lit(False)) & (total >= 1) & (F.col("status") != "cancelled")
+    full = F.col("completed") >= total
+    return live, full, full | (F.col("completed") + F.col("failed") >= total), F.col("touched") >= total
+
+
+def fold(events: DataFrame, batches: DataFrame) -> DataFrame:
+    """One row per batch of ``batches(batch_id, total_jobs, sealed, status)``: counters, sticky status, callback claims.
+
+    A cancelled batch counts nothing: all its events are duplicates. An unsealed batch, or one
+    without jobs, counts but gets neither status nor callbacks (sealing judges it, see ``seal``).
+    Otherwise the first event that ends a running batch makes it a success (all good) or complete,
+    for good. complete_at and success_at are the arrivals of the events that claim the two
+    callbacks; a batch that is complete or a success from the start has claimed its own before.
     """
-    # totals on the left keep batches without events, in the one join; all sides are dealt by batch
-    r = totals.join(running(events), "batch_id", "left")
-    full, over = F.col("completed") >= F.col("total_jobs"), F.col("completed") + F.col("failed") >= F.col("total_jobs")
-    out = r.groupBy("batch_id", "total_jobs").agg(
-        F.max("touched").alias("touched"), F.max("completed").alias("completed"), F.max("failed").alias("failed"), F.sum(F.col("duplicate").cast("bigint")).alias("duplicates"),
-        F.min(F.when(full, F.col("ord"))).alias("success_at"), F.min(F.when(full | over, F.col("ord"))).alias("terminal_at"), F.min(F.when(F.col("touched") >= F.col("total_jobs"), F.col("ord"))).alias("early_at"),
-    ).fillna(0, ["touched", "completed", "failed", "duplicates"])
-    status = F.when(F.col("total_jobs") == 0, "success").when(F.col("terminal_at").isNull(), "running").when(F.col("success_at") == F.col("terminal_at"), "success").otherwise("complete")
-    return out.select("batch_id", "total_jobs", "touched", "completed", "failed", "duplicates", status.alias("status"), F.least("terminal_at", "early_at").cast("bigint").alias("complete_at"), F.col("success_at").cast("bigint").alias("success_at"))
+    b = batches.select("batch_id", F.coalesce("total_jobs", F.lit(0)).cast("bigint").alias("total_jobs"), "sealed", F.coalesce("status", F.lit("running")).alias("status"))
+    live, full, over, early = _conditions()
+    at = lambda cond: F.min(F.when(live & cond, F.col("arrival")))
+    out = b.join(running(events), "batch_id", "left").groupBy("batch_id", "total_jobs", "sealed", "status").agg(
+        F.max("touched").alias("touched"), F.max("completed").alias("completed"), F.max("failed").alias("failed"), F.sum("n").alias("events"), F.count("n").alias("marks"),
+        at(full).alias("full_at"), at(over).alias("over_at"), at(over | early).alias("claim_at"),
+    )
+    kept = F.col("status") != "cancelled"
+    counter = lambda c: F.when(kept, F.coalesce(c, F.lit(0))).otherwise(0).cast("bigint").alias(c)
+    ended = F.when(F.col("full_at") == F.col("over_at"), "success").otherwise("complete")
+    return out.select(
+        "batch_id", "total_jobs", "sealed", counter("touched"), counter("completed"), counter("failed"),
+        (F.coalesce("events", F.lit(0)) - F.when(kept, F.col("marks")).otherwise(0)).cast("bigint").alias("duplicates"),
+        F.when((F.col("status") == "running") & F.col("over_at").isNotNull(), ended).otherwise(F.col("status")).alias("status"),
+        F.when(F.col("status") == "running", F.col("claim_at")).alias("complete_at"), F.when(F.col("status") != "success", F.col("full_at")).alias("success_at"),
+    )
 
 
 def callbacks(ledger: DataFrame) -> DataFrame:
     """One row per claimed callback: the complete callback once, the success callback once."""
-    both = F.array(
-        F.when(F.col("complete_at").isNotNull() | (F.col("total_jobs") == 0), F.struct(F.lit("complete").alias("kind"), F.coalesce("complete_at", F.lit(0)).alias("at"))),
-        F.when(F.col("success_at").isNotNull() | (F.col("total_jobs") == 0), F.struct(F.lit("success").alias("kind"), F.coalesce("success_at", F.lit(0)).alias("at"))),
-    )
-    return ledger.select("batch_id", F.explode(F.filter(both, lambda x: x.isNotNull())).alias("c")).select("batch_id", "c.kind", F.col("c.at").cast("bigint").alias("at"))
+    claim = lambda kind: F.when(F.col(f"{kind}_at").isNotNull(), F.struct(F.lit(kind).alias("kind"), F.col(f"{kind}_at").alias("at")))
+    return ledger.select("batch_id", F.explode(F.filter(F.array(claim("complete"), claim("success")), lambda x: x.isNotNull())).alias("c")).select("batch_id", "c.kind", "c.at")
 
 
 def dropped(events: DataFrame, batches: DataFrame) -> DataFrame:
@@ -70,29 +94,35 @@ def dropped(events: DataFrame, batches: DataFrame) -> DataFrame:
     return events.join(b, "batch_id", "left").withColumn("reason", reason).where("reason is not null").drop("batch_status")
 
 
-def return_codes(events: DataFrame, totals: DataFrame, sealed: DataFrame) -> DataFrame:
-    """Result code of every event: 0 duplicate, 1 terminal or success, 2 continue, 3 early complete."""
-    r = running(events).join(totals, "batch_id").join(sealed, "batch_id")
-    order = Window.partitionBy("batch_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    full, over = F.col("completed") >= F.col("total_jobs"), F.col("completed") + F.col("failed") >= F.col("total_jobs")
-    early = F.col("touched") >= F.col("total_jobs")
-    r = r.withColumns({"claims_success": full, "claims_complete": full | over | early})
-    was = lambda c: F.coalesce(F.max(F.col(c).cast("int")).over(order), F.lit(0)) == 1
-    r = r.withColumns({"had_success": was("claims_success"), "had_complete": was("claims_complete")})
-    code = (
-        F.when(F.col("duplicate"), 0).when(~F.col("sealed") | (F.col("total_jobs") < 1), 2)
-        .when(full & ~F.col("had_success"), 1).when((full | over) & ~F.col("had_complete"), 1).when(early & ~F.col("had_complete"), 3).otherwise(2)
-    )
-    return r.select("batch_id", "batch_seq", "ord", code.cast("int").alias("code"))
-
+def return_codes(events: DataFrame, batches: DataFrame) -> DataFrame:
+    """``events`` with the result code of each: 0 invalid, not found or duplicate, 1 terminal or success, 2 continue, 3 early complete.
 
-def seal(open_counters: DataFrame) -> DataFrame:
-    """Outcome of sealing batches(batch_id, total_jobs, touched, completed, failed)."""
+    Agrees with ``fold`` event by event over the same ``batches``.
+    """
+    b = batches.select("batch_id", F.coalesce("total_jobs", F.lit(0)).cast("bigint").alias("total_jobs"), "sealed", F.coalesce("status", F.lit("running")).alias("status"))
+    m = running(events).join(b, "batch_id")
+    before = Window.partitionBy("batch_id").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
+    live, full, over, early = _conditions()
+    had = lambda cond, statuses: F.coalesce(F.max(cond.cast("int")).over(before), F.lit(0)).astype("boolean") | F.col("status").isin(*statuses)
+    complete, success = (over | early) & ~had(over | early, ("complete", "success")), full & ~had(full, ("success",))
+    code = F.when(F.col("status") == "cancelled", 0).when(~live, 2).when(success | (complete & over), 1).when(complete, 3).otherwise(2)
+    m = m.select("batch_id", "batch_seq", "arrival", code.alias("code"))
+    return events.join(m, ["batch_id", "batch_seq", "arrival"], "left").withColumn("code", F.coalesce("code", F.lit(0)).cast("int"))
+
+
+def seal(batches: DataFrame) -> DataFrame:
+    """Outcome of sealing batches(batch_id, status, total_jobs, touched, completed, failed), and the callbacks it claims.
+
+    Only a running batch is judged; an empty one succeeds at once. ``outcome`` is success, complete,
+    early_complete (still running) or sealed.
+    """
+    total = F.col("total_jobs")
     outcome = (
-        F.when(F.col("total_jobs") == 0, "success").when(F.col("completed") >= F.col("total_jobs"), "success")
-        .when(F.col("completed") + F.col("failed") >= F.col("total_jobs"), "complete").when(F.col("touched") >= F.col("total_jobs"), "early_complete").otherwise("running")
+        F.when(F.coalesce(F.col("status"), F.lit("running")) != "running", "sealed").when((total == 0) | (F.col("completed") >= total), "success")
+        .when(F.col("completed") + F.col("failed") >= total, "complete").when(F.col("touched") >= total, "early_complete").otherwise("sealed")
     )
-    return open_counters.withColumn("outcome", outcome)
+    claims = F.when(F.col("outcome") == "success", F.array(F.lit("complete"), F.lit("success"))).when(F.col("outcome").isin("complete", "early_complete"), F.array(F.lit("complete"))).otherwise(F.array().cast("array<string>"))
+    return batches.withColumn("outcome", outcome).withColumn("claims", claims)
 
 
 def sequence(jobs: DataFrame, order: list[str]) -> DataFrame:

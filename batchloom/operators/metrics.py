@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import epoch
+from .sides import small
+
 
 def bucket(ts: Column, secs: int) -> Column:
-    """Start of the tumbling bucket, as epoch seconds."""
-    return (F.floor(F.unix_timestamp(ts) / secs) * secs).cast("bigint")
+    """Start of the tumbling bucket of a timestamp without zone, as epoch seconds."""
+    return (F.floor(epoch(ts) / secs) * secs).cast("bigint")
 
 
 def throughput(events: DataFrame, secs: int = 60) -> DataFrame:
@@ -36,42 +39,52 @@ def rtt(probes: DataFrame, secs: int = 60) -> DataFrame:
     ).withColumn("avg_ms", F.when(F.col("probes") > 0, F.col("sum_us") / F.col("probes") / 1000).otherwise(0.0))
 
 
-def finding(rule: str, severity: str, key: Column) -> list[Column]:
-    return [F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), F.concat(F.lit(rule + ":"), key).alias("fingerprint")]
+def finding(rule: str, severity: str, key: Column | None = None) -> list[Column]:
+    """Rule, severity and fingerprint: the rule alone, or with the key of what it found."""
+    return [F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), (F.lit(rule) if key is None else F.concat(F.lit(rule + ":"), key)).alias("fingerprint")]
 
 
 def lag_stuck(current: DataFrame, baseline: DataFrame, paused: DataFrame, least: int = 1000, growth: int = 100) -> DataFrame:
-    """Lag over the limit, nothing committed since the baseline, and still growing; paused topics excepted."""
+    """Lag over the limit, nothing committed since the baseline, and still growing; paused(group, topic) excepted."""
     old = baseline.select("group", "topic", F.col("lag").alias("old_lag"), F.col("committed").alias("old_committed"), F.col("end_sum").alias("old_end"))
-    c = current.join(F.broadcast(paused.select("topic").distinct()), "topic", "left_anti").join(old, ["group", "topic"])
+    c = current.join(small(paused.select("group", "topic").distinct()), ["group", "topic"], "left_anti").join(old, ["group", "topic"])
     grows = (F.col("lag") - F.col("old_lag") >= growth) | (F.col("end_sum") > F.col("old_end"))
-    return c.where((F.col("lag") >= least) & (F.col("committed") == F.col("old_committed")) & grows).select(*finding("lag_stuck_growing", "critical", F.concat_ws("/", "group", "topic")))
+    return c.where((F.col("lag") >= least) & (F.col("committed") == F.col("old_committed")) & grows).select(*finding("lag_stuck_growing", "critical", F.concat_ws(":", "group", "topic")))
+
+
+def current_or_previous(buckets: DataFrame, now: Column, secs: int = 60) -> DataFrame:
+    """The row of the bucket that holds ``now``, else of the one before."""
+    here = bucket(now, secs)
+    return buckets.where((F.col("bucket") == here) | (F.col("bucket") == here - secs)).orderBy(F.col("bucket").desc()).limit(1)
 
 
-def rtt_high(rtts: DataFrame, avg_ms: float = 50, max_ms: float = 200, error_share: float = 0.25) -> DataFrame:
+def rtt_high(rtts: DataFrame, avg_ms: float = 50, max_ms: float = 200, error_share: float = 0.25, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A finding for every row (one, of the current bucket, in a tick) that is over a limit, with the ``keep`` columns."""
     bad = (F.col("avg_ms") >= avg_ms) | (F.col("max_us") / 1000 >= max_ms) | ((F.col("probes") > 0) & (F.col("errors") / F.greatest(F.col("probes"), F.lit(1)) >= error_share))
-    return rtts.where(bad).select(*finding("redis_rtt_high", "warning", F.col("bucket").cast("string")))
+    return rtts.where(bad).select(*keep, *finding("redis_rtt_high", "warning"))
 
 
 def no_live(pending: DataFrame, live: DataFrame) -> DataFrame:
     both = pending.agg(F.count("*").alias("pending")).crossJoin(live.agg(F.count("*").alias("live")))  # one row each
-    return both.where("pending > 0 and live = 0").select(*finding("no_live_consumers", "critical", F.lit("all")))
+    return both.where("pending > 0 and live = 0").select(*finding("no_live_consumers", "critical"))
 
 
 def reconciler_stale(runs: DataFrame, now: Column, most_age: int = 900, most_stale: int = 10) -> DataFrame:
-    """runs(last_run, produce_failed, found_stale), one row: a missing or old run, and a bad one."""
-    age = F.unix_timestamp(now) - F.unix_timestamp("last_run")
-    old = runs.where(F.col("last_run").isNull() | (age > most_age)).select(*finding("reconciler_stale", "warning", F.lit("age")))
-    bad = runs.where((F.col("produce_failed") > 0) | (F.col("found_stale") >= most_stale)).select(*finding("reconciler_stale", "warning", F.lit("result")))
-    return old.unionByName(bad)
+    """runs(last_run, produce_failed, found_stale), one row or none: no run at all, an old one, a bad one."""
+    age = epoch(now) - epoch(F.col("last_run"))
+    missing = runs.agg(F.count("*").alias("n")).where("n = 0").select(*finding("reconciler_stale", "warning", F.lit("missing")))
+    old = runs.where(age > most_age).select(*finding("reconciler_stale", "warning", F.lit("age")))
+    bad = runs.where((F.col("produce_failed") > 0) | (F.col("found_stale") >= most_stale)).select(*finding("reconciler_stale", "warning", F.lit("failures")))
+    return missing.unionByName(old).unionByName(bad)
 
 
 def lane_backed_up(lanes: DataFrame, ingest: int = 5000, ready: int = 10) -> DataFrame:
     return lanes.where((F.col("ingest") >= ingest) & (F.col("ready") <= ready)).select(*finding("fairness_ingest_backed_up", "warning", F.col("lane")))
 
 
-def over(counts: DataFrame, column: str, limit: int, rule: str) -> DataFrame:
-    return counts.where(F.col(column) >= limit).select(*finding(rule, "warning", F.col("key")))
+def over(counts: DataFrame, column: str, limit: int, rule: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A finding for every row (one in a tick) whose count reaches the limit, with the ``keep`` columns."""
+    return counts.where(F.col(column) >= limit).select(*keep, *finding(rule, "warning"))
 
 
 def cron_stale(stale: DataFrame) -> DataFrame:
@@ -112,14 +125,23 @@ def incident_diff(findings: DataFrame, incidents: DataFrame) -> DataFrame:
     return f.join(i, "fingerprint", "full").withColumn("state", F.when(F.col("i").isNull(), "new").when(F.col("f").isNull(), "cleared").otherwise("ongoing")).drop("f", "i")
 
 
-def stale_members(ticks: DataFrame, now: Column, most_age: int = 60) -> DataFrame:
-    """Registered loops or groups whose last tick is missing or too old. ticks(name, ts)."""
+def stale_members(ticks: DataFrame, now: Column, most_age: int = 60, registered: DataFrame | None = None, grace: int = 45) -> DataFrame:
+    """Loops or groups whose last tick is missing or too old. ticks(name, ts), registered(name, registered_at).
+
+    A member that never ticked is healthy within ``grace`` seconds of its registration.
+    """
     last = ticks.groupBy("name").agg(F.max("ts").alias("last_tick"))
-    return last.withColumn("healthy", F.coalesce(F.unix_timestamp(now) - F.unix_timestamp("last_tick") <= most_age, F.lit(False)))
+    fresh = F.coalesce(epoch(now) - epoch(F.col("last_tick")) <= most_age, F.lit(False))
+    if registered is None:
+        return last.withColumn("healthy", fresh)
+    out = last.join(registered.groupBy("name").agg(F.max("registered_at").alias("registered_at")), "name", "full")
+    young = F.coalesce(epoch(now) - epoch(F.col("registered_at")) <= grace, F.lit(False))
+    return out.withColumn("healthy", F.when(F.col("last_tick").isNull(), young).otherwise(fresh)).drop("registered_at")
 
 
 def cpu_percent(samples: DataFrame) -> DataFrame:
-    """samples(name, ts, cpu_seconds): percent of wall time since the previous sample, to 0.1."""
+    """samples(name, ts, cpu_seconds): percent of wall time since the previous sample, to 0.1; other columns (memory) stay."""
     w = Window.partitionBy("name").orderBy("ts")
-    wall = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))) / 1e6
+    at = epoch(F.col("ts")) + F.date_format("ts", "SSSSSS").cast("bigint") / 1e6
+    wall = F.round(at - F.lag(at).over(w), 6)
     return samples.withColumn("cpu_pct", F.when(wall > 0, F.round((F.col("cpu_seconds") - F.lag("cpu_seconds").over(w)) / wall * 100, 1)))

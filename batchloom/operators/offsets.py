@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import murmur2
+from .sides import small
+
 
 def commit_prefix(log: DataFrame) -> DataFrame:
     """Per (topic, partition): first offset, offsets done from it without a gap, and the next to commit.
@@ -25,12 +28,12 @@ def rewind(log: DataFrame) -> DataFrame:
 def skipped(log: DataFrame, marks: DataFrame) -> DataFrame:
     """Records at or below the skip mark of their (topic, partition)."""
     m = marks.groupBy("topic", "partition_id").agg(F.max("skip_until").alias("skip_until"))
-    return log.join(F.broadcast(m), ["topic", "partition_id"]).where("offset <= skip_until").drop("skip_until")
+    return log.join(small(m), ["topic", "partition_id"]).where("offset <= skip_until").drop("skip_until")
 
 
-def lookup(pointers: DataFrame, log: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Pointers(partition_id, offset) resolved to records: found, lost (below low) or miss."""
-    p = pointers.join(F.broadcast(bounds), "partition_id", "left").join(log, ["partition_id", "offset"], "left")
+def lookup(pointers: DataFrame, log: DataFrame, bounds: DataFrame, of: tuple[str, ...] = ("partition_id",)) -> DataFrame:
+    """Pointers(offset and the columns ``of``) resolved to records: found, lost (below low) or miss."""
+    p = pointers.join(small(bounds), list(of), "left").join(log, [*of, "offset"], "left")
     found = F.when(F.col("payload").isNotNull(), "found").when(F.col("offset") < F.col("low"), "lost").otherwise("miss")
     return p.withColumn("result", found)
 
@@ -41,8 +44,9 @@ def lag_rollup(lag: DataFrame) -> DataFrame:
 
 
 def partition_of(key: Column, requested: Column, n: int) -> Column:
-    """The requested partition if it exists, else a hash of the key."""
-    return F.when((requested >= 0) & (requested < n), requested).otherwise(F.pmod(F.hash(key), F.lit(n)))
+    """The requested partition if it exists, else the key's Murmur2 hash; null without either (any partition will do)."""
+    hashed = F.pmod(murmur2(F.nullif(key, F.lit(""))), F.lit(n)).cast("int")
+    return F.when((requested >= 0) & (requested < n), requested.cast("int")).otherwise(hashed)
 
 
 def chunks(records: DataFrame, order: list[str], by: list[str], size: int = 500) -> DataFrame:

@@ -1,46 +1,52 @@
-"""Classifiers and routes over job messages: ordered CASE chains and lookups, no shuffle of jobs."""
+"""Classifiers and routes over job messages: ordered CASE chains and lookups.
+
+Configuration and other sides whose count is small are broadcast; larger ones shuffle.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import epoch, from_epoch, rfc3339
+from .sides import small
+
 DEFAULT_RETRIES, MAX_PAUSE = 7, 30
 TIERS = {"short": 30, "medium": 420, "large": 1200}
 NON_RETRYABLE = ("UnknownHandler", "Overloaded")
 
 
-def parsed(text: Column) -> Column:
-    """RFC 3339 text in UTC without zone, null where it does not parse."""
-    return F.try_to_timestamp(text).cast("timestamp_ntz")
+def expired_at(valid_till: Column, parsed: Column, now: Column) -> Column:
+    """Empty is not expired; text that is no RFC 3339 time is; else at or before now."""
+    blank = F.coalesce(F.trim(valid_till), F.lit("")) == ""
+    return F.when(blank, False).when(parsed.isNull(), True).otherwise(parsed <= now)
 
 
 def expired(valid_till: Column, now: Column) -> Column:
-    """Empty is not expired; text that is no time is; else at or before now."""
-    blank = F.coalesce(F.trim(valid_till), F.lit("")) == ""
-    return F.when(blank, False).when(parsed(valid_till).isNull(), True).otherwise(parsed(valid_till) <= now)
+    return expired_at(valid_till, rfc3339(F.trim(valid_till)), now)
 
 
 def normalized_valid_till(valid_till: Column) -> Column:
-    return F.coalesce(F.date_format(parsed(valid_till), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(""))
+    text = rfc3339(F.trim(valid_till)).cast("string")
+    return F.coalesce(F.concat(F.substring(text, 1, 10), F.lit("T"), F.substring(text, 12, 8), F.lit("Z")), F.lit(""))
 
 
 def with_handler(jobs: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Jobs with their handler's columns; the manifest is configuration, a few hundred rows at most."""
-    return jobs.join(F.broadcast(manifest), "job_type", "left")
+    """Jobs with their handler's columns."""
+    return jobs.join(small(manifest), "job_type", "left")
 
 
 def decide(jobs: DataFrame, manifest: DataFrame, cancelled: DataFrame, skipped: DataFrame, now: Column) -> DataFrame:
     """Job decision, first match wins: malformed, cancelled, retry_cancelled, expired, unknown, run."""
-    j = with_handler(jobs, manifest)
-    j = j.join(cancelled.select("batch_id", F.lit(True).alias("is_cancelled")).distinct(), "batch_id", "left")
-    j = j.join(skipped.select("job_id", F.lit(True).alias("is_skipped")).distinct(), "job_id", "left")
+    j = with_handler(jobs, manifest).withColumn("_valid", rfc3339(F.trim("valid_till")))  # parsed once
+    j = j.join(small(cancelled.select("batch_id", F.lit(True).alias("is_cancelled")).distinct()), "batch_id", "left")
+    j = j.join(small(skipped.select("job_id", F.lit(True).alias("is_skipped")).distinct()), "job_id", "left")
     choice = (
         F.when(F.col("malformed"), "dlt_malformed").when(F.col("is_cancelled"), "drop_cancelled").when(F.col("is_skipped"), "failed_retry_cancelled")
-        .when(expired(F.col("valid_till"), now), "dlt_expired").when(F.col("runtime").isNull() | (F.col("runtime") == "ruby"), "dlt_unknown_handler")
+        .when(expired_at(F.col("valid_till"), F.col("_valid"), now), "dlt_expired").when(F.col("runtime").isNull() | (F.col("runtime") == "ruby"), "dlt_unknown_handler")
         .when(F.col("ok"), "run_success").otherwise("run_failure")
     )
-    return j.withColumn("decision", choice).drop("is_cancelled", "is_skipped")
+    return j.withColumn("decision", choice).drop("is_cancelled", "is_skipped", "_valid")
 
 
 def most_retries(max_retries: Column) -> Column:
@@ -51,7 +57,7 @@ def on_failure(failed: DataFrame) -> DataFrame:
     """Retry, terminal failure or dead letter, and whether an executed or failed event is emitted."""
     fatal = F.coalesce(F.col("error_class").isin(*NON_RETRYABLE), F.lit(False))
     retry = ~fatal & (F.col("attempt") < most_retries(F.col("max_retries")))
-    batched = F.col("batch_id").isNotNull()
+    batched = F.col("batch_id").isNotNull() & F.col("batch_seq").isNotNull()  # an event needs both
     event = F.when(~batched, None).when(retry, F.when(~F.col("batch_counted"), "executed")).otherwise("failed")
     return failed.withColumns({
         "action": F.when(fatal, "dead_letter_fatal").when(retry, "retry").otherwise("dead_letter_exhausted"),
@@ -79,8 +85,8 @@ def retry_plan(failed: DataFrame, now: Column) -> DataFrame:
 
 def retry_due(messages: DataFrame, now: Column) -> DataFrame:
     """Decision for messages(malformed, cancelled, retry_to, valid_till, retry_after text)."""
-    due = parsed(F.col("retry_after"))
-    wait = F.least(F.unix_timestamp(due) - F.unix_timestamp(now), F.lit(MAX_PAUSE))
+    due = rfc3339(F.col("retry_after"))
+    wait = F.least(epoch(due) - epoch(now), F.lit(MAX_PAUSE))
     choice = (
         F.when(F.col("malformed"), "dlt").when(F.col("cancelled"), "failed").when(F.coalesce("retry_to", F.lit("")) == "", "dlt_failed")
         .when(expired(F.col("valid_till"), now), "dlt_expired").when(due > now, "wait").otherwise("dispatch")
@@ -102,34 +108,55 @@ def tenant(tenant_id: Column, batch_id: Column, job_id: Column) -> Column:
 
 
 def route(jobs: DataFrame, manifest: DataFrame, assigned: DataFrame | None = None, default_topic: str = "jobs") -> DataFrame:
-    """Target topic, key and partition: fair lanes by tenant (an assigned partition empties the key)."""
+    """Target topic, key and partition.
+
+    A fair lane goes to its ingest topic (an unknown lane to the default topic), keyed by tenant,
+    else batch, else job; a tenant that is given and assigned to a partition goes there without a
+    key. Other jobs go to their handler's topic, keyed by job.
+    """
     j = with_handler(jobs, manifest)
-    who = tenant(F.col("tenant_id"), F.col("batch_id"), F.col("job_id"))
-    j = j.withColumn("tenant_key", who)
-    j = j.join(F.broadcast(assigned), "tenant_key", "left") if assigned is not None else j.withColumn("assigned_partition", F.lit(None).cast("int"))
-    fair = F.coalesce(F.col("fairness_type"), F.lit("")) != ""
-    return j.withColumns({
-        "to_topic": F.when(fair, F.concat(F.lit("fair-"), "fairness_type", F.lit("-ingest"))).otherwise(F.coalesce(F.nullif(F.col("topic"), F.lit("")), F.lit(default_topic))),
-        "to_key": F.when(fair & F.col("assigned_partition").isNotNull(), "").when(fair, who).otherwise(F.col("job_id")), "to_partition": F.when(fair, F.col("assigned_partition")),
-    })
+    filled = lambda c: F.nullif(F.col(c).cast("string"), F.lit(""))
+    if assigned is not None:
+        j = j.join(small(assigned.select(F.col("tenant_key").alias("tenant_id"), "assigned_partition")), "tenant_id", "left")
+    else:
+        j = j.withColumn("assigned_partition", F.lit(None).cast("int"))
+    lane, default = F.coalesce(F.col("fairness_type"), F.lit("")), F.lit(default_topic)
+    fair, there = lane != "", F.when(filled("tenant_id").isNotNull(), F.col("assigned_partition"))
+    topic = F.when(lane.isin("time", "throughput"), F.concat(F.lit("fair-"), lane, F.lit("-ingest"))).when(fair, default).otherwise(F.coalesce(F.nullif(F.col("topic"), F.lit("")), default))
+    key = F.when(fair & there.isNotNull(), "").when(fair, F.coalesce(filled("tenant_id"), filled("batch_id"), F.col("job_id"))).otherwise(F.col("job_id"))
+    return j.withColumns({"to_topic": topic, "to_key": key, "to_partition": F.when(fair, there)})
 
 
 def job_type_of(messages: DataFrame, manifest: DataFrame) -> DataFrame:
     """Resolve job_type directly, else by worker_class."""
-    direct = F.broadcast(manifest.select("job_type", F.col("job_type").alias("direct")))
-    by_class = F.broadcast(manifest.groupBy("worker_class").agg(F.min("job_type").alias("by_class")))
+    direct = small(manifest.select("job_type", F.col("job_type").alias("direct")))
+    by_class = small(manifest.groupBy("worker_class").agg(F.min("job_type").alias("by_class")))
     return messages.join(direct, "job_type", "left").join(by_class, "worker_class", "left").withColumn("resolved", F.coalesce("direct", "by_class")).drop("direct", "by_class")
 
 
 def envelope(jobs: DataFrame, manifest: DataFrame, client_retries: int = 0) -> DataFrame:
     """Job envelopes as the client builds them."""
-    j = with_handler(jobs, manifest)
+    return with_handler(jobs, manifest).select(*envelope_columns(client_retries))
+
+
+def envelope_columns(client_retries: int = 0) -> list:
+    """Envelope of jobs that have their handler's columns."""
     known = F.coalesce(F.nullif(F.col("worker_class"), F.lit("")), F.concat(F.lit("go:"), F.col("job_type")))
-    return j.select(
+    return [
         "job_id", "batch_id", "job_type", known.alias("worker_class"), F.lit(0).alias("attempt"),
         F.when(F.coalesce("max_retries", F.lit(0)) > 0, F.col("max_retries")).when(F.lit(client_retries) > 0, client_retries).otherwise(DEFAULT_RETRIES).cast("int").alias("max_retries"),
         F.coalesce("retry_tier", F.lit("")).alias("retry_tier"), normalized_valid_till(F.col("valid_till")).alias("valid_till"),
-    )
+    ]
+
+
+def run_at_of(text: Column, now: Column) -> Column:
+    """A time given as text: RFC 3339 or whole seconds since 1970; anything else is now."""
+    return F.coalesce(rfc3339(text), from_epoch(F.when(F.regexp_like(text, F.lit(r"^[+-]?\d{1,11}$")), text).try_cast("bigint")), now)
+
+
+def run_at_after(seconds: Column, now: Column) -> Column:
+    """A time given as a duration."""
+    return now + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
 
 
 def clamp_run_at(run_at: Column, now: Column, horizon_days: int = 30) -> Column:
@@ -163,9 +190,29 @@ def backoff(attempt: Column, base: float, cap: float) -> Column:
     return F.least(F.lit(float(cap)), F.lit(float(base)) * F.pow(F.lit(2.0), attempt))
 
 
+def linear_backoff(attempt: Column, base: float, cap: float = float("inf")) -> Column:
+    return F.least(F.lit(float(cap)), F.lit(float(base)) * attempt)
+
+
+def jittered(delay: Column, share: float, seed: int | None = None) -> Column:
+    """A delay within ``share`` of itself, drawn anew for every row."""
+    return delay * (1 + (F.rand(seed) * 2 - 1) * share) if share > 0 else delay
+
+
 def callback_target(callbacks: DataFrame) -> DataFrame:
-    """Method and class name that a callback row invokes."""
-    return callbacks.withColumn("method", F.concat(F.lit("on_"), F.col("kind")))
+    """callbacks(outcome, on_success, on_complete) with method, class_name and claim kind."""
+    good = F.col("outcome").isin("success", "success_only")
+    named = good & (F.coalesce("on_success", F.lit("")) != "")
+    return callbacks.withColumns({
+        "method": F.when(named, "on_success").otherwise("on_complete"), "class_name": F.when(named, F.col("on_success")).otherwise(F.col("on_complete")),
+        "claim_kind": F.when(good, "success").otherwise("complete"),
+    })
+
+
+def manifest_problems(manifest: DataFrame) -> DataFrame:
+    """(problem, name): handlers without a runtime, plain topics of several runtimes."""
+    blank = manifest.where("coalesce(trim(runtime), '') = ''").select(F.lit("no_runtime").alias("problem"), F.col("job_type").alias("name"))
+    return blank.unionByName(topic_conflicts(manifest).select(F.lit("several_runtimes").alias("problem"), F.col("topic").alias("name")))
 
 
 def topic_conflicts(manifest: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import epoch
+
 
 def seconds(n) -> Column:
     return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(n) if not isinstance(n, Column) else n)
@@ -20,26 +22,41 @@ def due_schedules(schedules: DataFrame, now: Column, limit: int) -> DataFrame:
     return schedules.where(F.col("enabled") & (F.col("next_run_at") <= now)).orderBy("next_run_at", "id").limit(limit)
 
 
-def plan_fires(instants: DataFrame, schedules: DataFrame, now: Column, grace_seconds: int = 60, cap: int = 100) -> DataFrame:
-    """Fires to enqueue by misfire policy, and the next run.
+def _instants(instants: DataFrame, schedules: DataFrame, now: Column) -> DataFrame:
+    """A due schedule's next run and its instants after that."""
+    due = schedules.where(F.col("next_run_at") <= now).select("id", "misfire_policy", "next_run_at")
+    later = instants.select("id", "fire_at").join(due, "id").where("fire_at > next_run_at")
+    return due.withColumn("fire_at", F.col("next_run_at")).unionByName(later, allowMissingColumns=True)
+
+
+def fires(instants: DataFrame, schedules: DataFrame, now: Column, grace_seconds: int = 60, cap: int = 100) -> DataFrame:
+    """(id, fire_at) to enqueue for schedules(id, misfire_policy, next_run_at) that are due.
 
     instants(id, fire_at) are a schedule's instants from next_run_at on, at least one after now.
-    skip fires the latest missed instant only within the grace; fire_once the oldest; backfill all
-    up to ``cap`` (and resumes after the last one taken).
+    skip fires next_run_at only within the grace; backfill it and all missed ones after it, ``cap``
+    at most; fire_once, and any unknown policy, next_run_at alone.
     """
-    due = instants.join(schedules.select("id", "misfire_policy", "next_run_at"), "id").where("fire_at >= next_run_at")
-    past = due.where(F.col("fire_at") <= now)
     n = F.row_number().over(Window.partitionBy("id").orderBy("fire_at"))
-    last = F.max("fire_at").over(Window.partitionBy("id"))
-    chosen = past.withColumns({"n": n, "last": last}).where(
-        ((F.col("misfire_policy") == "backfill") & (F.col("n") <= cap)) | ((F.col("misfire_policy") == "fire_once") & (F.col("n") == 1))
-        | ((F.col("misfire_policy") == "skip") & (F.col("fire_at") == F.col("last")) & (F.col("fire_at") + seconds(grace_seconds) >= now))
-    )
-    fires = chosen.groupBy("id").agg(F.count("*").alias("fires"), F.min("fire_at").alias("first_fire"), F.max("fire_at").alias("last_fire"))
-    taken = due.join(fires.select("id", "last_fire", "fires"), "id", "left")
-    after = F.when((F.col("misfire_policy") == "backfill") & (F.col("fires") == cap), F.col("last_fire")).otherwise(now)
-    nexts = taken.where(F.col("fire_at") > after).groupBy("id").agg(F.min("fire_at").alias("new_next"))
-    return schedules.select("id", "misfire_policy").join(fires, "id", "left").join(nexts, "id", "left").withColumn("fires", F.coalesce("fires", F.lit(0)))
+    policy = F.coalesce("misfire_policy", F.lit(""))
+    past = _instants(instants, schedules, now).where(F.col("fire_at") <= now).withColumn("n", n)
+    taken = F.when(policy == "backfill", F.col("n") <= max(1, cap)).when(policy == "skip", (F.col("n") == 1) & (F.col("fire_at") + seconds(grace_seconds) >= now)).otherwise(F.col("n") == 1)
+    return past.where(taken).select("id", "fire_at")
+
+
+def plan_fires(instants: DataFrame, schedules: DataFrame, now: Column, grace_seconds: int = 60, cap: int = 100) -> DataFrame:
+    """Per schedule the number, first and last of its ``fires``, and the next run.
+
+    The next run is the first instant after now, or for a backfill the one after the last fire; a
+    minute after the last instant where none is left. Schedules that are not due keep theirs.
+    """
+    found = fires(instants, schedules, now, grace_seconds, cap).groupBy("id").agg(F.count("*").alias("fires"), F.min("fire_at").alias("first_fire"), F.max("fire_at").alias("last_fire"))
+    each = _instants(instants, schedules, now).join(found.select("id", "last_fire"), "id", "left")
+    after = F.when(F.coalesce("misfire_policy", F.lit("")) == "backfill", F.least("last_fire", now)).otherwise(now)
+    ahead = F.min(F.when(F.col("fire_at") > after, F.col("fire_at")))
+    behind = F.max(F.when(F.col("fire_at") <= after, F.col("fire_at"))) + seconds(60)
+    nexts = each.groupBy("id").agg(F.coalesce(ahead, behind).alias("planned"))
+    out = schedules.select("id", "misfire_policy", "next_run_at").join(found, "id", "left").join(nexts, "id", "left")
+    return out.select("id", "misfire_policy", F.coalesce("fires", F.lit(0)).alias("fires"), "first_fire", "last_fire", F.coalesce("planned", "next_run_at").alias("new_next"))
 
 
 def unseen_fires(fires: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -60,14 +77,14 @@ def pruned(fires: DataFrame, now: Column, days: int = 7) -> DataFrame:
 
 def staleness(schedules: DataFrame, now: Column, factor: float = 2.0) -> DataFrame:
     """Enabled schedules whose last fire (or next run) lies over factor * interval back."""
-    age = F.unix_timestamp(now) - F.unix_timestamp(F.coalesce("last_fire_at", "next_run_at"))
+    age = epoch(now) - epoch(F.coalesce("last_fire_at", "next_run_at"))
     return schedules.where("enabled").withColumns({"age_seconds": age, "stale": age > F.col("interval_seconds") * factor})
 
 
 def intervals(instants: DataFrame) -> DataFrame:
     """Seconds from each instant of a schedule to its next one."""
     nxt = F.lead("fire_at").over(Window.partitionBy("id").orderBy("fire_at"))
-    return instants.withColumn("interval_seconds", F.unix_timestamp(nxt) - F.unix_timestamp("fire_at"))
+    return instants.withColumn("interval_seconds", epoch(nxt) - epoch(F.col("fire_at")))
 
 
 def latest(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -123,9 +140,10 @@ def lost_callbacks(batches: DataFrame, now: Column, interval_seconds: int = 900)
     return batches.withColumn("decision", F.when(~F.col("status").isin("success", "complete") | F.col("dispatched_at").isNotNull(), "not_lost").when(recent, "skipped_recent").otherwise("refire"))
 
 
-def reconciler_summary(decisions: DataFrame, cap: int = 100) -> DataFrame:
-    """Counts per decision, and whether the capped list would cut any."""
-    return decisions.groupBy("decision").agg(F.count("*").alias("n")).withColumn("capped", F.col("n") > cap)
+def reconciler_summary(decisions: DataFrame, order: str, cap: int = 100, details: int = 25) -> DataFrame:
+    """Counts per decision, whether the capped list would cut any, and the first ``details`` in order."""
+    first = capped(decisions, ["decision"], [order], details).groupBy("decision").agg(F.sort_array(F.collect_list(order)).alias("details"))
+    return decisions.groupBy("decision").agg(F.count("*").alias("n")).withColumn("capped", F.col("n") > cap).join(first, "decision")
 
 
 def capped(rows: DataFrame, by: list[str], order: list[str], cap: int = 100) -> DataFrame:

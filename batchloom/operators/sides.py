@@ -1,0 +1,17 @@
+"""Join sides that may be broadcast: only where a count proves them small."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows up to which a narrow side is broadcast (some tens of MB); beyond it joins shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if its counted rows are within ``limit``; unchanged otherwise.
+
+    The count stops just beyond the limit, so a large side costs a bounded scan.
+    """
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

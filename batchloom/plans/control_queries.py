@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import control, routing, schedule
 from ..sources.bridge import LOG_NOW, NOW, Relations, at
+from .jobs_queries import lowest, retained
 from .registry import query
 
 
@@ -14,6 +15,7 @@ f AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY created_at, re
 SELECT batch_id, count(*) AS requests, count(*) FILTER (k = 1 AND batch_id NOT IN (SELECT batch_id FROM batches)) AS created FROM f GROUP BY batch_id""")
 def create_batches(r: Relations):
     rid = F.col("l_partkey") * 1_000_000 + F.col("l_suppkey") * 1000
+    # the first line of an order stands for a request to create its batch
     new = r.lineitem.where("l_linenumber = 1").select((F.col("l_orderkey") * 2).alias("batch_id"), F.col("l_shipdate").alias("created_at"), rid.alias("request_id"))
     return control.create_batches(r.batches, new).groupBy("batch_id").agg(F.count("*").alias("requests"), F.count_if("created").alias("created"))
 
@@ -64,20 +66,22 @@ def parked_events(r: Relations):
     return control.parked(bad, F.concat(F.lit("code "), "user_id"), F.lit("jobs"), at(LOG_NOW)).drop("user_id")
 
 
-@query("""p AS (SELECT DISTINCT partition_id, (batch_seq * 40 + attempt - 41)::BIGINT AS "offset", (attempt + 3)::INT AS misses FROM jobs),
-rec AS (SELECT partition_id, "offset" FROM log WHERE topic = 'jobs0' AND "offset" >= 5), low AS (SELECT DISTINCT partition_id FROM log WHERE topic = 'jobs0')
-SELECT p.partition_id, p."offset", misses, CASE WHEN rec."offset" IS NOT NULL THEN 'dispatch' WHEN low.partition_id IS NOT NULL AND p."offset" < 5 THEN 'drop_lost' WHEN misses + 1 >= 10 THEN 'drop_missing' ELSE 'retry_later' END AS action
-FROM p LEFT JOIN rec USING (partition_id, "offset") LEFT JOIN low ON low.partition_id = p.partition_id""")
+@query("""p AS (SELECT DISTINCT 'jobs' || (consumer_id % 3) AS topic, partition_id, (batch_seq * 40 + attempt - 41)::BIGINT AS "offset", ((consumer_id + partition_id) % 12)::INT AS misses FROM jobs),
+rec AS (SELECT topic, partition_id, "offset" FROM log WHERE "offset" >= 5), low AS (SELECT DISTINCT topic, partition_id FROM log)
+SELECT p.topic, p.partition_id, p."offset", misses, CASE WHEN rec."offset" IS NOT NULL THEN 'dispatch' WHEN low.partition_id IS NOT NULL AND p."offset" < 5 THEN 'drop_lost' WHEN misses + 1 >= 10 THEN 'drop_missing' ELSE 'retry_later' END AS action
+FROM p LEFT JOIN rec USING (topic, partition_id, "offset") LEFT JOIN low ON low.topic = p.topic AND low.partition_id = p.partition_id""")
 def poll_tick(r: Relations):
-    log = r.log.where("topic = 'jobs0'")
-    bounds = log.groupBy("partition_id").agg(F.lit(5).cast("bigint").alias("low"))
-    due = r.jobs.select("partition_id", (F.col("batch_seq") * 40 + F.col("attempt") - 41).alias("offset"), (F.col("attempt") + 3).cast("int").alias("misses")).distinct()
-    return control.poll(due, log.where("offset >= 5").select("partition_id", "offset", F.col("props").alias("payload")), bounds).select("partition_id", "offset", "misses", "action")
+    """Records below offset 5 are gone, as after a log's retention: that is what makes pointers lost."""
+    topic, misses = F.concat(F.lit("jobs"), F.col("consumer_id") % 3).alias("topic"), ((F.col("consumer_id") + F.col("partition_id")) % 12).cast("int").alias("misses")
+    due = r.jobs.select(topic, "partition_id", (F.col("batch_seq") * 40 + F.col("attempt") - 41).alias("offset"), misses).distinct()
+    of = ("topic", "partition_id")
+    return control.poll(due, retained(r), lowest(r), of=of).select(*of, "offset", "misses", "action")
 
 
 @query("""o AS (SELECT DISTINCT job_id, CASE WHEN partition_id = 9 THEN NULL ELSE 'topic' || partition_id END AS topic FROM jobs WHERE attempt = 3)
 SELECT job_id, topic, CASE WHEN topic IS NULL THEN 'dead_letter' ELSE 'reproduce' END AS action, true AS _reclaim FROM o WHERE job_id NOT IN (SELECT job_id FROM jobs WHERE attempt = 3 AND malformed)""")
 def reclaim_jobs(r: Relations):
+    # jobs of one attempt stand for the orphans, malformed ones for those produced before
     o = r.jobs.where("attempt = 3").select("job_id", F.when(F.col("partition_id") != 9, F.concat(F.lit("topic"), "partition_id")).alias("topic")).distinct()
     return control.reclaim(o, r.jobs.where("attempt = 3 and malformed"))
 
@@ -110,17 +114,20 @@ def consumed(r: Relations):
 
 
 @query("""f AS (SELECT DISTINCT 'u' || user_id AS fingerprint, 'slow' AS rule_id, 'warning' AS severity FROM events WHERE value > 120)
-SELECT fingerprint, rule_id, severity, '[WARNING] slow ' || fingerprint AS message FROM f WHERE fingerprint NOT IN (SELECT 'u' || user_id FROM events, clock WHERE ts > log_now - INTERVAL 900 SECOND)""")
+SELECT fingerprint, rule_id, severity, '[WARNING] slow ' || fingerprint AS message FROM f WHERE fingerprint NOT IN (SELECT 'u' || user_id FROM events, clock WHERE event_type = 'signup' AND value > 80 AND ts > log_now - INTERVAL 900 SECOND)""")
 def notices(r: Relations):
     f = r.events.where("value > 120").select(F.concat(F.lit("u"), "user_id").alias("fingerprint"), F.lit("slow").alias("rule_id"), F.lit("warning").alias("severity"))
-    sent = r.events.select(F.concat(F.lit("u"), "user_id").alias("fingerprint"), F.col("ts").alias("sent_at"))
+    sent = r.events.where("event_type = 'signup' and value > 80").select(F.concat(F.lit("u"), "user_id").alias("fingerprint"), F.col("ts").alias("sent_at"))
     return control.notices(f, sent, 300, at(LOG_NOW))
 
 
-@query("""SELECT worker_class, 'app-' || worker_class || '-events' AS "group", 'on_' || CASE WHEN runtime = 'go' THEN 'success' ELSE 'complete' END AS method FROM manifest""")
+@query("""c AS (SELECT worker_class, runtime, CASE max_retries WHEN 0 THEN 'success' WHEN 1 THEN 'success_only' ELSE 'complete' END AS outcome, CASE WHEN runtime = 'go' THEN worker_class ELSE '' END AS s FROM manifest)
+SELECT worker_class, 'app-' || worker_class || '-events' AS "group", CASE WHEN outcome != 'complete' AND s != '' THEN 'on_success' ELSE 'on_complete' END AS method,
+CASE WHEN outcome != 'complete' AND s != '' THEN s ELSE 'Done' END AS class_name, CASE WHEN outcome = 'complete' THEN 'complete' ELSE 'success' END AS claim_kind FROM c""")
 def names(r: Relations):
-    rows = r.manifest.withColumn("kind", F.when(F.col("runtime") == "go", "success").otherwise("complete"))
-    return routing.callback_target(rows).select("worker_class", control.group_name("app-", F.col("worker_class"), "events").alias("group"), "method")
+    k = F.col("max_retries")
+    rows = r.manifest.select("worker_class", F.when(k == 0, "success").when(k == 1, "success_only").otherwise("complete").alias("outcome"), F.when(F.col("runtime") == "go", F.col("worker_class")).otherwise("").alias("on_success"), F.lit("Done").alias("on_complete"))
+    return routing.callback_target(rows).select("worker_class", control.group_name("app-", F.col("worker_class"), "events").alias("group"), "method", "class_name", "claim_kind")
 
 
 @query("SELECT topic, array_to_string(list(job_type ORDER BY job_type), ' ') AS listing FROM manifest GROUP BY topic ORDER BY topic")
@@ -128,9 +135,9 @@ def listing(r: Relations):
     return r.manifest.groupBy("topic").agg(F.array_join(F.array_sort(F.collect_list("job_type")), " ").alias("listing")).orderBy("topic")
 
 
-@query(None)
+@query("SELECT event_id, event_type FROM events WHERE md5(event_id::VARCHAR)[1:8] < '40000000'")
 def sampled_events(r: Relations):
-    return control.sampled(r.events.select("event_id", "event_type"), 0.25, seed=7)
+    return control.sampled(r.events.select("event_id", "event_type"), 0.25, F.col("event_id"))
 
 
 @query("""s AS (SELECT job_id, max(run_at) AS seen FROM jobs GROUP BY job_id) SELECT job_id, (now - seen) > INTERVAL 180 SECOND AS gone FROM s, clock""")

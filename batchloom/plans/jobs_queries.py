@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import offsets, routing, schedule
 from ..sources import config
-from ..sources.bridge import NOW, Relations, at
+from ..sources.bridge import LOG_NOW, NOW, Relations, at
 from .registry import query
 
 
+#: Times of the projection come in one shape only; other shapes have a query of their own (time_shapes).
 TS = "try_strptime(valid_till, '%Y-%m-%dT%H:%M:%SZ')"
 EXPIRED = f"CASE WHEN coalesce(trim(valid_till), '') = '' THEN false WHEN {TS} IS NULL THEN true ELSE {TS} <= now END"
 TENANT = "coalesce(nullif(trim(tenant_id), ''), nullif(batch_id::VARCHAR, ''), job_id)"
@@ -45,7 +46,7 @@ FAILED = DECIDE + """, failing AS (SELECT *, coalesce(error_class IN ('UnknownHa
 
 
 @query(FAILED + """ SELECT job_id, batch_id, attempt, CASE WHEN fatal THEN 'dead_letter_fatal' WHEN may THEN 'retry' ELSE 'dead_letter_exhausted' END AS action,
-CASE WHEN batch_id IS NULL THEN NULL WHEN NOT fatal AND may THEN CASE WHEN NOT batch_counted THEN 'executed' END ELSE 'failed' END AS event, NOT fatal AND NOT may AS exhausted, coalesce(error_class, 'GoExecutionError') AS error_name FROM failing""")
+CASE WHEN batch_id IS NULL OR batch_seq IS NULL THEN NULL WHEN NOT fatal AND may THEN CASE WHEN NOT batch_counted THEN 'executed' END ELSE 'failed' END AS event, NOT fatal AND NOT may AS exhausted, coalesce(error_class, 'GoExecutionError') AS error_name FROM failing""")
 def failure_decision(r: Relations):
     return routing.on_failure(decided(r).where("decision = 'run_failure'")).select("job_id", "batch_id", "attempt", "action", "event", "exhausted", "error_name")
 
@@ -94,12 +95,28 @@ def event_normalize(r: Relations):
     return ledger.normalized(raw).groupBy("batch_id", "batch_seq", "op").agg(F.count("*").alias("n"))
 
 
-@query(f"""t AS (SELECT j.*, m.topic, m.fairness_type, {TENANT} AS tenant_key, CASE WHEN tenant_id IN ('t1', 't2', 't3') THEN tenant_id[2:]::INT END AS fixed FROM jobs j LEFT JOIN manifest m USING (job_type))
-SELECT job_id, CASE WHEN coalesce(fairness_type, '') != '' THEN 'fair-' || fairness_type || '-ingest' ELSE coalesce(nullif(topic, ''), 'jobs') END AS to_topic,
-CASE WHEN coalesce(fairness_type, '') = '' THEN job_id WHEN fixed IS NOT NULL THEN '' ELSE tenant_key END AS to_key, CASE WHEN coalesce(fairness_type, '') != '' THEN fixed END AS to_partition FROM t""")
+#: A time in many shapes; only RFC 3339 counts.
+SHAPES = ("2030-05-06T07:08:09Z", "2030-05-06T07:08:09.123456789+05:30", "1999-12-31T23:59:59-01:00", "2030", "2030-05", "2030-05-06", "2030-05-06 07:08:09", "12:30", "2030-02-30T00:00:00Z", "2030-05-06T07:08:09", "  2030-05-06T07:08:09Z ", "2030-05-06T25:00:00Z")
+
+
+@query(f"""s AS (SELECT event_id, {list(SHAPES)}[event_id % {len(SHAPES)} + 1] AS valid_till FROM events),
+p AS (SELECT event_id, [TIMESTAMP '2030-05-06 07:08:09', TIMESTAMP '2030-05-06 01:38:09', TIMESTAMP '2000-01-01 00:59:59', NULL, NULL, NULL, NULL, NULL, NULL, NULL, TIMESTAMP '2030-05-06 07:08:09', NULL][event_id % {len(SHAPES)} + 1] AS t FROM s)
+SELECT event_id, coalesce(t <= TIMESTAMP '2030-05-06 05:00:00', true) AS expired, coalesce(strftime(t, '%Y-%m-%dT%H:%M:%SZ'), '') AS normalized FROM p""")
+def time_shapes(r: Relations):
+    shape = F.element_at(F.array(*map(F.lit, SHAPES)), (F.col("event_id") % len(SHAPES) + 1).cast("int"))
+    e = r.events.select("event_id", shape.alias("valid_till"))
+    return e.select("event_id", routing.expired(F.col("valid_till"), at("2030-05-06 05:00:00")).alias("expired"), routing.normalized_valid_till(F.col("valid_till")).alias("normalized"))
+
+
+@query("""m2 AS (SELECT * REPLACE (CASE WHEN topic = 'topic3' THEN 'odd' ELSE fairness_type END AS fairness_type) FROM manifest),
+t AS (SELECT j.*, m2.topic, coalesce(fairness_type, '') AS lane, CASE WHEN tenant_id IN ('t1', 't2', 't3') THEN tenant_id[2:]::INT END AS fixed FROM jobs j LEFT JOIN m2 USING (job_type))
+SELECT job_id, CASE lane WHEN 'time' THEN 'fair-time-ingest' WHEN 'throughput' THEN 'fair-throughput-ingest' WHEN 'odd' THEN 'jobs' ELSE coalesce(nullif(topic, ''), 'jobs') END AS to_topic,
+CASE WHEN lane = '' THEN job_id WHEN fixed IS NOT NULL THEN '' WHEN tenant_id IS NOT NULL THEN tenant_id WHEN batch_id IS NOT NULL THEN batch_id::VARCHAR ELSE job_id END AS to_key, CASE WHEN lane != '' THEN fixed END AS to_partition FROM t""")
 def route_jobs(r: Relations):
+    """Some handlers name a lane that does not exist; batch ids that look like assigned tenants do not count."""
     fixed = r.spark.range(1, 4).select(F.concat(F.lit("t"), "id").alias("tenant_key"), F.col("id").cast("int").alias("assigned_partition"))
-    return routing.route(r.jobs, r.manifest, fixed).select("job_id", "to_topic", "to_key", "to_partition")
+    odd = r.manifest.withColumn("fairness_type", F.when(F.col("topic") == "topic3", "odd").otherwise(F.col("fairness_type")))
+    return routing.route(r.jobs, odd, fixed.unionByName(r.spark.range(1, 50).select(F.col("id").cast("string").alias("tenant_key"), F.lit(9).alias("assigned_partition")))).select("job_id", "to_topic", "to_key", "to_partition")
 
 
 @query(f"SELECT job_id, {TENANT} AS tenant FROM jobs")
@@ -112,6 +129,18 @@ def run_at_clamp(r: Relations):
     return r.jobs.select("job_id", routing.clamp_run_at(F.col("run_at"), at(NOW)).alias("clamped"))
 
 
+@query("""r AS (SELECT event_id, ts, [strftime(ts, '%Y-%m-%dT%H:%M:%SZ'), epoch(ts)::BIGINT::VARCHAR, 'soon', '', NULL, strftime(ts, '%Y-%m-%d')][event_id % 6 + 1] AS text, log_now AS now FROM events, clock),
+t AS (SELECT *, CASE WHEN event_id % 6 < 2 THEN date_trunc('second', ts) ELSE now END AS run_at FROM r)
+SELECT event_id, greatest(now, least(run_at, now + INTERVAL 5 DAY)) AS run_at, greatest(now, least(now + to_seconds((event_id * 97) % 900000), now + INTERVAL 5 DAY)) AS after FROM t""")
+def run_at_forms(r: Relations):
+    now, k, ts = at(LOG_NOW), F.col("event_id") % 6, F.col("ts").cast("string")
+    stamp = F.concat(F.substring(ts, 1, 10), F.lit("T"), F.substring(ts, 12, 8), F.lit("Z"))
+    text = F.when(k == 0, stamp).when(k == 1, scalars.epoch(F.col("ts")).cast("string")).when(k == 2, "soon").when(k == 3, "").when(k == 5, F.substring(ts, 1, 10))
+    return r.events.select(
+        "event_id", routing.clamp_run_at(routing.run_at_of(text, now), now, 5).alias("run_at"), routing.clamp_run_at(routing.run_at_after(F.col("event_id") * 97 % 900_000, now), now, 5).alias("after")
+    )
+
+
 @query("""SELECT job_id, batch_id, job_type, coalesce(nullif(worker_class, ''), 'go:' || job_type) AS worker_class, 0 AS attempt, (CASE WHEN coalesce(max_retries, 0) > 0 THEN max_retries ELSE 5 END)::INT AS max_retries,
 coalesce(retry_tier, '') AS retry_tier, coalesce(strftime(try_strptime(valid_till, '%Y-%m-%dT%H:%M:%SZ'), '%Y-%m-%dT%H:%M:%SZ'), '') AS valid_till FROM jobs LEFT JOIN manifest USING (job_type)""")
 def job_envelope(r: Relations):
@@ -147,15 +176,27 @@ def skip_offsets(r: Relations):
     return offsets.skipped(r.log, marks).select("topic", "partition_id", "offset", "event_id")
 
 
-@query("""low AS (SELECT partition_id, 5::BIGINT AS low FROM log WHERE topic = 'jobs0' GROUP BY partition_id),
-p AS (SELECT DISTINCT partition_id, (batch_seq * 40 + attempt - 41)::BIGINT AS "offset" FROM jobs),
-rec AS (SELECT partition_id, "offset", props AS payload FROM log WHERE topic = 'jobs0' AND "offset" >= 5)
-SELECT p.partition_id, p."offset", CASE WHEN payload IS NOT NULL THEN 'found' WHEN p."offset" < low THEN 'lost' ELSE 'miss' END AS result, payload FROM p LEFT JOIN low USING (partition_id) LEFT JOIN rec USING (partition_id, "offset")""")
+@query("""low AS (SELECT topic, partition_id, 5::BIGINT AS low FROM log GROUP BY ALL),
+p AS (SELECT DISTINCT 'jobs' || (consumer_id % 3) AS topic, partition_id, (batch_seq * 40 + attempt - 41)::BIGINT AS "offset" FROM jobs),
+rec AS (SELECT topic, partition_id, "offset", props AS payload FROM log WHERE "offset" >= 5)
+SELECT p.topic, p.partition_id, p."offset", CASE WHEN payload IS NOT NULL THEN 'found' WHEN p."offset" < low THEN 'lost' ELSE 'miss' END AS result, payload FROM p LEFT JOIN low USING (topic, partition_id) LEFT JOIN rec USING (topic, partition_id, "offset")""")
 def pointer_payload(r: Relations):
-    log = r.log.where("topic = 'jobs0'")
-    bounds = log.groupBy("partition_id").agg(F.lit(5).cast("bigint").alias("low"))
-    pointers = r.jobs.select("partition_id", (F.col("batch_seq") * 40 + F.col("attempt") - 41).alias("offset")).distinct()
-    return offsets.lookup(pointers, log.where("offset >= 5").select("partition_id", "offset", F.col("props").alias("payload")), bounds).select("partition_id", "offset", "result", "payload")
+    """Records below offset 5 are gone, as after a log's retention: that is what makes pointers lost."""
+    of = ("topic", "partition_id")
+    return offsets.lookup(pointers(r), retained(r), lowest(r), of).select(*of, "offset", "result", "payload")
+
+
+def pointers(r: Relations):
+    topic = F.concat(F.lit("jobs"), F.col("consumer_id") % 3).alias("topic")
+    return r.jobs.select(topic, "partition_id", (F.col("batch_seq") * 40 + F.col("attempt") - 41).alias("offset"), "attempt").drop("attempt").distinct()
+
+
+def retained(r: Relations):
+    return r.log.where("offset >= 5").select("topic", "partition_id", "offset", F.col("props").alias("payload"))
+
+
+def lowest(r: Relations):
+    return r.log.groupBy("topic", "partition_id").agg(F.lit(5).cast("bigint").alias("low"))
 
 
 @query("""l AS (SELECT job_id, max(run_at) AS lease_until FROM jobs WHERE partition_id < 6 GROUP BY job_id)
@@ -193,12 +234,11 @@ def backoff(r: Relations):
     return a.select("attempt", routing.backoff(F.col("attempt"), 2, 60).alias("delay"), routing.retry_delay(routing.retry_tier(F.lit(None).cast("string"), F.col("attempt"))).alias("tier_delay"))
 
 
-@query("""v AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN ' TRUE ' WHEN 1 THEN 'off' WHEN 2 THEN '17' WHEN 3 THEN ' 2.5 ' WHEN 4 THEN '' WHEN 5 THEN NULL ELSE 'Yes' END AS raw FROM events)
-SELECT event_id, coalesce(lower(trim(raw)) IN ('1', 'true', 'yes', 'on', 't', 'y'), false) AS flag, CASE WHEN trim(raw) = '17' THEN 17 ELSE 3 END::BIGINT AS n, coalesce(TRY_CAST(trim(raw) AS DOUBLE), 0.5) AS x FROM v""")
+@query("""v AS (SELECT event_id, [' TRUE ', 'off', '17', ' 2.5 ', '', NULL, 'Yes', 'y', 't', '2.5e1', ' 17', '1.5d', '-.5'][event_id % 13 + 1] AS raw FROM events)
+SELECT event_id, CASE WHEN coalesce(raw, '') = '' THEN true ELSE lower(trim(raw)) IN ('1', 'true', 'yes', 'on') END AS flag, CASE raw WHEN '17' THEN 17 ELSE 3 END::BIGINT AS n, CASE raw WHEN '17' THEN 17 WHEN '2.5e1' THEN 25 WHEN '-.5' THEN -0.5 ELSE 0.5 END::DOUBLE AS x FROM v""")
 def coerce(r: Relations):
-    k = F.col("event_id") % 7
-    raw = F.when(k == 0, " TRUE ").when(k == 1, "off").when(k == 2, "17").when(k == 3, " 2.5 ").when(k == 4, "").when(k == 6, "Yes")
-    return r.events.select("event_id", raw.alias("raw")).select("event_id", scalars.truthy(F.col("raw")).alias("flag"), scalars.to_int(F.col("raw"), 3).alias("n"), scalars.to_float(F.col("raw"), 0.5).alias("x"))
+    raw = F.element_at(F.array(*map(F.lit, (" TRUE ", "off", "17", " 2.5 ", "", None, "Yes", "y", "t", "2.5e1", " 17", "1.5d", "-.5"))), (F.col("event_id") % 13 + 1).cast("int"))
+    return r.events.select("event_id", raw.alias("raw")).select("event_id", scalars.truthy(F.col("raw"), True).alias("flag"), scalars.to_int(F.col("raw"), 3).alias("n"), scalars.to_float(F.col("raw"), 0.5).alias("x"))
 
 
 @query("""SELECT event_id, 'job_' || event_type || CASE WHEN event_type = 'error' THEN ':1|c' ELSE ':' || round(value)::BIGINT || '|ms' END || '|#kind:' || event_type || CASE WHEN user_id % 2 = 0 THEN ',user:' || user_id ELSE '' END AS line FROM events""")
@@ -214,11 +254,60 @@ def uniq_first_wins(r: Relations):
     return schedule.first_wins(f, ["fingerprint"], ["event_id"])
 
 
-@query("SELECT event_id, CASE WHEN user_id % 20 < 16 THEN (user_id % 20)::INT ELSE -1 END AS partition_id FROM events")
+MASK, MUL = "4294967295::UBIGINT", "1540483477::UBIGINT"
+
+
+@query(f"""b AS (SELECT event_id, user_id, len(k) AS n, list_transform(range(1, len(k) + 1), lambda i: ord(k[i])::UBIGINT) AS c FROM (SELECT event_id, user_id, 'k' || event_id AS k FROM events)),
+w AS (SELECT *, list_transform(range(0, n // 4), lambda i: ((c[4 * i + 1] + c[4 * i + 2] * 256 + c[4 * i + 3] * 65536 + c[4 * i + 4] * 16777216) * {MUL}) & {MASK}) AS ks FROM b),
+h AS (SELECT *, list_reduce(list_prepend(xor(2538058380::UBIGINT, n::UBIGINT), list_transform(ks, lambda x: (xor(x, x >> 24) * {MUL}) & {MASK})), lambda a, x: xor((a * {MUL}) & {MASK}, x)) AS h0 FROM w),
+t AS (SELECT *, CASE n % 4 WHEN 0 THEN h0 WHEN 1 THEN (xor(h0, c[n]) * {MUL}) & {MASK} WHEN 2 THEN (xor(h0, c[n - 1] + c[n] * 256) * {MUL}) & {MASK} ELSE (xor(h0, c[n - 2] + c[n - 1] * 256 + c[n] * 65536) * {MUL}) & {MASK} END AS h1 FROM h),
+f AS (SELECT *, (xor(h1, h1 >> 13) * {MUL}) & {MASK} AS h2 FROM t)
+SELECT event_id, (CASE WHEN user_id % 20 < 16 THEN user_id % 20 ELSE (xor(h2, h2 >> 15) & 2147483647::UBIGINT) % 16 END)::INT AS partition_id FROM f""")
 def partitioner(r: Relations):
     want = F.col("user_id") % 20
-    got = offsets.partition_of(F.col("event_id").cast("string"), want, 16)
-    return r.events.select("event_id", F.when(want < 16, got).otherwise(F.when((got >= 0) & (got < 16), -1)).cast("int").alias("partition_id"))
+    return r.events.select("event_id", offsets.partition_of(F.concat(F.lit("k"), "event_id"), want, 16).alias("partition_id"))
+
+
+@query("""u AS (SELECT event_id, ['mysql2://u' || event_id || ':p@db/sched', 'mysql://db.internal:3307/kb?parseTime=true&loc=UTC', '  u:p@tcp(h:1)/x  ', 'MYSQL2://u@[::1]/kb?a=1&a=2', 'mysql:///none', ''][event_id % 6 + 1] AS url FROM events)
+SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'u' || event_id || ':p@tcp(db:3306)/sched' WHEN 1 THEN 'tcp(db.internal:3307)/kb?loc=UTC&parseTime=true' WHEN 2 THEN 'u:p@tcp(h:1)/x' WHEN 3 THEN 'u@tcp([::1]:3306)/kb?a=1' WHEN 4 THEN NULL ELSE '' END AS dsn FROM u""")
+def dsn_forms(r: Relations):
+    k = F.col("event_id") % 6
+    url = (
+        F.when(k == 0, F.concat(F.lit("mysql2://u"), "event_id", F.lit(":p@db/sched"))).when(k == 1, "mysql://db.internal:3307/kb?parseTime=true&loc=UTC").when(k == 2, "  u:p@tcp(h:1)/x  ")
+        .when(k == 3, "MYSQL2://u@[::1]/kb?a=1&a=2").when(k == 4, "mysql:///none").otherwise("")
+    )
+    return r.events.select("event_id", scalars.dsn(url).alias("dsn"))
+
+
+@query("""SELECT event_id, list_filter(list_transform(regexp_split_to_array(' a' || event_id || ' ,b' || chr(10) || chr(13) || ',, c ', '[,' || chr(10) || chr(13) || ']'), lambda x: trim(x)), lambda x: x != '') AS urls FROM events""")
+def url_lists(r: Relations):
+    return r.events.select("event_id", scalars.split_urls(F.concat(F.lit(" a"), "event_id", F.lit(" ,b\n\r,, c "))).alias("urls"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN props->>'k' WHEN 1 THEN 'x' END AS k, event_id % 4 < 2 AS known FROM events""")
+def decoded_maps(r: Relations):
+    k = F.col("event_id") % 4
+    text = F.when(k == 0, F.col("props")).when(k == 1, '{"k":"x","n":1}').when(k == 2, "{broken").otherwise("")
+    m = r.events.select("event_id", scalars.decoded_map(text).alias("m"))
+    return m.select("event_id", F.col("m")["k"].alias("k"), F.col("m").isNotNull().alias("known"))
+
+
+@query("""p AS (SELECT event_id, md5('sched' || chr(31) || event_id) AS h FROM events) SELECT event_id, h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] AS id FROM p""")
+def derived_ids(r: Relations):
+    return r.events.select("event_id", scalars.derived_id(F.lit("sched"), F.col("event_id")).alias("id"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'gzip' ELSE '' END AS encoding, CASE WHEN event_id % 3 = 0 THEN repeat(props, 60) ELSE props END AS payload FROM events""")
+def payload_round_trip(r: Relations):
+    body = F.when(F.col("event_id") % 3 == 0, F.repeat("props", F.lit(60))).otherwise(F.col("props"))
+    packed = r.events.select("event_id", scalars.packed_payload(body).alias("p"))
+    return packed.select("event_id", "p.encoding", scalars.raw_payload(F.col("p.payload"), F.col("p.encoding")).cast("string").alias("payload"))
+
+
+@query("""m2 AS (SELECT * REPLACE (CASE WHEN job_type IN ('jt3', 'jt8') THEN ' ' ELSE runtime END AS runtime) FROM manifest)
+SELECT 'no_runtime' AS problem, job_type AS name FROM m2 WHERE trim(runtime) = '' UNION ALL SELECT 'several_runtimes', topic FROM m2 WHERE fairness_type = '' GROUP BY topic HAVING count(DISTINCT runtime) > 1""")
+def manifest_problems(r: Relations):
+    return routing.manifest_problems(r.manifest.withColumn("runtime", F.when(F.col("job_type").isin("jt3", "jt8"), " ").otherwise(F.col("runtime"))))
 
 
 @query("""want AS (SELECT DISTINCT topic FROM manifest UNION SELECT 'scheduled' UNION SELECT 'fair-time-ingest')

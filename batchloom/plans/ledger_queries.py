@@ -9,41 +9,53 @@ from ..sources.bridge import NOW, Relations, at
 from .registry import query
 
 
-#: The ledger as SQL CTEs, independent of the operator's plan.
+#: The ledger as SQL: one event after the other, with the sequences seen, succeeded and failed as lists.
 LEDGER = """
-e AS (SELECT *, min(ord) OVER s AS fa, min(CASE WHEN op = 'success' THEN ord END) OVER s AS fs, min(CASE WHEN op = 'failed' THEN ord END) OVER s AS ff
-  FROM completions WINDOW s AS (PARTITION BY batch_id, batch_seq)),
-f AS (SELECT *, (ord = fa)::INT AS t, coalesce(ord = fs, false)::INT AS g, coalesce(ord = ff AND (fs IS NULL OR ff < fs), false)::INT AS b FROM e),
-run AS (SELECT f.batch_id, batch_seq, ord, t, g, b, total_jobs, sum(t) OVER o AS touched, sum(g) OVER o AS completed, sum(b) OVER o AS failed
-  FROM f JOIN totals USING (batch_id) WINDOW o AS (PARTITION BY f.batch_id ORDER BY ord)),
-ledger AS (SELECT batch_id, any_value(total_jobs)::BIGINT AS total_jobs, max(touched)::BIGINT AS touched, max(completed)::BIGINT AS completed, max(failed)::BIGINT AS failed,
-  count(*) FILTER (t + g + b = 0)::BIGINT AS duplicates, min(ord) FILTER (completed >= total_jobs) AS s_at, min(ord) FILTER (completed + failed >= total_jobs OR completed >= total_jobs) AS t_at,
-  min(ord) FILTER (touched >= total_jobs) AS e_at FROM run GROUP BY batch_id),
-status AS (SELECT *, CASE WHEN t_at IS NULL THEN 'running' WHEN s_at = t_at THEN 'success' ELSE 'complete' END AS status, least(t_at, e_at)::BIGINT AS complete_at, s_at::BIGINT AS success_at FROM ledger)
+owner AS (SELECT b.batch_id, coalesce(total_jobs, 0)::BIGINT AS total, sealed, status FROM batches b LEFT JOIN totals USING (batch_id)),
+step AS (
+  SELECT batch_id, total, sealed, status, 0::BIGINT AS ord, []::BIGINT[] AS seen, []::BIGINT[] AS ok, []::BIGINT[] AS bad, 0::BIGINT AS duplicates, NULL::INT AS code,
+    NULL::TIMESTAMP AS complete_at, NULL::BIGINT AS complete_seq, NULL::TIMESTAMP AS success_at, NULL::BIGINT AS success_seq FROM owner
+  UNION ALL
+  SELECT batch_id, total, sealed, CASE WHEN fresh AND live AND ending IS NOT NULL AND status = 'running' THEN ending ELSE status END, ord, seen, ok, bad, duplicates + (NOT fresh)::BIGINT,
+    CASE WHEN NOT fresh THEN 0 WHEN NOT live THEN 2 WHEN fires_success OR (fires_complete AND ending IS NOT NULL) THEN 1 WHEN fires_complete THEN 3 ELSE 2 END,
+    CASE WHEN fires_complete THEN moment ELSE complete_at END, CASE WHEN fires_complete THEN seq ELSE complete_seq END, CASE WHEN fires_success THEN moment ELSE success_at END, CASE WHEN fires_success THEN seq ELSE success_seq END
+  FROM (SELECT *, fresh AND live AND complete_at IS NULL AND (ending IS NOT NULL OR len(seen) >= total) AS fires_complete, fresh AND live AND success_at IS NULL AND coalesce(ending = 'success', false) AS fires_success
+    FROM (SELECT *, sealed AND total >= 1 AS live, CASE WHEN len(ok) >= total THEN 'success' WHEN len(ok) + len(bad) >= total THEN 'complete' END AS ending
+      FROM (SELECT s.batch_id, total, sealed, status, e.ord, duplicates, complete_at, complete_seq, success_at, success_seq, e.occurred_at AS moment, e.batch_seq AS seq,
+          status != 'cancelled' AND (touches OR succeeds OR fails) AS fresh,
+          CASE WHEN touches AND status != 'cancelled' THEN list_append(seen, e.batch_seq) ELSE seen END AS seen,
+          CASE WHEN succeeds AND status != 'cancelled' THEN list_append(ok, e.batch_seq) ELSE ok END AS ok, CASE WHEN fails AND status != 'cancelled' THEN list_append(bad, e.batch_seq) ELSE bad END AS bad
+        FROM step s JOIN completions e ON e.batch_id = s.batch_id AND e.ord = s.ord + 1,
+          LATERAL (SELECT NOT list_contains(s.seen, e.batch_seq) AS touches, e.op = 'success' AND NOT list_contains(s.ok, e.batch_seq) AS succeeds,
+            e.op = 'failed' AND NOT list_contains(s.ok, e.batch_seq) AND NOT list_contains(s.bad, e.batch_seq) AS fails) AS l)))),
+ledger AS (SELECT batch_id, total AS total_jobs, sealed, len(seen)::BIGINT AS touched, len(ok)::BIGINT AS completed, len(bad)::BIGINT AS failed, duplicates, status, complete_at, complete_seq, success_at, success_seq
+  FROM step QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY ord DESC) = 1)
 """
 
 
+def owners(r: Relations):
+    """Batches with their totals, status and seal."""
+    return r.batches.select("batch_id", "sealed", "status").join(r.totals, "batch_id", "left").fillna(0, ["total_jobs"])
+
+
 def folded(r: Relations):
-    return ledger.fold(r.completions, r.totals)
+    return ledger.fold(r.completions, owners(r))
 
 
-@query(LEDGER + "SELECT batch_id, total_jobs, touched, completed, failed, duplicates, status, complete_at, success_at FROM status")
+@query(LEDGER + "SELECT batch_id, total_jobs, touched, completed, failed, duplicates, status, complete_at, complete_seq, success_at, success_seq FROM ledger")
 def ledger_status(r: Relations):
-    return folded(r)
+    at = lambda kind: [F.col(f"{kind}_at.l_shipdate").alias(f"{kind}_at"), F.col(f"{kind}_at.l_linenumber").cast("bigint").alias(f"{kind}_seq")]
+    return folded(r).select("batch_id", "total_jobs", "touched", "completed", "failed", "duplicates", "status", *at("complete"), *at("success"))
 
 
-@query(LEDGER + "SELECT batch_id, 'complete' AS kind, complete_at AS at FROM status WHERE complete_at IS NOT NULL UNION ALL SELECT batch_id, 'success', success_at FROM status WHERE success_at IS NOT NULL")
+@query(LEDGER + "SELECT batch_id, 'complete' AS kind, complete_at AS at, complete_seq AS seq FROM ledger WHERE complete_at IS NOT NULL UNION ALL SELECT batch_id, 'success', success_at, success_seq FROM ledger WHERE success_at IS NOT NULL")
 def ledger_callbacks(r: Relations):
-    return ledger.callbacks(folded(r))
+    return ledger.callbacks(folded(r)).select("batch_id", "kind", F.col("at.l_shipdate").alias("at"), F.col("at.l_linenumber").cast("bigint").alias("seq"))
 
 
-@query(LEDGER + """, p AS (SELECT run.*, max((completed >= total_jobs)::INT) OVER w AS hs, max((completed + failed >= total_jobs OR completed >= total_jobs OR touched >= total_jobs)::INT) OVER w AS hc
-  FROM run WINDOW w AS (PARTITION BY batch_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT p.batch_id, batch_seq, ord::INT AS ord, (CASE WHEN t + g + b = 0 THEN 0 WHEN NOT sealed THEN 2 WHEN completed >= total_jobs AND coalesce(hs, 0) = 0 THEN 1
-  WHEN (completed + failed >= total_jobs OR completed >= total_jobs) AND coalesce(hc, 0) = 0 THEN 1 WHEN touched >= total_jobs AND coalesce(hc, 0) = 0 THEN 3 ELSE 2 END)::INT AS code
-FROM p JOIN batches USING (batch_id)""")
+@query(LEDGER + "SELECT s.batch_id, e.batch_seq, e.occurred_at, e.op, code FROM step s JOIN completions e ON e.batch_id = s.batch_id AND e.ord = s.ord")
 def ledger_codes(r: Relations):
-    return ledger.return_codes(r.completions, r.totals, r.batches.select("batch_id", "sealed"))
+    return ledger.return_codes(r.completions, owners(r)).select("batch_id", "batch_seq", "occurred_at", "op", "code")
 
 
 @query("""SELECT c.batch_id, c.batch_seq, op, CASE WHEN b.batch_id IS NULL THEN 'not_found' ELSE 'duplicate' END AS reason
@@ -52,11 +64,12 @@ def ledger_dropped(r: Relations):
     return ledger.dropped(r.completions, r.batches.where("batch_id % 10 != 3")).select("batch_id", "batch_seq", "op", "reason")
 
 
-@query(LEDGER + """, o AS (SELECT b.batch_id, coalesce(l.total_jobs, 0) AS total_jobs, coalesce(touched, 0) AS touched, coalesce(completed, 0) AS completed, coalesce(failed, 0) AS failed FROM batches b LEFT JOIN ledger l USING (batch_id))
-SELECT *, CASE WHEN total_jobs = 0 OR completed >= total_jobs THEN 'success' WHEN completed + failed >= total_jobs THEN 'complete' WHEN touched >= total_jobs THEN 'early_complete' ELSE 'running' END AS outcome FROM o""")
+@query(LEDGER + """SELECT batch_id, total_jobs, touched, completed, failed, CASE WHEN status != 'running' THEN 'sealed' WHEN total_jobs = 0 OR completed >= total_jobs THEN 'success' WHEN completed + failed >= total_jobs THEN 'complete'
+  WHEN touched >= total_jobs THEN 'early_complete' ELSE 'sealed' END AS outcome, CASE WHEN outcome = 'success' THEN 'complete,success' WHEN outcome IN ('complete', 'early_complete') THEN 'complete' ELSE '' END AS claims FROM ledger WHERE NOT sealed""")
 def ledger_seal(r: Relations):
-    counters = folded(r).select("batch_id", "total_jobs", "touched", "completed", "failed")
-    return ledger.seal(r.batches.select("batch_id").join(counters, "batch_id", "left").fillna(0))
+    """The batches that are still open, sealed now."""
+    open_ = folded(r).where("not sealed").select("batch_id", "total_jobs", "touched", "completed", "failed", "status")
+    return ledger.seal(open_).select("batch_id", "total_jobs", "touched", "completed", "failed", "outcome", F.array_join("claims", ",").alias("claims"))
 
 
 @query("SELECT batch_id, job_id, batch_seq, run_at, row_number() OVER (PARTITION BY batch_id ORDER BY run_at, job_id, duration)::BIGINT AS assigned_seq FROM jobs WHERE batch_id IS NOT NULL")
@@ -64,21 +77,21 @@ def batch_seq(r: Relations):
     return ledger.sequence(r.jobs.where("batch_id is not null").select("batch_id", "job_id", "batch_seq", "run_at", "duration"), ["run_at", "job_id", "duration"]).drop("duration")
 
 
-@query(LEDGER + "SELECT status, count(*) AS batches FROM status GROUP BY status")
+@query(LEDGER + "SELECT status, count(*) AS batches FROM ledger GROUP BY status")
 def status_counts(r: Relations):
     return folded(r).groupBy("status").agg(F.count("*").alias("batches"))
 
 
-RECONCILE = LEDGER + """, w AS (SELECT b.batch_id, CASE WHEN b.batch_id % 50 = 7 THEN NULL ELSE b.status END AS status, sealed, coalesce(l.total_jobs, 0) AS total_jobs, coalesce(completed, 0) AS completed,
-  coalesce(failed, 0) AS failed FROM batches b LEFT JOIN ledger l USING (batch_id)),
+RECONCILE = LEDGER + """, w AS (SELECT b.batch_id, CASE WHEN b.batch_id % 50 = 7 THEN NULL WHEN b.batch_id % 4 = 2 THEN b.status ELSE l.status END AS status, b.sealed, l.total_jobs, completed, failed FROM batches b JOIN ledger l USING (batch_id)),
 d AS (SELECT batch_id, CASE WHEN status IS NULL THEN 'gone' WHEN status != 'running' THEN 'not_running' WHEN NOT sealed THEN 'open' WHEN total_jobs = 0 THEN 'empty_success'
   WHEN completed + failed < total_jobs THEN 'in_progress' WHEN failed > 0 THEN 'finished_complete' ELSE 'finished_success' END AS decision FROM w)"""
 
 
 def _decided(r: Relations):
-    counters = folded(r).select("batch_id", "total_jobs", "completed", "failed")
-    b = r.batches.select("batch_id", F.when(F.col("batch_id") % 50 != 7, F.col("status")).alias("status"), "sealed").join(counters, "batch_id", "left").fillna(0, ["total_jobs", "completed", "failed"])
-    return schedule.stuck(b).select("batch_id", "decision")
+    """Ledger rows as a reconciler meets them: some vanished, some with a status that was never written."""
+    stored = r.batches.select("batch_id", F.col("status").alias("stored"))
+    status = F.when(F.col("batch_id") % 50 == 7, None).when(F.col("batch_id") % 4 == 2, F.col("stored")).otherwise(F.col("status"))
+    return schedule.stuck(folded(r).join(stored, "batch_id").withColumn("status", status)).select("batch_id", "decision")
 
 
 @query(RECONCILE + " SELECT batch_id, decision FROM d")
@@ -86,9 +99,9 @@ def reconcile_stuck(r: Relations):
     return _decided(r)
 
 
-@query(RECONCILE + " SELECT decision, count(*) AS n, count(*) > 100 AS capped FROM d GROUP BY decision")
+@query(RECONCILE + " SELECT decision, count(*) AS n, count(*) > 100 AS capped, array_to_string(list(batch_id ORDER BY batch_id)[1:25], ' ') AS details FROM d GROUP BY decision")
 def reconciler_summary(r: Relations):
-    return schedule.reconciler_summary(_decided(r))
+    return schedule.reconciler_summary(_decided(r), "batch_id").withColumn("details", F.array_join("details", " "))
 
 
 @query(RECONCILE + ", q AS (SELECT batch_id, decision, row_number() OVER (PARTITION BY decision ORDER BY batch_id)::INT AS place FROM d) SELECT * FROM q WHERE place <= 100")
@@ -134,8 +147,7 @@ def reclaim_counters(r: Relations):
     return old.groupBy("consumer_id").agg(F.count("*").alias("checked"), F.count_if(k == 0).alias("reclaimed"), F.count_if(k == 1).alias("skipped"))
 
 
-@query(LEDGER + """, replay AS (SELECT DISTINCT batch_id FROM run WHERE t + g + b = 0)
-SELECT batch_id, status FROM replay JOIN status USING (batch_id) WHERE status IN ('success', 'complete') AND batch_id % 4 != 1""")
+@query(LEDGER + """SELECT batch_id, status FROM ledger WHERE duplicates > 0 AND status IN ('success', 'complete') AND batch_id % 4 != 1""")
 def replay_callbacks(r: Relations):
-    again = ledger.running(r.completions).where("duplicate").select("batch_id").distinct()
-    return again.join(folded(r).where("status in ('success', 'complete')").select("batch_id", "status"), "batch_id").where("batch_id % 4 != 1")
+    """Finished batches with replayed events; one in four has all its claims (that is the operator's own condition)."""
+    return folded(r).where("duplicates > 0 and status in ('success', 'complete')").select("batch_id", "status").where("batch_id % 4 != 1")

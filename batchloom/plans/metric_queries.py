@@ -60,13 +60,14 @@ def lag_rollup(r: Relations):
 BASE = """base AS (SELECT "group", topic, lag - CASE WHEN topic = 'jobs1' THEN 10 ELSE 400 END AS lag, committed, end_sum - CASE WHEN topic = 'jobs1' THEN 0 ELSE 5 END AS end_sum FROM lag)"""
 
 
-@query(LAG + ", " + BASE + """ SELECT 'lag_stuck_growing' AS rule_id, 'critical' AS severity, 'lag_stuck_growing:' || c."group" || '/' || c.topic AS fingerprint FROM lag c JOIN base b USING ("group", topic)
-WHERE c.lag >= 1000 AND c.committed = b.committed AND (c.lag - b.lag >= 100 OR c.end_sum > b.end_sum) AND topic != 'jobs2'""")
+@query(LAG + ", " + BASE + """ SELECT 'lag_stuck_growing' AS rule_id, 'critical' AS severity, 'lag_stuck_growing:' || c."group" || ':' || c.topic AS fingerprint FROM lag c JOIN base b USING ("group", topic)
+WHERE c.lag >= 1000 AND c.committed = b.committed AND (c.lag - b.lag >= 100 OR c.end_sum > b.end_sum) AND NOT (topic = 'jobs2' AND c."group" != 'g1')""")
 def lag_stuck(r: Relations):
     c = lag(r)
     one = F.col("topic") == "jobs1"
     old = c.select("group", "topic", (F.col("lag") - F.when(one, 10).otherwise(400)).alias("lag"), "committed", (F.col("end_sum") - F.when(one, 0).otherwise(5)).alias("end_sum"))
-    return metrics.lag_stuck(c, old, r.log.where("topic = 'jobs2'").select("topic").distinct())
+    paused = r.log.where("topic = 'jobs2' and user_id % 3 != 1").select(F.concat(F.lit("g"), F.col("user_id") % 3).alias("group"), "topic").distinct()
+    return metrics.lag_stuck(c, old, paused)
 
 
 @query("""SELECT 'fair-' || (user_id % 5) AS lane, sum(CASE WHEN event_type = 'signup' THEN 7 ELSE 0 END)::BIGINT AS ingest, count(*) FILTER (event_type = 'error' AND value > 150) AS ready FROM events GROUP BY 1""")
@@ -84,22 +85,23 @@ def dlt_minute(r: Relations):
 
 
 @query(PROBES + """, lanes AS (SELECT 'fair-' || (user_id % 5) AS lane, sum(CASE WHEN event_type = 'signup' THEN 7 ELSE 0 END) AS ingest, count(*) FILTER (event_type = 'error' AND value > 150) AS ready FROM events GROUP BY 1),
-dlt AS (SELECT (floor(epoch(ts) / 3600) * 3600)::BIGINT AS bucket, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1)
-SELECT 'redis_rtt_high' AS rule_id, 'warning' AS severity, 'redis_rtt_high:' || bucket AS fingerprint FROM rtt2 WHERE avg_ms >= 70 OR max_us / 1000 >= 260 OR (probes > 0 AND errors / greatest(probes, 1) >= 0.6)
+dlt AS (SELECT (floor(epoch(ts) / 3600) * 3600)::BIGINT AS bucket, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1),
+here AS (SELECT floor(epoch(log_now) / 3600) * 3600 AS b FROM clock), latest AS (SELECT rtt2.* FROM rtt2, here WHERE bucket IN (b, b - 3600) ORDER BY bucket DESC LIMIT 1)
+SELECT 'redis_rtt_high' AS rule_id, 'warning' AS severity, 'redis_rtt_high' AS fingerprint FROM latest WHERE avg_ms >= 40 OR max_us / 1000 >= 260 OR (probes > 0 AND errors / greatest(probes, 1) >= 0.6)
 UNION ALL SELECT 'fairness_ingest_backed_up', 'warning', 'fairness_ingest_backed_up:' || lane FROM lanes WHERE ingest >= 300 AND ready <= 30
-UNION ALL SELECT 'dlt_rate_high', 'warning', 'dlt_rate_high:' || bucket FROM dlt WHERE n >= 7
-UNION ALL SELECT 'schedule_depth_high', 'warning', 'schedule_depth_high:all' FROM (SELECT count(*) AS n FROM log WHERE state = 'pending') WHERE n >= 10
-UNION ALL SELECT 'no_live_consumers', 'critical', 'no_live_consumers:all' WHERE (SELECT count(*) FROM log WHERE state = 'pending') > 0 AND (SELECT count(*) FROM events WHERE ts > TIMESTAMP '2030-01-01') = 0
-UNION ALL SELECT 'reconciler_stale', 'warning', 'reconciler_stale:age' UNION ALL SELECT 'reconciler_stale', 'warning', 'reconciler_stale:result'
+UNION ALL SELECT 'dlt_rate_high', 'warning', 'dlt_rate_high' FROM dlt, here WHERE bucket = b AND n >= 1
+UNION ALL SELECT 'schedule_depth_high', 'warning', 'schedule_depth_high' FROM (SELECT count(*) AS n FROM log WHERE state = 'pending') WHERE n >= 10
+UNION ALL SELECT 'no_live_consumers', 'critical', 'no_live_consumers' WHERE (SELECT count(*) FROM log WHERE state = 'pending') > 0 AND (SELECT count(*) FROM events WHERE ts > TIMESTAMP '2030-01-01') = 0
+UNION ALL SELECT 'reconciler_stale', 'warning', 'reconciler_stale:age' UNION ALL SELECT 'reconciler_stale', 'warning', 'reconciler_stale:failures' UNION ALL SELECT 'reconciler_stale', 'warning', 'reconciler_stale:missing'
 UNION ALL SELECT 'cron_stale', 'warning', 'cron_stale:' || s_suppkey FROM supplier WHERE s_suppkey % 9 = 0""")
 def alert_findings(r: Relations):
     pending = r.log.where("state = 'pending'")
-    hours = r.events.where("event_type = 'error'").groupBy(metrics.bucket(F.col("ts"), 3600).cast("string").alias("key")).agg(F.count("*").alias("n"))
+    hours = _letters(r)
     runs = r.region.where("r_regionkey = 0").select(at("2024-01-19 00:00:00").alias("last_run"), F.lit(1).alias("produce_failed"), F.lit(0).alias("found_stale"))
     found = [
-        metrics.rtt_high(rtts(r), 70, 260, 0.6), metrics.lane_backed_up(_lanes(r), 300, 30), metrics.over(hours, "n", 7, "dlt_rate_high"),
-        metrics.over(pending.agg(F.count("*").alias("n")).withColumn("key", F.lit("all")), "n", 10, "schedule_depth_high"), metrics.no_live(pending, r.events.where("ts > timestamp_ntz'2030-01-01'")),
-        metrics.reconciler_stale(runs, at(LOG_NOW)), metrics.cron_stale(r.supplier.select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 9 == 0).alias("stale"))),
+        metrics.rtt_high(metrics.current_or_previous(rtts(r), at(LOG_NOW), 3600), 40, 260, 0.6), metrics.lane_backed_up(_lanes(r), 300, 30), metrics.over(hours.where(F.col("bucket") == metrics.bucket(at(LOG_NOW), 3600)), "n", 1, "dlt_rate_high"),
+        metrics.over(pending.agg(F.count("*").alias("n")), "n", 10, "schedule_depth_high"), metrics.no_live(pending, r.events.where("ts > timestamp_ntz'2030-01-01'")),
+        metrics.reconciler_stale(runs, at(LOG_NOW)), metrics.reconciler_stale(runs.limit(0), at(LOG_NOW)), metrics.cron_stale(r.supplier.select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 9 == 0).alias("stale"))),
     ]
     out = found[0]
     for f in found[1:]:
@@ -107,6 +109,18 @@ def alert_findings(r: Relations):
     return out
 
 
+def _letters(r: Relations):
+    return r.events.where("event_type = 'error'").groupBy(metrics.bucket(F.col("ts"), 3600).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query(PROBES + """, dlt AS (SELECT (floor(epoch(ts) / 3600) * 3600)::BIGINT AS bucket, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1)
+SELECT bucket, 'redis_rtt_high' AS rule_id, 'warning' AS severity, 'redis_rtt_high' AS fingerprint FROM rtt2 WHERE avg_ms >= 70 OR max_us / 1000 >= 260 OR (probes > 0 AND errors / greatest(probes, 1) >= 0.6)
+UNION ALL SELECT bucket, 'dlt_rate_high', 'warning', 'dlt_rate_high' FROM dlt WHERE n >= 7""")
+def findings_by_hour(r: Relations):
+    """The rules over buckets as they would have found in every hour."""
+    return metrics.rtt_high(rtts(r), 70, 260, 0.6, keep=("bucket",)).unionByName(metrics.over(_letters(r), "n", 7, "dlt_rate_high", keep=("bucket",)))
+
+
 TICKS = """fd AS (SELECT DISTINCT 'user:' || user_id AS fp, day(ts)::BIGINT AS tick FROM events WHERE event_type = 'error' AND value > 40), tk AS (SELECT x AS tick FROM range(1, 32) q(x))"""
 
 
@@ -128,10 +142,13 @@ def incident_diff(r: Relations):
     return metrics.incident_diff(r.events.where("value > 150").select(fp), r.events.where("event_type = 'signup' and value > 90").select(fp))
 
 
-@query("""SELECT 'loop' || user_id AS name, max(ts) AS last_tick, epoch(TIMESTAMP '2024-01-20 00:00:00') - epoch(max(ts)) <= 86400 AS healthy FROM events WHERE ts <= TIMESTAMP '2024-01-20 00:00:00' GROUP BY user_id""")
+@query("""m AS (SELECT 'loop' || c_custkey AS name, TIMESTAMP '2024-01-20 00:00:00' - to_seconds(c_custkey % 60) AS registered_at FROM customer),
+t AS (SELECT 'loop' || user_id AS name, max(ts) AS last_tick FROM events, clock WHERE ts <= log_now GROUP BY user_id)
+SELECT name, last_tick, CASE WHEN last_tick IS NULL THEN coalesce(epoch(log_now) - epoch(registered_at) <= 45, false) ELSE epoch(log_now) - epoch(last_tick) <= 86400 END AS healthy FROM m FULL JOIN t USING (name), clock""")
 def health_stale(r: Relations):
     ticks = r.events.where(F.col("ts") <= at(LOG_NOW)).select(F.concat(F.lit("loop"), "user_id").alias("name"), "ts")
-    return metrics.stale_members(ticks, at(LOG_NOW), 86_400)
+    members = r.customer.select(F.concat(F.lit("loop"), "c_custkey").alias("name"), (at(LOG_NOW) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("c_custkey") % 60)).alias("registered_at"))
+    return metrics.stale_members(ticks, at(LOG_NOW), 86_400, members)
 
 
 @query("""s AS (SELECT user_id, ts, event_id, sum(round(value * 100)::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id) / 100.0 AS cpu, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old FROM events),

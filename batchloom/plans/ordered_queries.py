@@ -64,19 +64,27 @@ def enqueue_cap(r: Relations):
     return fairness.queue_cap(queue(r), 8).select("lane", "tenant_id", "pos", "accepted")
 
 
-@query(QUEUE + """, t AS (SELECT DISTINCT lane, tenant_id, weight FROM w WHERE tenant_id % 50 = 0), s AS (SELECT lane, sum(weight) AS sw, count(*) AS n FROM t GROUP BY lane)
-SELECT t.lane, tenant_id, least(greatest(floor(50 * weight / sw), 1), 9)::BIGINT AS weighted_cap, least(greatest(ceil(50.0 / n), 1), 9)::BIGINT AS even_cap FROM t JOIN s USING (lane)""")
+@query(QUEUE + """, t AS (SELECT DISTINCT lane, tenant_id, weight FROM w), s AS (SELECT lane, sum(weight) AS sw, count(*) AS n FROM t GROUP BY lane)
+SELECT t.lane, tenant_id, least(greatest(floor(3 * n * weight / sw), 1), 4)::BIGINT AS weighted_cap, least(greatest(ceil(3.0 * n / n), 1), 4)::BIGINT AS even_cap FROM t JOIN s USING (lane)""")
 def inflight_cap(r: Relations):
-    return fairness.inflight_caps(queue(r).where("tenant_id % 50 = 0").select("lane", "tenant_id", "weight").distinct(), 50, 9).select("lane", "tenant_id", "weighted_cap", "even_cap")
+    """A lane's budget is three slots per active tenant."""
+    return fairness.inflight_caps(queue(r).select("lane", "tenant_id", "weight").distinct(), 3 * F.col("active"), 4).select("lane", "tenant_id", "weighted_cap", "even_cap")
 
 
-@query("""tn AS (SELECT s_suppkey AS tenant_id FROM supplier WHERE s_suppkey % 2 = 0), fx AS (SELECT s_suppkey AS tenant_id, (s_suppkey % 70)::INT AS partition_id FROM supplier WHERE s_suppkey IN (4, 10, 66)),
+@query(QUEUE + """, t AS (SELECT lane, tenant_id, (count(*) / any_value(weight))::DOUBLE AS vtime FROM w GROUP BY lane, tenant_id)
+SELECT lane, tenant_id, vtime, row_number() OVER (PARTITION BY lane ORDER BY vtime, tenant_id)::INT AS place FROM t QUALIFY row_number() OVER (PARTITION BY lane ORDER BY vtime, tenant_id) <= 60""")
+def checkout_candidates(r: Relations):
+    ring = queue(r).groupBy("lane", "tenant_id").agg((F.count("*") / F.first("weight")).alias("vtime"))
+    return fairness.candidates(ring, 10)
+
+
+@query("""tn AS (SELECT s_suppkey AS tenant_id FROM supplier), fx AS (SELECT s_suppkey AS tenant_id, (s_suppkey % 70)::INT AS partition_id FROM supplier WHERE s_suppkey IN (4, 10, 66)),
 held AS (SELECT * FROM fx WHERE partition_id < 40), free AS (SELECT p::INT AS partition_id, row_number() OVER (ORDER BY p) AS rk FROM range(40) x(p) WHERE p NOT IN (SELECT partition_id FROM held)),
 wt AS (SELECT tenant_id, row_number() OVER (ORDER BY tenant_id) AS rk FROM tn WHERE tenant_id NOT IN (SELECT tenant_id FROM held))
 SELECT tn.tenant_id, coalesce(held.partition_id, free.partition_id) AS partition_id FROM tn LEFT JOIN held USING (tenant_id) LEFT JOIN wt ON wt.tenant_id = tn.tenant_id LEFT JOIN free ON free.rk = wt.rk""")
 def partition_assign(r: Relations):
     fixed = r.supplier.where("s_suppkey in (4, 10, 66)").select(F.col("s_suppkey").alias("tenant_id"), (F.col("s_suppkey") % 70).cast("int").alias("partition_id"))
-    return fairness.assign_partitions(r.supplier.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("tenant_id")), fixed, 40)
+    return fairness.assign_partitions(r.supplier.select(F.col("s_suppkey").alias("tenant_id")), fixed, 40)
 
 
 @query("""f AS (SELECT event_id AS slot_id FROM events WHERE event_type = 'purchase'), l AS (SELECT event_id AS slot_id, value AS expiry FROM events WHERE event_id % 3 != 0)
@@ -128,13 +136,13 @@ def due_claim(r: Relations):
     return schedule.claim_due(s, at(NOW)).select("job_id", "run_at")
 
 
-SCHEDULES = "s AS (SELECT s_suppkey AS id, ['skip', 'fire_once', 'backfill'][s_suppkey % 3 + 1] AS misfire_policy, s_suppkey % 10 != 0 AS enabled, TIMESTAMP '1998-05-31 00:00:00' + to_minutes((s_suppkey * 37) % 2000) AS next_run_at FROM supplier)"
+SCHEDULES = "s AS (SELECT s_suppkey AS id, ['skip', 'fire_once', 'backfill', 'weird'][s_suppkey % 4 + 1] AS misfire_policy, s_suppkey % 10 != 0 AS enabled, TIMESTAMP '1998-05-31 00:00:00' + to_minutes((s_suppkey * 37) % 2000) AS next_run_at FROM supplier)"
 
 
 def schedules(r: Relations):
-    k = (F.col("s_suppkey") % 3 + 1).cast("int")
+    k = (F.col("s_suppkey") % 4 + 1).cast("int")
     return r.supplier.select(
-        F.col("s_suppkey").alias("id"), F.element_at(F.array(F.lit("skip"), F.lit("fire_once"), F.lit("backfill")), k).alias("misfire_policy"), (F.col("s_suppkey") % 10 != 0).alias("enabled"),
+        F.col("s_suppkey").alias("id"), F.element_at(F.array(F.lit("skip"), F.lit("fire_once"), F.lit("backfill"), F.lit("weird")), k).alias("misfire_policy"), (F.col("s_suppkey") % 10 != 0).alias("enabled"),
         (at("1998-05-31 00:00:00") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("s_suppkey") * 37 % 2000).cast("int"))).alias("next_run_at"),
     )
 
@@ -165,26 +173,25 @@ def cron_next(r: Relations):
     return cron.instants(d, "30 8,17 1,15 * mon,wed", F.col("after") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(1)), stop).groupBy("after").agg(F.min("fire_at").alias("fire_at"))
 
 
-PLAN = INSTANTS + """, p AS (SELECT i.id, fire_at, misfire_policy, row_number() OVER (PARTITION BY i.id ORDER BY fire_at) AS n, max(fire_at) OVER (PARTITION BY i.id) AS last FROM i JOIN s USING (id), clock WHERE fire_at <= now),
-c AS (SELECT p.* FROM p, clock WHERE (misfire_policy = 'backfill' AND n <= 20) OR (misfire_policy = 'fire_once' AND n = 1) OR (misfire_policy = 'skip' AND fire_at = last AND fire_at + INTERVAL 2 HOUR >= now)),
+PLAN = INSTANTS + """, q AS (SELECT id, misfire_policy, next_run_at, unnest(list_prepend(next_run_at, coalesce((SELECT list(fire_at ORDER BY fire_at) FROM i WHERE i.id = s.id AND fire_at > next_run_at), []))) AS fire_at FROM s, clock WHERE next_run_at <= now),
+p AS (SELECT q.*, row_number() OVER (PARTITION BY id ORDER BY fire_at) AS n FROM q),
+c AS (SELECT p.* FROM p, clock WHERE fire_at <= now AND CASE misfire_policy WHEN 'backfill' THEN n <= 20 WHEN 'skip' THEN n = 1 AND now - next_run_at <= INTERVAL 2 HOUR ELSE n = 1 END),
 f AS (SELECT id, count(*) AS fires, min(fire_at) AS first_fire, max(fire_at) AS last_fire FROM c GROUP BY id)"""
 
 
-@query(PLAN + """, n AS (SELECT i.id, min(fire_at) AS new_next FROM i JOIN s USING (id) LEFT JOIN f USING (id), clock WHERE fire_at > CASE WHEN misfire_policy = 'backfill' AND fires = 20 THEN last_fire ELSE now END GROUP BY i.id)
-SELECT s.id, misfire_policy, coalesce(fires, 0) AS fires, first_fire, last_fire, new_next FROM s LEFT JOIN f USING (id) LEFT JOIN n USING (id)""")
+@query(PLAN + """, n AS (SELECT p.id, min(fire_at) AS new_next FROM p LEFT JOIN f USING (id), clock WHERE fire_at > CASE WHEN misfire_policy = 'backfill' THEN last_fire ELSE now END GROUP BY p.id)
+SELECT s.id, misfire_policy, coalesce(fires, 0) AS fires, first_fire, last_fire, coalesce(new_next, next_run_at) AS new_next FROM s LEFT JOIN f USING (id) LEFT JOIN n USING (id)""")
 def plan_fires(r: Relations):
     return schedule.plan_fires(instants(r).select("id", "fire_at"), schedules(r), at(NOW), 7200, 20)
 
 
-@query(PLAN + """ SELECT c.id AS schedule_id, fire_at, 'sched-' || c.id || '-' || epoch(fire_at)::BIGINT AS job_id FROM c WHERE NOT (c.id % 4 = 0 AND hour(fire_at) < 12)""")
+@query(PLAN + """ SELECT c.id AS schedule_id, fire_at, 'sched-' || c.id || '-' || epoch(fire_at)::BIGINT AS job_id FROM c WHERE NOT (c.id % 4 = 2 AND hour(fire_at) BETWEEN 6 AND 11 AND minute(fire_at) = 20)""")
 def unseen_fires(r: Relations):
     from ..functions import scalars
 
-    plan = schedule.plan_fires(instants(r).select("id", "fire_at"), schedules(r), at(NOW), 7200, 20)
-    past = instants(r).select("id", "fire_at", "misfire_policy").where(F.col("fire_at") <= at(NOW)).join(plan.select("id", "first_fire", "last_fire"), "id")
-    fires = past.where(F.col("fire_at").between(F.col("first_fire"), F.col("last_fire"))).select(F.col("id").alias("schedule_id"), "fire_at")
-    known = instants(r).where("id % 4 = 0 and hour(fire_at) < 12").select(F.col("id").alias("schedule_id"), "fire_at")
-    return schedule.unseen_fires(fires, known).withColumn("job_id", scalars.fire_id(F.col("schedule_id"), F.col("fire_at")))
+    due = schedule.fires(instants(r).select("id", "fire_at"), schedules(r), at(NOW), 7200, 20).withColumnRenamed("id", "schedule_id")
+    known = due.where("schedule_id % 4 = 2 and hour(fire_at) between 6 and 11 and minute(fire_at) = 20")
+    return schedule.unseen_fires(due, known).withColumn("job_id", scalars.fire_id(F.col("schedule_id"), F.col("fire_at")))
 
 
 FIRES = """fires AS (SELECT l_suppkey AS schedule_id, l_shipdate AS fire_at, CASE l_returnflag WHEN 'A' THEN 'pending' ELSE 'dispatched' END AS status, l_shipdate + to_seconds(l_linenumber) AS created_at,

@@ -7,6 +7,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Fixed value: the syntax of variables in configuration texts.
 VARIABLE = re.compile(r"\$\{([A-Za-z_][A-Za-z0-9_]*)(?::-([^}]*))?\}")
 MANIFEST = "job_type string, runtime string, worker_class string, topic string, max_retries int, retry_tier string, fairness_type string"
 

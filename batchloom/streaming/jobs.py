@@ -7,6 +7,9 @@ sorting a key's rows by their arrival column.
 
 from __future__ import annotations
 
+import contextlib
+import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,37 +19,63 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 LOG = "topic string, partition int, offset bigint, key string, value string, timestamp timestamp"
 LEDGER = "batch_id bigint, touched bigint, completed bigint, failed bigint, status string, callback string"
+WEEK = 7 * 86_400
 
 
 def log_stream(spark: SparkSession, path: str | None = None, schema: str = LOG, per_trigger: int = 100, kafka: dict[str, str] | None = None) -> DataFrame:
-    """A bounded-fetch stream of log records from files, or from a broker if its options are given."""
+    """A bounded-fetch stream of log records from files, or from a broker if its options are given.
+
+    ``per_trigger`` bounds the files, or the records of a broker, that a micro-batch takes. Records
+    of a partition keep their offsets; operators restore their order per key.
+    """
     if kafka:
-        return spark.readStream.format("kafka").options(**{"startingOffsets": "earliest", **kafka}).load()
+        return spark.readStream.format("kafka").options(**{"startingOffsets": "earliest", "maxOffsetsPerTrigger": str(per_trigger), **kafka}).load()
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
 class LedgerProcessor(StatefulProcessor):
-    """Per batch: seen operations by sequence, counters, sticky status and callback claims."""
+    """Per batch: seen operations by sequence, counters, sticky status and callback claims.
+
+    The rules are those of ``ledger.fold``. All state of a batch goes ``ttl`` seconds after the last
+    event that counted.
+    """
+
+    def __init__(self, ttl: int = WEEK):
+        self.ttl = ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.seen = handle.getMapState("seen", "seq bigint", "touched boolean, ok boolean, bad boolean")
-        self.batch = handle.getValueState("batch", "total bigint, touched bigint, completed bigint, failed bigint, status string, complete boolean, success boolean")
+        self.batch = handle.getValueState("batch", "total bigint, sealed boolean, touched bigint, completed bigint, failed bigint, status string, complete boolean, success boolean, expires bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values("arrival", kind="stable")
-        total, touched, completed, failed, status, complete, success = self.batch.get() if self.batch.exists() else (int(events["total_jobs"].iloc[0]), 0, 0, 0, "running", False, False)
-        out = []
-        for seq, op in zip(events["batch_seq"], events["op"], strict=True):
-            if pd.isna(seq) or seq < 1:
+        if key[0] is None or pd.isna(key[0]):
+            yield pd.DataFrame([], columns=[c.split()[0] for c in LEDGER.split(", ")])
+            return
+        touched = completed = failed = 0
+        status, complete, success, expires = None, False, False, None
+        if self.batch.exists():
+            _, _, touched, completed, failed, status, complete, success, expires = self.batch.get()
+        out, counted = [], False
+        for seq, op, total, sealed, stored in zip(events["batch_seq"], events["op"], events["total_jobs"], events["sealed"], events["status"], strict=True):
+            if status is None:  # the batch as it was when its first event came
+                status = "running" if stored is None or pd.isna(stored) else stored
+                complete, success = status in ("complete", "success"), status == "success"
+            if stored == "cancelled":
+                status = "cancelled"
+            if seq is None or pd.isna(seq) or seq < 1 or status == "cancelled":
                 continue
+            total, sealed = 0 if total is None or pd.isna(total) else int(total), bool(sealed is not None and not pd.isna(sealed) and sealed)
             seq, op = int(seq), op if op in ("success", "failed", "executed") else "failed"
             t, ok, bad = self.seen.getValue((seq,)) if self.seen.containsKey((seq,)) else (False, False, False)
-            touched += not t
-            if op == "success" and not ok:
-                completed, ok = completed + 1, True
-            elif op == "failed" and not bad:
-                failed, bad = failed + (not ok), True
-            self.seen.updateValue((seq,), (True, ok, bad))
+            good, fails = op == "success" and not ok, op == "failed" and not ok and not bad
+            if t and not good and not fails:
+                continue
+            touched, completed, failed, counted = touched + (not t), completed + good, failed + fails, True
+            self.seen.updateValue((seq,), (True, ok or good, bad or fails))
+            if not sealed or total < 1:
+                continue
             full, over = completed >= total, completed + failed >= total
             if (full or over) and status == "running":
                 status = "success" if full else "complete"
@@ -56,20 +85,31 @@ class LedgerProcessor(StatefulProcessor):
             if full and not success:
                 success, fired = True, [*fired, "success"]
             out += [(key[0], touched, completed, failed, status, c) for c in fired]
-        self.batch.update((total, touched, completed, failed, status, complete, success))
+        if counted:
+            if expires is not None:
+                self.handle.deleteTimer(expires)
+            expires = timerValues.getCurrentProcessingTimeInMs() + 1000 * self.ttl
+            self.handle.registerTimer(expires)
+        if expires is not None:  # batches without a counting event keep no state
+            self.batch.update((int(events["total_jobs"].fillna(0).iloc[-1]), bool(events["sealed"].fillna(False).iloc[-1]), touched, completed, failed, status, complete, success, expires))
         out.append((key[0], touched, completed, failed, status, None))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in LEDGER.split(", ")])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.seen.clear()
+        self.batch.clear()
+        yield pd.DataFrame([], columns=[c.split()[0] for c in LEDGER.split(", ")])
+
     def close(self) -> None:
         pass
 
 
-def ledger_stream(events: DataFrame) -> DataFrame:
-    """Counters after every micro-batch and callbacks once. events(batch_id, batch_seq, op, arrival, total_jobs).
+def ledger_stream(events: DataFrame, ttl: int = WEEK) -> DataFrame:
+    """Counters after every micro-batch and callbacks once. events(batch_id, batch_seq, op, arrival, total_jobs, sealed, status).
 
     Needs the RocksDB state store provider.
     """
-    return events.groupBy("batch_id").transformWithStateInPandas(LedgerProcessor(), LEDGER, "Append", "None")
+    return events.groupBy("batch_id").transformWithStateInPandas(LedgerProcessor(ttl), LEDGER, "Append", "ProcessingTime")
 
 
 class UniqProcessor(StatefulProcessor):
@@ -79,7 +119,8 @@ class UniqProcessor(StatefulProcessor):
         self.ttl = ttl_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.owner = handle.getValueState("owner", "job_id string, until double")
+        # the store forgets owners too, so fingerprints that never come back leave nothing behind
+        self.owner = handle.getValueState("owner", "job_id string, until double", ttlDurationMs=self.ttl * 1000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values("arrival", kind="stable")
@@ -99,52 +140,138 @@ class UniqProcessor(StatefulProcessor):
         pass
 
 
-def uniq_stream(claims: DataFrame, ttl_seconds: int = 7 * 86_400) -> DataFrame:
+def uniq_stream(claims: DataFrame, ttl_seconds: int = WEEK) -> DataFrame:
     """claims(fingerprint, job_id, action claim/release, arrival in seconds): who won."""
-    return claims.groupBy("fingerprint").transformWithStateInPandas(UniqProcessor(ttl_seconds), "fingerprint string, job_id string, won boolean", "Append", "None")
+    return claims.groupBy("fingerprint").transformWithStateInPandas(UniqProcessor(ttl_seconds), "fingerprint string, job_id string, won boolean", "Append", "ProcessingTime")
+
+
+class CommitProcessor(StatefulProcessor):
+    """Per (topic, partition): offsets that are not done yet, and the next one to commit.
+
+    What ``offsets.commit_prefix`` computes over a whole log; a failed or pending offset blocks.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.waiting = handle.getMapState("waiting", "offset bigint", "failed boolean")
+        self.last = handle.getValueState("last", "offset bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last = self.last.get()[0] if self.last.exists() else -1
+        for r in pd.concat(list(rows)).sort_values(["offset", "arrival"], kind="stable").itertuples():
+            offset, last = int(r.offset), max(last, int(r.offset))
+            if r.state != "done":
+                self.waiting.updateValue((offset,), (r.state == "failed",))
+            elif self.waiting.containsKey((offset,)):
+                self.waiting.removeKey((offset,))
+        self.last.update((last,))
+        yield pd.DataFrame([(*key, min((k[0] for k in self.waiting.keys()), default=last + 1))], columns=["topic", "partition_id", "next_commit"])
+
+    def close(self) -> None:
+        pass
+
+
+def commit_stream(log: DataFrame) -> DataFrame:
+    """log(topic, partition_id, offset, state, arrival): the next offset to commit after every micro-batch."""
+    return log.groupBy("topic", "partition_id").transformWithStateInPandas(CommitProcessor(), "topic string, partition_id int, next_commit bigint", "Append", "None")
 
 
 class FairProcessor(StatefulProcessor):
-    """One lane's weighted fair queue: enqueue, checkout, abort and complete as input rows."""
+    """One lane's weighted fair queue, with its actions as input rows.
+
+    enqueue: waits, or is rejected beyond ``window`` waiting jobs; a tenant that comes back starts
+    at the ring's least virtual time at least. checkout: the least (virtual time, tenant) gives its
+    oldest job, which holds a lease and is being forwarded; none beyond ``budget`` live leases
+    (0: no bound). With a budget, tenants below their weighted share go first, among the first
+    max(60, 3 * budget) of the ring. confirm ends forwarding; abort ends it, and the job goes to
+    its tenant's tail; complete ends the lease; renew prolongs it; expired leases lapse. A lane
+    without waiting jobs, live leases and forwards for ``debounce`` seconds of arrival time forgets
+    its virtual times; weights stay. arrival is in seconds.
+    """
 
-    def __init__(self, time_lane: bool = False, window: int = 100):
-        self.time_lane, self.window = time_lane, window
+    def __init__(self, time_lane: bool = False, window: int = 100, budget: int = 0, lease: float = 1800, debounce: float = 15):
+        self.time_lane, self.window, self.budget, self.lease, self.debounce = time_lane, window, budget, max(60.0, lease), debounce
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.tenants = handle.getMapState("tenants", "tenant string", "vtime double, weight double, jobs array<string>")
+        self.slots = handle.getMapState("slots", "job string", "tenant string, expiry double, forwarding boolean")
+        self.idle = handle.getValueState("idle", "since double")
+
+    def _take(self, ring: dict, slots: dict) -> str | None:
+        """The tenant whose turn it is."""
+        ready = sorted((t[0], k) for k, t in ring.items() if t[2])
+        if not self.budget:
+            return ready[0][1] if ready else None
+        if len(slots) >= self.budget:
+            return None
+        ready, load = ready[: max(60, 3 * self.budget)], Counter(s[0] for s in slots.values())
+        whole = sum(t[1] for k, t in ring.items() if t[2] or load[k]) or 1.0
+        below = [k for _, k in ready if load[k] < max(1, math.floor(self.budget * ring[k][1] / whole))]
+        return (below or [k for _, k in ready] or [None])[0]  # work goes on when all have their share
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         ring = {k[0]: [v[0], v[1], list(v[2])] for k, v in self.tenants.iterator()}
-        out = []
+        slots = {k[0]: list(v) for k, v in self.slots.iterator()}
+        idle = self.idle.get()[0] if self.idle.exists() else None
+        changed, out = set(), []
+        before = set(slots)
         for r in pd.concat(list(rows)).sort_values("arrival", kind="stable").itertuples():
-            t = ring.setdefault(r.tenant_id, [0.0, r.weight if r.weight and r.weight > 0 else 1.0, []]) if r.action != "checkout" else None
+            now = float(r.arrival)
+            for job in [j for j, s in slots.items() if s[1] <= now and not s[2]]:
+                del slots[job]
+            if idle is not None and now - idle >= self.debounce:
+                for k, t in ring.items():
+                    if t[0]:
+                        t[0] = 0.0
+                        changed.add(k)
+            result = None
             if r.action == "enqueue":
+                t = ring.setdefault(r.tenant_id, [0.0, r.weight if r.weight and r.weight > 0 else 1.0, []])
                 if len(t[2]) >= self.window:
-                    out.append((key[0], r.tenant_id, r.job_id, "rejected"))
-                    continue
-                if not t[2] and (busy := [x[0] for x in ring.values() if x[2]]):
-                    t[0] = max(t[0], min(busy))
-                t[2].append(r.job_id)
-            elif r.action == "checkout" and (ready := [(x[0], k) for k, x in ring.items() if x[2]]):
-                who = min(ready)[1]
-                out.append((key[0], who, ring[who][2].pop(0), "checked_out"))
+                    result = r.tenant_id, r.job_id, "rejected"
+                else:
+                    if not t[2] and (busy := [x[0] for x in ring.values() if x[2]]):
+                        t[0] = max(t[0], min(busy))
+                    t[2].append(r.job_id)
+                    changed.add(r.tenant_id)
+            elif r.action == "checkout" and (who := self._take(ring, slots)) is not None:
+                job = ring[who][2].pop(0)
                 ring[who][0] += 0 if self.time_lane else 1 / ring[who][1]
-            elif r.action == "abort":
+                slots[job] = [who, now + self.lease, True]
+                changed.add(who)
+                result = who, job, "checked_out"
+            elif r.action == "confirm" and r.job_id in slots:
+                slots[r.job_id][2] = False
+            elif r.action == "renew" and r.job_id in slots:
+                slots[r.job_id][1] = now + self.lease
+            elif r.action == "abort" and slots.get(r.job_id, [None, 0, False])[2]:
+                t = ring[who := slots.pop(r.job_id)[0]]
                 t[2].append(r.job_id)
                 t[0] -= 0 if self.time_lane else 1 / t[1]
-            elif r.action == "complete" and self.time_lane:
-                t[0] += r.duration / t[1]
-        for k, v in ring.items():
-            self.tenants.updateValue((k,), tuple(v))
+                changed.add(who)
+            elif r.action == "complete" and r.job_id in slots:
+                t = ring[who := slots.pop(r.job_id)[0]]
+                t[0] += r.duration / t[1] if self.time_lane else 0
+                changed.add(who)
+            if result:
+                out.append((key[0], *result))
+            quiet = not slots and not any(t[2] for t in ring.values())
+            idle = (now if idle is None else idle) if quiet else None
+        for k in changed:
+            self.tenants.updateValue((k,), tuple(ring[k]))
+        for job in before - set(slots):
+            self.slots.removeKey((job,))
+        for job, s in slots.items():
+            self.slots.updateValue((job,), tuple(s))
+        self.idle.clear() if idle is None else self.idle.update((idle,))
         yield pd.DataFrame(out, columns=["lane", "tenant_id", "job_id", "result"])
 
     def close(self) -> None:
         pass
 
 
-def fair_stream(actions: DataFrame, time_lane: bool = False, window: int = 100) -> DataFrame:
+def fair_stream(actions: DataFrame, time_lane: bool = False, window: int = 100, **settings) -> DataFrame:
     """actions(lane, tenant_id, weight, job_id, action, duration, arrival): checkouts in fair order."""
-    return actions.groupBy("lane").transformWithStateInPandas(FairProcessor(time_lane, window), "lane string, tenant_id string, job_id string, result string", "Append", "None")
+    return actions.groupBy("lane").transformWithStateInPandas(FairProcessor(time_lane, window, **settings), "lane string, tenant_id string, job_id string, result string", "Append", "None")
 
 
 class RetryProcessor(StatefulProcessor):
@@ -185,16 +312,24 @@ def throughput_stream(events: DataFrame, delay: str = "10 minutes", width: str =
     return events.withWatermark("ts", delay).groupBy(F.window("ts", width), "status", "field").agg(F.sum("n").alias("n")).select(F.col("window.start").alias("bucket"), "status", "field", "n")
 
 
-def route_each(stream: DataFrame, split: Callable[[DataFrame], dict[str, DataFrame]], sink: Callable[[str, DataFrame], None], checkpoint: str):
+def route_each(stream: DataFrame, split: Callable[[DataFrame], dict[str, DataFrame]], sink: Callable[[str, DataFrame], None], checkpoint: str, paused: Callable[[], DataFrame] | None = None):
     """Start a query that splits every micro-batch into named relations and hands them to a sink.
 
-    The micro-batch is persisted while its branches are written.
+    The micro-batch is persisted while its branches are written. ``paused`` gives the pauses
+    (topic, partition_id; -1 for a whole topic) anew for every micro-batch: a kill switch, or the
+    topics that a priority gate holds back. Their records go to the sink as "held" and nowhere else.
     """
+    from ..operators import control
 
     def each(batch: DataFrame, epoch: int) -> None:
         batch.persist()
         try:
-            for name, rows in split(batch).items():
+            free = batch
+            if paused is not None:
+                now = paused()
+                free = control.consumed(batch, now)
+                sink("held", control.held(batch, now))
+            for name, rows in split(free).items():
                 sink(name, rows)
         finally:
             batch.unpersist()
@@ -202,18 +337,130 @@ def route_each(stream: DataFrame, split: Callable[[DataFrame], dict[str, DataFra
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class Subscribers:
+    """Receivers of events; one that raises disturbs neither the others nor the job."""
+
+    def __init__(self) -> None:
+        self.receivers: dict[int, Callable[[dict], None]] = {}
+        self.given = 0
+
+    def add(self, fn: Callable[[dict], None] | None) -> Callable[[], None]:
+        """Add a receiver; what is returned removes it, once or more often."""
+        if fn is None:
+            return lambda: None
+        self.given += 1
+        number = self.given
+        self.receivers[number] = fn
+        return lambda: self.receivers.pop(number, None) and None
+
+    def replace(self, fn: Callable[[dict], None] | None) -> None:
+        """``fn`` alone from now on; none clears all."""
+        self.receivers = {}
+        self.add(fn)
+
+    def emit(self, event: dict) -> int:
+        """Hand a copy to every receiver; how many took it."""
+        took = 0
+        for fn in list(self.receivers.values()):
+            with contextlib.suppress(Exception):  # a receiver's error is its own
+                fn(dict(event))
+                took += 1
+        return took
+
+    def deliver(self, events: DataFrame) -> DataFrame:
+        """``events`` handed to the receivers where they lie, batch by batch, with ``delivered``."""
+        everyone = Subscribers()
+        everyone.receivers = dict(self.receivers)
+
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield b.assign(delivered=[everyone.emit(e) for e in b.to_dict("records")])
+
+        return events.mapInPandas(each, events.schema.add("delivered", "int"))
+
+
+class Callbacks:
+    """Batch callbacks by class name. An unknown class is only noted; an error parks the callback."""
+
+    SCHEMA = "batch_id bigint, method string, class_name string, result string, dlt_type string, dlt_error_message string"
+
+    def __init__(self) -> None:
+        self.by_class: dict[str, Callable] = {}
+
+    def register(self, class_name: str, fn: Callable[[str, dict], None]) -> None:
+        """``fn(method, callback)`` for callbacks of a class."""
+        self.by_class[class_name] = fn
+
+    def invoke(self, callbacks: DataFrame) -> DataFrame:
+        """callbacks(batch_id, outcome, on_success, on_complete), claimed before: what became of each."""
+        from ..operators import routing
+
+        table, names = dict(self.by_class), [c.split()[0] for c in self.SCHEMA.split(", ")]
+
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                out = []
+                for cb in b.to_dict("records"):
+                    fn, head = table.get(cb["class_name"]), (cb["batch_id"], cb["method"], cb["class_name"])
+                    if fn is None:
+                        out.append((*head, "noted", None, None))
+                        continue
+                    try:
+                        fn(cb["method"], cb)
+                        out.append((*head, "invoked", None, None))
+                    except Exception as e:  # parked, not raised: other callbacks go on
+                        out.append((*head, "parked", "callback_error", str(e)))
+                yield pd.DataFrame(out, columns=names)
+
+        rows = routing.callback_target(callbacks).select("batch_id", "outcome", "on_success", "on_complete", "method", "class_name")
+        return rows.mapInPandas(each, self.SCHEMA)
+
+
+class HandlerError(Exception):
+    """A job's error with a class of its own."""
+
+    def __init__(self, error_class: str, message: str):
+        super().__init__(message)
+        self.error_class = error_class or "GoExecutionError"
+
+
 class Handlers:
     """Registry of job handlers; running them is one Arrow-batched pass, and errors are result rows."""
 
     def __init__(self) -> None:
         self.by_type: dict[str, Callable] = {}
-        self.on_exhausted: Callable | None = None
+        self.exhausted: dict[str, Callable[[dict], None]] = {}
 
     def register(self, job_type: str, fn: Callable) -> None:
         if job_type in self.by_type:
             raise ValueError(f"{job_type} has a handler")
         self.by_type[job_type] = fn
 
+    def on_exhausted(self, job_type: str, fn: Callable[[dict], None]) -> None:
+        """``fn(summary)`` once for every job of the type that has no retry left, before its dead letter."""
+        self.exhausted[job_type] = fn
+
+    def run_exhausted(self, failed: DataFrame) -> DataFrame:
+        """Run the hooks over ``routing.on_failure`` rows that are exhausted: job_id and whether a hook ran.
+
+        A hook that raises has run; its error goes no further.
+        """
+        table = {k: fn for k, fn in self.exhausted.items() if k in self.by_type}
+        cols = [c for c in ("job_id", "job_type", "worker_class", "batch_id", "tenant_id", "payload", "attempt", "max_retries", "batch_counted", "error_name", "error_message") if c in failed.columns]
+
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                ran = []
+                for summary in b.to_dict("records"):
+                    fn = table.get(summary["job_type"])
+                    ran.append(fn is not None)
+                    if fn is not None:
+                        with contextlib.suppress(Exception):  # best effort
+                            fn(summary)
+                yield pd.DataFrame({"job_id": b["job_id"], "hook_ran": ran})
+
+        return failed.where("exhausted").select(*cols).mapInPandas(each, "job_id string, hook_ran boolean")
+
     def run(self, jobs: DataFrame) -> DataFrame:
         """jobs(job_id, job_type, payload) with ok, error_class and error_message."""
         table = dict(self.by_type)

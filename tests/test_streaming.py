@@ -1,12 +1,19 @@
 """Continuous forms give what the batch forms give."""
 
+import json
+import time
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
-from batchloom.operators import ledger
+from batchloom.operators import ledger, offsets, routing
+from batchloom.sources import sinks
 from batchloom.sources.bridge import Relations
 from batchloom.streaming import jobs
 
+from .test_cases import any_batches, tables
+
 
 def drained(stream, tmp_path, name, mode="append"):
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / f"c-{name}")).trigger(availableNow=True).start()
@@ -15,23 +22,123 @@ def drained(stream, tmp_path, name, mode="append"):
     return stream.sparkSession.table(name)
 
 
-def test_ledger_stream(spark, sf, tmp_path):
-    r = Relations(spark, sf)
-    batches = r.completions.join(r.totals, "batch_id").where("batch_id % 25 = 0").withColumn("arrival", F.to_json("arrival"))
-    ordered = r.completions.where("batch_id % 25 = 0")
-    # arrival as a number per batch, so that the stream and the fold order alike
-    from pyspark.sql import Window
+def staged(spark, tmp_path, name, *parts):
+    """A stream of one micro-batch per part, in order."""
+    path = str(tmp_path / name)
+    for i, p in enumerate(parts):
+        p.coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1 if i + 1 < len(parts) else 0)  # files are read by time
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_ledger_stream(spark, tmp_path):
+    """The stream's last counters, statuses and callbacks are those of the fold, over sealed, open, empty and cancelled batches."""
+    batches = any_batches()
+    ev, rows = tables(spark, batches)
+    both = ev.join(rows, "batch_id")
+    out = drained(jobs.ledger_stream(staged(spark, tmp_path, "in", both.where("arrival <= 2"), both.where("arrival > 2"))), tmp_path, "ledger_out").collect()
+    want = {r.batch_id: r for r in ledger.fold(ev, rows).collect()}
+    last = {}
+    for r in out:
+        if r.callback is None:
+            last[r.batch_id] = max(last.get(r.batch_id, (0, 0, 0)), (r.touched, r.completed, r.failed))
+    assert last == {b: (want[b].touched, want[b].completed, want[b].failed) for b, v in batches.items() if v[1]}
+    fired = sorted((r.batch_id, r.callback) for r in out if r.callback)
+    assert fired == sorted((r.batch_id, r.kind) for r in ledger.callbacks(ledger.fold(ev, rows)).collect())
+    ended = {r.batch_id: r.status for r in out if r.callback is None and (r.touched, r.completed, r.failed) == last[r.batch_id]}
+    assert all(ended[b] == want[b].status for b in ended)
+
+
+def test_ledger_state_expires(spark, tmp_path):
+    """After the time to live a batch is as new, and its events count again."""
+    ev = spark.createDataFrame([(1, 1, "success", 1, 2, True, "running")], "batch_id bigint, batch_seq bigint, op string, arrival int, total_jobs bigint, sealed boolean, status string")
+    path, check = str(tmp_path / "in"), str(tmp_path / "check")
+
+    def run(name):
+        ev.coalesce(1).write.mode("append").parquet(path)
+        stream = jobs.ledger_stream(spark.readStream.schema(ev.schema).parquet(path), ttl=3)
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", check).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return spark.read.parquet(str(tmp_path / "out")).count()
+
+    assert run("a") == 1
+    first = spark.read.parquet(str(tmp_path / "out")).collect()
+    time.sleep(4)
+    run("b")  # timers fire after a micro-batch's rows, so this one still meets the old state or clears it
+    time.sleep(4)
+    run("c")
+    assert [r.touched for r in first] == [1] and {r.touched for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {1}
+
+
+def test_commit_stream(spark, sf, tmp_path):
+    log = Relations(spark, sf).log.select("topic", "partition_id", "offset", "state")
+    seen = log.withColumn("state", F.when(F.col("state") == "done", "pending").otherwise(F.col("state"))).withColumn("arrival", F.lit(1))
+    done = log.where("state = 'done'").withColumn("arrival", F.lit(2))
+    out = drained(jobs.commit_stream(staged(spark, tmp_path, "log", seen, done)), tmp_path, "commit_out").collect()
+    want = {(r.topic, r.partition_id): r.next_commit for r in offsets.commit_prefix(log).collect()}
+    got = {}
+    for r in out:
+        got[r.topic, r.partition_id] = max(got.get((r.topic, r.partition_id), 0), r.next_commit)
+    assert got == want
+
 
-    ev = ordered.withColumn("n", F.row_number().over(Window.partitionBy("batch_id").orderBy("arrival"))).drop("arrival").withColumnRenamed("n", "arrival").join(r.totals, "batch_id")
+def fair(spark, tmp_path, name, rows, **settings):
+    """Results of actions (tenant, job, action, duration, arrival) on one lane with weights a 1, b 2."""
+    acts = spark.createDataFrame([("l", t, 2.0 if t == "b" else 1.0, j, a, d, float(at)) for t, j, a, d, at in rows], "lane string, tenant_id string, weight double, job_id string, action string, duration double, arrival double")
+    out = drained(jobs.fair_stream(staged(spark, tmp_path, name, acts), **settings), tmp_path, name).collect()
+    return [(r.tenant_id, r.job_id, r.result) for r in out]
+
+
+def test_fair_lifecycle(spark, tmp_path):
+    put = [("a", f"a{i}", "enqueue", 0.0, i) for i in range(3)] + [("b", f"b{i}", "enqueue", 0.0, i + 0.5) for i in range(3)]
+    take = lambda at: ("", "", "checkout", 0.0, at)
+    # a budget of one lease: the second checkout waits for completion; an aborted job goes to its tenant's tail
+    got = fair(spark, tmp_path, "budget", [*put, take(10), take(11), ("", "a0", "confirm", 0.0, 12), ("", "a0", "complete", 1.0, 13), take(14), ("", "b0", "abort", 0.0, 15), take(16)], budget=1)
+    assert [x[1] for x in got] == ["a0", "b0", "b1"]
+    # a confirmed job whose lease ends gives its place back; a renewed one keeps it
+    got = fair(spark, tmp_path, "lapse", [*put, take(10), ("", "a0", "confirm", 0.0, 11), take(69), take(71)], budget=1, lease=60)
+    assert [x[1] for x in got] == ["a0", "b0"]
+    got = fair(spark, tmp_path, "renew", [*put, take(10), ("", "a0", "confirm", 0.0, 11), ("", "a0", "renew", 0.0, 60), take(71), take(121)], budget=1, lease=60)
+    assert [x[1] for x in got] == ["a0", "b0"]
+    # what is still being forwarded does not lapse
+    assert [x[1] for x in fair(spark, tmp_path, "stay", [*put, take(10), take(500)], budget=1, lease=60)] == ["a0"]
+    # the time lane charges at completion
+    got = fair(spark, tmp_path, "time", [*put, take(10), ("", "a0", "complete", 5.0, 11), take(12), take(13)], time_lane=True)
+    assert [x[1] for x in got] == ["a0", "b0", "b1"]
+
+
+def test_idle_lane_forgets_virtual_times(spark, tmp_path):
+    def turn(pause, end=("", "a0", "complete", 0.0, 3)):
+        rows = [("a", "a0", "enqueue", 0.0, 1), ("", "", "checkout", 0.0, 2), end, ("a", "a1", "enqueue", 0.0, 3 + pause), ("b", "b1", "enqueue", 0.0, 3.1 + pause), ("", "", "checkout", 0.0, 4 + pause)]
+        return fair(spark, tmp_path, f"idle{pause}{end[2]}", rows)[-1][1]
+
+    assert turn(5) == "a1"  # b starts at the ring's least time, a's: equal times go by name
+    rows = [("a", "a0", "enqueue", 0.0, 1), ("", "", "checkout", 0.0, 2), ("", "a0", "complete", 0.0, 3)]
+    late = [("b", "b1", "enqueue", 0.0, 10), ("a", "a1", "enqueue", 0.0, 10.1), ("", "", "checkout", 0.0, 11)]
+    assert fair(spark, tmp_path, "busy", rows + late)[-1][1] == "b1"  # 7 idle seconds: a still has its time of 1
+    later = [(t, j, k, d, at + 10) for t, j, k, d, at in late]
+    assert fair(spark, tmp_path, "quiet", rows + later)[-1][1] == "a1"  # 17 idle seconds: a starts anew
+    held = [("a", "a0", "enqueue", 0.0, 1), ("", "", "checkout", 0.0, 2)]
+    assert fair(spark, tmp_path, "held", held + later)[-1][1] == "b1"  # a job being forwarded keeps the lane awake
+
+
+def test_retry_stream(spark, tmp_path):
+    """What is due goes at once, what is not is held and goes when its time has come."""
+    now = int(time.time() * 1000)
+    rows = spark.createDataFrame([("due", "t1", now - 1000), ("soon", "t2", now + 6000), ("late", "t3", now + 3_600_000)], "job_id string, retry_to string, due bigint")
     path = str(tmp_path / "in")
-    ev.where("arrival <= 2").coalesce(1).write.parquet(path)
-    ev.where("arrival > 2").coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(path)
-    out = drained(jobs.ledger_stream(stream), tmp_path, "ledger_out")
-    last = out.where("callback is null").groupBy("batch_id").agg(F.max("touched").alias("touched"), F.max("completed").alias("completed"), F.max("failed").alias("failed"))
-    want = ledger.fold(ordered, r.totals).where("batch_id % 25 = 0 and touched > 0").select("batch_id", "touched", "completed", "failed")
-    assert sorted(map(tuple, last.collect())) == sorted(map(tuple, want.collect()))
-    assert batches.count() == ev.count()
+    rows.coalesce(1).write.parquet(path)
+    q = jobs.retry_stream(spark.readStream.schema(rows.schema).parquet(path)).writeStream.format("memory").queryName("retry_out").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="1 second").start()
+    try:
+        q.processAllAvailable()
+        assert [r.job_id for r in spark.table("retry_out").collect()] == ["due"]
+        for _ in range(30):
+            if spark.table("retry_out").count() == 2:
+                break
+            time.sleep(1)
+        assert {(r.job_id, r.retry_to) for r in spark.table("retry_out").collect()} == {("due", "t1"), ("soon", "t2")} and time.time() * 1000 >= now + 6000
+    finally:
+        q.stop()
 
 
 def test_uniq_and_fair_streams(spark, tmp_path):
@@ -63,6 +170,101 @@ def test_handlers(spark):
     assert got == {"1": (True, None), "2": (False, "GoExecutionError"), "3": (False, "UnknownHandler")}
 
 
+def noting(path, fail=False):
+    """A callable that leaves a file for each value it is given; workers have no other way to tell."""
+
+    def note(*args):
+        with open(f"{path}/{uuid.uuid4().hex}", "w") as f:
+            f.write(json.dumps(args, default=str))
+        if fail:
+            raise RuntimeError("no")
+
+    return note
+
+
+def notes(path):
+    return sorted(json.loads(p.read_text()) for p in path.iterdir())
+
+
+def test_exhausted_hook(spark, tmp_path):
+    h = jobs.Handlers()
+    for kind in ("a", "b", "c"):
+        h.register(kind, print)
+    (tmp_path / "a").mkdir(), (tmp_path / "b").mkdir()
+    h.on_exhausted("a", noting(str(tmp_path / "a")))
+    h.on_exhausted("b", noting(str(tmp_path / "b"), fail=True))
+    h.on_exhausted("none", noting(str(tmp_path / "a")))  # no handler of that type here
+    rows = [("1", "a", 3, 3), ("2", "a", 1, 3), ("3", "b", 9, 3), ("4", "c", 9, 3), ("5", "none", 9, 3)]
+    failed = spark.createDataFrame(rows, "job_id string, job_type string, attempt int, max_retries int").selectExpr("*", "5L as batch_id", "1L as batch_seq", "false as batch_counted", "cast(null as string) as error_class")
+    got = {r.job_id: r.hook_ran for r in h.run_exhausted(routing.on_failure(failed)).collect()}
+    assert got == {"1": True, "3": True, "4": False, "5": False}
+    assert [n[0]["job_id"] for n in notes(tmp_path / "a")] == ["1"] and notes(tmp_path / "a")[0][0]["error_name"] == "GoExecutionError" and len(notes(tmp_path / "b")) == 1
+
+
+def test_handler_errors(spark):
+    h = jobs.Handlers()
+
+    def over(payload):
+        raise jobs.HandlerError("Overloaded", "busy")
+
+    h.register("over", over)
+    assert h.run(spark.createDataFrame([("1", "over", "")], "job_id string, job_type string, payload string")).first()[1:] == (False, "Overloaded", "busy")
+
+
+def test_subscribers(spark, tmp_path):
+    s, got = jobs.Subscribers(), []
+    remove = s.add(got.append)
+    s.add(lambda e: 1 / 0)
+    assert s.emit({"event": "job.failed"}) == 1 and got == [{"event": "job.failed"}]
+    remove(), remove()
+    assert s.emit({}) == 0 and len(got) == 1
+    (tmp_path / "n").mkdir()
+    s.replace(noting(str(tmp_path / "n")))
+    events = spark.createDataFrame([("a", 1), ("b", 2)], "event string, n int")
+    assert {tuple(r) for r in s.deliver(events).collect()} == {("a", 1, 1), ("b", 2, 1)} and len(notes(tmp_path / "n")) == 2
+    s.replace(None)
+    assert s.emit({}) == 0 and s.add(None)() is None
+
+
+def test_callbacks(spark, tmp_path):
+    c = jobs.Callbacks()
+    (tmp_path / "ok").mkdir()
+    c.register("Done", noting(str(tmp_path / "ok")))
+    c.register("Broken", lambda method, cb: 1 / 0)
+    rows = [(1, "success", "Done", "Other"), (2, "complete", "Done", "Broken"), (3, "success", "", "Done"), (4, "success_only", "Nobody", None)]
+    got = {r.batch_id: (r.method, r.class_name, r.result, r.dlt_type) for r in c.invoke(spark.createDataFrame(rows, "batch_id bigint, outcome string, on_success string, on_complete string")).collect()}
+    assert got == {1: ("on_success", "Done", "invoked", None), 2: ("on_complete", "Broken", "parked", "callback_error"), 3: ("on_complete", "Done", "invoked", None), 4: ("on_success", "Nobody", "noted", None)}
+    assert sorted((m, cb["batch_id"]) for m, cb in notes(tmp_path / "ok")) == [("on_complete", 3), ("on_success", 1)]
+
+
+def test_kill_switch(spark, tmp_path):
+    log = spark.createDataFrame([("t", p, o) for p in range(3) for o in range(4)] + [("u", 0, 0)], "topic string, partition_id int, offset bigint")
+    log.write.parquet(str(tmp_path / "l"))
+    seen = {}
+    pauses = spark.createDataFrame([("t", 1), ("u", -1)], "topic string, partition_id int")
+    q = jobs.route_each(spark.readStream.schema(log.schema).parquet(str(tmp_path / "l")), lambda b: {"all": b}, lambda n, df: seen.__setitem__(n, seen.get(n, 0) + df.count()), str(tmp_path / "ck"), lambda: pauses)
+    q.awaitTermination(60)
+    assert seen == {"held": 5, "all": 8}
+
+
+def test_produce(spark, tmp_path):
+    """A failed chunk ends its task's writes; what was written is counted."""
+    rows = spark.range(0, 1200, 1, 2).selectExpr("id", "'t' || id % 3 as topic")
+    assert tuple(sinks.produced(sinks.produce(rows, lambda part: None)).first()) == (1200, 1200, 0, None)
+    assert sinks.produce(rows, lambda part: None).count() == 4  # two tasks of 600 records
+
+    def breaks(part):
+        if (part["id"] == 550).any():
+            raise OSError("broker gone")
+        return len(part)
+
+    assert tuple(sinks.produced(sinks.produce(rows, breaks)).first()) == (1200, 1100, 100, "broker gone")
+    assert tuple(sinks.produced(sinks.produce(rows, lambda part: 10)).first()) == (1200, 20, 1180, "partial write")
+    assert tuple(sinks.produced(sinks.produce(rows.limit(0), lambda part: None)).first()) == (0, 0, 0, None)
+    sinks.to_topics(rows, str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).groupBy("topic").count().count() == 3
+
+
 def test_route_each(spark, tmp_path):
     spark.range(10).write.parquet(str(tmp_path / "r"))
     seen = {}
