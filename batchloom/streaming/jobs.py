@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 LOG = "topic string, partition int, offset bigint, key string, value string, timestamp timestamp"
@@ -107,7 +108,8 @@ class LedgerProcessor(StatefulProcessor):
 def ledger_stream(events: DataFrame, ttl: int = WEEK) -> DataFrame:
     """Counters after every micro-batch and callbacks once. events(batch_id, batch_seq, op, arrival, total_jobs, sealed, status).
 
-    Needs the RocksDB state store provider.
+    Needs the RocksDB state store provider. Expiry is a timer, so a run over available data ends only
+    with spark.sql.streaming.noDataMicroBatches.enabled=false.
     """
     return events.groupBy("batch_id").transformWithStateInPandas(LedgerProcessor(ttl), LEDGER, "Append", "ProcessingTime")
 
@@ -376,7 +378,7 @@ class Subscribers:
             for b in batches:
                 yield b.assign(delivered=[everyone.emit(e) for e in b.to_dict("records")])
 
-        return events.mapInPandas(each, events.schema.add("delivered", "int"))
+        return events.mapInPandas(each, T.StructType([*events.schema.fields, T.StructField("delivered", T.IntegerType())]))
 
 
 class Callbacks:

@@ -17,6 +17,7 @@ def spark():
         SparkSession.builder.master("local[4]").appName("tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g")
         .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        .config("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else operators with timers never run out of micro-batches
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")

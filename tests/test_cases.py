@@ -338,7 +338,7 @@ def test_scalars(spark):
     import xxhash
 
     raw = b"w\0{}"
-    assert r.same and r.c == '{"a":"<é>&","b":1}' and tuple(r.p) == ("a:b", 3, 44) and r.dsn == "u:p@tcp(h:3306)/db" and r.u == ["a", "b"]
+    assert r.same and r.c == '{"a":"<é>&","b":1}' and tuple(r.p) == ("a:b", 3, 44) and r.dsn == "u:p@tcp(h:3306)/db?x=1" and r.u == ["a", "b"]
     assert r.f == b"".join(xxhash.xxh64_intdigest(x).to_bytes(8, "little") for x in (raw, raw + b"\0uniq_salt_v1")).hex()
 
 

@@ -17,7 +17,7 @@ from .test_cases import any_batches, tables
 
 def drained(stream, tmp_path, name, mode="append"):
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / f"c-{name}")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q.awaitTermination(60)
     q.stop()
     return stream.sparkSession.table(name)
 
@@ -58,7 +58,8 @@ def test_ledger_state_expires(spark, tmp_path):
         ev.coalesce(1).write.mode("append").parquet(path)
         stream = jobs.ledger_stream(spark.readStream.schema(ev.schema).parquet(path), ttl=3)
         q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", check).trigger(availableNow=True).start()
-        q.awaitTermination(120)
+        q.awaitTermination(60)
+        q.stop()
         return spark.read.parquet(str(tmp_path / "out")).count()
 
     assert run("a") == 1
@@ -128,17 +129,19 @@ def test_retry_stream(spark, tmp_path):
     rows = spark.createDataFrame([("due", "t1", now - 1000), ("soon", "t2", now + 6000), ("late", "t3", now + 3_600_000)], "job_id string, retry_to string, due bigint")
     path = str(tmp_path / "in")
     rows.coalesce(1).write.parquet(path)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
     q = jobs.retry_stream(spark.readStream.schema(rows.schema).parquet(path)).writeStream.format("memory").queryName("retry_out").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="1 second").start()
     try:
-        q.processAllAvailable()
-        assert [r.job_id for r in spark.table("retry_out").collect()] == ["due"]
-        for _ in range(30):
+        for _ in range(40):
+            if spark.table("retry_out").count() == 1 and time.time() * 1000 < now + 6000:
+                assert [r.job_id for r in spark.table("retry_out").collect()] == ["due"]
             if spark.table("retry_out").count() == 2:
                 break
             time.sleep(1)
         assert {(r.job_id, r.retry_to) for r in spark.table("retry_out").collect()} == {("due", "t1"), ("soon", "t2")} and time.time() * 1000 >= now + 6000
     finally:
         q.stop()
+        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
 
 
 def test_uniq_and_fair_streams(spark, tmp_path):
