@@ -186,7 +186,7 @@ def noting(path, fail=False):
 
 
 def notes(path):
-    return sorted(json.loads(p.read_text()) for p in path.iterdir())
+    return sorted((json.loads(p.read_text()) for p in path.iterdir()), key=str)
 
 
 def test_exhausted_hook(spark, tmp_path):
