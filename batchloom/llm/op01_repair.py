@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .store import landed, small_or_shuffled
 from .words import encoder
 
-MIN_COUNT, STEP, HASH_BITS = 8, 0.25, 18
+MIN_COUNT, STEP, HASH_BITS = 8, 0.02, 18
 BLOCK_TOKENS = 1 << 19
 END_ID = 2
 _LOW = np.uint64(0xFFFFFFFF)
@@ -39,26 +39,42 @@ BLOCK_SCHEMA = (
 )
 
 
-def repeated_pairs(seq: np.ndarray, last: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(pairs as one integer each, their exact counts, places, pair of each place) of pairs seen ``min_count`` times or more.
+def numbered(key: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, number of each key): a slot's last key by one look-up, the others by sorting."""
+    if len(key) < 1 << HASH_BITS - 4:
+        return np.unique(key, return_inverse=True)
+    last = np.full(1 << HASH_BITS, -1, np.int32)
+    last[slot] = np.arange(len(slot), dtype=np.int32)
+    rest = np.flatnonzero(key != key[last[slot]])
+    used = last >= 0
+    of, distinct = (np.cumsum(used, dtype=np.int32) - 1)[slot], key[last[used]]
+    if len(rest):
+        more, inverse = np.unique(key[rest], return_inverse=True)
+        of[rest] = len(distinct) + inverse
+        distinct = np.concatenate([distinct, more])
+    return distinct, of
 
-    A pair over a document's end does not count; of overlapping occurrences of one pair (a run of
-    one symbol) every other counts. A hash only leaves out places whose pair is surely too rare.
+
+def repeated_pairs(seq: np.ndarray, at: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs as one integer each, their exact counts, places, pair of each place, whether it counts) of pairs seen ``min_count`` times or more.
+
+    ``at`` are the places to look at. Of overlapping occurrences of one pair (a run of one symbol)
+    every other counts. A hash only leaves out places whose pair is surely too rare.
     """
-    left, right = seq[:-1], seq[1:]
+    left, right = seq[at], seq[at + 1]
     slot = ((left * np.uint32(2654435761) ^ right * np.uint32(2246822519)) * np.uint32(3266489917) >> np.uint32(32 - HASH_BITS)).astype(np.intp)
-    inside = ~last[:-1]
-    at = np.flatnonzero((np.bincount(slot[inside], minlength=1 << HASH_BITS)[slot] >= min_count) & inside)
-    pair, of, count = np.unique(left[at].astype(np.uint64) << np.uint64(32) | right[at], return_inverse=True, return_counts=True)
-    twin = np.flatnonzero((pair >> np.uint64(32) == pair & _LOW)[of])
+    may = np.flatnonzero(np.bincount(slot, minlength=1 << HASH_BITS)[slot] >= min_count)
+    at, left, right = at[may], left[may], right[may]
+    pair, of = numbered(left.astype(np.uint64) << np.uint64(32) | right, slot[may])
+    counts = np.ones(len(at), bool)
+    twin = np.flatnonzero(left == right)
     if len(twin):
         starts = np.r_[True, (np.diff(at[twin]) > 1) | (np.diff(of[twin]) != 0)]
         place = np.arange(len(twin))
-        over = twin[(place - np.maximum.accumulate(np.where(starts, place, 0))) % 2 == 1]
-        count = count - np.bincount(of[over], minlength=len(pair))
-        at, of = np.delete(at, over), np.delete(of, over)
-    often = (count >= min_count)[of]
-    return pair, count, at[often], of[often]
+        counts[twin[(place - np.maximum.accumulate(np.where(starts, place, 0))) % 2 == 1]] = False
+    count = np.bincount(of[counts], minlength=len(pair))
+    often = np.flatnonzero((count >= min_count)[of])
+    return pair, count, at[often], of[often], counts[often]
 
 
 def repair(ids: np.ndarray, last: np.ndarray, base: int, min_count: int = MIN_COUNT, step: float = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,37 +83,45 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int, min_count: int = MIN_CO
     Rounds go on until no pair is seen ``min_count`` times. A round takes the pairs at least ``step``
     times as frequent as its most frequent one; where two overlap, the more frequent one's place is
     replaced, and a pair that keeps fewer than ``min_count`` places waits for the next round. The
-    most frequent pair loses no place, so every round makes a rule.
+    most frequent pair loses no place, so every round makes a rule. Pairs only become rarer but for
+    those with a new symbol, so a round looks at the places of the last one's frequent pairs and
+    beside its new symbols.
     """
     seq, last = ids.astype(np.uint32), last.copy()
     rules: list[np.ndarray] = []
-    n_rules = 0
-    while len(seq) > 1:
-        pair, count, at, of = repeated_pairs(seq, last, min_count)
+    n_rules, look = 0, np.flatnonzero(~last[:-1])  # a pair over a document's end does not count
+    while len(look):
+        pair, count, at, of, counts = repeated_pairs(seq, look, min_count)
         if not len(at):
             break
-        order = np.lexsort((pair, -count))
-        rank = np.empty(len(pair), np.int64)
-        rank[order] = np.arange(len(pair))
-        taken = (count >= max(min_count, int(count.max() * step)))[of]
-        at, of = at[taken], of[taken]
-        mine, close = rank[of], np.diff(at) == 1
+        chosen = np.flatnonzero(count >= max(min_count, int(count.max() * step)))
+        chosen = chosen[np.lexsort((pair[chosen], -count[chosen]))]
+        rank = np.full(len(pair), -1, np.int32)
+        rank[chosen] = np.arange(len(chosen))
+        again = np.zeros(len(seq), bool)
+        again[at] = True
+        mine = rank[of]
+        could = (mine >= 0) & counts
+        at, mine = at[could], mine[could]
+        close = np.diff(at) == 1
         wins = np.ones(len(at), bool)
         wins[1:] &= ~(close & (mine[1:] >= mine[:-1]))
         wins[:-1] &= ~(close & (mine[:-1] > mine[1:]))
-        made = np.bincount(of[wins], minlength=len(pair)) >= min_count
-        wins &= made[of]
-        at, of = at[wins], of[wins]
-        top = order[made[order]]
-        number = np.zeros(len(pair), np.uint32)
-        number[top] = np.arange(base + n_rules, base + n_rules + len(top))
-        rules.append(np.stack([pair[top] >> np.uint64(32), pair[top] & _LOW], 1).astype(np.uint32))
-        seq[at] = number[of]
+        made = np.bincount(mine[wins], minlength=len(chosen)) >= min_count
+        wins &= made[mine]
+        at, mine = at[wins], mine[wins]
+        number = np.cumsum(made, dtype=np.uint32) + np.uint32(base + n_rules - 1)
+        top = pair[chosen[made]]
+        rules.append(np.stack([top >> np.uint64(32), top & _LOW], 1).astype(np.uint32))
+        seq[at] = number[mine]
         last[at] |= last[at + 1]
+        again[at] = again[np.maximum(at - 1, 0)] = True
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
+        # the place before a removed symbol is the new symbol's, and before that may lie another new one
+        seq, last, again = seq[keep], last[keep], again[keep]
         n_rules += len(top)
+        look = np.flatnonzero(again[:-1] & ~last[:-1])
     return seq, last, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
