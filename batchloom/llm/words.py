@@ -45,7 +45,7 @@ def _byte_level() -> dict[int, str]:
 
 
 #: Chunks a generation of the memo holds; two generations take about 0.4 KB a chunk.
-MEMO = 600_000
+MEMO = 450_000
 
 
 class _Memo(dict):
@@ -63,6 +63,7 @@ class _Memo(dict):
             packed = self.packed
             got = b"".join([packed[t.id] for t in self.tokenize(chunk.decode())]) if chunk.isalpha() else self._mixed(chunk)
         if len(self) >= self.limit:
+            self.old = {}  # the oldest generation goes before the copy is made
             self.old = dict(self)
             self.clear()
         self[chunk] = got
