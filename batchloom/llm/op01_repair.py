@@ -43,11 +43,10 @@ def numbered(key: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """(distinct keys, number of each key): a slot's last key by one look-up, the others by sorting."""
     if len(key) < 1 << HASH_BITS - 4:
         return np.unique(key, return_inverse=True)
-    last = np.full(1 << HASH_BITS, -1, np.int32)
-    last[slot] = np.arange(len(slot), dtype=np.int32)
-    rest = np.flatnonzero(key != key[last[slot]])
-    used = last >= 0
-    of, distinct = (np.cumsum(used, dtype=np.int32) - 1)[slot], key[last[used]]
+    held, used = np.empty(1 << HASH_BITS, key.dtype), np.zeros(1 << HASH_BITS, bool)
+    held[slot], used[slot] = key, True
+    rest = np.flatnonzero(held.take(slot) != key)
+    of, distinct = (np.cumsum(used, dtype=np.int32) - 1).take(slot), held[used]
     if len(rest):
         more, inverse = np.unique(key[rest], return_inverse=True)
         of[rest] = len(distinct) + inverse
@@ -61,20 +60,20 @@ def repeated_pairs(seq: np.ndarray, at: np.ndarray, min_count: int) -> tuple[np.
     ``at`` are the places to look at. Of overlapping occurrences of one pair (a run of one symbol)
     every other counts. A hash only leaves out places whose pair is surely too rare.
     """
-    left, right = seq[at], seq[at + 1]
+    left, right = seq.take(at), seq.take(at + 1)
     slot = ((left * np.uint32(2654435761) ^ right * np.uint32(2246822519)) * np.uint32(3266489917) >> np.uint32(32 - HASH_BITS)).astype(np.intp)
-    may = np.flatnonzero(np.bincount(slot, minlength=1 << HASH_BITS)[slot] >= min_count)
-    at, left, right = at[may], left[may], right[may]
-    pair, of = numbered(left.astype(np.uint64) << np.uint64(32) | right, slot[may])
+    may = np.flatnonzero((np.bincount(slot, minlength=1 << HASH_BITS) >= min_count).take(slot))
+    at, left, right = at.take(may), left.take(may), right.take(may)
+    pair, of = numbered(left.astype(np.uint64) << np.uint64(32) | right, slot.take(may))
     counts = np.ones(len(at), bool)
     twin = np.flatnonzero(left == right)
     if len(twin):
         starts = np.r_[True, (np.diff(at[twin]) > 1) | (np.diff(of[twin]) != 0)]
         place = np.arange(len(twin))
         counts[twin[(place - np.maximum.accumulate(np.where(starts, place, 0))) % 2 == 1]] = False
-    count = np.bincount(of[counts], minlength=len(pair))
-    often = np.flatnonzero((count >= min_count)[of])
-    return pair, count, at[often], of[often], counts[often]
+    count = np.bincount(of, minlength=len(pair)) - np.bincount(of[~counts], minlength=len(pair))
+    often = np.flatnonzero((count >= min_count).take(of))
+    return pair, count, at.take(often), of.take(often), counts.take(often)
 
 
 def repair(ids: np.ndarray, last: np.ndarray, base: int, min_count: int = MIN_COUNT, step: float = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,16 +99,17 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int, min_count: int = MIN_CO
         rank[chosen] = np.arange(len(chosen))
         again = np.zeros(len(seq), bool)
         again[at] = True
-        mine = rank[of]
-        could = (mine >= 0) & counts
-        at, mine = at[could], mine[could]
+        mine = rank.take(of)
+        could = np.flatnonzero((mine >= 0) & counts)
+        at, mine = at.take(could), mine.take(could)
         close = np.diff(at) == 1
         wins = np.ones(len(at), bool)
         wins[1:] &= ~(close & (mine[1:] >= mine[:-1]))
         wins[:-1] &= ~(close & (mine[:-1] > mine[1:]))
-        made = np.bincount(mine[wins], minlength=len(chosen)) >= min_count
-        wins &= made[mine]
-        at, mine = at[wins], mine[wins]
+        won = np.flatnonzero(wins)
+        made = np.bincount(mine.take(won), minlength=len(chosen)) >= min_count
+        won = won[made.take(mine.take(won))]
+        at, mine = at.take(won), mine.take(won)
         number = np.cumsum(made, dtype=np.uint32) + np.uint32(base + n_rules - 1)
         top = pair[chosen[made]]
         rules.append(np.stack([top >> np.uint64(32), top & _LOW], 1).astype(np.uint32))
@@ -119,7 +119,8 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int, min_count: int = MIN_CO
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         # the place before a removed symbol is the new symbol's, and before that may lie another new one
-        seq, last, again = seq[keep], last[keep], again[keep]
+        kept = np.flatnonzero(keep)  # a gather by places is faster than three by a mask
+        seq, last, again = seq.take(kept), last.take(kept), again.take(kept)
         n_rules += len(top)
         look = np.flatnonzero(again[:-1] & ~last[:-1])
     return seq, last, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
