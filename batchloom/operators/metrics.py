@@ -140,8 +140,12 @@ def stale_members(ticks: DataFrame, now: Column, most_age: int = 60, registered:
 
 
 def cpu_percent(samples: DataFrame) -> DataFrame:
-    """samples(name, ts, cpu_seconds): percent of wall time since the previous sample, to 0.1; other columns (memory) stay."""
+    """samples(name, ts, cpu_seconds): percent of wall time since the previous sample, to 0.1; other columns (memory) stay.
+
+    Null at the first sample, without wall time, and where the counter fell (a process that restarted).
+    """
     w = Window.partitionBy("name").orderBy("ts")
     at = epoch(F.col("ts")) + F.date_format("ts", "SSSSSS").cast("bigint") / 1e6
     wall = F.round(at - F.lag(at).over(w), 6)
-    return samples.withColumn("cpu_pct", F.when(wall > 0, F.round((F.col("cpu_seconds") - F.lag("cpu_seconds").over(w)) / wall * 100, 1)))
+    used = F.col("cpu_seconds") - F.lag("cpu_seconds").over(w)
+    return samples.withColumn("cpu_pct", F.when((wall > 0) & (used >= 0), F.round(used / wall * 100, 1)))

@@ -146,6 +146,38 @@ def reconciler_summary(decisions: DataFrame, order: str, cap: int = 100, details
     return decisions.groupBy("decision").agg(F.count("*").alias("n")).withColumn("capped", F.col("n") > cap).join(first, "decision")
 
 
+#: What a reconciler run did with a batch, by its decision.
+ACTIONS = {
+    "finished_success": "recovered_running", "finished_complete": "recovered_running", "empty_success": "recovered_empty", "gone": "skipped_gone", "not_running": "skipped_not_running",
+    "open": "skipped_open", "in_progress": "skipped_in_progress", "refire": "refired_lost", "not_lost": "skipped_not_done", "skipped_recent": "skipped_recent_refire",
+}
+
+
+def run_summary(stale: DataFrame, lost: DataFrame, cap: int = 100, details: int = 25) -> DataFrame:
+    """One row about a reconciler run over stale and lost batches(batch_id, decision, status, total_jobs, failed).
+
+    The first ``cap`` of either kind by batch_id are processed; ``details`` are the first of those,
+    stale ones before lost ones. Other decisions than those known (produce_failed) are their own action.
+    """
+    action = F.coalesce(F.create_map(*[F.lit(x) for pair in ACTIONS.items() for x in pair])[F.col("decision")], F.col("decision"))
+    detail = F.struct("kind", "batch_id", action.alias("action"), F.col("status").alias("outcome"), "total_jobs", F.col("failed").alias("failed_count"))
+    none = F.lit(None)
+    lines = None
+    for kind, rows in enumerate((stale, lost)):  # counts come partially aggregated, rows already cut
+        found = rows.agg(F.count("*").alias("found")).select(F.lit(kind).alias("kind"), "found", none.cast("string").alias("decision"), none.cast("bigint").alias("batch_id"), none.cast("string").alias("status"), none.cast("bigint").alias("total_jobs"), none.cast("bigint").alias("failed"))
+        taken = rows.orderBy("batch_id").limit(cap).select(F.lit(kind).alias("kind"), F.lit(0).cast("bigint").alias("found"), "decision", "batch_id", "status", F.col("total_jobs").cast("bigint").alias("total_jobs"), F.col("failed").cast("bigint").alias("failed"))
+        lines = found.unionByName(taken) if lines is None else lines.unionByName(found).unionByName(taken)
+    of = lambda *actions: F.count_if(F.col("action").isin(*actions))
+    lines = lines.withColumn("detail", F.when(F.col("decision").isNotNull(), detail)).withColumn("action", F.col("detail.action"))
+    out = lines.agg(
+        F.sum(F.when(F.col("kind") == 0, F.col("found"))).alias("found_stale"), F.sum(F.when(F.col("kind") == 1, F.col("found"))).alias("found_lost"),
+        F.count_if((F.col("kind") == 0) & F.col("action").isNotNull()).alias("processed_stale"), F.count_if((F.col("kind") == 1) & F.col("action").isNotNull()).alias("processed_lost"),
+        of("recovered_running", "recovered_empty").alias("recovered_stale"), of("skipped_open", "skipped_in_progress").alias("skipped_stale"), of("refired_lost").alias("refired_lost"),
+        of("skipped_recent_refire").alias("skipped_recent"), of("produce_failed").alias("produce_failed"), F.slice(F.sort_array(F.collect_list("detail")), 1, details).alias("details"),
+    )
+    return out.withColumns({"capped_stale": F.col("found_stale") > F.col("processed_stale"), "capped_lost": F.col("found_lost") > F.col("processed_lost")})
+
+
 def capped(rows: DataFrame, by: list[str], order: list[str], cap: int = 100) -> DataFrame:
     """At most ``cap`` rows of each kind, in order."""
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= cap)

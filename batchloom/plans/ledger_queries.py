@@ -91,31 +91,50 @@ def _decided(r: Relations):
     """Ledger rows as a reconciler meets them: some vanished, some with a status that was never written."""
     stored = r.batches.select("batch_id", F.col("status").alias("stored"))
     status = F.when(F.col("batch_id") % 50 == 7, None).when(F.col("batch_id") % 4 == 2, F.col("stored")).otherwise(F.col("status"))
-    return schedule.stuck(folded(r).join(stored, "batch_id").withColumn("status", status)).select("batch_id", "decision")
+    return schedule.stuck(folded(r).join(stored, "batch_id").withColumn("status", status)).select("batch_id", "decision", "status", "total_jobs", "failed")
 
 
 @query(RECONCILE + " SELECT batch_id, decision FROM d")
 def reconcile_stuck(r: Relations):
-    return _decided(r)
+    return _decided(r).select("batch_id", "decision")
 
 
 @query(RECONCILE + " SELECT decision, count(*) AS n, count(*) > 100 AS capped, array_to_string(list(batch_id ORDER BY batch_id)[1:25], ' ') AS details FROM d GROUP BY decision")
 def reconciler_summary(r: Relations):
-    return schedule.reconciler_summary(_decided(r), "batch_id").withColumn("details", F.array_join("details", " "))
+    return schedule.reconciler_summary(_decided(r).select("batch_id", "decision"), "batch_id").withColumn("details", F.array_join("details", " "))
 
 
 @query(RECONCILE + ", q AS (SELECT batch_id, decision, row_number() OVER (PARTITION BY decision ORDER BY batch_id)::INT AS place FROM d) SELECT * FROM q WHERE place <= 100")
 def reconcile_cap(r: Relations):
-    return schedule.capped(_decided(r), ["decision"], ["batch_id"])
+    return schedule.capped(_decided(r).select("batch_id", "decision"), ["decision"], ["batch_id"])
+
+
+LOST = "x AS (SELECT batch_id, CASE WHEN hint = 'O' OR batch_id % 3 = 0 THEN 'not_lost' WHEN created_at > now - INTERVAL 400 DAY AND batch_id % 2 = 0 THEN 'skipped_recent' ELSE 'refire' END AS decision, CASE hint WHEN 'O' THEN 'running' WHEN 'F' THEN 'success' ELSE 'complete' END AS status FROM batches, clock)"
+
+
+@query(RECONCILE + ", " + LOST + """, s AS (SELECT 0 AS kind, batch_id, decision, w.status, total_jobs, failed FROM d JOIN w USING (batch_id) ORDER BY batch_id LIMIT 100), t AS (SELECT 1 AS kind, batch_id, decision, status, 0 AS total_jobs, 0 AS failed FROM x ORDER BY batch_id LIMIT 100),
+e AS (SELECT *, CASE WHEN decision LIKE 'finished%' THEN 'recovered_running' WHEN decision = 'empty_success' THEN 'recovered_empty' WHEN decision = 'refire' THEN 'refired_lost' WHEN decision = 'skipped_recent' THEN 'skipped_recent_refire' WHEN decision = 'not_lost' THEN 'skipped_not_done' ELSE 'skipped_' || decision END AS action FROM (FROM s UNION ALL FROM t)),
+f AS (SELECT string_agg(batch_id || ':' || action || ':' || coalesce(status, '') || ':' || total_jobs || ':' || failed, ' ' ORDER BY kind, batch_id) AS details FROM (FROM e ORDER BY kind, batch_id LIMIT 25))
+SELECT (SELECT count(*) FROM d) AS found_stale, (SELECT count(*) FROM x) AS found_lost, count(*) FILTER (kind = 0) AS processed_stale, count(*) FILTER (kind = 1) AS processed_lost, count(*) FILTER (action LIKE 'recovered%') AS recovered_stale,
+count(*) FILTER (action IN ('skipped_open', 'skipped_in_progress')) AS skipped_stale, count(*) FILTER (action = 'refired_lost') AS refired_lost, count(*) FILTER (action = 'skipped_recent_refire') AS skipped_recent, 0::BIGINT AS produce_failed, (SELECT details FROM f) AS details, (SELECT count(*) FROM d) > 100 AS capped_stale, (SELECT count(*) FROM x) > 100 AS capped_lost FROM e""")
+def reconciler_run(r: Relations):
+    """One run over all stale and lost batches; the caps and the details are the report's own."""
+    lost = _lost(r).withColumns({"total_jobs": F.lit(0), "failed": F.lit(0)})
+    show = lambda d: F.concat_ws(":", d["batch_id"], d["action"], F.coalesce(d["outcome"], F.lit("")), d["total_jobs"], d["failed_count"])
+    return schedule.run_summary(_decided(r), lost).withColumn("details", F.array_join(F.transform("details", show), " "))
 
 
 @query("""SELECT batch_id, CASE WHEN hint = 'O' OR batch_id % 3 = 0 THEN 'not_lost' WHEN created_at > now - INTERVAL 400 DAY AND batch_id % 2 = 0 THEN 'skipped_recent' ELSE 'refire' END AS decision FROM batches, clock""")
 def reconcile_lost(r: Relations):
+    return _lost(r).select("batch_id", "decision")
+
+
+def _lost(r: Relations):
     b = r.batches.select(
         "batch_id", F.when(F.col("hint") == "O", "running").when(F.col("hint") == "F", "success").otherwise("complete").alias("status"),
         F.when(F.col("batch_id") % 3 == 0, F.col("created_at")).alias("dispatched_at"), F.when(F.col("batch_id") % 2 == 0, F.col("created_at")).alias("refired_at"),
     )
-    return schedule.lost_callbacks(b, at(NOW), 400 * 86_400).select("batch_id", "decision")
+    return schedule.lost_callbacks(b, at(NOW), 400 * 86_400).select("batch_id", "decision", "status")
 
 
 @query("""live AS (SELECT user_id AS consumer_id, max(ts) AS last_seen FROM events, clock GROUP BY user_id HAVING max(ts) >= TIMESTAMP '2024-01-30 18:00:00' - INTERVAL 3 HOUR)

@@ -151,12 +151,13 @@ def health_stale(r: Relations):
     return metrics.stale_members(ticks, at(LOG_NOW), 86_400, members)
 
 
-@query("""s AS (SELECT user_id, ts, event_id, sum(round(value * 100)::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id) / 100.0 AS cpu, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old FROM events),
+@query("""s AS (SELECT user_id, ts, event_id, sum(round(value * 100)::BIGINT) OVER (PARTITION BY user_id, day(ts) ORDER BY ts, event_id) / 100.0 AS cpu, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old FROM events),
 d AS (SELECT *, cpu - lag(cpu) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS used, (epoch_us(ts) - epoch_us(old)) / 1e6 AS wall FROM s)
-SELECT 'p' || user_id AS name, event_id, CASE WHEN wall > 0 THEN round(used / wall * 100, 1) END::DOUBLE AS cpu_pct FROM d""")
+SELECT 'p' || user_id AS name, event_id, CASE WHEN wall > 0 AND used >= 0 THEN round(used / wall * 100, 1) END::DOUBLE AS cpu_pct FROM d""")
 def cpu_pct(r: Relations):
+    """Processes whose counters start anew every day."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    w = Window.partitionBy("user_id", F.dayofmonth("ts")).orderBy("ts", "event_id")
     s = r.events.select(F.concat(F.lit("p"), "user_id").alias("name"), "ts", "event_id", (F.sum(F.round(F.col("value") * 100).cast("bigint")).over(w) / 100.0).alias("cpu_seconds"))
     return metrics.cpu_percent(s).select("name", "event_id", "cpu_pct")

@@ -358,3 +358,24 @@ def test_decrypt(spark):
     iv, ct, tag = blob[:12], blob[12:-16], blob[-16:]
     doc = base64.b64encode(json.dumps({"v": "1", "iv": base64.b64encode(iv).decode(), "tag": base64.b64encode(tag).decode(), "ct": base64.b64encode(ct).decode()}).encode()).decode()
     assert spark.range(1).select(scalars.decrypt(F.lit(doc), "salt").alias("t")).first().t == "secret"
+
+
+def test_reconciler_run(spark):
+    from batchloom.operators import schedule
+
+    row = "batch_id bigint, decision string, status string, total_jobs bigint, failed bigint"
+    stale = spark.createDataFrame([(3, "finished_complete", "running", 4, 1), (1, "empty_success", "running", 0, 0), (2, "open", "running", 2, 0), (5, "gone", None, None, None), (4, "produce_failed", "running", 3, 0)], row)
+    lost = spark.createDataFrame([(9, "skipped_recent", "success", 1, 0), (7, "refire", "complete", 2, 1), (8, "not_lost", "running", 2, 0)], row)
+    got = schedule.run_summary(stale, lost, cap=4, details=5).first()
+    assert (got.found_stale, got.processed_stale, got.capped_stale, got.found_lost, got.processed_lost, got.capped_lost) == (5, 4, True, 3, 3, False)
+    assert (got.recovered_stale, got.skipped_stale, got.refired_lost, got.skipped_recent, got.produce_failed) == (2, 1, 1, 1, 1)
+    assert [(d.batch_id, d.action) for d in got.details] == [(1, "recovered_empty"), (2, "skipped_open"), (3, "recovered_running"), (4, "produce_failed"), (7, "refired_lost")]
+    none = schedule.run_summary(stale.limit(0), lost.limit(0)).first()
+    assert none.found_stale == none.processed_lost == none.recovered_stale == 0 and none.details == [] and not none.capped_stale
+
+
+def test_cpu_of_restarted_process(spark):
+    from batchloom.operators import metrics
+
+    samples = spark.sql("SELECT 'p' AS name, timestamp_ntz'2026-01-01 00:00:00' + make_dt_interval(0, 0, 0, i) AS ts, element_at(array(5D, 6.5D, 0.5D, 0.5D), i + 1) AS cpu_seconds FROM (SELECT explode(sequence(0, 3)) AS i)")
+    assert [r.cpu_pct for r in metrics.cpu_percent(samples).orderBy("ts").collect()] == [None, 150.0, None, 0.0]
