@@ -28,14 +28,20 @@ def shared_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted with the intermediate tables."""
+    path = f"{shared_root(spark)}/batchloom/{uuid.uuid4().hex}/{name}"
+    _written.append((spark, path.rsplit("/", 1)[0]))
+    return path
+
+
 def landed(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/batchloom/{uuid.uuid4().hex}/{name}"
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._landed = (spark, path.rsplit("/", 1)[0])
-    _written.append(out._landed)
     return out
 
 
