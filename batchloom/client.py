@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .operators import control, ledger, routing
+from .operators import control, routing
 from .sources import config
 
 
@@ -34,16 +34,6 @@ class JobClient:
         made = control.create_batches(existing, new).where("created").drop("created")
         return made.withColumns({"status": F.lit("running"), "sealed": F.lit(False), "total_jobs": F.lit(0).cast("bigint")})
 
-    def seal(self, counters: DataFrame) -> DataFrame:
-        """Outcome of sealing; an empty batch succeeds at once."""
-        return ledger.seal(counters)
-
-    def cancel(self, batches: DataFrame, ids: DataFrame) -> DataFrame:
-        return control.cancel(batches, ids)
-
-    def reserve(self, requests: DataFrame, batches: DataFrame) -> DataFrame:
-        return control.add_jobs(requests, batches)
-
     # jobs of batches ---------------------------------------------------------------------------
 
     def push_many(self, jobs: DataFrame, uniq_key: Column | None = None, order: list[str] | None = None) -> DataFrame:
@@ -75,5 +65,5 @@ class JobClient:
 
     def missing_topics(self, existing: DataFrame) -> DataFrame:
         """Specifications of topics that the manifest needs and nobody has created."""
-        names = [r.topic for r in self.manifest.select("topic").where("topic != ''").distinct().collect()]  # configuration
-        return config.missing_topics(config.topic_specs(self.manifest.sparkSession, sorted(names)), existing)
+        topics = self.manifest.where("topic != ''").select("topic").distinct()
+        return config.missing_topics(config.topic_specs(topics), existing)

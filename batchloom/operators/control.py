@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import contextlib
+import time
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import routing, schedule
-from .sides import small
 
 CONTROL_TOPICS = ("events", "callbacks", "retry", "scheduled", "dlt")
 
@@ -111,25 +114,57 @@ def sampled(events: DataFrame, rate: float, key: Column) -> DataFrame:
     return events if rate == 1 else events.where(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8) < F.lit(f"{int(rate * 2**32):08x}"))
 
 
-def pauses(stores: list[DataFrame]) -> DataFrame:
-    """The first store's pauses that has any; partition -1 pauses a whole topic."""
-    out = stores[-1]
-    for s in reversed(stores[:-1]):
-        filled = s.limit(1).select(F.lit(True).alias("filled"))
-        out = s.unionByName(out.join(F.broadcast(filled), F.lit(True), "left_anti"))  # one row at most
-    return out.distinct()
+#: Pauses of a consumer group: of one partition, or of a whole topic (partition -1).
+PAUSES = "group string, topic string, partition_id int"
+
+
+def pauses(spark: SparkSession, stores: list[Callable[[], DataFrame]]) -> DataFrame:
+    """The pauses of the first store that can be reached, even if it has none; nothing is paused if none can.
+
+    A store is a function that gives its rows(group, topic, partition_id) or raises.
+    """
+    for store in stores:
+        with contextlib.suppress(Exception):  # a store that cannot be reached leaves the word to the next
+            return store().select("group", "topic", F.col("partition_id").cast("int").alias("partition_id")).distinct()
+    return spark.createDataFrame([], PAUSES)
+
+
+class PauseSwitch:
+    """Pauses as of their last reading, read again after ``interval`` seconds."""
+
+    def __init__(self, spark: SparkSession, stores: list[Callable[[], DataFrame]], interval: float = 30, clock: Callable[[], float] = time.monotonic):
+        self.spark, self.stores, self.interval, self.clock = spark, stores, interval if interval > 0 else 30, clock
+        self.read_at, self.now = None, None
+
+    def __call__(self) -> DataFrame:
+        if self.now is None or self.clock() - self.read_at >= self.interval:
+            old, self.now = self.now, pauses(self.spark, self.stores).persist()
+            self.now.count()  # as of this moment, whatever the store says later
+            self.read_at = self.clock()
+            if old is not None:
+                old.unpersist()
+        return self.now
+
+
+def _paused(log: DataFrame, paused: DataFrame, group: Column, how: str) -> DataFrame:
+    p = paused.select(F.col("group").alias("p_group"), F.col("topic").alias("p_topic"), F.col("partition_id").alias("p_partition"))
+    return log.join(p, (group == F.col("p_group")) & (F.col("topic") == F.col("p_topic")) & ((F.col("p_partition") == -1) | (F.col("p_partition") == F.col("partition_id"))), how)
+
+
+def consumed(log: DataFrame, paused: DataFrame, group: Column) -> DataFrame:
+    """Records that the consumer ``group`` may take: no pause of its own holds their topic or partition."""
+    return _paused(log, paused, group, "left_anti")
 
 
-def consumed(log: DataFrame, paused: DataFrame) -> DataFrame:
-    """Records of partitions that are not paused."""
-    p = small(paused.select(F.col("topic").alias("p_topic"), F.col("partition_id").alias("p_partition")).distinct())
-    return log.join(p, (F.col("topic") == F.col("p_topic")) & ((F.col("p_partition") == -1) | (F.col("p_partition") == F.col("partition_id"))), "left_anti")
+def held(log: DataFrame, paused: DataFrame, group: Column) -> DataFrame:
+    """Records that a pause of ``group`` holds."""
+    return _paused(log, paused, group, "left_semi")
 
 
-def held(log: DataFrame, paused: DataFrame) -> DataFrame:
-    """Records of partitions that are paused."""
-    p = small(paused.select(F.col("topic").alias("p_topic"), F.col("partition_id").alias("p_partition")).distinct())
-    return log.join(p, (F.col("topic") == F.col("p_topic")) & ((F.col("p_partition") == -1) | (F.col("p_partition") == F.col("partition_id"))), "left_semi")
+def active_higher(topics: DataFrame, paused: DataFrame) -> DataFrame:
+    """Of topics(group, topic, ...) those that no pause of the whole topic holds back in their group."""
+    whole = paused.where("partition_id = -1").select("group", "topic").distinct()
+    return topics.join(whole, ["group", "topic"], "left_anti")
 
 
 def notices(findings: DataFrame, sent: DataFrame, interval: int, now: Column) -> DataFrame:

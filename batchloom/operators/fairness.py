@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sides import small
 
 
 def weighted(rows: DataFrame, weights: DataFrame, default: float = 1.0) -> DataFrame:
@@ -54,7 +53,7 @@ def inflight_caps(tenants: DataFrame, budget: int | Column, hard_cap: int | None
     ``active`` and ``lane_weight``.
     """
     lane = tenants.groupBy("lane").agg(F.sum("weight").alias("lane_weight"), F.count("*").alias("active"))
-    t = tenants.join(small(lane), "lane")
+    t = tenants.join(lane, "lane")
     budget = budget if isinstance(budget, Column) else F.lit(budget)
     by_weight = F.greatest(F.floor(budget * F.col("weight") / F.col("lane_weight")), F.lit(1))
     even = F.greatest(F.ceil(budget / F.col("active")), F.lit(1))
@@ -69,11 +68,11 @@ def assign_partitions(tenants: DataFrame, fixed: DataFrame, partitions: int) ->
     goes through one ordered window.
     """
     held = fixed.where((F.col("partition_id") >= 0) & (F.col("partition_id") < partitions)).select("tenant_id", "partition_id")
-    free = tenants.sparkSession.range(partitions).select(F.col("id").cast("int").alias("partition_id")).join(small(held.select("partition_id")), "partition_id", "left_anti")
+    free = tenants.sparkSession.range(partitions).select(F.col("id").cast("int").alias("partition_id")).join(held.select("partition_id"), "partition_id", "left_anti")
     free = free.withColumn("rank", F.row_number().over(Window.orderBy("partition_id")))
     waiting = tenants.select("tenant_id").distinct().join(held, "tenant_id", "left_anti").orderBy("tenant_id").limit(partitions)
-    got = waiting.withColumn("rank", F.row_number().over(Window.orderBy("tenant_id"))).join(small(free), "rank", "left").select("tenant_id", "partition_id")
-    return tenants.select("tenant_id").distinct().join(small(held.unionByName(got)), "tenant_id", "left")
+    got = waiting.withColumn("rank", F.row_number().over(Window.orderBy("tenant_id"))).join(free, "rank", "left").select("tenant_id", "partition_id")
+    return tenants.select("tenant_id").distinct().join(held.unionByName(got), "tenant_id", "left")
 
 
 def stale_forwards(forwards: DataFrame, leases: DataFrame, now: float, grace: float = 5.0) -> DataFrame:

@@ -1,7 +1,8 @@
 """Batch ledger: the order-sensitive fold of completion events into counters, status and callbacks.
 
-Events reduce map-side to their firsts per (batch, seq); only those that count are ordered, so a
-hot batch costs a sort of its distinct jobs and not of its events.
+Events reduce map-side to their firsts per (batch, seq), and these to counters per batch. Most
+batches end with the last event of a counter, a maximum; only batches whose counters go on beyond
+their total order the events that count.
 """
 
 from __future__ import annotations
@@ -17,30 +18,33 @@ def normalized(events: DataFrame) -> DataFrame:
     return events.where("batch_id is not null and batch_seq >= 1").withColumn("op", F.when(F.col("op").isin(*OPS), F.col("op")).otherwise("failed"))
 
 
-def marks(events: DataFrame) -> DataFrame:
-    """The events that count, with what they count as: batch_id, batch_seq, arrival, touch, good, bad, n.
+def firsts(events: DataFrame) -> DataFrame:
+    """Per (batch, sequence): events, touched_at, good_at and bad_at (arrivals of the events that count).
 
     events(batch_id, batch_seq, op, arrival): the arrival column, unique in its batch, orders the
     events. A sequence is touched by its first event, good by its first success and bad by its
-    first failure unless a success came before. ``n`` holds the number of a sequence's events on
-    its touching one, else 0.
+    first failure unless a success came before.
     """
     first = lambda op: F.min(F.when(F.col("op") == op, F.col("arrival")))
     f = normalized(events).groupBy("batch_id", "batch_seq").agg(F.count("*").alias("events"), F.min("arrival").alias("touched_at"), first("success").alias("good_at"), first("failed").alias("failed_at"))
-    f = f.withColumn("bad_at", F.when(F.col("good_at").isNull() | (F.col("failed_at") < F.col("good_at")), F.col("failed_at")))
+    return f.withColumn("bad_at", F.when(F.col("good_at").isNull() | (F.col("failed_at") < F.col("good_at")), F.col("failed_at"))).drop("failed_at")
 
-    def mark(at: str, n) -> Column:
+
+def marks(f: DataFrame) -> DataFrame:
+    """The events that count of ``firsts``, with what they count as: batch_id, batch_seq, arrival, touch, good, bad."""
+
+    def mark(at: str) -> Column:
         same = lambda other: F.coalesce(F.col(at) == F.col(other), F.lit(False)).cast("bigint")
-        return F.struct(F.col(at).alias("arrival"), same("touched_at").alias("touch"), same("good_at").alias("good"), same("bad_at").alias("bad"), F.lit(n).cast("bigint").alias("n") if isinstance(n, int) else F.col(n).alias("n"))
+        return F.struct(F.col(at).alias("arrival"), same("touched_at").alias("touch"), same("good_at").alias("good"), same("bad_at").alias("bad"))
 
-    each = F.array(mark("touched_at", "events"), F.when(F.col("good_at") != F.col("touched_at"), mark("good_at", 0)), F.when(F.col("bad_at") != F.col("touched_at"), mark("bad_at", 0)))
+    each = F.array(mark("touched_at"), F.when(F.col("good_at") != F.col("touched_at"), mark("good_at")), F.when(F.col("bad_at") != F.col("touched_at"), mark("bad_at")))
     return f.select("batch_id", "batch_seq", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("m")).select("batch_id", "batch_seq", "m.*")
 
 
-def running(events: DataFrame) -> DataFrame:
-    """The events that count with their batch's counters after them."""
+def running(f: DataFrame) -> DataFrame:
+    """The events that count of ``firsts`` with their batch's counters after them."""
     order = Window.partitionBy("batch_id").orderBy("arrival").rowsBetween(Window.unboundedPreceding, 0)
-    return marks(events).withColumns({"touched": F.sum("touch").over(order), "completed": F.sum("good").over(order), "failed": F.sum("bad").over(order)})
+    return marks(f).withColumns({"touched": F.sum("touch").over(order), "completed": F.sum("good").over(order), "failed": F.sum("bad").over(order)})
 
 
 def _conditions() -> tuple[Column, Column, Column, Column]:
@@ -62,17 +66,30 @@ def fold(events: DataFrame, batches: DataFrame) -> DataFrame:
     """
     b = batches.select("batch_id", F.coalesce("total_jobs", F.lit(0)).cast("bigint").alias("total_jobs"), "sealed", F.coalesce("status", F.lit("running")).alias("status"))
     live, full, over, early = _conditions()
-    at = lambda cond: F.min(F.when(live & cond, F.col("arrival")))
-    out = b.join(running(events), "batch_id", "left").groupBy("batch_id", "total_jobs", "sealed", "status").agg(
-        F.max("touched").alias("touched"), F.max("completed").alias("completed"), F.max("failed").alias("failed"), F.sum("n").alias("events"), F.count("n").alias("marks"),
-        at(full).alias("full_at"), at(over).alias("over_at"), at(over | early).alias("claim_at"),
+    f = firsts(events)
+    apart = lambda c: F.coalesce(F.col(c) != F.col("touched_at"), F.lit(False)).cast("bigint")
+    counts = f.groupBy("batch_id").agg(
+        F.count("*").alias("touched"), F.count("good_at").alias("completed"), F.count("bad_at").alias("failed"), F.sum("events").alias("events"), F.sum(1 + apart("good_at") + apart("bad_at")).alias("marks"),
+        F.max("touched_at").alias("last_touch"), F.max("good_at").alias("last_good"), F.greatest(F.max("good_at"), F.max("bad_at")).alias("last_end"),
     )
+    total, ended_jobs = F.col("total_jobs"), F.col("completed") + F.col("failed")
+    # a counter that stops at its threshold reaches it with its last event; only those that go on need an order
+    counted = b.join(counts, "batch_id", "left").withColumn("further", F.coalesce(live & ((F.col("touched") > total) | (ended_jobs > total)), F.lit(False)))
+    at = lambda cond: F.min(F.when(cond, F.col("arrival")))
+    further = counted.where("further").select("batch_id", "total_jobs", "sealed", "status")
+    ordered = running(f.join(further.select("batch_id"), "batch_id", "left_semi")).join(further, "batch_id").groupBy("batch_id").agg(at(full).alias("full_in"), at(over).alias("over_in"), at(over | early).alias("claim_in"))
+    end_at = F.when(live & (ended_jobs == total), F.col("last_end"))
+    out = counted.join(ordered, "batch_id", "left").withColumns({
+        "full_at": F.when(F.col("further"), F.col("full_in")).otherwise(F.when(live & full, F.col("last_good"))),
+        "over_at": F.when(F.col("further"), F.col("over_in")).otherwise(end_at),
+        "claim_at": F.when(F.col("further"), F.col("claim_in")).otherwise(F.least(end_at, F.when(live & early, F.col("last_touch")))),
+    })
     kept = F.col("status") != "cancelled"
     counter = lambda c: F.when(kept, F.coalesce(c, F.lit(0))).otherwise(0).cast("bigint").alias(c)
     ended = F.when(F.col("full_at") == F.col("over_at"), "success").otherwise("complete")
     return out.select(
         "batch_id", "total_jobs", "sealed", counter("touched"), counter("completed"), counter("failed"),
-        (F.coalesce("events", F.lit(0)) - F.when(kept, F.col("marks")).otherwise(0)).cast("bigint").alias("duplicates"),
+        (F.coalesce("events", F.lit(0)) - F.when(kept, F.coalesce("marks", F.lit(0))).otherwise(0)).cast("bigint").alias("duplicates"),
         F.when((F.col("status") == "running") & F.col("over_at").isNotNull(), ended).otherwise(F.col("status")).alias("status"),
         F.when(F.col("status") == "running", F.col("claim_at")).alias("complete_at"), F.when(F.col("status") != "success", F.col("full_at")).alias("success_at"),
     )
@@ -100,7 +117,7 @@ def return_codes(events: DataFrame, batches: DataFrame) -> DataFrame:
     Agrees with ``fold`` event by event over the same ``batches``.
     """
     b = batches.select("batch_id", F.coalesce("total_jobs", F.lit(0)).cast("bigint").alias("total_jobs"), "sealed", F.coalesce("status", F.lit("running")).alias("status"))
-    m = running(events).join(b, "batch_id")
+    m = running(firsts(events)).join(b, "batch_id")
     before = Window.partitionBy("batch_id").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
     live, full, over, early = _conditions()
     had = lambda cond, statuses: F.coalesce(F.max(cond.cast("int")).over(before), F.lit(0)).astype("boolean") | F.col("status").isin(*statuses)

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import epoch
-from .sides import small
 
 
 def bucket(ts: Column, secs: int) -> Column:
@@ -47,7 +46,7 @@ def finding(rule: str, severity: str, key: Column | None = None) -> list[Column]
 def lag_stuck(current: DataFrame, baseline: DataFrame, paused: DataFrame, least: int = 1000, growth: int = 100) -> DataFrame:
     """Lag over the limit, nothing committed since the baseline, and still growing; paused(group, topic) excepted."""
     old = baseline.select("group", "topic", F.col("lag").alias("old_lag"), F.col("committed").alias("old_committed"), F.col("end_sum").alias("old_end"))
-    c = current.join(small(paused.select("group", "topic").distinct()), ["group", "topic"], "left_anti").join(old, ["group", "topic"])
+    c = current.join(paused.select("group", "topic").distinct(), ["group", "topic"], "left_anti").join(old, ["group", "topic"])
     grows = (F.col("lag") - F.col("old_lag") >= growth) | (F.col("end_sum") > F.col("old_end"))
     return c.where((F.col("lag") >= least) & (F.col("committed") == F.col("old_committed")) & grows).select(*finding("lag_stuck_growing", "critical", F.concat_ws(":", "group", "topic")))
 

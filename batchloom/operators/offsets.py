@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import murmur2
-from .sides import small
 
 
 def commit_prefix(log: DataFrame) -> DataFrame:
@@ -28,12 +27,12 @@ def rewind(log: DataFrame) -> DataFrame:
 def skipped(log: DataFrame, marks: DataFrame) -> DataFrame:
     """Records at or below the skip mark of their (topic, partition)."""
     m = marks.groupBy("topic", "partition_id").agg(F.max("skip_until").alias("skip_until"))
-    return log.join(small(m), ["topic", "partition_id"]).where("offset <= skip_until").drop("skip_until")
+    return log.join(m, ["topic", "partition_id"]).where("offset <= skip_until").drop("skip_until")
 
 
 def lookup(pointers: DataFrame, log: DataFrame, bounds: DataFrame, of: tuple[str, ...] = ("partition_id",)) -> DataFrame:
     """Pointers(offset and the columns ``of``) resolved to records: found, lost (below low) or miss."""
-    p = pointers.join(small(bounds), list(of), "left").join(log, [*of, "offset"], "left")
+    p = pointers.join(bounds, list(of), "left").join(log, [*of, "offset"], "left")
     found = F.when(F.col("payload").isNotNull(), "found").when(F.col("offset") < F.col("low"), "lost").otherwise("miss")
     return p.withColumn("result", found)
 

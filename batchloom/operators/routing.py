@@ -1,6 +1,6 @@
 """Classifiers and routes over job messages: ordered CASE chains and lookups.
 
-Configuration and other sides whose count is small are broadcast; larger ones shuffle.
+Lookups are plain joins: the planner broadcasts sides by their size, known or measured, and shuffles others.
 """
 
 from __future__ import annotations
@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import epoch, from_epoch, rfc3339
-from .sides import small
 
 DEFAULT_RETRIES, MAX_PAUSE = 7, 30
 TIERS = {"short": 30, "medium": 420, "large": 1200}
 NON_RETRYABLE = ("UnknownHandler", "Overloaded")
+#: Seconds since 1970 of the first and last moment that a timestamp shows with a year of four digits.
+FIRST_SECOND, LAST_SECOND = -62_135_596_800, 253_402_300_799
 
 
 def expired_at(valid_till: Column, parsed: Column, now: Column) -> Column:
@@ -33,14 +34,14 @@ def normalized_valid_till(valid_till: Column) -> Column:
 
 def with_handler(jobs: DataFrame, manifest: DataFrame) -> DataFrame:
     """Jobs with their handler's columns."""
-    return jobs.join(small(manifest), "job_type", "left")
+    return jobs.join(manifest, "job_type", "left")
 
 
 def decide(jobs: DataFrame, manifest: DataFrame, cancelled: DataFrame, skipped: DataFrame, now: Column) -> DataFrame:
     """Job decision, first match wins: malformed, cancelled, retry_cancelled, expired, unknown, run."""
     j = with_handler(jobs, manifest).withColumn("_valid", rfc3339(F.trim("valid_till")))  # parsed once
-    j = j.join(small(cancelled.select("batch_id", F.lit(True).alias("is_cancelled")).distinct()), "batch_id", "left")
-    j = j.join(small(skipped.select("job_id", F.lit(True).alias("is_skipped")).distinct()), "job_id", "left")
+    j = j.join(cancelled.select("batch_id", F.lit(True).alias("is_cancelled")).distinct(), "batch_id", "left")
+    j = j.join(skipped.select("job_id", F.lit(True).alias("is_skipped")).distinct(), "job_id", "left")
     choice = (
         F.when(F.col("malformed"), "dlt_malformed").when(F.col("is_cancelled"), "drop_cancelled").when(F.col("is_skipped"), "failed_retry_cancelled")
         .when(expired_at(F.col("valid_till"), F.col("_valid"), now), "dlt_expired").when(F.col("runtime").isNull() | (F.col("runtime") == "ruby"), "dlt_unknown_handler")
@@ -117,7 +118,7 @@ def route(jobs: DataFrame, manifest: DataFrame, assigned: DataFrame | None = Non
     j = with_handler(jobs, manifest)
     filled = lambda c: F.nullif(F.col(c).cast("string"), F.lit(""))
     if assigned is not None:
-        j = j.join(small(assigned.select(F.col("tenant_key").alias("tenant_id"), "assigned_partition")), "tenant_id", "left")
+        j = j.join(assigned.select(F.col("tenant_key").alias("tenant_id"), "assigned_partition"), "tenant_id", "left")
     else:
         j = j.withColumn("assigned_partition", F.lit(None).cast("int"))
     lane, default = F.coalesce(F.col("fairness_type"), F.lit("")), F.lit(default_topic)
@@ -129,8 +130,8 @@ def route(jobs: DataFrame, manifest: DataFrame, assigned: DataFrame | None = Non
 
 def job_type_of(messages: DataFrame, manifest: DataFrame) -> DataFrame:
     """Resolve job_type directly, else by worker_class."""
-    direct = small(manifest.select("job_type", F.col("job_type").alias("direct")))
-    by_class = small(manifest.groupBy("worker_class").agg(F.min("job_type").alias("by_class")))
+    direct = manifest.select("job_type", F.col("job_type").alias("direct"))
+    by_class = manifest.groupBy("worker_class").agg(F.min("job_type").alias("by_class"))
     return messages.join(direct, "job_type", "left").join(by_class, "worker_class", "left").withColumn("resolved", F.coalesce("direct", "by_class")).drop("direct", "by_class")
 
 
@@ -150,8 +151,13 @@ def envelope_columns(client_retries: int = 0) -> list:
 
 
 def run_at_of(text: Column, now: Column) -> Column:
-    """A time given as text: RFC 3339 or whole seconds since 1970; anything else is now."""
-    return F.coalesce(rfc3339(text), from_epoch(F.when(F.regexp_like(text, F.lit(r"^[+-]?\d{1,11}$")), text).try_cast("bigint")), now)
+    """A time given as text: RFC 3339 or whole seconds since 1970; anything else is now.
+
+    Any 64-bit number counts; those beyond the years 1 to 9999 are held at their ends, which ``clamp_run_at`` cuts anyway.
+    """
+    number = F.when(F.regexp_like(text, F.lit(r"^[+-]?\d+$")), text).try_cast("bigint")
+    held = F.when(number.isNotNull(), F.greatest(F.lit(FIRST_SECOND), F.least(number, F.lit(LAST_SECOND))))
+    return F.coalesce(rfc3339(text), from_epoch(held), now)
 
 
 def run_at_after(seconds: Column, now: Column) -> Column:

@@ -32,12 +32,12 @@ def add_jobs(r: Relations):
     return control.add_jobs(q, r.batches.where("batch_id % 10 != 3"))
 
 
-@query("""j AS (SELECT batch_id, job_id, job_type, attempt, run_at, duration, row_number() OVER (PARTITION BY batch_id, job_type || '/' || attempt ORDER BY run_at, job_id, duration) = 1 AS claimed FROM jobs WHERE batch_id IS NOT NULL),
+@query("""j AS (SELECT batch_id, job_id, job_type, attempt, run_at, duration, row_number() OVER (PARTITION BY batch_id, attempt ORDER BY run_at, job_id, duration) = 1 AS claimed FROM jobs WHERE batch_id IS NOT NULL),
 s AS (SELECT *, row_number() OVER (PARTITION BY batch_id, claimed ORDER BY run_at, job_id, duration) AS n FROM j)
 SELECT batch_id, CASE WHEN claimed THEN job_id ELSE '' END AS pushed_id, claimed, CASE WHEN claimed THEN n END AS seq, CASE WHEN claimed THEN floor((n - 1) / 3)::BIGINT END AS chunk, m.job_type IS NOT NULL AS known, m.topic FROM s LEFT JOIN manifest m USING (job_type)""")
 def push_many(r: Relations):
     jobs = r.jobs.where("batch_id is not null").select("batch_id", "job_id", "job_type", "attempt", "run_at", "duration")
-    out = control.push_many(jobs, r.manifest, F.concat_ws("/", "job_type", "attempt"), ["run_at", "job_id", "duration"], 3)
+    out = control.push_many(jobs, r.manifest, F.col("attempt").cast("string"), ["run_at", "job_id", "duration"], 3)
     return out.select("batch_id", "pushed_id", "claimed", "seq", "chunk", "known", "topic")
 
 
@@ -94,8 +94,9 @@ def fair_ready_split(r: Relations):
 
 @query("""t AS (SELECT DISTINCT topic FROM manifest UNION ALL SELECT 'events' UNION ALL SELECT 'retry') SELECT topic, topic NOT IN ('events', 'callbacks', 'retry', 'scheduled', 'dlt') AS executable FROM t""")
 def executable_topics(r: Relations):
-    extra = r.spark.createDataFrame([("events",), ("retry",)], "topic string")
-    return control.executable(r.manifest.select("topic").distinct().unionByName(extra))
+    """The topics of handlers, and those that events of two kinds would name."""
+    named = r.events.where("event_type in ('error', 'signup')").select(F.when(F.col("event_type") == "error", "retry").otherwise("events").alias("topic")).distinct()
+    return control.executable(r.manifest.select("topic").distinct().unionByName(named))
 
 
 @query("""g AS (SELECT worker_class AS "group", topic, job_type FROM manifest), x AS (SELECT "group", topic AS t, 0 AS rank FROM g UNION ALL SELECT "group", 'topic' || (job_type[3:]::INT % 3), 1 FROM g)
@@ -105,12 +106,24 @@ def all_topics(r: Relations):
     return control.all_topics(groups)
 
 
-@query("""SELECT topic, partition_id, count(*) AS n FROM log WHERE NOT (topic = 'jobs1' OR (topic = 'jobs0' AND partition_id < 4)) GROUP BY ALL""")
+@query("""g AS (SELECT 'g' || (user_id % 4) AS "group", topic, partition_id FROM log),
+stops AS (SELECT DISTINCT 'g' || (user_id % 3) AS "group", topic, CASE WHEN user_id % 2 = 0 THEN -1 ELSE partition_id END AS p FROM log WHERE event_type = 'error' AND value > 140)
+SELECT "group", topic, partition_id, count(*) AS n FROM g WHERE NOT EXISTS (SELECT 1 FROM stops s WHERE s."group" = g."group" AND s.topic = g.topic AND s.p IN (-1, g.partition_id)) GROUP BY ALL""")
 def consumed(r: Relations):
-    first = r.log.where("topic = 'none'").select("topic", "partition_id").distinct()
-    second = r.log.where("topic = 'jobs0' and partition_id < 4").select("topic", "partition_id").distinct()
-    whole = r.log.where("topic = 'jobs1'").select("topic", F.lit(-1).alias("partition_id")).distinct()
-    return control.consumed(r.log, control.pauses([first, second.unionByName(whole)])).groupBy("topic", "partition_id").agg(F.count("*").alias("n"))
+    """The first store cannot be reached, so the second one's pauses hold; a pause stops its own group alone."""
+    group = lambda n: F.concat(F.lit("g"), F.col("user_id") % n)
+    log = r.log.withColumn("group", group(4))
+    stops = r.log.where("event_type = 'error' and value > 140").select(group(3).alias("group"), "topic", F.when(F.col("user_id") % 2 == 0, -1).otherwise(F.col("partition_id")).alias("partition_id"))
+    paused = control.pauses(r.spark, [lambda: r.spark.read.parquet(f"{r.sf_dir}/no-such-store.parquet"), lambda: stops])
+    return control.consumed(log, paused, F.col("group")).groupBy("group", "topic", "partition_id").agg(F.count("*").alias("n"))
+
+
+@query("""g AS (SELECT DISTINCT 'g' || (user_id % 4) AS "group", topic FROM log), stops AS (SELECT DISTINCT 'g' || (user_id % 3) AS "group", topic FROM log WHERE event_type = 'error' AND value > 140 AND user_id % 2 = 0)
+SELECT * FROM g EXCEPT SELECT * FROM stops""")
+def active_higher(r: Relations):
+    group = lambda n: F.concat(F.lit("g"), F.col("user_id") % n).alias("group")
+    stops = r.log.where("event_type = 'error' and value > 140").select(group(3), "topic", F.when(F.col("user_id") % 2 == 0, -1).otherwise(F.col("partition_id")).alias("partition_id"))
+    return control.active_higher(r.log.select(group(4), "topic").distinct(), stops)
 
 
 @query("""f AS (SELECT DISTINCT 'u' || user_id AS fingerprint, 'slow' AS rule_id, 'warning' AS severity FROM events WHERE value > 120)

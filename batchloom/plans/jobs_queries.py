@@ -129,13 +129,14 @@ def run_at_clamp(r: Relations):
     return r.jobs.select("job_id", routing.clamp_run_at(F.col("run_at"), at(NOW)).alias("clamped"))
 
 
-@query("""r AS (SELECT event_id, ts, [strftime(ts, '%Y-%m-%dT%H:%M:%SZ'), epoch(ts)::BIGINT::VARCHAR, 'soon', '', NULL, strftime(ts, '%Y-%m-%d')][event_id % 6 + 1] AS text, log_now AS now FROM events, clock),
-t AS (SELECT *, CASE WHEN event_id % 6 < 2 THEN date_trunc('second', ts) ELSE now END AS run_at FROM r)
+@query("""r AS (SELECT event_id, ts, log_now AS now FROM events, clock),
+t AS (SELECT *, CASE WHEN event_id % 9 < 2 THEN date_trunc('second', ts) WHEN event_id % 9 IN (6, 7) THEN now + INTERVAL 9 DAY ELSE now END AS run_at FROM r)
 SELECT event_id, greatest(now, least(run_at, now + INTERVAL 5 DAY)) AS run_at, greatest(now, least(now + to_seconds((event_id * 97) % 900000), now + INTERVAL 5 DAY)) AS after FROM t""")
 def run_at_forms(r: Relations):
-    now, k, ts = at(LOG_NOW), F.col("event_id") % 6, F.col("ts").cast("string")
+    """Texts of 13 and 19 digits are times far ahead; 20 digits are no 64-bit number."""
+    now, k, ts = at(LOG_NOW), F.col("event_id") % 9, F.col("ts").cast("string")
     stamp = F.concat(F.substring(ts, 1, 10), F.lit("T"), F.substring(ts, 12, 8), F.lit("Z"))
-    text = F.when(k == 0, stamp).when(k == 1, scalars.epoch(F.col("ts")).cast("string")).when(k == 2, "soon").when(k == 3, "").when(k == 5, F.substring(ts, 1, 10))
+    text = F.when(k == 0, stamp).when(k == 1, scalars.epoch(F.col("ts")).cast("string")).when(k == 2, "soon").when(k == 3, "").when(k == 5, F.substring(ts, 1, 10)).when(k == 6, "1700000000000").when(k == 7, "9223372036854775807").when(k == 8, "99999999999999999999")
     return r.events.select(
         "event_id", routing.clamp_run_at(routing.run_at_of(text, now), now, 5).alias("run_at"), routing.clamp_run_at(routing.run_at_after(F.col("event_id") * 97 % 900_000, now), now, 5).alias("after")
     )
@@ -313,8 +314,8 @@ def manifest_problems(r: Relations):
 @query("""want AS (SELECT DISTINCT topic FROM manifest UNION SELECT 'scheduled' UNION SELECT 'fair-time-ingest')
 SELECT topic, CASE WHEN starts_with(topic, 'fair-') THEN 64 ELSE 16 END::INT AS partitions, (CASE WHEN topic = 'scheduled' THEN 31 ELSE 7 END * 86400000::BIGINT)::BIGINT AS retention_ms FROM want WHERE topic NOT IN ('topic1', 'topic4')""")
 def missing_topics(r: Relations):
-    specs = config.topic_specs(r.spark, [f"topic{i}" for i in range(7)] + ["scheduled", "fair-time-ingest"])
-    return config.missing_topics(specs, r.manifest.where("topic in ('topic1', 'topic4')").select("topic").distinct())
+    own = r.part.where("p_partkey < 2").select(F.when(F.col("p_partkey") == 0, "scheduled").otherwise("fair-time-ingest").alias("topic"))
+    return config.missing_topics(config.topic_specs(r.manifest.select("topic").distinct().unionByName(own)), r.manifest.where("topic in ('topic1', 'topic4')").select("topic").distinct())
 
 
 @query("SELECT DISTINCT topic FROM manifest WHERE runtime = 'go' INTERSECT SELECT DISTINCT topic FROM manifest WHERE fairness_type != ''")
@@ -325,4 +326,4 @@ def overlap_topics(r: Relations):
 @query("SELECT topic, array_to_string(list(job_type ORDER BY job_type), ',') AS job_types FROM manifest WHERE topic IN (SELECT topic FROM manifest WHERE runtime = 'go') GROUP BY topic")
 def cohort_topics(r: Relations):
     own = r.manifest.where("runtime = 'go'").select("topic").distinct()
-    return r.manifest.join(F.broadcast(own), "topic", "left_semi").groupBy("topic").agg(F.array_join(F.sort_array(F.collect_list("job_type")), ",").alias("job_types"))
+    return r.manifest.join(own, "topic", "left_semi").groupBy("topic").agg(F.array_join(F.sort_array(F.collect_list("job_type")), ",").alias("job_types"))

@@ -1,7 +1,7 @@
 """Job-domain relations projected from star-schema tables, and the same projections as SQL.
 
-``orders`` are batches, ``lineitem`` rows are jobs and their completions, ``events`` is an
-append-only log, ``customer`` and ``supplier`` are tenants and consumers.
+``orders`` are batches, ``lineitem`` rows are jobs and their completions, ``part`` rows are job
+handlers, ``events`` is an append-only log, ``customer`` and ``supplier`` are tenants and consumers.
 """
 
 from __future__ import annotations
@@ -57,7 +57,7 @@ class Relations:
         e = F.col("l_suppkey") % 10
         return self.lineitem.select(
             F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").cast("bigint")).alias("job_id"),
-            F.when(F.col("l_orderkey") % 11 != 0, F.col("l_orderkey")).alias("batch_id"), F.concat(F.lit("jt"), F.col("l_partkey") % 25).alias("job_type"),
+            F.when(F.col("l_orderkey") % 11 != 0, F.col("l_orderkey")).alias("batch_id"), F.concat(F.lit("jt"), "l_partkey").alias("job_type"),
             (F.col("l_quantity").cast("int") % 9).alias("attempt"), F.col("l_linenumber").cast("bigint").alias("batch_seq"), (F.col("l_linestatus") == "F").alias("batch_counted"),
             expiry.alias("valid_till"), (F.col("l_returnflag") == "N").alias("ok"),
             F.when(e == 0, "UnknownHandler").when(e == 1, "Overloaded").when(e == 2, None).otherwise("Timeout").alias("error_class"),
@@ -68,9 +68,10 @@ class Relations:
 
     @property
     def manifest(self) -> DataFrame:
-        return self.spark.range(23).select(
+        """Handlers of most parts' job types; forty neighbours share a topic."""
+        return self.part.where("p_partkey % 25 < 23").select(F.col("p_partkey").alias("id")).select(
             F.concat(F.lit("jt"), "id").alias("job_type"), F.when(F.col("id") % 5 == 4, "ruby").otherwise("go").alias("runtime"),
-            F.concat(F.lit("class"), "id").alias("worker_class"), F.concat(F.lit("topic"), F.col("id") % 7).alias("topic"), (F.col("id") % 4).cast("int").alias("max_retries"),
+            F.concat(F.lit("class"), "id").alias("worker_class"), F.concat(F.lit("topic"), F.floor(F.col("id") / 40)).alias("topic"), (F.col("id") % 4).cast("int").alias("max_retries"),
             F.element_at(F.array(F.lit(""), F.lit("short"), F.lit("medium"), F.lit("large"), F.lit("bogus")), (F.col("id") % 5 + 1).cast("int")).alias("retry_tier"),
             F.when(F.col("id") % 6 == 0, "throughput").when(F.col("id") % 6 == 1, "time").otherwise("").alias("fairness_type"),
         )
@@ -94,14 +95,14 @@ completions AS (SELECT l_orderkey AS batch_id, l_linenumber::BIGINT AS batch_seq
   l_shipdate AS occurred_at, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS ord FROM lineitem),
 totals AS (SELECT l_orderkey AS batch_id, count(DISTINCT l_linenumber) AS total_jobs FROM lineitem GROUP BY 1),
 jobs AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, trunc(l_extendedprice)::BIGINT) AS job_id,
-  CASE WHEN l_orderkey % 11 != 0 THEN l_orderkey END AS batch_id, 'jt' || (l_partkey % 25) AS job_type, (l_quantity::INT % 9)::INT AS attempt, l_linenumber::BIGINT AS batch_seq,
+  CASE WHEN l_orderkey % 11 != 0 THEN l_orderkey END AS batch_id, 'jt' || l_partkey AS job_type, (l_quantity::INT % 9)::INT AS attempt, l_linenumber::BIGINT AS batch_seq,
   l_linestatus = 'F' AS batch_counted,
   CASE l_partkey % 6 WHEN 0 THEN '' WHEN 1 THEN 'not-a-time' WHEN 2 THEN NULL ELSE strftime(l_shipdate, '%Y-%m-%dT%H:%M:%SZ') END AS valid_till,
   l_returnflag = 'N' AS ok, CASE l_suppkey % 10 WHEN 0 THEN 'UnknownHandler' WHEN 1 THEN 'Overloaded' WHEN 2 THEN NULL ELSE 'Timeout' END AS error_class,
   CASE WHEN l_suppkey % 4 != 0 THEN 't' || (l_suppkey % 40) END AS tenant_id, l_shipdate AS run_at, l_suppkey AS consumer_id, l_quantity AS duration, l_tax >= 0.06 AS malformed,
   (l_partkey % 16)::INT AS partition_id FROM lineitem),
-manifest AS (SELECT 'jt' || id AS job_type, CASE WHEN id % 5 = 4 THEN 'ruby' ELSE 'go' END AS runtime, 'class' || id AS worker_class, 'topic' || (id % 7) AS topic, (id % 4)::INT AS max_retries,
-  ['', 'short', 'medium', 'large', 'bogus'][id % 5 + 1] AS retry_tier, CASE id % 6 WHEN 0 THEN 'throughput' WHEN 1 THEN 'time' ELSE '' END AS fairness_type FROM range(23) r(id)),
+manifest AS (SELECT 'jt' || id AS job_type, CASE WHEN id % 5 = 4 THEN 'ruby' ELSE 'go' END AS runtime, 'class' || id AS worker_class, 'topic' || (id // 40) AS topic, (id % 4)::INT AS max_retries,
+  ['', 'short', 'medium', 'large', 'bogus'][id % 5 + 1] AS retry_tier, CASE id % 6 WHEN 0 THEN 'throughput' WHEN 1 THEN 'time' ELSE '' END AS fairness_type FROM (SELECT p_partkey AS id FROM part WHERE p_partkey % 25 < 23)),
 log AS (SELECT 'jobs' || (event_id % 3) AS topic, (user_id % 16)::INT AS partition_id, ts, event_id, value, event_type, user_id, props,
   CASE WHEN event_type = 'error' AND value > 120 THEN 'failed' WHEN event_type = 'signup' AND value > 150 THEN 'pending' ELSE 'done' END AS state,
   (row_number() OVER (PARTITION BY event_id % 3, user_id % 16 ORDER BY ts, event_id) - 1)::BIGINT AS "offset" FROM events),

@@ -6,6 +6,7 @@ import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Fixed value: the syntax of variables in configuration texts.
 VARIABLE = re.compile(r"\$\{([A-Za-z_][A-Za-z0-9_]*)(?::-([^}]*))?\}")
@@ -38,11 +39,12 @@ def priority_groups(spark: SparkSession, groups: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, "group string, mode string, weighted_interleave int, topics array<string>")
 
 
-def topic_specs(spark: SparkSession, topics: list[str], partitions: int = 16, fair_partitions: int = 64, horizon_days: int = 30) -> DataFrame:
-    """Specifications to provision: fair ingest and ready topics are wider, scheduled ones keep longer."""
-    week = 7 * 86_400_000
-    rows = [(t, fair_partitions if t.startswith("fair-") else partitions, max(week, (horizon_days + 1) * 86_400_000) if t == "scheduled" else week) for t in topics]
-    return spark.createDataFrame(rows, "topic string, partitions int, retention_ms bigint")
+def topic_specs(topics: DataFrame, partitions: int = 16, fair_partitions: int = 64, horizon_days: int = 30) -> DataFrame:
+    """Specifications to provision for topics(topic): fair ingest and ready topics are wider, scheduled ones keep longer."""
+    day = 86_400_000
+    wide = F.when(F.col("topic").startswith("fair-"), fair_partitions).otherwise(partitions)
+    kept = F.when(F.col("topic") == "scheduled", max(7, horizon_days + 1) * day).otherwise(7 * day)
+    return topics.select("topic", wide.cast("int").alias("partitions"), kept.cast("bigint").alias("retention_ms"))
 
 
 def missing_topics(specs: DataFrame, existing: DataFrame) -> DataFrame:

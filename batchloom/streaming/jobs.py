@@ -314,12 +314,13 @@ def throughput_stream(events: DataFrame, delay: str = "10 minutes", width: str =
     return events.withWatermark("ts", delay).groupBy(F.window("ts", width), "status", "field").agg(F.sum("n").alias("n")).select(F.col("window.start").alias("bucket"), "status", "field", "n")
 
 
-def route_each(stream: DataFrame, split: Callable[[DataFrame], dict[str, DataFrame]], sink: Callable[[str, DataFrame], None], checkpoint: str, paused: Callable[[], DataFrame] | None = None):
+def route_each(stream: DataFrame, split: Callable[[DataFrame], dict[str, DataFrame]], sink: Callable[[str, DataFrame], None], checkpoint: str, paused: Callable[[], DataFrame] | None = None, group: str = ""):
     """Start a query that splits every micro-batch into named relations and hands them to a sink.
 
     The micro-batch is persisted while its branches are written. ``paused`` gives the pauses
-    (topic, partition_id; -1 for a whole topic) anew for every micro-batch: a kill switch, or the
-    topics that a priority gate holds back. Their records go to the sink as "held" and nowhere else.
+    (group, topic, partition_id; -1 for a whole topic) anew for every micro-batch: a kill switch
+    (``control.PauseSwitch``), or the topics that a priority gate holds back. Records that pauses of the
+    consumer ``group`` hold go to the sink as "held" and nowhere else.
     """
     from ..operators import control
 
@@ -329,8 +330,8 @@ def route_each(stream: DataFrame, split: Callable[[DataFrame], dict[str, DataFra
             free = batch
             if paused is not None:
                 now = paused()
-                free = control.consumed(batch, now)
-                sink("held", control.held(batch, now))
+                free = control.consumed(batch, now, F.lit(group))
+                sink("held", control.held(batch, now, F.lit(group)))
             for name, rows in split(free).items():
                 sink(name, rows)
         finally:

@@ -294,12 +294,14 @@ def test_route_cases(spark):
     assert got == {"1": ("fair-time-ingest", "", 3), "2": ("fair-time-ingest", "7", None), "3": ("fair-time-ingest", "7", None), "4": ("fair-time-ingest", "4", None), "5": ("jobs", "", 3), "6": ("jobs", "6", None)}
 
 
-def test_large_sides_are_not_broadcast(spark):
-    from batchloom.operators.sides import small
-
-    rows = spark.range(100)
-    plan = lambda side: rows.join(side, "id")._jdf.queryExecution().logical().toString()
-    assert "broadcast" in plan(small(spark.range(50), 50)).lower() and "broadcast" not in plan(small(spark.range(51), 50)).lower()
+def test_planning_runs_no_job(spark):
+    """Operators only declare: none counts a side to choose its join."""
+    jobs = spark.createDataFrame([("1", 5, "x", False, True, "", "t")], "job_id string, batch_id bigint, job_type string, malformed boolean, ok boolean, valid_till string, tenant_id string")
+    handlers, now = config.manifest(spark, {"x": {"runtime": "go"}}), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    spark.sparkContext.setJobGroup("planning", "")
+    routing.decide(jobs, handlers, jobs.select("batch_id"), jobs.select("job_id"), now)
+    routing.route(jobs, handlers, spark.createDataFrame([("t", 1)], "tenant_key string, assigned_partition int"))
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
 
 
 def test_sampling_is_stable(spark):
@@ -379,3 +381,42 @@ def test_cpu_of_restarted_process(spark):
 
     samples = spark.sql("SELECT 'p' AS name, timestamp_ntz'2026-01-01 00:00:00' + make_dt_interval(0, 0, 0, i) AS ts, element_at(array(5D, 6.5D, 0.5D, 0.5D), i + 1) AS cpu_seconds FROM (SELECT explode(sequence(0, 3)) AS i)")
     assert [r.cpu_pct for r in metrics.cpu_percent(samples).orderBy("ts").collect()] == [None, 150.0, None, 0.0]
+
+
+def test_pauses_fall_back_only_when_unreachable(spark):
+    """An empty store that can be reached wins over a stale second one; a pause is of one group."""
+    table = lambda rows: spark.createDataFrame(rows, control.PAUSES)
+    stale, empty = table([("g", "t", -1)]), table([])
+
+    def gone():
+        raise OSError("connection refused")
+
+    log = spark.createDataFrame([("g", "t", 0), ("g", "t", 1), ("h", "t", 1), ("g", "u", 1)], "group string, topic string, partition_id int")
+    taken = lambda stores: sorted(tuple(r) for r in control.consumed(log, control.pauses(spark, stores), F.col("group")).collect())
+    every = sorted(tuple(r) for r in log.collect())
+    assert taken([lambda: empty, lambda: stale]) == every  # resumed
+    assert taken([gone, lambda: stale]) == [("g", "u", 1), ("h", "t", 1)]
+    assert taken([gone, gone]) == every == taken([])
+    one = table([("g", "t", 1)])
+    assert taken([lambda: one]) == [("g", "t", 0), ("g", "u", 1), ("h", "t", 1)]
+    assert [tuple(r) for r in control.held(log, one, F.col("group")).collect()] == [("g", "t", 1)]
+    assert sorted(tuple(r) for r in control.active_higher(log.select("group", "topic").distinct(), stale.unionByName(one)).collect()) == [("g", "u"), ("h", "t")]
+
+
+def test_pause_switch_reads_again_after_its_interval(spark):
+    rows, at = [("g", "t", -1)], [0.0]
+    switch = control.PauseSwitch(spark, [lambda: spark.createDataFrame(rows, control.PAUSES)], 30, lambda: at[0])
+    assert switch().count() == 1
+    rows.append(("g", "u", -1))
+    at[0] = 29.0
+    assert switch().count() == 1
+    at[0] = 30.0
+    assert switch().count() == 2
+
+
+def test_run_at_takes_any_whole_number(spark):
+    texts = ["1700000000000", "9223372036854775807", "-9223372036854775808", "9223372036854775808", "99999999999", "+5", "5.0", ""]
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    got = [str(r[0]) for r in spark.createDataFrame([(t,) for t in texts], "t string").select(routing.clamp_run_at(routing.run_at_of(F.col("t"), now), now)).collect()]
+    far, here = "2024-01-31 00:00:00", "2024-01-01 00:00:00"
+    assert got == [far, far, here, here, far, here, here, here]

@@ -244,8 +244,8 @@ def test_kill_switch(spark, tmp_path):
     log = spark.createDataFrame([("t", p, o) for p in range(3) for o in range(4)] + [("u", 0, 0)], "topic string, partition_id int, offset bigint")
     log.write.parquet(str(tmp_path / "l"))
     seen = {}
-    pauses = spark.createDataFrame([("t", 1), ("u", -1)], "topic string, partition_id int")
-    q = jobs.route_each(spark.readStream.schema(log.schema).parquet(str(tmp_path / "l")), lambda b: {"all": b}, lambda n, df: seen.__setitem__(n, seen.get(n, 0) + df.count()), str(tmp_path / "ck"), lambda: pauses)
+    pauses = spark.createDataFrame([("g", "t", 1), ("g", "u", -1), ("other", "t", -1)], "group string, topic string, partition_id int")
+    q = jobs.route_each(spark.readStream.schema(log.schema).parquet(str(tmp_path / "l")), lambda b: {"all": b}, lambda n, df: seen.__setitem__(n, seen.get(n, 0) + df.count()), str(tmp_path / "ck"), lambda: pauses, "g")
     q.awaitTermination(60)
     assert seen == {"held": 5, "all": 8}
 
