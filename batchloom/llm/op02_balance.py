@@ -112,9 +112,10 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, exact_w
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("a"), F.col("source").cast("string")))
     k1, k2 = row_keys(docs)
     base = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), key.alias("k"), word_count(F.col("text").cast("string")).alias("size"), k1.alias("k1"), k2.alias("k2")
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), key.alias("k"), word_count(F.col("text").cast("string")).alias("size"), k1.alias("k1"), k2.alias("k2")
     )
-    base = landed(base, "sizes")
+    sizes = landed(base, "sizes")
+    base = numbered(sizes)
     hist = landed(base.groupBy("k", "size").agg(F.count("*").alias("n")), "histogram")
     per_source = hist.groupBy("k").agg(F.sum(F.col("n") * F.col("size")).cast("long").alias("source_size"))
     solved = landed(solve(hist, landed(targets(per_source, weights, share), "targets")), "solved")
@@ -122,9 +123,9 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, exact_w
 
     rate = _rate(F.col("lam"), F.col("size"), F.col("scale"), F.col("full"))
     extra = rate - F.floor(rate)
-    n_rows = base.count()
+    n_rows = sizes.count()
     salts = max(1, min(MOST_SALTS, -(-n_rows // SALT_ROWS)))
-    salted = base.withColumn("salt", F.pmod(F.xxhash64("k1", F.lit(17)), F.lit(salts)))
+    salted = base.withColumn("salt", F.pmod(F.xxhash64("k1", "nth", F.lit(17)), F.lit(salts)))
     fine = salted.groupBy("k", "size", "salt").agg(F.count("*").alias("n"))
     # fractions summed up to each size, then up to each salt of the size; whole numbers passed give the extra copies
     by_size = Window.partitionBy("k").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
@@ -133,7 +134,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, exact_w
     quota = fine.withColumn("n_before", F.coalesce(F.sum("n").over(by_salt), F.lit(0))).join(coarse, ["k", "size"])
     start = F.col("before") + F.col("n_before") * F.col("extra")
     quota = quota.select("k", "size", "salt", (F.floor(start + F.col("n") * F.col("extra") + 0.5) - F.floor(start + 0.5)).alias("quota"))
-    in_group = Window.partitionBy("k", "size", "salt").orderBy("k2", "k1")
+    in_group = Window.partitionBy("k", "size", "salt").orderBy("k2", "k1", "nth")
     ranked = salted.withColumn("place", F.row_number().over(in_group)).join(quota, ["k", "size", "salt"])
     copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.floor(rate) + F.when(F.col("place") <= F.col("quota"), 1).otherwise(0)).cast("long")
     rounded = ranked.join(p, "k").withColumns({"rate": rate, "copies": F.least(copies, F.lit(MOST))})
@@ -153,18 +154,42 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, exact_w
     )
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows(row, k1, k2, ...)`` with nth: 0, 1, ... among the rows of equal keys.
+
+    ``row`` is what ``monotonically_increasing_id`` gave when the table was written, so its upper bits
+    tell the writing task. Equal rows are counted by task, and numbered inside each: no key's rows
+    come together, however many they are.
+    """
+    keys = ["k1", "k2"]
+    equal = landed(rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys), "equal")
+    if equal.isEmpty():
+        return rows.withColumn("nth", F.lit(0).cast("long")).drop("row")
+    some = rows.join(small_or_shuffled(equal), keys, "left_semi").withColumn("task", F.shiftrightunsigned("row", 33))
+    before = Window.partitionBy(*keys).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = some.groupBy(*keys, "task").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    inside = F.row_number().over(Window.partitionBy(*keys, "task").orderBy("row")) - 1
+    some = some.withColumn("inside", inside).join(small_or_shuffled(landed(tasks, "tasks")), [*keys, "task"])
+    some = some.withColumn("nth", (F.col("before") + F.col("inside")).cast("long")).select(*rows.columns, "nth")
+    alone = rows.join(small_or_shuffled(equal), keys, "left_anti").withColumn("nth", F.lit(0).cast("long"))
+    return alone.unionByName(some).drop("row")
+
+
 def materialise(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """Rows of ``docs`` repeated by their copies in ``mixed``, a mix of the same ``docs``.
 
     Copies follow the row (two hashes of all its columns), not its doc_id. Equal rows cannot be told
-    apart, so one of them stands for all and is repeated as often as they together.
+    apart, so any of them takes the copies of any other: as many are repeated once, and twice, as in
+    the mix.
     """
-    per = landed(mixed.where("k1 is not null").groupBy("k1", "k2").agg(F.count("*").alias("n"), F.sum("copies").cast("int").alias("copies")).where("copies > 0"), "copies")
+    some = [F.count_if(F.col("copies") >= c).alias(f"with_{c}") for c in range(1, MOST + 1)]
+    per = landed(mixed.where("k1 is not null").groupBy("k1", "k2").agg(F.count("*").alias("n"), *some).where("with_1 > 0"), "copies")
     k1, k2 = row_keys(docs)
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), k1.alias("k1"), k2.alias("k2"))
-    alone, equal = per.where("n = 1"), per.where("n > 1")
-    out = keyed.join(small_or_shuffled(alone), ["k1", "k2"]).select("record", "copies")
+    alone, equal = per.where("n = 1"), per.where("n > 1").drop("n")
+    copies = sum((F.when(F.col("nth") < F.col(f"with_{c}"), 1).otherwise(0) for c in range(1, MOST + 1)), F.lit(0)).alias("copies")
+    out = keyed.join(small_or_shuffled(alone), ["k1", "k2"]).withColumn("nth", F.lit(0)).select("record", copies)
     if not equal.isEmpty():
-        one = keyed.join(small_or_shuffled(equal), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
-        out = out.unionByName(one.select("record", "copies"))
+        rows = landed(keyed.join(small_or_shuffled(equal.select("k1", "k2")), ["k1", "k2"], "left_semi").withColumn("row", F.monotonically_increasing_id()), "repeated")
+        out = out.unionByName(numbered(rows).join(small_or_shuffled(equal), ["k1", "k2"]).select("record", copies)).where("copies > 0")
     return out.select("record", F.explode(F.sequence(F.lit(1), "copies"))).select("record.*")

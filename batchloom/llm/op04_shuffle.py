@@ -40,7 +40,7 @@ def external_shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bu
     key = F.col("doc_id").cast("long")
     total = docs.agg(F.sum(text_bytes(F.col("text").cast("string")))).first()[0] or 0
     per_shard = max(1, -(-total // (shards * bucket_bytes)))
-    placed = docs.select(F.struct(*docs.columns).alias("record")).withColumns({"key": F.col("record.doc_id").cast("long")})
+    placed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record")).withColumns({"key": F.col("record.doc_id").cast("long")})
     placed = placed.withColumns({"shard": shard_of(F.col("key"), shards, seed), "bucket": F.pmod(F.xxhash64("key", F.col("record.text"), F.lit(seed + 1)), F.lit(per_shard)).cast("int")})
     # one fixed partition count, so a bucket's generator state depends on nothing but the data
     width = min(shards * per_shard, MOST_TASKS)

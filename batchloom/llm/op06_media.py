@@ -5,9 +5,11 @@ with one Aho-Corasick automaton over the whole payload; a validator per format w
 and returns the exact length, so a signature without a sound body counts for nothing. The object
 at offset 0 corrects the declared type; sound objects further inside are carved, outermost first.
 
-Validators share one ``Payload``, whose markers are found once and whose dead ends are walked once,
-so a very long payload full of signatures takes time in proportion to its length (checksums of
-nested sound chunks aside).
+Validators share one ``Payload``, whose markers are found once and whose dead ends are walked once.
+RIFF chunks and FLAC frames, which signatures with different ends may share, form forests that are
+built once; a signature then asks for a place on its path in logarithmic time. So a very long payload
+full of signatures takes time in proportion to its length, up to a logarithm (checksums of nested
+sound chunks aside).
 
 Defined cases: null text is stored as no bytes; null media has a null type and no objects; of
 objects with one start, the first by format order counts; rows repeat freely; an empty table gives
@@ -25,12 +27,14 @@ import zlib
 from collections.abc import Callable, Iterator
 from functools import cached_property, lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNIT, RATE = 64, 8000
-OBJECT = "type string, start long, stop long"
+OBJECTS = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
 
 
 class Payload:
@@ -59,6 +63,14 @@ class Payload:
             dead[q] = 1
         return None
 
+    @cached_property
+    def chunks(self) -> Chunks:
+        return Chunks(self.raw)
+
+    @cached_property
+    def frames(self) -> Frames:
+        return Frames(self.raw)
+
     @cached_property
     def jpeg_markers(self) -> list[int]:
         """Places of 0xFF before a byte that is neither stuffing, a restart nor a fill byte."""
@@ -96,17 +108,65 @@ class Payload:
         return ends, tables, told
 
 
+class Chunks:
+    """The forest of RIFF chunks that any RIFF head leads to: a chunk's parent is the one that follows it."""
+
+    def __init__(self, b: bytes):
+        self.after: dict[int, int | None] = {}
+        self.kind: dict[int, tuple[bytes, int]] = {}
+        for m in re.finditer(b"RIFF", b):
+            p: int | None = m.start() + 12
+            while p is not None and p not in self.after:
+                if p + 8 <= len(b):
+                    n = struct.unpack_from("<I", b, p + 4)[0]
+                    self.kind[p], self.after[p] = (b[p : p + 4], n), p + 8 + n + n % 2
+                else:
+                    self.kind[p], self.after[p] = (b"", 0), None
+                p = self.after[p]
+        # what follows lies behind, so parents come before children in falling order
+        order = sorted(self.after, reverse=True)
+        self.size, self.first, self.kids, self.marks, free = dict.fromkeys(order, 1), {}, {}, {}, 0
+        for p in reversed(order):
+            if (q := self.after[p]) is not None:
+                self.size[q] += self.size[p]
+        room: dict[int, int] = {}
+        for p in order:
+            q, (name, n) = self.after[p], self.kind[p]
+            fmt, data = self.marks.get(q, (0, 0))
+            self.marks[p] = fmt + (name == b"fmt " and n >= 16), data + (name == b"data")
+            if q is None:
+                self.first[p], free = free, free + self.size[p]
+            else:
+                self.first[p], room[q] = room[q], room[q] + self.size[p]
+                self.kids.setdefault(q, []).append(p)
+            room[p] = self.first[p] + 1
+
+    def reaches(self, p: int, q: int) -> bool:
+        """Whether the chunks from ``p`` on lead to ``q``."""
+        return q in self.first and self.first[q] <= self.first[p] < self.first[q] + self.size[q]
+
+    def last(self, p: int, q: int) -> int:
+        """The chunk before ``q`` on the way from ``p``."""
+        kids = self.kids[q]
+        return kids[bisect.bisect_right(kids, self.first[p], key=self.first.__getitem__) - 1]
+
+
 def _wav(p: Payload, at: int) -> int | None:
+    """Chunks up to the stated end (or one byte of padding beyond), a format and data among them."""
     b = p.raw
     if len(b) < at + 44 or b[at + 8 : at + 12] != b"WAVE":
         return None
-    end, p, fmt, data = at + 8 + struct.unpack_from("<I", b, at + 4)[0], at + 12, False, False
-    while p + 8 <= end <= len(b):
-        name, n = b[p : p + 4], struct.unpack_from("<I", b, p + 4)[0]
-        fmt |= name == b"fmt " and n >= 16
-        data |= name == b"data"
-        p += 8 + n + n % 2
-    return end if fmt and data and p in (end, end + 1) else None
+    end, chunks, first = at + 8 + struct.unpack_from("<I", b, at + 4)[0], p.chunks, at + 12
+    if end > len(b):
+        return None
+    if chunks.reaches(first, end):
+        stop = end
+    elif chunks.reaches(first, end + 1) and first <= end and chunks.kind[chunks.last(first, end + 1)][1]:
+        stop = end + 1
+    else:
+        return None
+    (fmt, data), (fmt_after, data_after) = chunks.marks[first], chunks.marks[stop]
+    return end if fmt > fmt_after and data > data_after else None
 
 
 def _png(p: Payload, at: int) -> int | None:
@@ -209,14 +269,70 @@ def _flac_frame(b: bytes, p: int) -> tuple[int, int] | None:
 
 
 @lru_cache(maxsize=1)
-def _crc16() -> list[int]:
-    out = []
-    for x in range(256):
-        c = x << 8
+def _crc16_weights() -> np.ndarray:
+    """x ** (8 - 8 i) modulo the frame checksum's polynomial, for one period of i."""
+    back = lambda c: (c ^ 0x18005 if c & 1 else c) >> 1  # divided by x
+    out, w = [], 0x100
+    while not out or w != out[0]:
+        out.append(w)
         for _ in range(8):
-            c = (c << 1 ^ (0x8005 if c & 0x8000 else 0)) & 0xFFFF
-        out.append(c)
-    return out
+            w = back(w)
+    return np.array(out, np.uint32)
+
+
+class Frames:
+    """FLAC frames of a payload: verified heads, each with the next head at which its checksum holds.
+
+    A checksum of bytes q..r is zero exactly if ``sums[q] == sums[r]``: the sums are running XORs of
+    every byte times its power of x. Twofold jumps along the chain of frames carry their samples and
+    their shortest and longest length, so a stream finds its last frame in logarithmic time.
+    """
+
+    def __init__(self, b: bytes):
+        raw, weights = np.frombuffer(b, np.uint8).astype(np.uint32), _crc16_weights()
+        w = np.resize(weights, len(raw))
+        term = np.zeros(len(raw), np.uint32)
+        for _ in range(8):
+            term ^= np.where(raw & 1, w, 0).astype(np.uint32)
+            raw >>= 1
+            w = np.where(w & 0x8000, w << 1 ^ 0x18005, w << 1)
+        self.sums = np.concatenate([[0], np.bitwise_xor.accumulate(term)]) if len(raw) else np.zeros(1, np.uint32)
+        order = np.argsort(self.sums, kind="stable")
+        cuts = np.searchsorted(self.sums[order], np.arange(0x10001))
+        self.places, self.cuts = order, cuts
+        heads = [(m.start(), got) for m in re.finditer(rb"\xff(?=[\xf8\xf9])", b) if (got := _flac_frame(b, m.start()))]
+        self.at = {p: i for i, (p, _) in enumerate(heads)}
+        self.start, self.samples, self.least = (np.array(x, np.int64) for x in ([p for p, _ in heads], [g[0] for _, g in heads], [p + g[1] + 3 for p, g in heads]))
+        by_sum: dict[int, list[int]] = {}
+        for i, (p, _) in enumerate(heads):
+            by_sum.setdefault(int(self.sums[p]), []).append(i)
+        nxt = np.full(len(heads), -1, np.int64)
+        for same in by_sum.values():
+            at = np.searchsorted(self.start[same], self.least[same])
+            nxt[same] = [same[k] if k < len(same) else -1 for k in at]
+        length = np.where(nxt >= 0, self.start[nxt] - self.start, 0) if len(heads) else nxt
+        self.jumps = [(nxt, self.samples, length, length)]
+        while (self.jumps[-1][0] >= 0).any():
+            to, total, low, high = self.jumps[-1]
+            ok = (to >= 0) & (to[to] >= 0)
+            self.jumps.append((np.where(ok, to[to], -1), total + np.where(ok, total[to], 0), np.minimum(low, np.where(ok, low[to], low)), np.maximum(high, np.where(ok, high[to], high))))
+
+    def end(self, q: int, total: int, least: int, most: int) -> int | None:
+        """The end of ``total`` samples in frames from ``q`` on, each of ``least`` to ``most`` bytes (0: any)."""
+        if (i := self.at.get(q)) is None:
+            return None
+        for to, samples, low, high in reversed(self.jumps):
+            if to[i] >= 0 and samples[i] < total:
+                if low[i] < least or most and high[i] > most:
+                    return None
+                total, i = total - int(samples[i]), int(to[i])
+        if self.samples[i] < total:
+            return None
+        start, value = int(self.start[i]), int(self.sums[self.start[i]])
+        a, z = self.cuts[value], self.cuts[value + 1]
+        k = a + np.searchsorted(self.places[a:z], max(int(self.least[i]), start + least))
+        stop = int(self.places[k]) if k < z else None
+        return stop if stop is not None and not (most and stop - start > most) else None
 
 
 def _flac(p: Payload, at: int) -> int | None:
@@ -228,23 +344,7 @@ def _flac(p: Payload, at: int) -> int | None:
     least, most, total = info >> 34 * 8 - 56 & 0xFFFFFF, info >> 34 * 8 - 80 & 0xFFFFFF, info >> 128 & (1 << 36) - 1
     block = lambda q: q + 4 + int.from_bytes(b[q + 1 : q + 4], "big")
     q = p.walk("flac", at + 4, lambda x: block(x) if x + 4 <= len(b) and not b[x] >> 7 else None, lambda x: block(x) if x + 4 <= len(b) and b[x] >> 7 and block(x) <= len(b) else None)
-    if q is None or not total:
-        return q
-    table, seen = _crc16(), 0
-    while seen < total:
-        head = _flac_frame(b, q)
-        if head is None:
-            return None
-        crc, stop = 0, min(len(b), q + most if most else len(b))
-        for r in range(q, stop):
-            crc = (crc << 8 ^ table[crc >> 8 ^ b[r]]) & 0xFFFF
-            # the checksum holds after a whole frame; what follows is a frame or, at the last, anything
-            if not crc and r + 1 - q >= max(least, head[1] + 3) and (seen + head[0] >= total or _flac_frame(b, r + 1)):
-                seen, q = seen + head[0], r + 1
-                break
-        else:
-            return None
-    return q
+    return q if q is None or not total else p.frames.end(q, total, least, most)
 
 
 def _ogg(p: Payload, at: int) -> int | None:
@@ -354,8 +454,8 @@ def _sniff(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sniff(df: DataFrame, media: str = "media", declared: str = "declared") -> DataFrame:
     """``df`` with detected, corrected and carved (array of type, start, stop)."""
     keep = [c for c in df.columns if c not in ("detected", "corrected", "carved")]
-    row = df.select(F.col(media).alias("m"), F.col(declared).alias("d"), F.struct(*keep).alias("row"))
-    schema = f"detected string, corrected boolean, carved array<struct<{OBJECT.replace(' string', ':string').replace(' long', ':long')}>>, row {row.schema['row'].dataType.simpleString()}"
+    row = df.select(F.col(media).alias("m"), F.col(declared).alias("d"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"))
+    schema = T.StructType([T.StructField("detected", T.StringType()), T.StructField("corrected", T.BooleanType()), T.StructField("carved", OBJECTS), row.schema["row"]])
     return row.mapInArrow(_sniff, schema).select("row.*", "detected", "corrected", "carved")
 
 

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import map_rows
 from .worker import kept
 
 KINDS = ("assign", "access", "hex", "token")
@@ -181,10 +182,9 @@ def redacted(text: str | None, encoding, mark: str = "[SECRET]") -> str | None:
     return "".join([*out, text[at:]])
 
 
-def _redact(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _redact(path: str, at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     enc = vocabulary(path)
     for batch in batches:
-        at = batch.schema.get_field_index("text")
         for i in range(0, batch.num_rows, 256):  # small slices: a batch of long texts stands in memory once
             part = batch.slice(i, 256)
             new = [redacted(t, enc) for t in part.column(at).to_pylist()]
@@ -193,7 +193,8 @@ def _redact(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 def redact(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """``docs`` with secrets in ``text`` replaced; n_chars, if there, follows the new text."""
-    out = docs.mapInArrow(lambda it: _redact(vocabulary_path, it), docs.schema)
+    at = docs.columns.index("text")
+    out = map_rows(docs, lambda it: _redact(vocabulary_path, at, it))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

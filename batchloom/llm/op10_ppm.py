@@ -10,7 +10,10 @@ worker looks a byte's gram up once for ``SLICE`` languages together; a gram none
 falls back by their escapes to the next lower order. A text's code length per language is the
 sum. The order is the same for every number of languages, and memory grows with their number only.
 
-Training reads an expected ``MOST_ROWS`` labelled rows per language (a hash sample, whole texts).
+Training reads an expected ``MOST_ROWS`` labelled rows per language (a hash sample, whole texts). A value
+of lang is learned if at least ``LEAST_ROWS`` training rows have it and no ``MOST_LANGUAGES`` others have
+more (ties by name), so stray values in a dirty column neither become languages nor reach the driver;
+rows with other values are scored like rows without lang.
 
 Defined cases: null text or text without letters is ``und`` with score 0; without any training row
 everything is ``und``; languages of equal code length tie and the first by name is taken; very long
@@ -38,10 +41,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import places
 from .worker import kept
 
 ORDER, SYMBOLS, SLICE = 3, 157, 16
 MOST_ROWS, FOLDS = 1_500, 5
+LEAST_ROWS, MOST_LANGUAGES = 5, 500
 PARTS, FAR, SHORT, SURE = 5, 3.0, 64, 0.99
 UNITS = 512  # code lengths are kept in 1/512 bit
 LETTER = re.compile(r"[^\W\d_]")
@@ -224,13 +229,15 @@ def part_of(doc_id: Column) -> Column:
 
 def _sample(docs: DataFrame, most_rows: int) -> tuple[list[str], DataFrame | None]:
     """Languages, and lang, text, part of the training sample."""
-    rows = docs.where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    count = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
-    languages = sorted(count)
+    rows = docs.where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    count = rows.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS)
+    count = count.orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES).collect()
+    languages = sorted(r["lang"] for r in count)
     if not languages:
         return [], None
-    share = F.element_at(F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(int(min(1.0, most_rows / count[k]) * 1_000_000)))]), F.col("lang"))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < share)
+    share = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, most_rows / r["n"]) * 1_000_000)) for r in count], "known string, share int")
+    sample = rows.withColumn("known", F.col("lang").cast("string")).join(F.broadcast(share), "known")  # at most MOST_LANGUAGES rows
+    sample = sample.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < F.col("share"))
     return languages, sample.select("lang", F.col("text").cast("string").alias("text"), part_of(F.col("doc_id")).alias("part"))
 
 
@@ -305,11 +312,10 @@ def decide(text: str | None, lang: str | None, model: Model, table: list[Table])
     return True, model.languages[best] if sure or lang is None else lang
 
 
-def _keep(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keep(shared, text: int, lang: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     models, tables = _parts(shared)
     for batch in batches:
         part, batch = batch.column(batch.num_columns - 1), batch.select(range(batch.num_columns - 1))
-        text, lang = batch.schema.get_field_index("text"), batch.schema.get_field_index("lang")
         got = []
         for i in range(0, batch.num_rows, 256):
             rows = batch.slice(i, 256)
@@ -321,4 +327,7 @@ def _keep(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def keep_identified(docs: DataFrame, models: list[Model]) -> DataFrame:
     """Rows of ``docs`` in a learned language, with lang as predicted where sure; other columns unchanged."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
-    return docs.select("*", part_of(F.col("doc_id"))).mapInArrow(lambda it: _keep(shared, it), docs.schema)
+    text, lang = docs.columns.index("text"), docs.columns.index("lang")
+    plain = docs.toDF(*places(docs))
+    rows = plain.select("*", part_of(F.col(plain.columns[docs.columns.index("doc_id")])))
+    return rows.mapInArrow(lambda it: _keep(shared, text, lang, it), plain.schema).toDF(*docs.columns)

@@ -6,7 +6,9 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +80,16 @@ def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def map_rows(df: DataFrame, of: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``df`` mapped batch by batch to rows of its own columns; ``of`` sees them under ``places(df)``, so their names may be anything."""
+    plain = df.toDF(*places(df))
+    return plain.mapInArrow(of, plain.schema).toDF(*df.columns)
+
+
+def places(df: DataFrame) -> list[str]:
+    return [f"c{i}" for i in range(len(df.columns))]
+
+
 def row_keys(df: DataFrame) -> list[Column]:
     """Two hashes (128 bits together) of all columns of a row, nulls included; equal rows have equal keys."""
     nulls = F.concat(*[F.when(F.col(f"`{c}`").isNull(), "1").otherwise("0") for c in df.columns])

@@ -8,7 +8,7 @@ from batchloom.llm import op01_repair, op02_balance, op03_pstable, op04_shuffle,
 
 BPE, RANKS = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Names that the operators use inside.
-CLASH = ["size", "k", "salt", "place", "copies", "shard", "bucket", "record", "rep", "g", "cluster", "u", "v", "start", "length", "media", "declared", "row", "mixed_id", "mixed_copies", "positive", "held_out", "n_chars", "k1", "k2", "cid", "root", "b", "h", "part", "hi", "lo", "mine", "blocks"]
+CLASH = ["size", "k", "salt", "place", "copies", "shard", "bucket", "record", "rep", "g", "cluster", "u", "v", "start", "length", "media", "declared", "row", "mixed_id", "mixed_copies", "positive", "held_out", "n_chars", "k1", "k2", "cid", "root", "b", "h", "part", "hi", "lo", "mine", "blocks", "a.b", "nth", "task", "known", "share"]
 SCHEMA = "doc_id bigint, text string, lang string, source string"
 LONG = "lorem ipsum dolor, sit amet consectetur. " * 30_000  # beyond every piece, slice and block of the operators
 ROWS = [
@@ -46,6 +46,7 @@ OPS = {
     "secrets": lambda s, d: op09_secrets.scan(d, RANKS),
     "redact": lambda s, d: op09_secrets.redact(d, RANKS),
     "language": lambda s, d: op10_ppm.identify(d, op10_ppm.fit(d)),
+    "sniff": lambda s, d: op06_media.sniff(d.withColumns({"media": F.col("text").cast("binary"), "declared": F.lit("x")})),
 }
 
 
@@ -123,3 +124,27 @@ def test_null_vec_ids_link(spark):
     df = spark.createDataFrame([(None, [1.0, 0.0], 1), (None, [1.0, 0.01], 1), (None, [0.0, 1.0], 1), (4, [0.0, 1.0], 1)], "vec_id bigint, embedding array<double>, label int")
     got = sorted(map(tuple, op03_pstable.near_duplicates(df).collect()), key=str)
     assert got == sorted([(None, 1, None, False), (None, 1, None, False), (None, 1, 4, False), (4, 1, 4, True)], key=str)
+
+
+def test_many_equal_rows_spread(spark):
+    """Equal rows are numbered by task and salted apart; copies come out as the mix has them."""
+    row = (7, "one two three four five six seven", "en", "a")
+    df = spark.createDataFrame([row], SCHEMA).crossJoin(spark.range(60_000, numPartitions=8)).drop("id").unionByName(spark.createDataFrame([(i, "a few words more", "en", "b") for i in range(500)], SCHEMA)).withColumn("a.b", F.lit(1))
+    mixed = op02_balance.mix(df, exact_words=False)
+    counts = mixed.groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("w"), F.count("*").alias("n")).collect()
+    assert {r.source: r.n for r in counts} == {"a": 60_000, "b": 500} and all(abs(r.t - r.w) <= 7 for r in counts)
+    out = op02_balance.materialise(df, mixed)
+    assert {r.source: r["count"] for r in out.groupBy("source").count().collect()} == {r.source: r.c for r in mixed.groupBy("source").agg(F.sum("copies").alias("c")).collect()}
+    keyed = spark.range(60_000, numPartitions=8).select(F.monotonically_increasing_id().alias("row"), (F.col("id") % 2).alias("k1"), F.lit(1).cast("long").alias("k2"))
+    nth = op02_balance.numbered(keyed).groupBy("k1").agg(F.count_distinct("nth").alias("d"), F.max("nth").alias("m")).collect()
+    assert {(r.k1, r.d, r.m) for r in nth} == {(0, 30_000, 29_999), (1, 30_000, 29_999)}
+
+
+def test_a_dirty_lang_column(spark):
+    """Stray values do not become languages, and a bound keeps the most frequent ones."""
+    good = [(i, f"the quick brown fox number {i}", "en", "a") for i in range(0, 400)] + [(i, f"der schnelle braune fuchs nummer {i}", "de", "a") for i in range(400, 800)]
+    stray = [(i, "some words of no language", f"x{i}", "a") for i in range(1_000, 6_000)]
+    model = op10_ppm.fit(spark.createDataFrame(good + stray, SCHEMA))
+    assert model.languages == ["de", "en"]
+    several = [(i, "some words", f"y{i % 700}", "a") for i in range(9_000)]
+    assert len(op10_ppm.fit(spark.createDataFrame(several, SCHEMA)).languages) == op10_ppm.MOST_LANGUAGES

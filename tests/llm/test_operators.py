@@ -1,9 +1,12 @@
 """Operators against brute force, exact round trips and held-out accuracy."""
 
 import hashlib
+import io
 import itertools
 import re
 import struct
+import time
+import wave
 import zlib
 
 import duckdb
@@ -416,6 +419,72 @@ def test_many_signatures_take_linear_time(raw):
     assert time.perf_counter() - start < 10  # about a second; quadratic walks take minutes
 
 
+def timed_objects(raw):
+    start = time.perf_counter()
+    found = op06_media.objects(raw)
+    return found, time.perf_counter() - start
+
+
+def test_hidden_heads_take_linear_time():
+    """A megabyte of RIFF heads inside chunks, and of fLaC heads that share one valid frame head."""
+    riff = b"".join(b"RIFF" + struct.pack("<I", 1_000_000 - i) + b"WAVE" + b"pad " + struct.pack("<I", 12) for i in range(0, 1_000_000, 20))
+    found, took = timed_objects(riff)
+    assert found == [] and took < 20
+    head = flac()[: flac().index(b"\xff\xf8")]
+    found, took = timed_objects(head * (1_000_000 // len(head)) + flac()[len(head) :][:40])
+    assert took < 30 and all(k == "audio/flac" for k, _, _ in found)
+
+
+def test_wav_padding_and_ends():
+    wav, _ = op06_media.to_media(b"abc")
+    body = wav[:40]
+    odd = b"RIFF" + struct.pack("<I", 36 + 5) + body[8:40] + struct.pack("<I", 5) + b"12345"
+    assert op06_media.objects(odd + b"\0")[0] == ("audio/wav", 0, 49) and op06_media.objects(wav + b"more")[0] == ("audio/wav", 0, len(wav))
+    assert op06_media.objects(wav.replace(b"fmt ", b"fmx ")) == [] == op06_media.objects(wav[:-1])
+
+
+def wave_by_module(media):
+    """The standard library's reader agrees that the whole payload is one file."""
+    with wave.open(io.BytesIO(media)) as w:
+        return w.getsampwidth() == 1 and w.getnframes() + 44 == len(media)
+
+
+def text_objects(raw):
+    """Objects that bytes without NULs can hold, found by trial at every place: GIF without blocks, and PDF."""
+    out, p = [], 0
+    while p < len(raw):
+        stop = None
+        if m := re.match(rb"GIF8[79]a[^\0]{4}([^\0])[^\0]{2}", raw[p : p + 13], re.S):
+            q = p + 13 + (3 << ((m[1][0] & 7) + 1) if m[1][0] & 0x80 else 0)
+            stop = q + 1 if raw[q : q + 1] == b";" else None
+        elif re.match(rb"%PDF-\d\.", raw[p : p + 7]):
+            for m in re.finditer(rb"startxref\s+(\d{1,15})\s+%%EOF", raw):
+                tables = [t.start() for t in re.finditer(rb"(?<![a-z])xref(?=\s)", raw[: m.start()])]
+                objs = [t.start() for t in re.finditer(rb"(?<!\d)\d+ \d+ obj\b", raw[: m.start()])]
+                if m.end() > p and any(x and x[-1] - int(m[1]) == p for x in (tables, objs)):
+                    stop = max(stop or 0, m.end())
+        if stop is not None:
+            out.append((p, stop))
+        p = stop or p + 1
+    return out
+
+
+def test_op6_feature_by_force(spark):
+    """The feature of every row against readers of another make."""
+    small = b"%PDF-1.4\n1 0 obj\nxref\n0 1\ntrailer\nstartxref\n17\n%%EOF".decode()
+    texts = ["", "plain", "é" * 70, "GIF89a1234\x05ab;", "xx GIF87a12345678;yy GIF89a1234567;", f"lead {small} tail", f"{small}{small}", "RIFFxxxxWAVE fLaC OggS BM PK\x03\x04 %PDF-1.7", "startxref 5 %%EOF %PDF-1.1 xref "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    stored = op06_media.store(df)
+    media = {r.doc_id: bytes(r.media) for r in stored.collect()}
+    assert all(map(wave_by_module, media.values()))
+    got = {r.doc_id: r.feature for r in op06_media.features(stored).collect()}
+    for i, t in enumerate(texts):
+        carved = text_objects(media[i][44:].replace(b"\0", b" ") if "\0" not in t else b"")
+        kind = lambda at, m=media[i]: "image/gif" if m[at : at + 3] == b"GIF" else "application/pdf"
+        assert got[i] == "audio/wav;corrected=1;carved=" + ",".join(f"{kind(a + 44)}:{a + 44}-{z + 44}" for a, z in carved), t
+    assert sum("carved=a" in f or "carved=i" in f for f in got.values()) >= 4
+
+
 def test_sniff_frame(spark):
     df = spark.createDataFrame([(1, bytearray(png()), "image/jpeg", "x"), (2, None, None, "y")], "id bigint, media binary, declared string, corrected string")
     got = op06_media.sniff(df).orderBy("id").collect()
