@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import cron
 from ..functions.scalars import epoch
 
 
@@ -59,6 +60,35 @@ def plan_fires(instants: DataFrame, schedules: DataFrame, now: Column, grace_sec
     return out.select("id", "misfire_policy", F.coalesce("fires", F.lit(0)).alias("fires"), "first_fire", "last_fire", F.coalesce("planned", "next_run_at").alias("new_next"))
 
 
+def tick(schedules: DataFrame, now: Column, grace_seconds: int = 60, cap: int = 100) -> DataFrame:
+    """One tick over schedules(id, cron_expr, timezone, enabled, misfire_policy, next_run_at): what each fires and when it runs next.
+
+    Adds fires (instants to enqueue, none unless enabled and due), new_next, and problem. Every row has its
+    own expression and zone, parsed and evaluated as columns. A due schedule whose expression or zone is none is
+    disabled, fires nothing and keeps its next run; the others go on. Policies are those of ``fires``; where
+    no instant is left within five years the next run is a minute after the last.
+    """
+    m, at = F.col("_cron"), F.col("next_run_at")
+    s = schedules.withColumn("_cron", cron.masks(F.col("cron_expr")))
+    zone_ok = cron.zone_known(schedules.sparkSession, F.coalesce("timezone", F.lit("UTC")))
+    zone = F.when(zone_ok, F.coalesce("timezone", F.lit("UTC"))).otherwise("UTC")
+    due = F.col("enabled") & (at <= now)
+    s = s.withColumn("problem", F.when(due, F.coalesce(m["problem"], F.when(~zone_ok, "unknown time zone"))))
+    good, policy = due & F.col("problem").isNull(), F.coalesce("misfire_policy", F.lit(""))
+
+    def one_more(acc: Column, _: Column) -> Column:
+        return F.when(acc["next"] <= now, F.struct(F.array_append(acc["fires"], acc["next"]).alias("fires"), cron.next_after(m, zone, acc["next"]).alias("next"))).otherwise(acc)
+
+    none = F.array().cast("array<timestamp_ntz>")
+    missed = F.aggregate(F.sequence(F.lit(1), F.lit(max(1, cap))), F.struct(none.alias("fires"), at.alias("next")), one_more)
+    fired = F.when(policy == "backfill", missed["fires"]).when((policy == "skip") & (at + seconds(grace_seconds) < now), none).otherwise(F.array(at))
+    s = s.withColumn("fires", F.when(good, fired).otherwise(none))
+    last = F.element_at("fires", -1)
+    after = F.when(policy == "backfill", F.least(last, now)).otherwise(now)
+    following = F.coalesce(cron.next_after(m, zone, after), F.greatest(at, F.when(F.size("fires") > 0, last)) + seconds(60))
+    return s.withColumns({"new_next": F.when(good, following).otherwise(at), "enabled": F.col("enabled") & F.col("problem").isNull()}).drop("_cron")
+
+
 def unseen_fires(fires: DataFrame, ledger: DataFrame) -> DataFrame:
     """Insert-ignore: fires whose (schedule_id, fire_at) the ledger lacks."""
     return fires.join(ledger.select("schedule_id", "fire_at"), ["schedule_id", "fire_at"], "left_anti").dropDuplicates(["schedule_id", "fire_at"])

@@ -420,3 +420,70 @@ def test_run_at_takes_any_whole_number(spark):
     got = [str(r[0]) for r in spark.createDataFrame([(t,) for t in texts], "t string").select(routing.clamp_run_at(routing.run_at_of(F.col("t"), now), now)).collect()]
     far, here = "2024-01-31 00:00:00", "2024-01-01 00:00:00"
     assert got == [far, far, here, here, far, here, here, here]
+
+
+ZONES = ["UTC", "Europe/Berlin", "America/New_York", "Asia/Kolkata", "Australia/Lord_Howe", "America/Sao_Paulo", "Asia/Tokyo", "Africa/Cairo", "Pacific/Auckland", "America/St_Johns"]
+
+
+def cron_table(n):
+    rng = random.Random(n)
+
+    def field(low, high, names=()):
+        one = lambda: rng.choice(names) if names and rng.random() < 0.2 else str(rng.randint(low, high))
+        a, z = sorted((rng.randint(low, high), rng.randint(low, high)))
+        return rng.choice(["*", "*", "*", "?", one(), one(), f"{a}-{z}", f"*/{rng.randint(1, high)}", f"{a}-{z}/{rng.randint(1, 9)}", f"{one()},{one()}", f"{a}/{rng.randint(1, 5)}"])
+
+    out = []
+    for i in range(n):
+        text = " ".join((field(0, 59), field(0, 23), field(1, 31), field(1, 12, cron.MONTHS), field(0, 7, cron.DAYS)))
+        text = rng.choice(list(cron.MACROS)) if i % 17 == 0 else text.upper() if i % 13 == 0 else text
+        # around clock changes, and anywhere
+        start = rng.choice([dt.datetime(2024, 3, 30, 20), dt.datetime(2024, 10, 26, 20), dt.datetime(2024, 11, 3, 3), dt.datetime(2024, 4, 6, 10), dt.datetime(2023, 1, 1)])
+        out.append((i, text, ZONES[i % len(ZONES)], start + dt.timedelta(minutes=rng.randint(0, 1500), seconds=rng.choice([0, 30]))))
+    return out
+
+
+def test_cron_table_equals_one_by_one(spark):
+    """A thousand expressions over ten zones, many around clock changes; what does not parse gives a reason."""
+    table = cron_table(1_000)
+    df = spark.createDataFrame(table, "id int, e string, z string, at timestamp_ntz").repartition(4).withColumn("m", cron.masks(F.col("e")))
+    got = {r.id: (r.problem, r.next) for r in df.select("id", F.col("m.problem").alias("problem"), F.when(F.col("m.problem").isNull(), cron.next_after(F.col("m"), F.col("z"), F.col("at"))).alias("next")).collect()}
+    bad = 0
+    for i, text, zone, at in table:
+        try:
+            c = cron.parse(text)
+        except ValueError:
+            bad += 1
+            assert got[i][0] is not None, text
+            continue
+        want = c.next(at.replace(tzinfo=UTC), zone)
+        assert got[i] == (None, want and want.replace(tzinfo=None)), (text, zone, at)
+    assert 0 <= bad < 200
+
+
+def test_bad_expressions_are_none(spark):
+    bad = {"": "five fields are needed", None: "five fields are needed", "* * * *": "five fields are needed", "60 * * * *": "bad minute field", "* 24 * * *": "bad hour field", "* * 0 * *": "bad day field", "* * * foo *": "bad month field", "* * * * 8": "bad weekday field", "*/0 * * * *": "bad minute field", "5-1 * * * *": "bad minute field", "1/ * * * *": "bad minute field", "a * * * *": "bad minute field"}
+    got = {r.e: r.p for r in spark.createDataFrame([(e,) for e in bad], "e string").select("e", cron.masks(F.col("e"))["problem"].alias("p")).collect()}
+    assert got == bad
+    for e in bad:
+        if e is not None:
+            with pytest.raises(ValueError):
+                cron.parse(e)
+
+
+def test_one_bad_schedule_is_disabled_alone(spark):
+    at = dt.datetime(2024, 5, 1, 7)
+    rows = [
+        (1, "0 * * * *", "UTC", True, "fire_once", at), (2, "0 * * * *", "UTC", True, "skip", at), (3, "0 * * * *", "UTC", True, "backfill", at), (4, "61 * * * *", "UTC", True, "fire_once", at),
+        (5, "0 * * * *", "Mars/Base", True, "backfill", at), (6, "bad", "UTC", True, "fire_once", at + dt.timedelta(days=9)), (7, "bad", "UTC", False, "fire_once", at), (8, "0 9 * * *", "Europe/Berlin", True, None, at), (9, "0 0 30 2 *", None, True, "backfill", at),
+    ]
+    now = F.lit("2024-05-01 10:05:00").cast("timestamp_ntz")
+    df = spark.createDataFrame(rows, "id int, cron_expr string, timezone string, enabled boolean, misfire_policy string, next_run_at timestamp_ntz")
+    got = {r.id: r for r in schedule.tick(df, now).collect()}
+    hour = lambda *h: [dt.datetime(2024, 5, 1, x) for x in h]
+    assert [got[i].fires for i in (1, 2, 3)] == [hour(7), [], hour(7, 8, 9, 10)] and {got[i].new_next for i in (1, 2, 3)} == set(hour(11))
+    assert {i: (got[i].enabled, got[i].problem, got[i].fires, got[i].new_next) for i in (4, 5)} == {4: (False, "bad minute field", [], at), 5: (False, "unknown time zone", [], at)}
+    assert (got[6].enabled, got[6].problem) == (True, None) and (got[7].enabled, got[7].problem) == (False, None)  # not due, not judged
+    assert got[8].fires == hour(7) and got[8].new_next == dt.datetime(2024, 5, 2, 7) and got[9].new_next == at + dt.timedelta(seconds=60)
+    capped = {r.id: r for r in schedule.tick(df, now, cap=3).collect()}[3]
+    assert capped.fires == hour(7, 8, 9) and capped.new_next == hour(10)[0]
