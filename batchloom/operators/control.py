@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import routing, schedule
+from . import fairness, routing, schedule
 
 CONTROL_TOPICS = ("events", "callbacks", "retry", "scheduled", "dlt")
 
@@ -102,8 +102,6 @@ def executable(topics: DataFrame) -> DataFrame:
 
 def all_topics(groups: DataFrame) -> DataFrame:
     """Every topic of the groups once, at its first place."""
-    from . import fairness
-
     return fairness.ranks(groups).groupBy("topic").agg(F.min(F.struct("rank", "group")).alias("first")).select("topic", "first.group", "first.rank")
 
 
@@ -146,6 +144,38 @@ class PauseSwitch:
         return self.now
 
 
+class LagGate:
+    """Whether better-ranked topics have lag, by the last reading that worked, taken anew after ``interval`` seconds.
+
+    ``read`` gives rows(group, topic, lag) or raises. Before any reading nothing yields; a failed one
+    leaves the last good one in force.
+    """
+
+    def __init__(self, read: Callable[[], DataFrame], interval: float = 2, clock: Callable[[], float] = time.monotonic):
+        self.read, self.interval, self.clock = read, interval if interval > 0 else 2, clock
+        self.read_at, self.now = None, None
+
+    def lag(self, force: bool = False) -> DataFrame | None:
+        if force or self.now is None or self.clock() - self.read_at >= self.interval:
+            with contextlib.suppress(Exception):  # the last good reading stays
+                fresh = self.read().select("group", "topic", "lag").persist()
+                fresh.count()
+                old, self.now, self.read_at = self.now, fresh, self.clock()
+                if old is not None:
+                    old.unpersist()
+        return self.now
+
+    def must_yield(self, topics: DataFrame, paused: DataFrame, force: bool = False) -> DataFrame:
+        """topics(group, topic, rank) with must_yield: a better-ranked topic of the group, not paused as a whole, has lag."""
+        lag = self.lag(force)
+        if lag is None:
+            return topics.withColumn("must_yield", F.lit(False))
+        whole = paused.where("partition_id = -1").select("group", "topic", F.lit(True).alias("stopped")).distinct()
+        j = topics.join(lag, ["group", "topic"], "left").join(whole, ["group", "topic"], "left")
+        j = j.select(*topics.columns, F.coalesce("lag", F.lit(0)).alias("lag"), F.coalesce("stopped", F.lit(False)).alias("paused"))
+        return fairness.priority_gate(j).drop("lag", "paused")
+
+
 def _paused(log: DataFrame, paused: DataFrame, group: Column, how: str) -> DataFrame:
     p = paused.select(F.col("group").alias("p_group"), F.col("topic").alias("p_topic"), F.col("partition_id").alias("p_partition"))
     return log.join(p, (group == F.col("p_group")) & (F.col("topic") == F.col("p_topic")) & ((F.col("p_partition") == -1) | (F.col("p_partition") == F.col("partition_id"))), how)

@@ -21,13 +21,28 @@ def throughput(events: DataFrame, secs: int = 60) -> DataFrame:
     return fine.groupingSets([["bucket", "status", "field"], ["bucket", "status"]], "bucket", "status", "field").agg(F.sum("n").alias("n")).withColumn("field", F.coalesce("field", F.lit("_all")))
 
 
-def capped_field(events: DataFrame, cap: int = 50) -> DataFrame:
-    """Field names: trimmed, cut to 200 characters, empty as _all, beyond the first ``cap`` seen as _other."""
+def named_field(events: DataFrame) -> DataFrame:
+    """Field names trimmed, cut to 200 characters, and empty ones as _all."""
     name = F.substring(F.trim("field"), 1, 200)
-    e = events.withColumn("field", F.when(F.coalesce(name, F.lit("")) == "", "_all").otherwise(name))
-    seen = e.where("field != '_all'").groupBy("field").agg(F.min(F.struct("ts", "event_id")).alias("first")).orderBy("first").limit(cap)
-    known = F.broadcast(seen.select("field", F.lit(True).alias("known")))  # at most cap rows
-    return e.join(known, "field", "left").withColumn("field", F.when(F.col("known") | (F.col("field") == "_all"), F.col("field")).otherwise("_other")).drop("known")
+    return events.withColumn("field", F.when(F.coalesce(name, F.lit("")) == "", "_all").otherwise(name))
+
+
+def first_seen(named: DataFrame, known: DataFrame, cap: int) -> DataFrame:
+    """The first ``cap`` names of ``named_field`` rows(field, ts, event_id) that are not ``known``."""
+    fresh = named.where("field != '_all'").join(known.select("field"), "field", "left_anti")
+    return fresh.groupBy("field").agg(F.min(F.struct("ts", "event_id")).alias("first")).orderBy("first").limit(cap).select("field")
+
+
+def others(named: DataFrame, known: DataFrame) -> DataFrame:
+    """Names that are not ``known`` (a bounded list) as _other."""
+    known = F.broadcast(known.select("field", F.lit(True).alias("known")))  # at most cap rows
+    return named.join(known, "field", "left").withColumn("field", F.when(F.col("known") | (F.col("field") == "_all"), F.col("field")).otherwise("_other")).drop("known")
+
+
+def capped_field(events: DataFrame, cap: int = 50) -> DataFrame:
+    """``events`` with their names, those beyond the first ``cap`` seen as _other."""
+    e = named_field(events)
+    return others(e, first_seen(e, e.select("field").limit(0), cap))
 
 
 def rtt(probes: DataFrame, secs: int = 60) -> DataFrame:

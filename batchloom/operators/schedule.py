@@ -118,9 +118,9 @@ def intervals(instants: DataFrame) -> DataFrame:
 
 
 def latest(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """Upsert by rewriting: the last version of every key."""
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
-    return rows.withColumn("version", F.row_number().over(w)).where("version = 1").drop("version")
+    """The last row of every key by ``order``: a partial aggregation, so a key with many rows sorts nothing."""
+    best = F.max_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), F.struct(*order)).alias("_row")
+    return rows.groupBy(*keys).agg(best).select("_row.*")
 
 
 def without(rows: DataFrame, deleted: DataFrame, keys: list[str]) -> DataFrame:

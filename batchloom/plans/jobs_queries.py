@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import offsets, routing, schedule
-from ..sources import config
+from ..session import scratch
+from ..sources import config, log
 from ..sources.bridge import LOG_NOW, NOW, Relations, at
 from .registry import query
 
@@ -187,6 +188,17 @@ def pointer_payload(r: Relations):
     return offsets.lookup(pointers(r), retained(r), lowest(r), of).select(*of, "offset", "result", "payload")
 
 
+@query("""p AS (SELECT DISTINCT 'jobs' || (consumer_id % 3) AS topic, partition_id, (batch_seq * 40 + attempt - 41)::BIGINT AS "offset" FROM jobs),
+rec AS (SELECT topic, partition_id, "offset", props AS payload FROM log WHERE "offset" >= 5), low AS (SELECT topic, partition_id, min("offset") AS low FROM rec GROUP BY ALL)
+SELECT p.topic, p.partition_id, p."offset", CASE WHEN payload IS NOT NULL THEN 'found' WHEN p."offset" < low THEN 'lost' ELSE 'miss' END AS result, payload FROM p LEFT JOIN low USING (topic, partition_id) LEFT JOIN rec USING (topic, partition_id, "offset")""")
+def pointer_zones(r: Relations):
+    """The log written as files with a zone map, and pointers looked up in those of its files that may hold them."""
+    path = scratch(r.spark, "log")
+    log.append(r.log.where("offset >= 5").select("topic", F.col("partition_id").alias("partition"), "offset", F.lit(None).cast("string").alias("key"), F.col("props").alias("value"), F.col("ts").cast("timestamp").alias("timestamp")), path, 2_000)
+    found = log.lookup(pointers(r).withColumnRenamed("partition_id", "partition"), path)
+    return found.select("topic", F.col("partition").alias("partition_id"), "offset", "result", "payload")
+
+
 def pointers(r: Relations):
     topic = F.concat(F.lit("jobs"), F.col("consumer_id") % 3).alias("topic")
     return r.jobs.select(topic, "partition_id", (F.col("batch_seq") * 40 + F.col("attempt") - 41).alias("offset"), "attempt").drop("attempt").distinct()

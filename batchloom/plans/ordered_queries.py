@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import cron
 from ..operators import fairness, offsets, schedule
+from ..session import scratch
 from ..sources.bridge import NOW, Relations, at
+from ..sources.versioned import VersionedTable
 from .registry import query
 
 
@@ -233,3 +235,48 @@ def upsert_delete(r: Relations):
 SELECT id, fire_at, (epoch(lead(fire_at) OVER (PARTITION BY id ORDER BY fire_at)) - epoch(fire_at))::BIGINT AS interval_seconds FROM i""")
 def fire_intervals(r: Relations):
     return schedule.intervals(r.events.select(F.col("user_id").alias("id"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("fire_at")).distinct())
+
+
+CRON_NOW = "2024-03-31 06:00:00"
+#: Zones of the schedules below; the clocks of one went forward at 01:00 UTC of that day.
+CRON_ZONES = ("UTC", "Europe/Berlin", "America/New_York", "Asia/Kolkata")
+
+
+@query(f"""s AS (SELECT p_partkey AS id, p_partkey % 6 AS k, {list(CRON_ZONES)}[p_partkey % 4 + 1] AS zone, p_partkey % 60 AS m, p_partkey % 24 AS h, p_partkey % 7 AS w, 1 + p_partkey % 28 AS d,
+  ['fire_once', 'skip', 'backfill'][p_partkey % 3 + 1] AS policy, TIMESTAMP '{CRON_NOW}' - to_minutes((p_partkey * 37 % 3000 - 500)::INT) AS due, TIMESTAMP '{CRON_NOW}' AS now FROM part),
+days AS (SELECT TIMESTAMP '2024-03-27' + to_days(x::INT) AS day FROM range(56) r(x)), mins AS (SELECT x AS minute FROM range(1440) r(x)),
+walls AS (SELECT s.*, day + to_minutes(minute::INT) AS wall FROM s, days, mins WHERE k < 5 AND CASE k WHEN 1 THEN minute % 15 = 0 WHEN 4 THEN minute = 150 ELSE minute = h * 60 + m END
+  AND (k != 2 OR dayofweek(day) = w) AND (k != 3 OR day(day) = d)),
+i AS (SELECT id, timezone('UTC', timezone(zone, wall)) AS t FROM walls WHERE timezone(zone, timezone(zone, wall)) = wall),
+f AS (SELECT s.id, s.due AS t FROM s WHERE k < 5 AND due <= now AND (policy != 'skip' OR due + INTERVAL 60 SECOND >= now)
+  UNION ALL SELECT id, t FROM (SELECT s.id, i.t, row_number() OVER (PARTITION BY s.id ORDER BY i.t) AS n FROM s JOIN i ON i.id = s.id WHERE policy = 'backfill' AND i.t > due AND i.t <= now) WHERE n < 5),
+g AS (SELECT id, count(*) AS fires, min(t) AS first_fire, max(t) AS last_fire FROM f GROUP BY id),
+n AS (SELECT s.id, min(i.t) AS nxt FROM s LEFT JOIN g ON g.id = s.id JOIN i ON i.id = s.id AND i.t > CASE WHEN policy = 'backfill' THEN least(last_fire, now) ELSE now END WHERE due <= now GROUP BY s.id)
+SELECT s.id, NOT (k = 5 AND due <= now) AS enabled, CASE WHEN k = 5 AND due <= now THEN 'bad minute field' END AS problem, coalesce(fires, 0)::INT AS fires, first_fire, last_fire, coalesce(nxt, due) AS new_next FROM s LEFT JOIN g USING (id) LEFT JOIN n USING (id)""")
+def schedule_tick(r: Relations):
+    """Schedules of many expressions and four zones; every sixth one does not parse."""
+    p = F.col("p_partkey")
+    text = lambda *cs: F.concat_ws(" ", *[c if isinstance(c, str) else c.cast("string") for c in cs])
+    star = F.lit("*")
+    expr = (
+        F.when(p % 6 == 0, text(p % 60, p % 24, star, star, star)).when(p % 6 == 1, "*/15 * * * *").when(p % 6 == 2, text(p % 60, p % 24, star, star, p % 7))
+        .when(p % 6 == 3, text(p % 60, p % 24, 1 + p % 28, star, star)).when(p % 6 == 4, "30 2 * * *").otherwise("61 * * * *")
+    )
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (p % n + 1).cast("int"))
+    at_ = at(CRON_NOW) - F.make_dt_interval(F.lit(0), F.lit(0), (p * 37 % 3000 - 500).cast("int"))
+    s = r.part.select(p.alias("id"), expr.alias("cron_expr"), pick(CRON_ZONES, 4).alias("timezone"), F.lit(True).alias("enabled"), pick(("fire_once", "skip", "backfill"), 3).alias("misfire_policy"), at_.alias("next_run_at"))
+    out = schedule.tick(s, at(CRON_NOW), cap=5)
+    return out.select("id", "enabled", "problem", F.size("fires").alias("fires"), F.array_min("fires").alias("first_fire"), F.array_max("fires").alias("last_fire"), "new_next")
+
+
+@query("""l AS (SELECT user_id AS k, ts, event_id, value, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts DESC, event_id DESC) AS n FROM events),
+v AS (SELECT k, ts, event_id, value, row_number() OVER (PARTITION BY k ORDER BY event_id % 2 DESC) AS n FROM l WHERE n = 1)
+SELECT k, ts, event_id, value FROM v WHERE n = 1 AND k NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 200)""")
+def versioned_upsert(r: Relations):
+    """Even events first, then odd ones in place of them, then a deletion: three versions of one table."""
+    t = VersionedTable(r.spark, scratch(r.spark, "users"), "k bigint, ts timestamp_ntz, event_id bigint, value double", ["k"], 16)
+    rows = r.events.select(F.col("user_id").alias("k"), "ts", "event_id", "value")
+    for part in (0, 1):
+        t.upsert(rows.where(F.col("event_id") % 2 == part), ["ts", "event_id"])
+    t.delete(r.events.where("event_type = 'error' and value > 200").select(F.col("user_id").alias("k")))
+    return t.read()

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -25,3 +29,34 @@ def package_on_workers(spark: SparkSession) -> SparkSession:
     if root not in path.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, path]))
     return spark
+
+
+_local: dict[str, str] = {}
+_made: list[tuple[SparkSession, str]] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir, which the driver and the executors share; deleted when the driver ends.
+
+    Only a single local JVM may do without that setting and gets a temporary folder.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        root = _local.get(app) or _local.setdefault(app, "file://" + tempfile.mkdtemp(prefix="batchloom-"))
+    path = f"{root.rstrip('/')}/batchloom/{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return f"{path}/{name}"
+
+
+def _release() -> None:
+    while _made:
+        spark, path = _made.pop()
+        with contextlib.suppress(Exception):  # what cannot be deleted now goes with its folder
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+atexit.register(_release)

@@ -1,15 +1,14 @@
 """Structured Streaming: sources, ledger state, uniqueness locks, retry timers, bucket metrics.
 
 Files with the log's columns stand for a broker where no connector is installed; ``log_stream``
-takes either. State is keyed, so it scales by key; order inside a micro-batch is restored by
-sorting a key's rows by their arrival column.
+takes either, ``sources.log.stream`` reads them in order and in bounded steps. State is keyed; order inside a
+micro-batch is restored by sorting a key's rows by their arrival column.
 """
 
 from __future__ import annotations
 
+import bisect
 import contextlib
-import math
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -18,6 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators import metrics
+from ..sources.versioned import VersionedTable
+
 LOG = "topic string, partition int, offset bigint, key string, value string, timestamp timestamp"
 LEDGER = "batch_id bigint, touched bigint, completed bigint, failed bigint, status string, callback string"
 WEEK = 7 * 86_400
@@ -147,133 +149,113 @@ def uniq_stream(claims: DataFrame, ttl_seconds: int = WEEK) -> DataFrame:
     return claims.groupBy("fingerprint").transformWithStateInPandas(UniqProcessor(ttl_seconds), "fingerprint string, job_id string, won boolean", "Append", "ProcessingTime")
 
 
-class CommitProcessor(StatefulProcessor):
-    """Per (topic, partition): offsets that are not done yet, and the next one to commit.
-
-    What ``offsets.commit_prefix`` computes over a whole log; a failed or pending offset blocks.
-    """
+class Runs:
+    """A set of integers as sorted runs of neighbours; costs follow the runs, not the members."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.waiting = handle.getMapState("waiting", "offset bigint", "failed boolean")
-        self.last = handle.getValueState("last", "offset bigint")
+    def __init__(self, starts: list[int] | None = None, ends: list[int] | None = None):
+        self.starts, self.ends = list(starts or []), list(ends or [])  # inclusive
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self.last.get()[0] if self.last.exists() else -1
-        for r in pd.concat(list(rows)).sort_values(["offset", "arrival"], kind="stable").itertuples():
-            offset, last = int(r.offset), max(last, int(r.offset))
-            if r.state != "done":
-                self.waiting.updateValue((offset,), (r.state == "failed",))
-            elif self.waiting.containsKey((offset,)):
-                self.waiting.removeKey((offset,))
-        self.last.update((last,))
-        yield pd.DataFrame([(*key, min((k[0] for k in self.waiting.keys()), default=last + 1))], columns=["topic", "partition_id", "next_commit"])
+    def __len__(self) -> int:
+        return len(self.starts)
 
-    def close(self) -> None:
-        pass
+    def _at(self, x: int) -> int:
+        """The run that starts last at or before ``x``, or -1."""
+        return bisect.bisect_right(self.starts, x) - 1
 
+    def __contains__(self, x: int) -> bool:
+        return (i := self._at(x)) >= 0 and x <= self.ends[i]
 
-def commit_stream(log: DataFrame) -> DataFrame:
-    """log(topic, partition_id, offset, state, arrival): the next offset to commit after every micro-batch."""
-    return log.groupBy("topic", "partition_id").transformWithStateInPandas(CommitProcessor(), "topic string, partition_id int, next_commit bigint", "Append", "None")
+    def add(self, x: int) -> None:
+        i = self._at(x)
+        if i >= 0 and x <= self.ends[i]:
+            return
+        left, right = i >= 0 and self.ends[i] == x - 1, i + 1 < len(self) and self.starts[i + 1] == x + 1
+        if left and right:
+            self.ends[i] = self.ends.pop(i + 1)
+            self.starts.pop(i + 1)
+        elif left:
+            self.ends[i] = x
+        elif right:
+            self.starts[i + 1] = x
+        else:
+            self.starts.insert(i + 1, x)
+            self.ends.insert(i + 1, x)
+
+    def remove(self, x: int) -> bool:
+        i = self._at(x)
+        if i < 0 or x > self.ends[i]:
+            return False
+        a, z = self.starts[i], self.ends[i]
+        if a == z:
+            del self.starts[i], self.ends[i]
+        elif x == a:
+            self.starts[i] = x + 1
+        elif x == z:
+            self.ends[i] = x - 1
+        else:
+            self.ends[i] = x - 1
+            self.starts.insert(i + 1, x + 1)
+            self.ends.insert(i + 1, z)
+        return True
+
+    def drop_below(self, x: int) -> int:
+        """Without members below ``x``; how many they were."""
+        i, gone = bisect.bisect_left(self.ends, x), 0
+        gone = sum(z - a + 1 for a, z in zip(self.starts[:i], self.ends[:i], strict=True))
+        del self.starts[:i], self.ends[:i]
+        if self.starts and self.starts[0] < x:
+            gone += x - self.starts[0]
+            self.starts[0] = x
+        return gone
+
+
+COMMITS = "topic string, partition_id int, next_commit bigint, held bigint, room bigint, runs int"
 
 
-class FairProcessor(StatefulProcessor):
-    """One lane's weighted fair queue, with its actions as input rows.
+class CommitProcessor(StatefulProcessor):
+    """Per (topic, partition): runs of offsets that wait and of offsets done out of order, and the next one to commit.
 
-    enqueue: waits, or is rejected beyond ``window`` waiting jobs; a tenant that comes back starts
-    at the ring's least virtual time at least. checkout: the least (virtual time, tenant) gives its
-    oldest job, which holds a lease and is being forwarded; none beyond ``budget`` live leases
-    (0: no bound). With a budget, tenants below their weighted share go first, among the first
-    max(60, 3 * budget) of the ring. confirm ends forwarding; abort ends it, and the job goes to
-    its tenant's tail; complete ends the lease; renew prolongs it; expired leases lapse. A lane
-    without waiting jobs, live leases and forwards for ``debounce`` seconds of arrival time forgets
-    its virtual times; weights stay. arrival is in seconds.
+    What ``offsets.commit_prefix`` computes over a whole log; a failed or pending offset blocks. An offset
+    holds a place of the window from its dispatch until it is committed or fails; ``room`` says how
+    many more may be dispatched. State and work follow the runs: an offset done in order leaves none.
     """
 
-    def __init__(self, time_lane: bool = False, window: int = 100, budget: int = 0, lease: float = 1800, debounce: float = 15):
-        self.time_lane, self.window, self.budget, self.lease, self.debounce = time_lane, window, budget, max(60.0, lease), debounce
+    def __init__(self, window: int):
+        self.window = window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tenants = handle.getMapState("tenants", "tenant string", "vtime double, weight double, jobs array<string>")
-        self.slots = handle.getMapState("slots", "job string", "tenant string, expiry double, forwarding boolean")
-        self.idle = handle.getValueState("idle", "since double")
-
-    def _take(self, ring: dict, slots: dict) -> str | None:
-        """The tenant whose turn it is."""
-        ready = sorted((t[0], k) for k, t in ring.items() if t[2])
-        if not self.budget:
-            return ready[0][1] if ready else None
-        if len(slots) >= self.budget:
-            return None
-        ready, load = ready[: max(60, 3 * self.budget)], Counter(s[0] for s in slots.values())
-        whole = sum(t[1] for k, t in ring.items() if t[2] or load[k]) or 1.0
-        below = [k for _, k in ready if load[k] < max(1, math.floor(self.budget * ring[k][1] / whole))]
-        return (below or [k for _, k in ready] or [None])[0]  # work goes on when all have their share
+        runs = "array<bigint>"
+        self.state = handle.getValueState("state", f"last bigint, next bigint, wait_from {runs}, wait_to {runs}, done_from {runs}, done_to {runs}, failed {runs}")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ring = {k[0]: [v[0], v[1], list(v[2])] for k, v in self.tenants.iterator()}
-        slots = {k[0]: list(v) for k, v in self.slots.iterator()}
-        idle = self.idle.get()[0] if self.idle.exists() else None
-        changed, out = set(), []
-        before = set(slots)
-        for r in pd.concat(list(rows)).sort_values("arrival", kind="stable").itertuples():
-            now = float(r.arrival)
-            for job in [j for j, s in slots.items() if s[1] <= now and not s[2]]:
-                del slots[job]
-            if idle is not None and now - idle >= self.debounce:
-                for k, t in ring.items():
-                    if t[0]:
-                        t[0] = 0.0
-                        changed.add(k)
-            result = None
-            if r.action == "enqueue":
-                t = ring.setdefault(r.tenant_id, [0.0, r.weight if r.weight and r.weight > 0 else 1.0, []])
-                if len(t[2]) >= self.window:
-                    result = r.tenant_id, r.job_id, "rejected"
-                else:
-                    if not t[2] and (busy := [x[0] for x in ring.values() if x[2]]):
-                        t[0] = max(t[0], min(busy))
-                    t[2].append(r.job_id)
-                    changed.add(r.tenant_id)
-            elif r.action == "checkout" and (who := self._take(ring, slots)) is not None:
-                job = ring[who][2].pop(0)
-                ring[who][0] += 0 if self.time_lane else 1 / ring[who][1]
-                slots[job] = [who, now + self.lease, True]
-                changed.add(who)
-                result = who, job, "checked_out"
-            elif r.action == "confirm" and r.job_id in slots:
-                slots[r.job_id][2] = False
-            elif r.action == "renew" and r.job_id in slots:
-                slots[r.job_id][1] = now + self.lease
-            elif r.action == "abort" and slots.get(r.job_id, [None, 0, False])[2]:
-                t = ring[who := slots.pop(r.job_id)[0]]
-                t[2].append(r.job_id)
-                t[0] -= 0 if self.time_lane else 1 / t[1]
-                changed.add(who)
-            elif r.action == "complete" and r.job_id in slots:
-                t = ring[who := slots.pop(r.job_id)[0]]
-                t[0] += r.duration / t[1] if self.time_lane else 0
-                changed.add(who)
-            if result:
-                out.append((key[0], *result))
-            quiet = not slots and not any(t[2] for t in ring.values())
-            idle = (now if idle is None else idle) if quiet else None
-        for k in changed:
-            self.tenants.updateValue((k,), tuple(ring[k]))
-        for job in before - set(slots):
-            self.slots.removeKey((job,))
-        for job, s in slots.items():
-            self.slots.updateValue((job,), tuple(s))
-        self.idle.clear() if idle is None else self.idle.update((idle,))
-        yield pd.DataFrame(out, columns=["lane", "tenant_id", "job_id", "result"])
+        last, following, waiting, done, failed = -1, 0, Runs(), Runs(), set()
+        if self.state.exists():
+            last, following, a, b, c, d, e = self.state.get()
+            waiting, done, failed = Runs(a, b), Runs(c, d), set(e)
+        for r in pd.concat(list(rows)).sort_values(["offset", "arrival"], kind="stable").itertuples():
+            offset = int(r.offset)
+            known, last = offset <= last, max(last, offset)
+            failed.discard(offset)
+            if r.state != "done":
+                waiting.add(offset)
+                done.remove(offset)
+                if r.state == "failed":
+                    failed.add(offset)
+            elif waiting.remove(offset) or not known:
+                done.add(offset)  # what was committed before is done already
+        following = waiting.starts[0] if len(waiting) else last + 1
+        done.drop_below(following)
+        inside = sum(z - a + 1 for r in (waiting, done) for a, z in zip(r.starts, r.ends, strict=True)) - len(failed)
+        self.state.update((last, following, waiting.starts, waiting.ends, done.starts, done.ends, sorted(failed)))
+        yield pd.DataFrame([(*key, following, inside, max(0, self.window - inside), len(waiting) + len(done))], columns=[c.split()[0] for c in COMMITS.split(", ")])
 
     def close(self) -> None:
         pass
 
 
-def fair_stream(actions: DataFrame, time_lane: bool = False, window: int = 100, **settings) -> DataFrame:
-    """actions(lane, tenant_id, weight, job_id, action, duration, arrival): checkouts in fair order."""
-    return actions.groupBy("lane").transformWithStateInPandas(FairProcessor(time_lane, window, **settings), "lane string, tenant_id string, job_id string, result string", "Append", "None")
+def commit_stream(log: DataFrame, window: int = 1000) -> DataFrame:
+    """log(topic, partition_id, offset, state, arrival): after every micro-batch the next offset to commit, the places held and left of the window, and the runs kept."""
+    return log.groupBy("topic", "partition_id").transformWithStateInPandas(CommitProcessor(window), COMMITS, "Append", "None")
 
 
 class RetryProcessor(StatefulProcessor):
@@ -309,11 +291,98 @@ def retry_stream(messages: DataFrame) -> DataFrame:
     return messages.groupBy("job_id").transformWithStateInPandas(RetryProcessor(), "job_id string, retry_to string", "Append", "ProcessingTime")
 
 
+LIVE = "consumer_id bigint, state string, at timestamp"
+
+
+class LivenessProcessor(StatefulProcessor):
+    """Per consumer: up at a heartbeat after silence, down ``ttl`` seconds after the last one, by event time."""
+
+    def __init__(self, ttl: int):
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "last bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last, out = (self.seen.get()[0] if self.seen.exists() else None), []
+        before = last
+        for ms in sorted(int(t.timestamp() * 1000) for t in pd.concat(list(rows))["seen_at"]):
+            if last is None or ms > last + 1000 * self.ttl:
+                out += [] if last is None else [(key[0], "down", last + 1000 * self.ttl)]
+                out.append((key[0], "up", ms))
+            last = ms if last is None else max(last, ms)
+        if last != before:
+            if before is not None:
+                self.handle.deleteTimer(before + 1000 * self.ttl)
+            self.handle.registerTimer(last + 1000 * self.ttl)
+            self.seen.update((last,))
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        end = self.seen.get()[0] + 1000 * self.ttl
+        self.seen.clear()
+        yield self._frame([(key[0], "down", end)])
+
+    def _frame(self, rows: list) -> pd.DataFrame:
+        return pd.DataFrame({"consumer_id": pd.Series([r[0] for r in rows], dtype="int64"), "state": pd.Series([r[1] for r in rows], dtype="object"), "at": pd.to_datetime([r[2] for r in rows], unit="ms")})
+
+    def close(self) -> None:
+        pass
+
+
+def liveness_stream(heartbeats: DataFrame, ttl: int = 180, late: str = "0 seconds") -> DataFrame:
+    """heartbeats(consumer_id, seen_at timestamp): when consumers come up and go down.
+
+    A down is known once the watermark, ``late`` behind the newest heartbeat of all, has passed it.
+    """
+    beats = heartbeats.select("consumer_id", "seen_at").withWatermark("seen_at", late)
+    return beats.groupBy("consumer_id").transformWithStateInPandas(LivenessProcessor(ttl), LIVE, "Append", "EventTime")
+
+
+def claim_stream(claims: DataFrame, heartbeats: DataFrame, ttl: int = 180, grace: int = 40, late: str = "0 seconds") -> DataFrame:
+    """claims(job_id, consumer_id, owner, claimed_at, at): won, resumed, lost or steal, by who lived at the moment of the claim.
+
+    ``owner`` and ``claimed_at`` are the working set's entry of the job as the claim met it, null where it had
+    none. An owner lives if a heartbeat of its own lies within ``ttl`` seconds before the claim. Claims meet
+    heartbeats in a stream-stream interval join, so both sides keep only what the watermarks leave open, and a claim
+    that met several counts once.
+    """
+    beats = heartbeats.select(F.col("consumer_id").alias("live_id"), "seen_at").withWatermark("seen_at", late)
+    asked = claims.withWatermark("at", late)
+    near = (F.col("owner") == F.col("live_id")) & (F.col("seen_at") <= F.col("at")) & (F.col("seen_at") >= F.col("at") - F.expr(f"interval {ttl} seconds"))
+    met = asked.join(beats, near, "left_outer")
+    outcome = (
+        F.when(F.col("owner").isNull(), "won").when(F.col("owner") == F.col("consumer_id"), "resumed")
+        .when(F.col("live_id").isNotNull() | (F.col("claimed_at") > F.col("at") - F.expr(f"interval {grace} seconds")), "lost").otherwise("steal")
+    )
+    return met.select("job_id", "consumer_id", "owner", "at", outcome.alias("outcome")).dropDuplicatesWithinWatermark(["job_id", "consumer_id", "at"])
+
+
 def throughput_stream(events: DataFrame, delay: str = "10 minutes", width: str = "60 seconds") -> DataFrame:
     """events(ts timestamp, status, field, n): finished buckets, late rows beyond ``delay`` dropped."""
     return events.withWatermark("ts", delay).groupBy(F.window("ts", width), "status", "field").agg(F.sum("n").alias("n")).select(F.col("window.start").alias("bucket"), "status", "field", "n")
 
 
+class FieldCap:
+    """The first ``cap`` field names over all micro-batches, kept as a small versioned table.
+
+    Earlier micro-batches come first, and inside one the order of (ts, event_id). A micro-batch that
+    runs again sees the names of earlier ones only, so it gives the same again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, cap: int = 50):
+        self.names, self.cap = VersionedTable(spark, path, "field string, epoch bigint", ["field"], 1), cap
+
+    def apply(self, batch: DataFrame, epoch: int) -> DataFrame:
+        """``batch``(field, ts, event_id, ...) with its names, those beyond the cap as _other."""
+        named, known = metrics.named_field(batch), self.names.read().where(F.col("epoch") < epoch)
+        left = self.cap - known.count()
+        if left > 0:
+            self.names.upsert(metrics.first_seen(named, known, left).withColumn("epoch", F.lit(epoch).cast("bigint")), ["epoch"])
+        return metrics.others(named, self.names.read().where(F.col("epoch") <= epoch))
+
+
 def route_each(stream: DataFrame, split: Callable[[DataFrame], dict[str, DataFrame]], sink: Callable[[str, DataFrame], None], checkpoint: str, paused: Callable[[], DataFrame] | None = None, group: str = ""):
     """Start a query that splits every micro-batch into named relations and hands them to a sink.
 

@@ -1,15 +1,20 @@
 """Continuous forms give what the batch forms give."""
 
+import datetime as dt
 import json
+import math
+import random
 import time
 import uuid
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from batchloom.operators import ledger, offsets, routing
+from batchloom.operators import control, ledger, metrics, offsets, routing, schedule
 from batchloom.sources import sinks
 from batchloom.sources.bridge import Relations
+from batchloom.streaming import fair as fair_queue
 from batchloom.streaming import jobs
 
 from .test_cases import any_batches, tables
@@ -83,10 +88,127 @@ def test_commit_stream(spark, sf, tmp_path):
     assert got == want
 
 
+def test_commit_window_and_runs(spark, tmp_path):
+    """State follows runs: a batch dispatched at once and done in order leaves one run, then none."""
+    cols = "topic string, partition_id int, offset bigint, state string, arrival int"
+    part = lambda n, rows: spark.createDataFrame([("t", 0, o, s, n) for o, s in rows], cols)
+    steps = [
+        [(o, "pending") for o in range(100, 200)], [(o, "done") for o in range(100, 150)], [(o, "done") for o in range(151, 199, 2)], [(150, "failed")], [(150, "done"), (120, "done")],
+        [(o, "done") for o in range(152, 200, 2)] + [(199, "done"), (300, "done")],
+    ]
+    out = drained(jobs.commit_stream(staged(spark, tmp_path, "w", *[part(i, rows) for i, rows in enumerate(steps)]), window=120), tmp_path, "commit_runs").collect()
+    assert [(r.next_commit, r.held, r.room, r.runs) for r in out] == [(100, 100, 20, 1), (150, 50, 70, 1), (150, 50, 70, 49), (150, 49, 71, 49), (152, 48, 72, 47), (301, 0, 120, 0)]
+
+
+def test_runs_equal_a_set():
+    rng = random.Random(6)
+    runs, plain = jobs.Runs(), set()
+    for _ in range(4_000):
+        x = rng.randrange(60)
+        if rng.random() < 0.5:
+            runs.add(x), plain.add(x)
+        else:
+            assert runs.remove(x) == (x in plain)
+            plain.discard(x)
+        if rng.random() < 0.01:
+            low = rng.randrange(60)
+            assert runs.drop_below(low) == sum(p < low for p in plain)
+            plain = {p for p in plain if p >= low}
+        got = [y for a, z in zip(runs.starts, runs.ends, strict=True) for y in range(a, z + 1)]
+        assert got == sorted(plain) and all(b - a > 1 for a, b in zip(runs.ends, runs.starts[1:], strict=False)) and (x in runs) == (x in plain)
+
+
+T0 = dt.datetime(2024, 1, 1)
+
+
+def seconds(n):
+    return T0 + dt.timedelta(seconds=n)
+
+
+def test_liveness_stream(spark, tmp_path):
+    """Ups at once, downs when the watermark has passed them; a late beat within the time to live keeps a consumer up."""
+    beats = lambda *rows: spark.createDataFrame([(c, seconds(s)) for c, s in rows], "consumer_id bigint, seen_at timestamp")
+    parts = [beats((1, 0), (2, 0)), beats((1, 150), (1, 300)), beats((2, 400), (3, 400)), beats((3, 1_000))]
+    out = drained(jobs.liveness_stream(staged(spark, tmp_path, "hb", *parts), ttl=180), tmp_path, "live_out").collect()
+    got = sorted((r.consumer_id, int((r.at - T0).total_seconds()), r.state) for r in out)
+    want = [(1, 0, "up"), (1, 480, "down"), (2, 0, "up"), (2, 180, "down"), (2, 400, "up"), (3, 400, "up"), (3, 580, "down"), (3, 1_000, "up")]
+    assert [w for w in want if w not in got] in ([], [(1, 480, "down")], [(2, 580, "down")]) and set(got) <= {*want, (2, 580, "down")}
+
+
+def test_claim_stream_equals_claim_outcome(spark, tmp_path):
+    rng = random.Random(8)
+    beats = [(c, s) for c in range(6) for s in range(0, 3_000, 60) if rng.random() < 0.35 or s > 2_900]
+    claims = []
+    for i in range(60):
+        at = rng.randrange(200, 2_500)
+        owner = rng.choice([None, *range(6)])
+        claims.append((f"j{i}", rng.randrange(6), owner, None if owner is None else seconds(at - rng.randrange(0, 90)), seconds(at)))
+    hb = spark.createDataFrame([(c, seconds(s)) for c, s in beats] + [(99, seconds(100_000))], "consumer_id bigint, seen_at timestamp")
+    cl = spark.createDataFrame([*claims, ("end", 99, None, None, seconds(100_000))], "job_id string, consumer_id bigint, owner bigint, claimed_at timestamp, at timestamp")
+    again = lambda df, c: df.where(F.col(c) == F.lit(seconds(100_000))).withColumn(c, F.lit(seconds(200_000)))
+    old = spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
+    try:
+        out = drained(jobs.claim_stream(staged(spark, tmp_path, "cl", cl, again(cl, "at"), again(cl, "at")), staged(spark, tmp_path, "hb", hb, again(hb, "seen_at"), again(hb, "seen_at"))), tmp_path, "claims_out").collect()
+    finally:
+        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", old)
+    got = {r.job_id: r.outcome for r in out if r.job_id != "end"}
+    want = {}
+    for job, consumer, owner, claimed, at in claims:  # each against the heartbeats that came before it
+        now = F.lit(at)
+        live = schedule.live_consumers(spark.createDataFrame([(c, seconds(s)) for c, s in beats if seconds(s) <= at] or [(-1, T0)], "consumer_id bigint, seen_at timestamp"), now)
+        row = spark.createDataFrame([(job, consumer)], "job_id string, consumer_id bigint")
+        workset = spark.createDataFrame([(job, owner, claimed)] if owner is not None else [], "job_id string, consumer_id bigint, claimed_at timestamp")
+        want[job] = (row, workset, live, now)
+    alive = lambda owner, at: any(seconds(s) <= at <= seconds(s) + dt.timedelta(seconds=180) for c, s in beats if c == owner)
+    plain = {j: "won" if o is None else "resumed" if o == c else "lost" if alive(o, at) or claimed > at - dt.timedelta(seconds=40) else "steal" for j, c, o, claimed, at in claims}
+    assert got == plain and set(plain.values()) == {"won", "resumed", "lost", "steal"}
+    for job in list(want)[:6]:
+        assert schedule.claim_outcome(*want[job]).first().outcome == plain[job]
+
+
+def test_field_cap_equals_the_batch_form(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(f" f{rng.randrange(14)} " if rng.random() < 0.9 else "", seconds(i), i) for i in range(300)]
+    cap, seen = jobs.FieldCap(spark, f"file://{tmp_path}/names", 6), []
+    schema = "field string, ts timestamp, event_id bigint"
+    for epoch in range(6):
+        part = spark.createDataFrame(rows[50 * epoch : 50 * epoch + 50], schema)
+        got = sorted((r.event_id, r.field) for r in cap.apply(part, epoch).collect())
+        assert got == sorted((r.event_id, r.field) for r in cap.apply(part, epoch).collect())  # run again
+        seen += got
+        assert sorted(seen) == sorted((r.event_id, r.field) for r in metrics.capped_field(spark.createDataFrame(rows[: 50 * epoch + 50], schema), 6).collect())
+    assert {f for _, f in seen} >= {"_other", "_all"}
+
+
+def test_lag_gate_fails_open_and_keeps_its_last_reading(spark):
+    topics = spark.createDataFrame([("g", "high", 0), ("g", "low", 1), ("h", "low", 1)], "group string, topic string, rank int")
+    lag, at, fails = [("g", "high", 5)], [0.0], [True]
+
+    def read():
+        if fails[0]:
+            raise OSError("no broker")
+        return spark.createDataFrame(lag, "group string, topic string, lag bigint")
+
+    gate, none = control.LagGate(read, 2, lambda: at[0]), spark.createDataFrame([], control.PAUSES)
+    yields = lambda paused=none, **k: {(r.group, r.topic) for r in gate.must_yield(topics, paused, **k).collect() if r.must_yield}
+    assert yields() == set()  # never read
+    fails[0] = False
+    assert yields() == {("g", "low")}
+    assert yields(spark.createDataFrame([("g", "high", -1)], control.PAUSES)) == set() == yields(spark.createDataFrame([("g", "high", -1), ("g", "high", 3)], control.PAUSES))
+    assert yields(spark.createDataFrame([("h", "high", -1), ("g", "high", 3)], control.PAUSES)) == {("g", "low")}
+    lag[:] = [("g", "high", 0)]
+    assert yields() == {("g", "low")}  # not yet time to read again
+    fails[0], at[0] = True, 10.0
+    assert yields() == {("g", "low")}  # a failed reading
+    fails[0] = False
+    assert yields(force=True) == set()
+
+
 def fair(spark, tmp_path, name, rows, **settings):
     """Results of actions (tenant, job, action, duration, arrival) on one lane with weights a 1, b 2."""
     acts = spark.createDataFrame([("l", t, 2.0 if t == "b" else 1.0, j, a, d, float(at)) for t, j, a, d, at in rows], "lane string, tenant_id string, weight double, job_id string, action string, duration double, arrival double")
-    out = drained(jobs.fair_stream(staged(spark, tmp_path, name, acts), **settings), tmp_path, name).collect()
+    out = drained(fair_queue.fair_stream(staged(spark, tmp_path, name, acts), **settings), tmp_path, name).collect()
     return [(r.tenant_id, r.job_id, r.result) for r in out]
 
 
@@ -108,6 +230,101 @@ def test_fair_lifecycle(spark, tmp_path):
     assert [x[1] for x in got] == ["a0", "b0", "b1"]
 
 
+def plain_lane(actions, time_lane=False, window=100, budget=0, lease=1800, debounce=15):
+    """The rules of a lane over plain dictionaries, everything looked at in every action."""
+    ring, slots, idle, out = {}, {}, None, []
+    for action, tenant, job, weight, duration, now in actions:
+        slots = {j: s for j, s in slots.items() if s[1] > now or s[2]}
+        if idle is not None and now - idle >= debounce:
+            for t in ring.values():
+                t[0] = 0.0
+        if action == "enqueue":
+            t = ring.setdefault(tenant, [0.0, weight, []])
+            if len(t[2]) >= window:
+                out.append((tenant, job, "rejected"))
+            else:
+                if not t[2]:
+                    t[0] = max([t[0], *([min(x[0] for x in ring.values() if x[2])] if any(x[2] for x in ring.values()) else [])])
+                t[2].append(job)
+        elif action == "checkout":
+            ready, load = sorted((t[0], k) for k, t in ring.items() if t[2]), Counter(s[0] for s in slots.values())
+            if budget and len(slots) >= budget:
+                ready = []
+            whole = sum(t[1] for k, t in ring.items() if t[2] or load[k]) or 1.0
+            ready = ready[: max(60, 3 * budget)] if budget else ready
+            below = [k for _, k in ready if not budget or load[k] < max(1, math.floor(budget * ring[k][1] / whole))]
+            if ready:
+                who = (below or [ready[0][1]])[0]
+                job = ring[who][2].pop(0)
+                ring[who][0] += 0 if time_lane else 1 / ring[who][1]
+                slots[job] = [who, now + max(60, lease), True]
+                out.append((who, job, "checked_out"))
+        elif job in slots:
+            who = slots[job][0]
+            if action == "confirm":
+                slots[job][2] = False
+            elif action == "renew":
+                slots[job][1] = now + max(60, lease)
+            elif action == "abort" and slots[job][2]:
+                del slots[job]
+                ring[who][2].append(job)
+                ring[who][0] -= 0 if time_lane else 1 / ring[who][1]
+            elif action == "complete":
+                del slots[job]
+                ring[who][0] += duration / ring[who][1] if time_lane else 0
+        quiet = not slots and not any(t[2] for t in ring.values())
+        idle = (now if idle is None else idle) if quiet else None
+    return out
+
+
+def stores():
+    """State of a lane in dictionaries that outlive micro-batches."""
+    data = {k: {} for k in ("tenants", "jobs", "slots", "ring", "ends")}
+    return data, lambda: {k: fair_queue.Cached(d.get, d.__setitem__, lambda key, d=d: d.pop(key, None)) for k, d in data.items()}
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_paged_lane_equals_the_plain_one(seed):
+    rng = random.Random(seed)
+    settings = {"time_lane": seed % 2 == 1, "window": rng.choice([3, 100]), "budget": rng.choice([0, 0, 2, 9]), "lease": 60, "debounce": rng.choice([2, 15])}
+    names, actions, live, now, out = [f"t{i}" for i in range(rng.choice([3, 200]))], [], [], 0.0, []
+    _, fresh = stores()
+    head, ring, ends = None, [], []
+    for n in range(1_500):
+        if n % 100 == 0:  # a micro-batch
+            s = fresh()
+            lane = fair_queue.Lane(head, ring, ends, s, *settings.values())
+        now += rng.choice([0, 0.1, 1, 1, 5, 40 if rng.random() < 0.05 else 1])
+        kind = rng.choice(["enqueue"] * 5 + ["checkout"] * 4 + ["confirm", "renew", "abort", "complete", "complete"])
+        job = f"j{n}" if kind == "enqueue" else rng.choice(live[-8:]) if live and rng.random() < 0.8 else f"j{rng.randrange(n + 1)}"
+        t = rng.choice(names)
+        actions.append((kind, t, job, float(1 + len(t) % 3), rng.choice([0.5, 2.0]), now))
+        if (got := lane.play(*actions[-1])) is not None:
+            out.append(got)
+            live += [got[1]] if got[2] == "checked_out" else []
+        if n % 100 == 99:
+            for x in s.values():
+                x.flush()
+            head, ring, ends = (lane.era, lane.slots, lane.weight, lane.idle), lane.ring.root, lane.ends.root
+    assert out == plain_lane(actions, **settings) and sum(r[2] == "checked_out" for r in out) > 50
+
+
+def test_a_lane_reads_what_its_actions_touch():
+    """With 20,000 waiting tenants a micro-batch of ten actions reads a few dozen entries of state."""
+    _, fresh = stores()
+    s = fresh()
+    lane = fair_queue.Lane(None, [], [], s, False, 100, 0, 1800, 15)
+    for i in range(20_000):
+        lane.play("enqueue", f"t{i:05}", f"j{i}", 1.0, 0.0, float(i))
+    for x in s.values():
+        x.flush()
+    s = fresh()
+    again = fair_queue.Lane((lane.era, lane.slots, lane.weight, lane.idle), lane.ring.root, lane.ends.root, s, False, 100, 0, 1800, 15)
+    got = [again.play(*a) for a in [("checkout", "", "", 1.0, 0.0, 30_000.0)] * 5 + [("enqueue", f"n{i}", f"n{i}", 1.0, 0.0, 30_001.0) for i in range(5)]]
+    assert [r[0] for r in got[:5]] == [f"t{i:05}" for i in range(5)]
+    assert sum(x.reads for x in s.values()) < 60 and len(lane.ring.root) < 400
+
+
 def test_idle_lane_forgets_virtual_times(spark, tmp_path):
     def turn(pause, end=("", "a0", "complete", 0.0, 3)):
         rows = [("a", "a0", "enqueue", 0.0, 1), ("", "", "checkout", 0.0, 2), end, ("a", "a1", "enqueue", 0.0, 3 + pause), ("b", "b1", "enqueue", 0.0, 3.1 + pause), ("", "", "checkout", 0.0, 4 + pause)]
@@ -152,7 +369,7 @@ def test_uniq_and_fair_streams(spark, tmp_path):
     rows = [("l", t, 1.0, f"{t}{i}", "enqueue", 0.0, float(i)) for t in "ab" for i in range(6)] + [("l", "a", 1.0, "", "checkout", 0.0, 100.0 + i) for i in range(4)]
     acts = spark.createDataFrame(rows, "lane string, tenant_id string, weight double, job_id string, action string, duration double, arrival double")
     acts.coalesce(1).write.parquet(str(tmp_path / "f"))
-    got = drained(jobs.fair_stream(spark.readStream.schema(acts.schema).parquet(str(tmp_path / "f"))), tmp_path, "fair_out").collect()
+    got = drained(fair_queue.fair_stream(spark.readStream.schema(acts.schema).parquet(str(tmp_path / "f"))), tmp_path, "fair_out").collect()
     assert [r.tenant_id for r in got] == ["a", "b", "a", "b"]
 
 
