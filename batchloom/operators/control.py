@@ -205,6 +205,57 @@ def notices(findings: DataFrame, sent: DataFrame, interval: int, now: Column) ->
     return findings.join(recent, "fingerprint", "left_anti").dropDuplicates(["fingerprint"]).withColumn("message", text)
 
 
+def _section(kind: str, text_type: str, text: Column) -> Column:
+    return F.struct(F.lit(kind).alias("type"), F.struct(F.lit(text_type).alias("type"), text.alias("text")).alias("text"))
+
+
+def chat_body(notice: dict[str, Column]) -> Column:
+    """The body of a chat message as JSON: a header of at most 150 characters, the summary and what found it.
+
+    ``notice`` has event, severity, title, summary, rule_id and fingerprint.
+    """
+    n = notice
+    header = _section("header", "plain_text", F.upper(F.substring(F.concat(n["event"], F.lit(": "), n["title"]), 1, 150)))
+    section = _section("section", "mrkdwn", F.substring(n["summary"], 1, 2900))
+    found = F.concat(F.lit("rule=`"), n["rule_id"], F.lit("` · `"), n["fingerprint"], F.lit("`"))
+    context = F.struct(F.lit("context").alias("type"), F.array(F.struct(F.lit("mrkdwn").alias("type"), found.alias("text"))).alias("elements"))
+    blocks = F.concat_ws(",", F.to_json(header), F.to_json(section), F.to_json(context))
+    text = F.to_json(F.struct(F.concat(F.lit("["), n["severity"], F.lit("] "), n["title"]).alias("text")))
+    return F.concat(F.substring(text, F.lit(1), F.length(text) - 1), F.lit(',"blocks":['), blocks, F.lit("]}"))
+
+
+def mail_text(notice: dict[str, Column], to: str, sender: str) -> Column:
+    """A plain mail of a notice, headers and body."""
+    n = notice
+    subject = F.concat(F.lit("["), n["severity"], F.lit("] "), n["event"], F.lit(": "), n["title"])
+    head = [F.lit(f"To: {to}"), F.lit(f"From: {sender}"), F.concat(F.lit("Subject: "), F.regexp_replace(subject, r"[\r\n]+", " ")), F.lit("MIME-Version: 1.0"), F.lit("Content-Type: text/plain; charset=UTF-8")]
+    return F.concat(F.concat_ws("\r\n", *head), F.lit("\r\n\r\n"), n["summary"], F.lit("\r\n\r\nrule="), n["rule_id"], F.lit(" fingerprint="), n["fingerprint"], F.lit("\r\n"))
+
+
+def deliver(bodies: DataFrame, send: dict[str, Callable[[str], None]]) -> DataFrame:
+    """bodies(channel, fingerprint, body) handed to ``send`` by channel where they lie: delivered, and the error if one was.
+
+    For ``foreachBatch``: a channel that fails disturbs neither the others nor the job; channels without a
+    sender deliver nothing.
+    """
+    import pandas as pd
+
+    def each(batches):
+        for b in batches:
+            out = []
+            for channel, fingerprint, body in zip(b["channel"], b["fingerprint"], b["body"], strict=True):
+                error = None if channel in send else "no sender"
+                try:
+                    if error is None:
+                        send[channel](body)
+                except Exception as e:  # best effort, noted
+                    error = str(e) or type(e).__name__
+                out.append((channel, fingerprint, error is None, error))
+            yield pd.DataFrame(out, columns=["channel", "fingerprint", "delivered", "error"])
+
+    return bodies.select("channel", "fingerprint", "body").mapInPandas(each, "channel string, fingerprint string, delivered boolean, error string")
+
+
 def group_name(prefix: str, group: Column, role: str) -> Column:
     """Consumer group of a role: <prefix><group>-<role>, the prefix only once."""
     return F.concat(routing.prefixed(group, prefix), F.lit(f"-{role}"))

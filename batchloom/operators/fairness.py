@@ -81,6 +81,34 @@ def stale_forwards(forwards: DataFrame, leases: DataFrame, now: float, grace: fl
     return j.where(F.col("expiry").isNull() | (F.col("expiry") + grace <= now))
 
 
+def claim_slots(claims: DataFrame, held: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:
+    """claims(slot_id, request_id) with whether each may execute, and until when it then holds its slot.
+
+    The first claim of a slot that nobody holds wins; held(slot_id, until) are claims before. A claim
+    without a slot always may and holds nothing.
+    """
+    slot = F.nullif(F.col("slot_id"), F.lit(""))
+    live = held.where(F.col("until") > now).select(F.col("slot_id").alias("held_id")).distinct()
+    first = claims.where(slot.isNotNull()).groupBy(F.col("slot_id").alias("first_id")).agg(F.min("request_id").alias("first_request"))
+    j = claims.join(live, slot == F.col("held_id"), "left").join(first, slot == F.col("first_id"), "left")
+    won = slot.isNull() | (F.col("held_id").isNull() & (F.col("request_id") == F.col("first_request")))
+    until = F.when(won & slot.isNotNull(), now + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(ttl_seconds)))
+    return j.select(*claims.columns, won.alias("won"), until.alias("until"))
+
+
+def renew_leases(leases: DataFrame, renewals: DataFrame, ttl_seconds: float) -> DataFrame:
+    """leases(slot_id, expiry, ...) with those of renewals(slot_id, at) that are still there prolonged from the last renewal; a lease that is gone is not made again."""
+    last = renewals.groupBy("slot_id").agg(F.max("at").alias("at"))
+    j = leases.join(last, "slot_id", "left")
+    return j.withColumn("expiry", F.coalesce(F.col("at") + F.lit(float(ttl_seconds)), F.col("expiry"))).drop("at")
+
+
+def lease_active(slots: DataFrame, leases: DataFrame, now: float) -> DataFrame:
+    """slots(slot_id) with whether a live lease stands behind each, and its expiry."""
+    j = slots.join(leases.groupBy("slot_id").agg(F.max("expiry").alias("expiry")), "slot_id", "left")
+    return j.withColumn("active", F.coalesce(F.col("expiry") > now, F.lit(False)))
+
+
 def active_view(ring: DataFrame, leases: DataFrame, weights: DataFrame) -> DataFrame:
     """Distinct tenants of ring and live leases per lane, with their summed weight."""
     every = ring.select("lane", "tenant_id").union(leases.select("lane", "tenant_id")).distinct()

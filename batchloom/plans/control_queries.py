@@ -157,3 +157,19 @@ def sampled_events(r: Relations):
 def heartbeat_age(r: Relations):
     seen = r.jobs.groupBy("job_id").agg(F.max("run_at").alias("seen"))
     return seen.select("job_id", (F.col("seen") < at(NOW) - schedule.seconds(180)).alias("gone"))
+
+
+NOTICE = "event_type AS event, CASE WHEN value > 150 THEN 'critical' ELSE 'warning' END AS severity, 'value of \"' || user_id || '\"' AS title, repeat('é' || event_id || ' ', 600) AS summary, 'slow' AS rule_id, 'u' || user_id AS fingerprint"
+
+
+@query(f"""n AS (SELECT event_id, {NOTICE} FROM events WHERE event_type = 'error')
+SELECT event_id, json_object('text', '[' || severity || '] ' || title, 'blocks', json_array(json_object('type', 'header', 'text', json_object('type', 'plain_text', 'text', upper((event || ': ' || title)[1:150]))),
+  json_object('type', 'section', 'text', json_object('type', 'mrkdwn', 'text', summary[1:2900])), json_object('type', 'context', 'elements', json_array(json_object('type', 'mrkdwn', 'text', 'rule=`' || rule_id || '` · `' || fingerprint || '`')))))::VARCHAR AS chat,
+concat_ws(chr(13) || chr(10), 'To: a@b', 'From: c@d', 'Subject: [' || severity || '] ' || event || ': ' || title, 'MIME-Version: 1.0', 'Content-Type: text/plain; charset=UTF-8', '', summary, '', 'rule=' || rule_id || ' fingerprint=' || fingerprint, '') AS mail FROM n""")
+def notice_bodies(r: Relations):
+    e = r.events.where("event_type = 'error'").select(
+        "event_id", F.col("event_type").alias("event"), F.when(F.col("value") > 150, "critical").otherwise("warning").alias("severity"), F.concat(F.lit('value of "'), "user_id", F.lit('"')).alias("title"),
+        F.repeat(F.concat(F.lit("é"), "event_id", F.lit(" ")), F.lit(600)).alias("summary"), F.lit("slow").alias("rule_id"), F.concat(F.lit("u"), "user_id").alias("fingerprint"),
+    )
+    notice = {c: F.col(c) for c in e.columns[1:]}
+    return e.select("event_id", control.chat_body(notice).alias("chat"), control.mail_text(notice, "a@b", "c@d").alias("mail"))

@@ -169,4 +169,6 @@ def reclaim_counters(r: Relations):
 @query(LEDGER + """SELECT batch_id, status FROM ledger WHERE duplicates > 0 AND status IN ('success', 'complete') AND batch_id % 4 != 1""")
 def replay_callbacks(r: Relations):
     """Finished batches with replayed events; one in four has all its claims (that is the operator's own condition)."""
-    return folded(r).where("duplicates > 0 and status in ('success', 'complete')").select("batch_id", "status").where("batch_id % 4 != 1")
+    some = "batch_id % 4 != 1"  # what is not asked for is not folded
+    done = ledger.fold(r.completions.where(some), owners(r).where(some))
+    return done.where("duplicates > 0 and status in ('success', 'complete')").select("batch_id", "status")

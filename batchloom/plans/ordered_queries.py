@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import cron
 from ..operators import fairness, offsets, schedule
 from ..session import scratch
-from ..sources.bridge import NOW, Relations, at
+from ..sources.bridge import LOG_NOW, NOW, Relations, at
 from ..sources.versioned import VersionedTable
 from .registry import query
 
@@ -280,3 +280,23 @@ def versioned_upsert(r: Relations):
         t.upsert(rows.where(F.col("event_id") % 2 == part), ["ts", "event_id"])
     t.delete(r.events.where("event_type = 'error' and value > 200").select(F.col("user_id").alias("k")))
     return t.read()
+
+
+@query("""c AS (SELECT CASE WHEN user_id % 7 = 0 THEN '' ELSE 's' || user_id END AS slot_id, event_id AS request_id FROM events WHERE event_type = 'click'),
+h AS (SELECT DISTINCT 's' || user_id AS slot_id FROM events, clock WHERE event_type = 'signup' AND ts + INTERVAL 6 HOUR > log_now)
+SELECT slot_id, request_id, slot_id = '' OR (slot_id NOT IN (SELECT slot_id FROM h) AND row_number() OVER (PARTITION BY slot_id ORDER BY request_id) = 1) AS won,
+CASE WHEN slot_id != '' AND slot_id NOT IN (SELECT slot_id FROM h) AND row_number() OVER (PARTITION BY slot_id ORDER BY request_id) = 1 THEN log_now + INTERVAL 3600 SECOND END AS until FROM c, clock""")
+def slot_claims(r: Relations):
+    slot = F.concat(F.lit("s"), "user_id")
+    claims = r.events.where("event_type = 'click'").select(F.when(F.col("user_id") % 7 == 0, "").otherwise(slot).alias("slot_id"), F.col("event_id").alias("request_id"))
+    held = r.events.where("event_type = 'signup'").select(slot.alias("slot_id"), (F.col("ts") + F.expr("interval 6 hours")).alias("until"))
+    return fairness.claim_slots(claims, held, at(LOG_NOW), 3600)
+
+
+@query("""l AS (SELECT event_id AS slot_id, round(value)::DOUBLE AS expiry FROM events WHERE event_type = 'click'), n AS (SELECT event_id - 1 AS slot_id, max(round(value))::DOUBLE AS at FROM events WHERE event_type = 'signup' GROUP BY 1),
+x AS (SELECT slot_id, coalesce(n.at + 60, expiry) AS expiry FROM l LEFT JOIN n USING (slot_id)), s AS (SELECT event_id AS slot_id FROM events)
+SELECT s.slot_id, x.expiry, coalesce(x.expiry > 80, false) AS active FROM s LEFT JOIN x USING (slot_id)""")
+def lease_renewals(r: Relations):
+    leases = r.events.where("event_type = 'click'").select(F.col("event_id").alias("slot_id"), F.round("value").alias("expiry"))
+    renewals = r.events.where("event_type = 'signup'").select((F.col("event_id") - 1).alias("slot_id"), F.round("value").alias("at"))
+    return fairness.lease_active(r.events.select(F.col("event_id").alias("slot_id")), fairness.renew_leases(leases, renewals, 60), 80.0)

@@ -55,7 +55,22 @@ def to_topics(records: DataFrame, path: str) -> None:
     records.write.mode("append").partitionBy("topic").parquet(path)
 
 
-def to_broker(records: DataFrame, options: dict[str, str]) -> None:
-    """Write records(topic, key, value, partition) to a broker whose connector is on the class path."""
+#: Names of acknowledgement levels, and the producer's setting for each.
+ACKS = {"": "all", "all_isr": "all", "all": "all", "all_isr_acks": "all", "leader": "1", "leader_ack": "1"}
+
+
+def required_acks(text: str | None) -> str:
+    """The producer's setting for an acknowledgement level; all in-sync replicas by default."""
+    name = (text or "").strip().lower()
+    if name not in ACKS:
+        raise ValueError(f"unsupported acknowledgements {text!r} (use all_isr or leader)")
+    return ACKS[name]
+
+
+def to_broker(records: DataFrame, options: dict[str, str], acks: str | None = None) -> None:
+    """Write records(topic, key, value, partition) to a broker whose connector is on the class path.
+
+    Returns when every record is acknowledged as ``acks`` asks, and raises if one is not.
+    """
     columns = [c for c in ("topic", "key", "value", "partition") if c in records.columns]
-    records.select(*columns).write.format("kafka").options(**options).save()
+    records.select(*columns).write.format("kafka").options(**{"kafka.acks": required_acks(acks), **options}).save()

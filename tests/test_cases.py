@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from batchloom.functions import cron, scalars
 from batchloom.operators import control, fairness, ledger, metrics, offsets, routing, schedule
-from batchloom.sources import config
+from batchloom.sources import config, sinks
 
 UTC = dt.UTC
 
@@ -487,3 +487,41 @@ def test_one_bad_schedule_is_disabled_alone(spark):
     assert got[8].fires == hour(7) and got[8].new_next == dt.datetime(2024, 5, 2, 7) and got[9].new_next == at + dt.timedelta(seconds=60)
     capped = {r.id: r for r in schedule.tick(df, now, cap=3).collect()}[3]
     assert capped.fires == hour(7, 8, 9) and capped.new_next == hour(10)[0]
+
+
+def test_acknowledgements():
+    assert {sinks.required_acks(x) for x in ("", None, " ALL_ISR ", "all")} == {"all"} and sinks.required_acks("leader") == "1"
+    with pytest.raises(ValueError):
+        sinks.required_acks("none")
+
+
+def test_slot_claims_and_leases(spark):
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    day = dt.datetime(2024, 1, 1)
+    claims = spark.createDataFrame([("a", 2), ("a", 1), ("b", 1), ("c", 1), ("", 1), ("", 2), (None, 3)], "slot_id string, request_id int")
+    held = spark.createDataFrame([("b", day), ("c", day + dt.timedelta(seconds=1))], "slot_id string, until timestamp_ntz")
+    got = {(r.slot_id, r.request_id): (r.won, r.until) for r in fairness.claim_slots(claims, held, now, 60).collect()}
+    end = day + dt.timedelta(seconds=60)
+    assert got == {("a", 1): (True, end), ("a", 2): (False, None), ("b", 1): (True, end), ("c", 1): (False, None), ("", 1): (True, None), ("", 2): (True, None), (None, 3): (True, None)}
+    leases = spark.createDataFrame([("x", 5.0), ("y", 9.0)], "slot_id string, expiry double")
+    fresh = fairness.renew_leases(leases, spark.createDataFrame([("x", 10.0), ("x", 7.0), ("gone", 10.0)], "slot_id string, at double"), 60)
+    assert {tuple(r) for r in fresh.collect()} == {("x", 70.0), ("y", 9.0)}
+    assert {tuple(r) for r in fairness.lease_active(spark.createDataFrame([("x",), ("y",), ("z",)], "slot_id string"), fresh, 9.0).collect()} == {("x", 70.0, True), ("y", 9.0, False), ("z", None, False)}
+
+
+def test_deliver_notes_what_failed(spark):
+    def broken(body):
+        raise OSError("unreachable")
+
+    bodies = spark.createDataFrame([("chat", "f", "{}"), ("mail", "f", "x"), ("pager", "f", "x")], "channel string, fingerprint string, body string")
+    got = {r.channel: (r.delivered, r.error) for r in control.deliver(bodies, {"chat": lambda body: json.loads(body), "mail": broken}).collect()}
+    assert got == {"chat": (True, None), "mail": (False, "unreachable"), "pager": (False, "no sender")}
+
+
+def test_yaml_with_variables(tmp_path, monkeypatch):
+    pytest.importorskip("yaml")
+    monkeypatch.setenv("KB_TOPIC", "t1")
+    (tmp_path / "c.yaml").write_text("topics: [\"${KB_TOPIC}\", \"${KB_NONE:-t2}\"]\nretries: ${KB_UNSET:-3}\n")
+    assert config.load_yaml(str(tmp_path / "c.yaml")) == {"topics": ["t1", "t2"], "retries": 3}
+    (tmp_path / "e.yaml").write_text("")
+    assert config.load_yaml(str(tmp_path / "e.yaml")) == {}
