@@ -6,9 +6,10 @@ a tiktoken vocabulary exposes them. It is taken of the whole run and, where that
 stretch between its word-like parts (words and numbers that cost few tokens), so a key behind a
 path is seen. Of a run that base spans cut, every piece outside them is tested by itself, from
 ``LEAST_REST`` characters on, so that no remainder of a secret stays. Known digests (32, 40, 56, 64, 96 or 128 hex characters),
-UUIDs, numbers and word-like identifiers are left out. An identifier is word-like when each part
+UUIDs, dates and times as they stand in names, numbers and word-like identifiers are left out. An identifier is word-like when each part
 between separators is a name (one case, capitalised or camel case, four digits at the end at most)
-without five consonants in a row, y being a vowel. Keys without digits count like others. A key
+without five consonants in a row, y being a vowel; letters of one case from ``LEAST_RUN`` on count as random
+beyond that where they cost at most ``DENSE`` characters a token, which words do not. Keys without digits count like others. A key
 glued to words without a separator is seen only if the whole part's ratio is low.
 
 Offsets are code points, ends exclusive; spans of one start tie and follow the kinds' order. Runs
@@ -33,7 +34,7 @@ from .store import map_rows
 from .worker import kept
 
 KINDS = ("assign", "access", "hex", "token")
-MOST_CHARS_PER_TOKEN, LEAST_RUN, LEAST_REST, SLICE = 2.1, 20, 8, 1024
+MOST_CHARS_PER_TOKEN, DENSE, LEAST_RUN, LEAST_REST, SLICE = 2.1, 1.75, 20, 8, 1024
 #: The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -42,6 +43,8 @@ WORDS = re.compile(r"password|passwd|secret|token|api", re.ASCII | re.IGNORECASE
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}")
 DIGEST = re.compile(r"(?i)(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})\Z")
 UUID = re.compile(r"(?i)[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}\Z")
+#: Dates, with or without a time of day, as they stand in names of files and jobs.
+STAMP = re.compile(r"(?<![0-9A-Za-z])[12][0-9]{3}[-_]?[01][0-9][-_]?[0-3][0-9](?:[T_-][0-2][0-9][-_]?[0-5][0-9](?:[-_]?[0-5][0-9])?Z?)?(?![0-9A-Za-z])")
 PARTS, PART = re.compile(r"[_/=+-]+"), re.compile(r"[^_/=+-]+")
 CLUSTER = re.compile(r"(?i)[b-df-hj-np-tv-xz]{5}")
 NAME = re.compile(r"[A-Z]?[a-z]{2,}(?:[A-Z][a-z]+)*[0-9]{0,4}\Z|[A-Z]+[0-9]{0,4}\Z|[0-9]*\Z")
@@ -79,9 +82,16 @@ def chars_per_token(run: str, encoding) -> float:
     return len(run) / sum(len(encoding.encode_ordinary(run[i : i + SLICE])) for i in range(0, len(run), SLICE))
 
 
+def is_dense(part: str, encoding) -> bool:
+    """Whether long letters of one case cost so many tokens that no word does."""
+    return len(part) >= LEAST_RUN and (part.islower() or part.isupper()) and chars_per_token(part, encoding) <= DENSE
+
+
 def is_random(run: str, encoding) -> bool:
-    """Whether a run has letters, is no digest or identifier, and costs many tokens."""
-    if not any(map(str.isalpha, run)) or DIGEST.match(run) or UUID.match(run) or all(map(is_name, PARTS.split(run))):
+    """Whether a run has letters, is no digest, time or identifier, and costs many tokens."""
+    if not any(map(str.isalpha, run)) or DIGEST.match(run) or UUID.match(run):
+        return False
+    if all(is_name(p) and not is_dense(p, encoding) for p in PARTS.split(STAMP.sub("", run))):
         return False
     return chars_per_token(run, encoding) <= MOST_CHARS_PER_TOKEN
 

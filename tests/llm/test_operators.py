@@ -723,3 +723,27 @@ def test_token_efficiency_recall():
     assert key not in op09_secrets.redacted(f"see {path}{key}.", enc)
     for calm in ("getHTTPResponseStatusCode", "CONFIGURATION_DEFAULT_SETTINGS", "Donaudampfschifffahrtsgesellschaft", "/usr/local/lib/python3/site-packages/numpy", "HTTPS_PROXY_SERVER_ADDRESS"):
         assert not op09_secrets.spans(calm, enc)
+
+
+def flagged(text, encoding):
+    return any(k == 3 for _, k, _ in op09_secrets.spans(f"see {text} there", encoding))
+
+
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"])
+def test_op9_recall_at_the_shortest_length(alphabet):
+    encoding, rng = op09_secrets.vocabulary(RANKS), np.random.default_rng(9)
+    assert np.mean([flagged("".join(rng.choice(list(alphabet), 20)), encoding) for _ in range(400)]) >= 0.88
+
+
+def test_op9_leaves_names_times_and_slugs_alone():
+    encoding, rng = op09_secrets.vocabulary(RANKS), np.random.default_rng(10)
+    words = "backup full daily report service config user profile image upload cache session handler request response invoice order customer payment archive staging release".split()
+    pick, n = lambda: str(rng.choice(words)), lambda a, z: int(rng.integers(a, z))
+    some = lambda: [pick() for _ in range(n(3, 7))]
+    makers = {
+        "time": lambda: f"20{n(10, 30)}-{n(1, 13):02}-{n(1, 29):02}T{n(0, 24):02}-{n(0, 60):02}-{n(0, 60):02}Z-{pick()}-{pick()}-{n(0, 9999):04}", "compact": lambda: f"{pick()}_20{n(10, 30)}{n(1, 13):02}{n(1, 29):02}T{n(0, 24):02}{n(0, 60):02}{n(0, 60):02}Z_{pick()}",
+        "slug": lambda: "-".join(some()) + f"-{n(1, 2030)}", "snake": lambda: "_".join(some()), "camel": lambda: "".join(w.capitalize() for w in some()), "path": lambda: "/" + "/".join(some()) + f"/{n(1, 99)}",
+    }
+    for kind, make in makers.items():
+        assert np.mean([flagged(make(), encoding) for _ in range(200)]) <= 0.01, kind
+    assert not flagged("2024-11-26T17-32-01Z-backup-full-0001", encoding)
