@@ -24,7 +24,13 @@ def duck(sf):
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_query_equals_sql(spark, sf, duck, name):
-    assert rows(catalogue.QUERIES[name](spark, sf).toArrow()) == rows(duck.sql(catalogue.ORACLES[name]).to_arrow_table())
+    found = catalogue.QUERIES[name](spark, sf)
+    assert found.inputFiles()  # every query reads tables
+    assert rows(found.toArrow()) == rows(duck.sql(catalogue.ORACLES[name]).to_arrow_table())
+
+
+def test_every_query_has_a_twin():
+    assert set(catalogue.QUERIES) == set(catalogue.ORACLES)
 
 
 def test_entry(spark):
