@@ -60,21 +60,35 @@ def fingerprint(worker_class: Column, payload: Column) -> Column:
     return F.md5(F.concat(worker_class, F.lit("\0"), F.coalesce(canonical_json(payload), F.lit("{}"))).cast("binary"))
 
 
-def parity_fingerprint(worker_class: Column, payload: Column) -> Column:
-    """Byte-compatible variant: two seed-0 XXH64 digests, the second salted, little-endian hex."""
-    import xxhash
+def _seeding(seed: int) -> int:
+    """The bigint whose ``xxhash64`` is ``seed``. The built-in function starts from 42 and hashes a column with what the ones
+    before gave as its seed, so this one in front chooses the seed; each step of the hash of eight bytes can be undone.
+    """
+    whole, p1, p2, p3, p4, p5 = (1 << 64) - 1, 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+    undo = lambda p: pow(p, -1, 1 << 64)
+    turned = lambda x, n: ((x << n) | (x >> (64 - n))) & whole
+    h = seed & whole
+    h ^= h >> 32
+    h = h * undo(p3) & whole
+    h ^= (h >> 29) ^ (h >> 58)
+    h = h * undo(p2) & whole
+    h ^= h >> 33
+    h = turned((h - p4) * undo(p1) & whole, 64 - 27) ^ ((42 + p5 + 8) & whole)
+    x = turned(h * undo(p1) & whole, 64 - 31) * undo(p2) & whole
+    return x - (1 << 64) if x >> 63 else x
 
-    @F.pandas_udf("string")
-    def both(m: pd.Series) -> pd.Series:
-        def one(text):
-            if text is None:
-                return None
-            raw = text.encode()
-            return b"".join(xxhash.xxh64_intdigest(x).to_bytes(8, "little") for x in (raw, raw + b"\0uniq_salt_v1")).hex()
 
-        return m.map(one)
+def xxh64(text: Column, seed: int = 0) -> Column:
+    """XXH64 of a text's UTF-8 bytes under any seed, as a bigint; null where the text is."""
+    return F.when(text.isNotNull(), F.xxhash64(F.lit(_seeding(seed)), text))
 
-    return both(F.concat(worker_class, F.lit("\0"), F.coalesce(canonical_json(payload), F.lit("{}"))))
+
+def parity_fingerprint(worker_class: Column, payload: Column) -> Column:
+    """Byte-compatible variant: two seed-0 XXH64 digests, the second salted, little-endian hex."""
+    m = F.concat(worker_class, F.lit("\0"), F.coalesce(canonical_json(payload), F.lit("{}")))
+    both = F.concat(*[F.lpad(F.hex(xxh64(x)), 16, "0") for x in (m, F.concat(m, F.lit("\0uniq_salt_v1")))])
+    digests = [F.substring(both, 1 + 16 * i + 14 - 2 * k, 2) for i in (0, 1) for k in range(8)]
+    return F.lower(F.concat(*digests))
 
 
 def truthy(text: Column, default: bool = False) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -267,6 +269,32 @@ def uniq_first_wins(r: Relations):
     return schedule.first_wins(f, ["fingerprint"], ["event_id"])
 
 
+#: XXH64 under seed 0 of texts of less than 32 ASCII letters, by lanes of eight bytes, one of four, and single bytes.
+XXH64 = """l AS (SELECT *, list_transform(range(0, n // 8), lambda i: list_reduce(list_transform(range(8), lambda j: c[8 * i + j + 1] << (j * 8)::UHUGEINT), lambda a, x: a + x)) AS eights, n // 8 * 8 AS done FROM b),
+h AS (SELECT *, list_reduce(list_prepend((P5 + n::UHUGEINT) & W, eights), lambda h, x: (TURN27(xor(h, (TURN31((x * P2) & W) * P1) & W)) * P1 + P4) & W) AS h8 FROM l),
+i AS (SELECT *, CASE WHEN n % 8 >= 4 THEN (TURN23(xor(h8, ((c[done + 1] + (c[done + 2] << 8) + (c[done + 3] << 16) + (c[done + 4] << 24)) * P1) & W)) * P2 + P3) & W ELSE h8 END AS h4, n - n % 4 AS ends FROM h),
+j AS (SELECT *, list_reduce(list_prepend(h4, c[ends + 1:]), lambda h, x: (TURN11(xor(h, (x * P5) & W)) * P1) & W) AS h1 FROM i),
+k AS (SELECT *, (xor(h1, h1 >> 33) * P2) & W AS m1 FROM j), o AS (SELECT *, (xor(m1, m1 >> 29) * P3) & W AS m2 FROM k), x AS (SELECT *, xor(m2, m2 >> 32) AS hash FROM o)"""
+for turn in (11, 23, 27, 31):  # TURN11(y) and the others as macros
+    while (start := XXH64.find(f"TURN{turn}(")) >= 0:
+        stop, depth = start + len(f"TURN{turn}("), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(XXH64[stop], 0)
+            stop += 1
+        inner = XXH64[start + len(f"TURN{turn}(") : stop - 1]
+        XXH64 = f"{XXH64[:start]}(((({inner}) << {turn}) & W) | (({inner}) >> {64 - turn})){XXH64[stop:]}"
+for name, value in (("P1", 11400714785074694791), ("P2", 14029467366897019727), ("P3", 1609587929392839161), ("P4", 9650029242287828579), ("P5", 2870177450012600261), ("W", 2**64 - 1)):
+    XXH64 = re.sub(rf"\b{name}\b", f"{value}::UHUGEINT", XXH64)
+XXH64 = re.sub(r"(<<|>>) (\d+)", r"\1 \2::UHUGEINT", XXH64)
+
+
+@query(f"""m AS (SELECT event_id, part, 'c' || (event_id % 5) || chr(0) || '{{"k":' || (props->>'k') || '}}' || salt AS s FROM events, (VALUES (0, ''), (1, chr(0) || 'uniq_salt_v1')) v(part, salt)),
+b AS (SELECT event_id, part, len(s) AS n, list_transform(range(1, len(s) + 1), lambda i: ord(s[i])::UHUGEINT) AS c FROM m), {XXH64}
+SELECT event_id, string_agg(array_to_string(list_transform(range(8), lambda i: lpad(lower(hex(((hash >> (i * 8)::UHUGEINT) & 255::UHUGEINT)::BIGINT)), 2, '0')), ''), '' ORDER BY part) AS fingerprint FROM x GROUP BY event_id""")
+def parity_fingerprints(r: Relations):
+    return r.events.select("event_id", scalars.parity_fingerprint(F.concat(F.lit("c"), F.col("event_id") % 5), F.col("props")).alias("fingerprint"))
+
+
 MASK, MUL = "4294967295::UBIGINT", "1540483477::UBIGINT"
 
 

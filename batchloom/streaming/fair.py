@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-RESULTS = "lane string, tenant_id string, job_id string, result string"
+RESULTS = "lane string, tenant_id string, job_id string, result string, at double"
 PAGE = 64
 
 
@@ -240,7 +240,7 @@ class FairProcessor(StatefulProcessor):
         out = []
         for r in pd.concat(list(rows)).sort_values("arrival", kind="stable").itertuples():
             if (got := lane.play(r.action, r.tenant_id, r.job_id, r.weight, r.duration, float(r.arrival))) is not None:
-                out.append((key[0], *got))
+                out.append((key[0], *got, float(r.arrival)))
         for s in stores.values():
             s.flush()
         for k, order in (("ring", lane.ring), ("ends", lane.ends)):

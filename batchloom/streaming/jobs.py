@@ -307,7 +307,7 @@ class LivenessProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last, out = (self.seen.get()[0] if self.seen.exists() else None), []
         before = last
-        for ms in sorted(int(t.timestamp() * 1000) for t in pd.concat(list(rows))["seen_at"]):
+        for ms in sorted(t.value // 1_000_000 for t in pd.concat(list(rows))["seen_at"]):
             if last is None or ms > last + 1000 * self.ttl:
                 out += [] if last is None else [(key[0], "down", last + 1000 * self.ttl)]
                 out.append((key[0], "up", ms))

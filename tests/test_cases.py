@@ -344,6 +344,20 @@ def test_scalars(spark):
     assert r.f == b"".join(xxhash.xxh64_intdigest(x).to_bytes(8, "little") for x in (raw, raw + b"\0uniq_salt_v1")).hex()
 
 
+def test_xxh64_under_any_seed(spark):
+    import xxhash
+
+    texts = ["", "a", "é" * 9, "0123456789abcdef", "x" * 31, "y" * 32, "wörter " * 40, None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for seed in (0, 1, 42, 2**63 + 5, 2**64 - 1):
+        got = [r[0] for r in df.select(scalars.xxh64(F.col("t"), seed)).collect()]
+        assert [None if g is None else g % 2**64 for g in got] == [None if t is None else xxhash.xxh64_intdigest(t.encode(), seed) for t in texts]
+    both = df.select(scalars.parity_fingerprint(F.col("t"), F.lit("{}")).alias("f"))
+    raw = [None if t is None else t.encode() + b"\0{}" for t in texts]
+    assert [r.f for r in both.collect()] == [None if m is None else b"".join(xxhash.xxh64_intdigest(x).to_bytes(8, "little") for x in (m, m + b"\0uniq_salt_v1")).hex() for m in raw]
+    assert "Python" not in both._jdf.queryExecution().toString()
+
+
 def test_config(spark):
     assert config.expand("a${X:-d}b${Y}c", {"Y": "y"}) == "adbyc"
     with pytest.raises(ValueError):
