@@ -747,3 +747,16 @@ def test_op9_leaves_names_times_and_slugs_alone():
     for kind, make in makers.items():
         assert np.mean([flagged(make(), encoding) for _ in range(200)]) <= 0.01, kind
     assert not flagged("2024-11-26T17-32-01Z-backup-full-0001", encoding)
+
+
+def test_ties_of_packing_and_languages():
+    """Of remainders of equal length the last one added goes first; of languages of equal code length the first by name."""
+    packer = op08_slack.Packer(100, 10)
+    for ref in "abc":
+        packer.add(30, ref)
+    assert list(packer.sequences(0)) == [[(30, "c"), (30, "b"), (30, "a")]]
+    symbol = op10_ppm.alphabet()
+    counts = np.unique(op10_ppm.grams(b"the same words in both", symbol, op10_ppm.ORDER), return_counts=True)
+    counts = (counts[0], counts[1].astype(np.uint32))
+    model = op10_ppm.Model(["aa", "zz"], symbol, op10_ppm.ORDER, [counts, counts])
+    assert op10_ppm.predict(["the words", "other ones", "", "12"], model, model.table()) == [("aa", 0.5), ("aa", 0.5), ("und", 0.0), ("und", 0.0)]
