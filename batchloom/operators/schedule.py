@@ -94,10 +94,11 @@ def unseen_fires(fires: DataFrame, ledger: DataFrame) -> DataFrame:
     return fires.join(ledger.select("schedule_id", "fire_at"), ["schedule_id", "fire_at"], "left_anti").dropDuplicates(["schedule_id", "fire_at"])
 
 
-def pending_recovery(fires: DataFrame, schedules: DataFrame, now: Column, age_seconds: int = 120, limit: int = 100) -> DataFrame:
-    """Fires that stayed pending too long, with their schedules, oldest first."""
+def pending_recovery(fires: DataFrame, schedules: DataFrame, now: Column, age_seconds: int = 120, limit: int | None = 100) -> DataFrame:
+    """Fires that stayed pending too long, with their schedules, oldest first; all of them if ``limit`` is None, so that none passes through one task."""
     old = fires.where((F.col("status") == "pending") & (F.col("created_at") <= now - seconds(age_seconds)))
-    return old.join(schedules, "schedule_id").orderBy("created_at", "schedule_id", "fire_at").limit(limit)
+    found = old.join(schedules, "schedule_id").orderBy("created_at", "schedule_id", "fire_at")
+    return found if limit is None else found.limit(limit)
 
 
 def pruned(fires: DataFrame, now: Column, days: int = 7) -> DataFrame:

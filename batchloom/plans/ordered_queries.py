@@ -210,7 +210,7 @@ def fires(r: Relations):
 @query(SCHEDULES + ", " + FIRES + """ SELECT schedule_id, fire_at, count(*) AS n FROM (SELECT schedule_id, fire_at, created_at FROM fires JOIN s ON s.id = schedule_id, clock WHERE status = 'pending' AND created_at <= now - INTERVAL 120 SECOND AND enabled) GROUP BY ALL""")
 def pending_recovery(r: Relations):
     s = schedules(r).where("enabled").select(F.col("id").alias("schedule_id"), "misfire_policy")
-    return schedule.pending_recovery(fires(r), s, at(NOW), limit=2_000_000_000).groupBy("schedule_id", "fire_at").agg(F.count("*").alias("n"))
+    return schedule.pending_recovery(fires(r), s, at(NOW), limit=None).groupBy("schedule_id", "fire_at").agg(F.count("*").alias("n"))
 
 
 @query(FIRES + """ SELECT schedule_id, status, count(*) AS n FROM fires, clock WHERE NOT coalesce(status = 'dispatched' AND dispatched_at < now - INTERVAL 7 DAY, false) GROUP BY schedule_id, status""")
