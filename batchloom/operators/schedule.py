@@ -68,13 +68,29 @@ def tick(schedules: DataFrame, now: Column, grace_seconds: int = 60, cap: int =
     disabled, fires nothing and keeps its next run; the others go on. Policies are those of ``fires``; where
     no instant is left within five years the next run is a minute after the last.
     """
+    at, none = F.col("next_run_at"), F.array().cast("array<timestamp_ntz>")
+    due = F.coalesce(F.col("enabled") & (at <= now), F.lit(False))
+    keys = ["cron_expr", "timezone", "misfire_policy", "next_run_at"]
+    # the work follows different schedules, spread over the cores whatever files they come from
+    asked = schedules.where(due).select(*keys).distinct()
+    tasks = max(int(schedules.sparkSession.conf.get("spark.sql.shuffle.partitions")), schedules.sparkSession.sparkContext.defaultParallelism)
+    found = _ticked(asked.repartition(tasks, *keys), now, grace_seconds, cap)
+    found = found.select(*[F.col(k).alias(f"_{k}") for k in keys], F.struct("problem", "fires", "new_next").alias("_tick"))
+    same = due
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    out = schedules.join(found, same, "left").withColumns({"problem": F.col("_tick.problem"), "fires": F.coalesce("_tick.fires", none), "new_next": F.coalesce("_tick.new_next", at)})
+    return out.withColumn("enabled", F.col("enabled") & F.col("problem").isNull()).drop("_tick", *[f"_{k}" for k in keys])
+
+
+def _ticked(s: DataFrame, now: Column, grace_seconds: int, cap: int) -> DataFrame:
+    """Due schedules with problem, fires and new_next (see ``tick``)."""
     m, at = F.col("_cron"), F.col("next_run_at")
-    s = schedules.withColumn("_cron", cron.masks(F.col("cron_expr")))
-    zone_ok = cron.zone_known(schedules.sparkSession, F.coalesce("timezone", F.lit("UTC")))
+    s = s.withColumn("_cron", cron.masks(F.col("cron_expr")))
+    zone_ok = cron.zone_known(s.sparkSession, F.coalesce("timezone", F.lit("UTC")))
     zone = F.when(zone_ok, F.coalesce("timezone", F.lit("UTC"))).otherwise("UTC")
-    due = F.col("enabled") & (at <= now)
-    s = s.withColumn("problem", F.when(due, F.coalesce(m["problem"], F.when(~zone_ok, "unknown time zone"))))
-    good, policy = due & F.col("problem").isNull(), F.coalesce("misfire_policy", F.lit(""))
+    s = s.withColumn("problem", F.coalesce(m["problem"], F.when(~zone_ok, "unknown time zone")))
+    good, policy = F.col("problem").isNull(), F.coalesce("misfire_policy", F.lit(""))
 
     def one_more(acc: Column, _: Column) -> Column:
         return F.when(acc["next"] <= now, F.struct(F.array_append(acc["fires"], acc["next"]).alias("fires"), cron.next_after(m, zone, acc["next"]).alias("next"))).otherwise(acc)
@@ -86,7 +102,7 @@ def tick(schedules: DataFrame, now: Column, grace_seconds: int = 60, cap: int =
     last = F.element_at("fires", -1)
     after = F.when(policy == "backfill", F.least(last, now)).otherwise(now)
     following = F.coalesce(cron.next_after(m, zone, after), F.greatest(at, F.when(F.size("fires") > 0, last)) + seconds(60))
-    return s.withColumns({"new_next": F.when(good, following).otherwise(at), "enabled": F.col("enabled") & F.col("problem").isNull()}).drop("_cron")
+    return s.withColumn("new_next", F.when(good, following).otherwise(at)).drop("_cron")
 
 
 def unseen_fires(fires: DataFrame, ledger: DataFrame) -> DataFrame:
