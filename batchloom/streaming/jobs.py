@@ -11,7 +11,9 @@ import bisect
 import contextlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,11 +38,47 @@ def log_stream(spark: SparkSession, path: str | None = None, schema: str = LOG,
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
+#: Keys of keyed state stand in this many pages: a micro-batch reads and writes a page once, not its keys one by one.
+PAGES = 256
+
+
+def _paged(events: DataFrame, key: str):
+    """Rows by the page of their key."""
+    return events.withColumn("_page", F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(PAGES)).cast("int")).groupBy("_page")
+
+
+def _packed(**columns) -> bytes:
+    """Columns of a page as one binary value."""
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as w:
+        w.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(value) -> list[pa.Array]:
+    return pa.ipc.open_stream(bytes(value)).read_next_batch().columns
+
+
+def _first(mask: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    """The first row of every group where ``mask`` holds; the number of rows where it never does."""
+    out, at = np.full(groups, len(mask)), np.flatnonzero(mask)[::-1]
+    out[group[at]] = at
+    return out
+
+
+def _so_far(mask: np.ndarray, group: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How often ``mask`` held up to each row in its group; groups stand together and begin at ``starts``."""
+    n = np.cumsum(mask)
+    return n - (n[starts] - mask[starts])[group]
+
+
 class LedgerProcessor(StatefulProcessor):
     """Per batch: seen operations by sequence, counters, sticky status and callback claims.
 
-    The rules are those of ``ledger.fold``. All state of a batch goes ``ttl`` seconds after the last
-    event that counted.
+    The rules are those of ``ledger.fold``, taken over all batches of a page at once. All state of a batch
+    goes ``ttl`` seconds after the last event that counted: it is not read any more then, leaves with the
+    page's next change, and a page without changes leaves as a whole.
     """
 
     def __init__(self, ttl: int = WEEK):
@@ -48,59 +86,99 @@ class LedgerProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getMapState("seen", "seq bigint", "touched boolean, ok boolean, bad boolean")
-        self.batch = handle.getValueState("batch", "total bigint, sealed boolean, touched bigint, completed bigint, failed bigint, status string, complete boolean, success boolean, expires bigint")
+        self.page = handle.getValueState("page", "batches binary, seen binary, expires bigint")
+
+    def _kept(self, now: int) -> tuple[list[np.ndarray], list[np.ndarray], int | None]:
+        """Live batches (id, touched, completed, failed, status, complete, success, expires), their seen sequences (id, seq, ok, bad) and the page's timer."""
+        if not self.page.exists():
+            none = [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, object, bool, bool, np.int64)]
+            return none, [np.zeros(0, t) for t in (np.int64, np.int64, bool, bool)], None
+        batches, seen, timer = self.page.get()
+        batches, seen = ([c.to_numpy(zero_copy_only=False) for c in _unpacked(x)] for x in (batches, seen))
+        live = batches[-1] > now
+        batches = [c[live] for c in batches]
+        held = np.isin(seen[0], batches[0])
+        return batches, [c[held] for c in seen], timer
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values("arrival", kind="stable")
-        if key[0] is None or pd.isna(key[0]):
-            yield pd.DataFrame([], columns=[c.split()[0] for c in LEDGER.split(", ")])
-            return
-        touched = completed = failed = 0
-        status, complete, success, expires = None, False, False, None
-        if self.batch.exists():
-            _, _, touched, completed, failed, status, complete, success, expires = self.batch.get()
-        out, counted = [], False
-        for seq, op, total, sealed, stored in zip(events["batch_seq"], events["op"], events["total_jobs"], events["sealed"], events["status"], strict=True):
-            if status is None:  # the batch as it was when its first event came
-                status = "running" if stored is None or pd.isna(stored) else stored
-                complete, success = status in ("complete", "success"), status == "success"
-            if stored == "cancelled":
-                status = "cancelled"
-            if seq is None or pd.isna(seq) or seq < 1 or status == "cancelled":
-                continue
-            total, sealed = 0 if total is None or pd.isna(total) else int(total), bool(sealed is not None and not pd.isna(sealed) and sealed)
-            seq, op = int(seq), op if op in ("success", "failed", "executed") else "failed"
-            t, ok, bad = self.seen.getValue((seq,)) if self.seen.containsKey((seq,)) else (False, False, False)
-            good, fails = op == "success" and not ok, op == "failed" and not ok and not bad
-            if t and not good and not fails:
-                continue
-            touched, completed, failed, counted = touched + (not t), completed + good, failed + fails, True
-            self.seen.updateValue((seq,), (True, ok or good, bad or fails))
-            if not sealed or total < 1:
-                continue
-            full, over = completed >= total, completed + failed >= total
-            if (full or over) and status == "running":
-                status = "success" if full else "complete"
-            fired = []
-            if (full or over or touched >= total) and not complete:
-                complete, fired = True, ["complete"]
-            if full and not success:
-                success, fired = True, [*fired, "success"]
-            out += [(key[0], touched, completed, failed, status, c) for c in fired]
-        if counted:
-            if expires is not None:
-                self.handle.deleteTimer(expires)
-            expires = timerValues.getCurrentProcessingTimeInMs() + 1000 * self.ttl
-            self.handle.registerTimer(expires)
-        if expires is not None:  # batches without a counting event keep no state
-            self.batch.update((int(events["total_jobs"].fillna(0).iloc[-1]), bool(events["sealed"].fillna(False).iloc[-1]), touched, completed, failed, status, complete, success, expires))
-        out.append((key[0], touched, completed, failed, status, None))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in LEDGER.split(", ")])
+        now = timerValues.getCurrentProcessingTimeInMs()
+        old, seen, timer = self._kept(now)
+        e = pd.concat(list(rows)).sort_values("arrival", kind="stable").sort_values("batch_id", kind="stable")
+        ids = e["batch_id"].to_numpy(np.int64)
+        n, starts = len(ids), np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        batch, group = ids[starts], np.cumsum(np.r_[False, ids[1:] != ids[:-1]])
+        g = len(batch)
+        # a batch as it is kept, or as it was when its first event came
+        at = np.searchsorted(old[0], batch)
+        known = np.zeros(g, bool)
+        known[at < len(old[0])] = old[0][at[at < len(old[0])]] == batch[at < len(old[0])]
+        stored = e["status"].to_numpy(object)
+        status = np.array(["running" if s is None or s != s else s for s in stored[starts]], object)
+        status[known] = old[4][at[known]]
+        touched, completed, failed, expires = (np.zeros(g, np.int64) for _ in range(4))
+        complete, success = np.isin(status, ["complete", "success"]), status == "success"
+        for now_, c in ((touched, 1), (completed, 2), (failed, 3), (complete, 5), (success, 6), (expires, 7)):
+            now_[known] = old[c][at[known]]
+        dead = np.where(status == "cancelled", 0, _first(stored == "cancelled", group, g))
+        seq, op = e["batch_seq"].to_numpy(np.int64), e["op"].to_numpy(object)
+        live = (seq >= 1) & (np.arange(n) < dead[group])
+        # rows by batch and sequence, what was seen before in front of them
+        row = np.flatnonzero(live)
+        pid, pseq = np.r_[seen[0], ids[row]], np.r_[seen[1], seq[row]]
+        prow = np.r_[np.full(len(seen[0]), -1), row]
+        good = np.r_[seen[2], op[row] == "success"].astype(bool)
+        bad = np.r_[seen[3], ~np.isin(op[row], ["success", "executed"])].astype(bool)
+        order = np.lexsort((prow, pseq, pid))
+        pid, pseq, prow, good, bad = (c[order] for c in (pid, pseq, prow, good, bad))
+        fresh = np.r_[True, (pid[1:] != pid[:-1]) | (pseq[1:] != pseq[:-1])][: len(pid)]
+        pair, pairs, m = np.cumsum(fresh) - 1, int(fresh.sum()), len(pid)
+        first_good, first_bad = _first(good, pair, pairs), _first(bad, pair, pairs)
+        # a failure counts before any success only
+        new_bad = (first_bad < m) & (first_bad < first_good)
+        is_t, is_good, is_bad = (np.zeros(n, bool) for _ in range(3))
+        is_t[prow[fresh & (prow >= 0)]] = True
+        for firsts, out in ((first_good[first_good < m], is_good), (first_bad[new_bad], is_bad)):
+            hit = prow[firsts]
+            out[hit[hit >= 0]] = True
+        counts = is_t | is_good | is_bad
+        t, c, f = touched[group] + _so_far(is_t, group, starts), completed[group] + _so_far(is_good, group, starts), failed[group] + _so_far(is_bad, group, starts)
+        total = e["total_jobs"].to_numpy(np.int64)
+        judged = counts & e["sealed"].to_numpy(bool) & (total >= 1)
+        full, over = judged & (c >= total), judged & (c + f >= total)
+        turn = np.where(status == "running", _first(full | over, group, g), n)
+        turned = status.copy()
+        turned[turn < n] = np.where(full[turn[turn < n]], "success", "complete")
+        fired = []
+        for order_, kind, given, when in ((0, "complete", complete, full | over | (judged & (t >= total))), (1, "success", success, full)):
+            hit = _first(when, group, g)
+            who = np.flatnonzero(~given & (hit < n))
+            given[who] = True
+            hit = hit[who]
+            fired.append(pd.DataFrame({"batch_id": batch[who], "touched": t[hit], "completed": c[hit], "failed": f[hit], "status": np.where(hit >= turn[who], turned[who], status[who]), "callback": kind, "row": hit, "order": order_}))
+        calls = pd.concat(fired).sort_values(["row", "order"])[[x.split()[0] for x in LEDGER.split(", ")]]
+        last = np.r_[starts[1:], n] - 1
+        touched, completed, failed = t[last], c[last], f[last]
+        status = np.where(dead < n, "cancelled", turned).astype(object)
+        counted = np.bincount(group[counts], minlength=g) > 0
+        expires[counted] = now + 1000 * self.ttl
+        keep = counted | known  # batches without a counting event keep no state
+        if keep.any():
+            rest = ~np.isin(old[0], batch)
+            new = [np.r_[o[rest], x[keep]] for o, x in zip(old, (batch, touched, completed, failed, status, complete, success, expires), strict=True)]
+            by = np.argsort(new[0])
+            names = ("id", "touched", "completed", "failed", "status", "complete", "success", "expires")
+            end = int(new[-1].max())
+            if end != timer:
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(end)
+            first = np.flatnonzero(fresh)
+            sure_bad = new_bad | np.isin(np.arange(pairs), pair[bad & (prow < 0)])
+            self.page.update((_packed(**{k: x[by] for k, x in zip(names, new, strict=True)}), _packed(id=pid[first], seq=pseq[first], ok=first_good < m, bad=sure_bad), end))
+        yield pd.concat([calls, pd.DataFrame({"batch_id": batch, "touched": touched, "completed": completed, "failed": failed, "status": status, "callback": None})])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.seen.clear()
-        self.batch.clear()
+        self.page.clear()  # the timer stands at the last end of all its batches
         yield pd.DataFrame([], columns=[c.split()[0] for c in LEDGER.split(", ")])
 
     def close(self) -> None:
@@ -113,31 +191,46 @@ def ledger_stream(events: DataFrame, ttl: int = WEEK) -> DataFrame:
     Needs the RocksDB state store provider. Expiry is a timer, so a run over available data ends only
     with spark.sql.streaming.noDataMicroBatches.enabled=false.
     """
-    return events.groupBy("batch_id").transformWithStateInPandas(LedgerProcessor(ttl), LEDGER, "Append", "ProcessingTime")
+    whole = lambda name: F.coalesce(F.col(name).cast("bigint"), F.lit(0).cast("bigint")).alias(name)
+    events = events.select("batch_id", whole("batch_seq"), "op", "arrival", whole("total_jobs"), F.coalesce("sealed", F.lit(False)).alias("sealed"), "status")
+    return _paged(events.where("batch_id is not null"), "batch_id").transformWithStateInPandas(LedgerProcessor(ttl), LEDGER, "Append", "ProcessingTime")
 
 
 class UniqProcessor(StatefulProcessor):
-    """First claim of a fingerprint wins until it expires or its owner releases it."""
+    """First claim of a fingerprint wins until it expires or its owner releases it.
+
+    A page holds the owners of its fingerprints, each forgotten ``ttl`` seconds after its last event.
+    """
 
     def __init__(self, ttl_seconds: int):
         self.ttl = ttl_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        # the store forgets owners too, so fingerprints that never come back leave nothing behind
-        self.owner = handle.getValueState("owner", "job_id string, until double", ttlDurationMs=self.ttl * 1000)
+        # the store forgets pages too, so fingerprints that never come back leave nothing behind
+        self.owners = handle.getValueState("owners", "owners binary", ttlDurationMs=self.ttl * 1000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values("arrival", kind="stable")
-        held = self.owner.get() if self.owner.exists() else None
-        out = []
-        for job, action, at in zip(events["job_id"], events["action"], events["arrival"], strict=True):
+        now = timerValues.getCurrentProcessingTimeInMs()
+        owners = {}
+        if self.owners.exists():
+            owners = {f: (job, until, end) for f, job, until, end in zip(*(c.to_pylist() for c in _unpacked(self.owners.get()[0])), strict=True) if end > now}
+        end, out = now + self.ttl * 1000, []
+        for f, job, action, at in zip(events["fingerprint"].tolist(), events["job_id"].tolist(), events["action"].tolist(), events["arrival"].tolist(), strict=True):
+            held = owners.get(f)
             if action == "release":
-                held = None if held and held[0] == job else held
+                if held is not None and held[0] == job:
+                    del owners[f]
+                elif held is not None:
+                    owners[f] = (*held[:2], end)
                 continue
             won = held is None or held[1] <= at or held[0] == job
-            held = (job, float(at) + self.ttl) if won else held
-            out.append((key[0], job, won))
-        self.owner.clear() if held is None else self.owner.update(held)
+            owners[f] = (job, float(at) + self.ttl, end) if won else (*held[:2], end)
+            out.append((f, job, won))
+        if owners:
+            self.owners.update((_packed(fingerprint=list(owners), job_id=[o[0] for o in owners.values()], until=[o[1] for o in owners.values()], end=[o[2] for o in owners.values()]),))
+        else:
+            self.owners.clear()
         yield pd.DataFrame(out, columns=["fingerprint", "job_id", "won"])
 
     def close(self) -> None:
@@ -146,7 +239,7 @@ class UniqProcessor(StatefulProcessor):
 
 def uniq_stream(claims: DataFrame, ttl_seconds: int = WEEK) -> DataFrame:
     """claims(fingerprint, job_id, action claim/release, arrival in seconds): who won."""
-    return claims.groupBy("fingerprint").transformWithStateInPandas(UniqProcessor(ttl_seconds), "fingerprint string, job_id string, won boolean", "Append", "ProcessingTime")
+    return _paged(claims, "fingerprint").transformWithStateInPandas(UniqProcessor(ttl_seconds), "fingerprint string, job_id string, won boolean", "Append", "ProcessingTime")
 
 
 class Runs:
