@@ -9,7 +9,7 @@ from ..operators import fairness
 from ..session import scratch
 from ..sources.bridge import Relations
 from ..streaming import fair, jobs
-from ..streaming.replay import log_of, replayed, shares, streaming_session
+from ..streaming.replay import log_of, numbered, replayed, shares, streaming_session
 from .ledger_queries import LEDGER, owners
 from .ordered_queries import weights
 from .registry import query
@@ -26,8 +26,7 @@ def _streaming(r: Relations) -> Relations:
 def _records(rows: DataFrame, topic: str, partition: Column, order: list[str], value: Column, key: Column | None = None) -> DataFrame:
     """Log records of ``rows``, numbered by ``order`` inside their partition."""
     dealt = rows.select(F.lit(topic).alias("topic"), partition.cast("int").alias("partition"), (F.lit("") if key is None else key.cast("string")).alias("key"), value.alias("value"), *order)
-    n = F.row_number().over(Window.partitionBy("partition").orderBy(*order)) - 1
-    return dealt.withColumn("offset", n.cast("bigint")).withColumn("timestamp", F.lit(0).cast("timestamp")).drop(*order)
+    return numbered(dealt, ["partition"], order, "offset").withColumn("timestamp", F.lit(0).cast("timestamp")).drop(*order)
 
 
 def _values(stream: DataFrame, schema: str) -> DataFrame:
@@ -123,9 +122,9 @@ def stream_fair(r: Relations):
     r = _streaming(r)
     lanes = r.customer.select(F.col("c_custkey").alias("tenant_id"), F.concat_ws("-", "c_mktsegment", "c_nationkey").alias("lane"), F.col("c_nationkey").alias("nation"))
     o = fairness.weighted(r.orders.select(F.col("o_custkey").alias("tenant_id"), "o_orderkey", "o_orderdate").join(lanes, "tenant_id"), weights(r))
-    o = o.withColumn("n", F.row_number().over(Window.partitionBy("lane").orderBy("o_orderdate", "o_orderkey")))
+    o = numbered(o, ["lane"], ["o_orderdate", "o_orderkey"])
     kinds = F.when(F.col("o_orderkey") % 3 != 0, F.array(F.lit("enqueue"), F.lit("checkout"))).otherwise(F.array(F.lit("enqueue")))
-    acts = o.select("*", F.posexplode(kinds).alias("late", "action")).withColumn("arrival", (F.col("n") * 2 + F.col("late")).cast("double"))
+    acts = o.select("*", F.posexplode(kinds).alias("late", "action")).withColumn("arrival", (F.col("n") * 2 + 2 + F.col("late")).cast("double"))
     put = F.col("action") == "enqueue"
     value = F.to_json(F.struct("lane", F.when(put, F.col("tenant_id").cast("string")).otherwise("").alias("tenant_id"), "weight", F.when(put, F.col("o_orderkey").cast("string")).otherwise("").alias("job_id"), "action", F.lit(0.0).alias("duration"), "arrival"))
     schema = "lane string, tenant_id string, weight double, job_id string, action string, duration double, arrival double"

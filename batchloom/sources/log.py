@@ -37,17 +37,17 @@ def zones(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], ZONES)
 
 
-def append(records: DataFrame, path: str, file_records: int = 100_000) -> DataFrame:
+def append(records: DataFrame, path: str, file_records: int = 100_000, tasks: int | None = None) -> DataFrame:
     """Append records(topic, partition, offset, key, value, timestamp) to the log and return the zones of their files.
 
     Records are dealt by ranges of (topic, partition, offset), so a hot partition fills many tasks and
-    files. Offsets must lie beyond those of earlier appends to their partition; if any does not, nothing is committed.
+    files; ``tasks`` says how many ranges there are, else the session does. Offsets must lie beyond those of earlier appends to their partition; if any does not, nothing is committed.
     """
     spark = records.sparkSession
     names = [c.split()[0] for c in LOG.split(", ")]
     size = F.coalesce(F.octet_length("key"), F.lit(0)) + F.coalesce(F.octet_length("value"), F.lit(0))
     folder = f"{path}/data/{uuid.uuid4().hex}"
-    sorted_ = records.select(*names, size.cast("bigint").alias("bytes")).repartitionByRange(*WHERE).sortWithinPartitions(*WHERE)
+    sorted_ = records.select(*names, size.cast("bigint").alias("bytes")).repartitionByRange(*([tasks] if tasks else []), *WHERE).sortWithinPartitions(*WHERE)
     sorted_.write.option("maxRecordsPerFile", file_records).parquet(folder)
     written = spark.read.parquet(folder).select("*", F.col("_metadata.file_path").alias("file"))
     new = written.groupBy("file", "topic", "partition").agg(F.min("offset").alias("first"), F.max("offset").alias("last"), F.count("*").alias("records"), F.sum("bytes").alias("bytes"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,10 +30,38 @@ def streaming_session(spark: SparkSession) -> SparkSession:
     return package_on_workers(s)
 
 
+#: Rows that a task sorts, however many there are in all.
+TASK_ROWS = 250_000
+
+
+def tasks_for(rows: DataFrame) -> int:
+    return max(1, -(-rows.count() // TASK_ROWS))
+
+
+def numbered(rows: DataFrame, by: list[str], order: list[str], name: str = "n") -> DataFrame:
+    """``rows`` with their number from 0 by ``order`` inside ``by``, whose values are few.
+
+    Rows are sorted in ranges of about ``TASK_ROWS`` and written; each range is then shifted by what
+    lies in earlier ones, so no task sorts a whole group.
+    """
+    path = scratch(rows.sparkSession, "ranges")
+    dealt = rows.repartitionByRange(tasks_for(rows), *by, *order).sortWithinPartitions(*by, *order)
+    dealt.select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_place")).write.parquet(path)
+    dealt = rows.sparkSession.read.parquet(path)
+    runs = dealt.groupBy(*by, "_range").agg(F.count("*").alias("_rows"), F.min("_place").alias("_first"))
+    before = F.sum("_rows").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select(*[F.col(b).alias(f"_{b}") for b in by], F.col("_range").alias("_at"), (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    same = F.col("_range") == F.col("_at")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_{b}"))
+    # a row for each range and for each value of ``by``, about
+    return dealt.join(F.broadcast(runs), same).withColumn(name, F.col("_place") + F.col("_shift")).select(*rows.columns, name)
+
+
 def log_of(records: DataFrame) -> str:
     """A new log with ``records(topic, partition, offset, key, value, timestamp)``."""
     path = scratch(records.sparkSession, "log")
-    log.append(records, path)
+    log.append(records, path, tasks=max(tasks_for(records), records.sparkSession.sparkContext.defaultParallelism))
     return path
 
 
