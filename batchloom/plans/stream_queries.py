@@ -43,13 +43,14 @@ def stream_log(r: Relations):
     """A log read by a stream: every record once, a partition's in offset order, no micro-batch beyond its budgets unless by one record alone."""
     r = _streaming(r)
     path = log_of(r.log.select("topic", F.col("partition_id").alias("partition"), "offset", F.col("event_id").cast("string").alias("key"), F.col("props").alias("value"), F.col("ts").cast("timestamp").alias("timestamp")))
-    got = replayed(r.spark, path, lambda s: s, BUDGETS).withColumn("size", F.octet_length("key") + F.octet_length("value"))
+    got = replayed(r.spark, path, lambda s: s, BUDGETS, shared=True).withColumn("size", F.octet_length("key") + F.octet_length("value"))
     part = Window.partitionBy("topic", "partition").orderBy("offset")
-    later = F.lag(F.struct("epoch", "place")).over(part)
-    got = got.withColumn("follows", later.isNull() | (later < F.struct("epoch", "place")))
-    each = got.groupBy("epoch", "topic", "partition").agg(F.sum("size").alias("bytes"), F.count("*").alias("records"), F.min("offset").alias("first"), F.max("offset").alias("last"), F.min("follows").alias("follows"))
-    whole = each.groupBy("epoch").agg((F.sum("bytes") <= BUDGETS[0]).alias("fits"), (F.sum("records") == 1).alias("alone"))
-    each = each.join(whole, "epoch").withColumn("within", F.col("alone") | (F.col("fits") & ((F.col("bytes") <= BUDGETS[1]) | (F.col("records") == 1))))
+    before = F.lag(F.struct("member", "epoch", "place")).over(part)
+    after = (before["member"] == F.col("member")) & (F.struct(before["epoch"], before["place"]) < F.struct("epoch", "place"))
+    got = got.withColumn("follows", before.isNull() | after)
+    each = got.groupBy("member", "epoch", "topic", "partition").agg(F.sum("size").alias("bytes"), F.count("*").alias("records"), F.min("offset").alias("first"), F.max("offset").alias("last"), F.min("follows").alias("follows"))
+    whole = each.groupBy("member", "epoch").agg((F.sum("bytes") <= BUDGETS[0]).alias("fits"), (F.sum("records") == 1).alias("alone"))
+    each = each.join(whole, ["member", "epoch"]).withColumn("within", F.col("alone") | (F.col("fits") & ((F.col("bytes") <= BUDGETS[1]) | (F.col("records") == 1))))
     return each.groupBy("topic", "partition").agg(
         F.sum("records").alias("records"), F.sum("bytes").alias("bytes"), F.min("first").alias("first_offset"), F.max("last").alias("last_offset"), F.min("follows").alias("in_order"), F.min("within").alias("within_budgets")
     )

@@ -7,7 +7,9 @@ append: files without zones are not part of the log.
 
 from __future__ import annotations
 
+import json
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +27,10 @@ from ..operators import offsets
 LOG = "topic string, partition int, offset bigint, key string, value string, timestamp timestamp"
 ZONES = "file string, topic string, partition int, first bigint, last bigint, records bigint, bytes bigint"
 WHERE = ["topic", "partition", "offset"]
+#: Bytes of a row group, so that a step reads little of a file, and of a micro-batch's records for each input partition.
+GROUP_BYTES, TASK_BYTES = 256 << 10, 256 << 10
+#: Records whose sizes a stream's planner holds, to end its next steps without reading them again.
+HELD_RECORDS = 2_000_000
 
 
 def zones(spark: SparkSession, path: str) -> DataFrame:
@@ -48,7 +54,7 @@ def append(records: DataFrame, path: str, file_records: int = 100_000, tasks: in
     size = F.coalesce(F.octet_length("key"), F.lit(0)) + F.coalesce(F.octet_length("value"), F.lit(0))
     folder = f"{path}/data/{uuid.uuid4().hex}"
     sorted_ = records.select(*names, size.cast("bigint").alias("bytes")).repartitionByRange(*([tasks] if tasks else []), *WHERE).sortWithinPartitions(*WHERE)
-    sorted_.write.option("maxRecordsPerFile", file_records).parquet(folder)
+    sorted_.write.option("maxRecordsPerFile", file_records).option("parquet.block.size", GROUP_BYTES).parquet(folder)
     written = spark.read.parquet(folder).select("*", F.col("_metadata.file_path").alias("file"))
     new = written.groupBy("file", "topic", "partition").agg(F.min("offset").alias("first"), F.max("offset").alias("last"), F.count("*").alias("records"), F.sum("bytes").alias("bytes"))
     ends = zones(spark, path).groupBy("topic", "partition").agg(F.max("last").alias("end"))
@@ -119,9 +125,10 @@ def step(of: dict[str, list[Zone]], at: dict, most: int, most_each: int, sizes=_
         room, used = min(most_each, most - taken), 0
         topic, _, partition = name.rpartition("/")
         start = stop = now.get(name, of[name][0].first)
-        for z in of[name]:
-            if z.last < stop or room <= 0:
-                continue
+        for i in range(bisect_left(of[name], stop, key=lambda z: z.last), len(of[name])):
+            z = of[name][i]
+            if room <= 0:
+                break
             if z.first >= stop and used + z.size <= room:
                 used, stop = used + z.size, z.last + 1
                 continue
@@ -141,45 +148,71 @@ def step(of: dict[str, list[Zone]], at: dict, most: int, most_each: int, sizes=_
     return {"at": now, "turn": at["turn"] if now == at["at"] else missed or then}
 
 
-class Span(InputPartition):
+class Span:
     """Offsets start to stop (exclusive) of one partition, and the files that hold them in order."""
 
     def __init__(self, topic: str, partition: int, start: int, stop: int, files: list[str]):
         self.topic, self.partition, self.start, self.stop, self.files = topic, partition, start, stop, files
 
 
+class Spans(InputPartition):
+    """Spans of different partitions that one task reads one after the other."""
+
+    def __init__(self, spans: list[Span]):
+        self.spans = spans
+
+
 class BoundedReader(DataSourceStreamReader):
-    """One input partition per log partition, in offset order, within byte budgets.
+    """Every log partition in offset order in one input partition, within byte budgets; small micro-batches have few input partitions.
 
     The engine asks for the latest offset without saying where it stands, but plans the last logged
     batch anew after a restart, so its end is where this reader goes on.
     """
 
-    def __init__(self, path: str, most: int, most_each: int):
+    def __init__(self, path: str, most: int, most_each: int, assigned: list[str] | None = None):
         self.path, self.most, self.most_each, self.now = path, most, most_each, None
-        self.seen: dict[str, pa.Table] = {}
+        self.assigned = None if assigned is None else set(assigned)
+        self.seen: set[str] = set()
+        self.of: dict[str, list[Zone]] = {}
+        self.held: dict[str, tuple[str, np.ndarray, np.ndarray]] = {}
 
     def _zones(self) -> dict[str, list[Zone]]:
         fs, root = _opened(f"{self.path}/zones")
         found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True, recursive=True))
-        for done in (f.path for f in found if f.base_name == "_SUCCESS"):  # an append under way has none
-            folder = done.rpartition("/")[0]
-            if folder not in self.seen:
-                self.seen[folder] = pq.read_table(folder, filesystem=fs)
-        out: dict[str, list[Zone]] = {}
-        for t in self.seen.values():
-            for r in t.to_pylist():
-                out.setdefault(f"{r['topic']}/{r['partition']}", []).append(Zone(r["file"], r["first"], r["last"], r["bytes"]))
-        return {name: sorted(zs, key=lambda z: z.first) for name, zs in out.items()}
+        done = {f.path.rpartition("/")[0] for f in found if f.base_name == "_SUCCESS"}  # an append under way has none
+        new: set[str] = set()
+        for folder in sorted(done - self.seen):
+            for r in pq.read_table(folder, filesystem=fs).to_pylist():
+                name = f"{r['topic']}/{r['partition']}"
+                if self.assigned is None or name in self.assigned:
+                    self.of.setdefault(name, []).append(Zone(r["file"], r["first"], r["last"], r["bytes"]))
+                    new.add(name)
+            self.seen.add(folder)
+        for name in new:
+            self.of[name].sort(key=lambda z: z.first)
+        return self.of
+
+    def _sizes(self, file: str, topic: str, partition: int, start: int) -> tuple[np.ndarray, np.ndarray]:
+        """As the function, but a partition's records in a file are read once, not at every step that ends among them."""
+        name = f"{topic}/{partition}"
+        held, at, each = self.held.get(name, ("", None, None))
+        if held != file:
+            self.held.pop(name, None)
+            at, each = _sizes(file, topic, partition, start)
+            self.held[name] = file, at, each
+            while len(self.held) > 1 and sum(len(x[1]) for x in self.held.values()) > HELD_RECORDS:
+                del self.held[next(iter(self.held))]
+        k = int(np.searchsorted(at, start))
+        return at[k:], each[k:]
 
     def initialOffset(self) -> dict:
         return {"at": {}, "turn": ""}
 
     def latestOffset(self) -> dict:
-        self.now = step(self._zones(), self.now or self.initialOffset(), self.most, self.most_each)
+        self.now = step(self._zones(), self.now or self.initialOffset(), self.most, self.most_each, self._sizes)
         return self.now
 
-    def partitions(self, start: dict, end: dict) -> list[Span]:
+    def partitions(self, start: dict, end: dict) -> list[Spans]:
         if self.now is None:
             self.now = end
         out, of = [], self._zones()
@@ -187,10 +220,16 @@ class BoundedReader(DataSourceStreamReader):
             begin = start["at"].get(name, of[name][0].first)
             if stop > begin:
                 topic, _, partition = name.rpartition("/")
-                out.append(Span(topic, int(partition), begin, stop, [z.file for z in of[name] if z.last >= begin and z.first < stop]))
-        return out or [Span("", 0, 0, 0, [])]
+                a, z = bisect_left(of[name], begin, key=lambda z: z.last), bisect_left(of[name], stop, key=lambda z: z.first)
+                out.append(Span(topic, int(partition), begin, stop, [z.file for z in of[name][a:z]]))
+        tasks = max(1, min(len(out), -(-self.most // TASK_BYTES)))
+        return [Spans(out[i::tasks]) for i in range(tasks)]
+
+    def read(self, part: Spans) -> Iterator[pa.RecordBatch]:
+        for span in part.spans:
+            yield from self._records(span)
 
-    def read(self, span: Span) -> Iterator[pa.RecordBatch]:
+    def _records(self, span: Span) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in LOG.split(", ")]
         for file in span.files:
             fs, name = _opened(file)
@@ -202,7 +241,7 @@ class BoundedReader(DataSourceStreamReader):
 
 
 class BoundedLog(DataSource):
-    """Options: path, maxBytes (1 MiB a micro-batch) and maxPartitionBytes (128 KiB a partition)."""
+    """Options: path, maxBytes (1 MiB a micro-batch), maxPartitionBytes (128 KiB a partition) and assign (a JSON list of topic/partition; all without it)."""
 
     @classmethod
     def name(cls) -> str:
@@ -212,11 +251,11 @@ class BoundedLog(DataSource):
         return LOG
 
     def streamReader(self, schema) -> BoundedReader:
-        return BoundedReader(self.options["path"], int(self.options.get("maxBytes", 1 << 20)), int(self.options.get("maxPartitionBytes", 128 << 10)))
+        return BoundedReader(self.options["path"], int(self.options.get("maxBytes", 1 << 20)), int(self.options.get("maxPartitionBytes", 128 << 10)), json.loads(self.options.get("assign", "null")))
 
 
-def stream(spark: SparkSession, path: str, most: int = 1 << 20, most_each: int = 128 << 10) -> DataFrame:
-    """A stream over a log folder in micro-batches of bounded bytes, every partition in offset order.
+def stream(spark: SparkSession, path: str, most: int = 1 << 20, most_each: int = 128 << 10, assigned: list[str] | None = None) -> DataFrame:
+    """A stream over a log folder in micro-batches of bounded bytes, every partition in offset order; over ``assigned`` partitions (topic/partition) alone if given.
 
     Runs with a processing-time trigger; ``availableNow`` would take one step and end.
     """
@@ -226,4 +265,4 @@ def stream(spark: SparkSession, path: str, most: int = 1 << 20, most_each: int =
 
     cloudpickle.register_pickle_by_value(sys.modules[__name__])  # planners need not find this package
     spark.dataSource.register(BoundedLog)
-    return spark.readStream.format("bounded_log").option("path", path).option("maxBytes", most).option("maxPartitionBytes", most_each).load()
+    return spark.readStream.format("bounded_log").option("path", path).option("maxBytes", most).option("maxPartitionBytes", most_each).option("assign", json.dumps(assigned)).load()

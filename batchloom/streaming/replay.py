@@ -6,11 +6,13 @@ replay passes through several micro-batches, with state, checkpoints and offsets
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from ..session import ARROW_KEY, package_on_workers, scratch
 from ..sources import log
@@ -72,23 +74,47 @@ def shares(spark: SparkSession, path: str, steps: int) -> tuple[int, int]:
     return most, most
 
 
-def replayed(spark: SparkSession, path: str, build: Callable[[DataFrame], DataFrame], budgets: tuple[int, int]) -> DataFrame:
+def dealt(spark: SparkSession, path: str, budgets: tuple[int, int]) -> list[list[str]]:
+    """The partitions of a log dealt to streams, near equal in bytes and so many that a micro-batch has room for each of a stream's partitions; no more streams than cores."""
+    of = log.zones(spark, path).groupBy("topic", "partition").agg(F.sum("bytes").alias("bytes")).collect()  # a row per partition
+    n = max(1, min(-(-len(of) * budgets[1] // budgets[0]), spark.sparkContext.defaultParallelism))
+    groups: list[list[str]] = [[] for _ in range(n)]
+    heap = [(0, i) for i in range(n)]
+    for r in sorted(of, key=lambda r: (-r["bytes"], r["topic"], r["partition"])):
+        size, i = heapq.heappop(heap)
+        groups[i].append(f"{r['topic']}/{r['partition']}")
+        heapq.heappush(heap, (size + r["bytes"], i))
+    return groups
+
+
+def replayed(spark: SparkSession, path: str, build: Callable[[DataFrame], DataFrame], budgets: tuple[int, int], shared: bool = False) -> DataFrame:
     """Rows that the stream ``build(log)`` gives until the log at ``path`` ends, with ``epoch``, their micro-batch, and ``place``, their order in its tasks.
 
+    With ``shared`` the log's partitions are dealt to streams that run side by side, as consumers of a group
+    are, each micro-batch within the budgets; ``member`` tells the stream. For streams whose partitions do not meet.
     A micro-batch that runs again replaces what it wrote.
     """
-    stream = build(log.stream(spark, path, *budgets))
     out, check = scratch(spark, "out"), scratch(spark, "checkpoint")
 
-    def each(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("place", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+    def start(stream: DataFrame, to: str, check: str) -> StreamingQuery:
+        def each(batch: DataFrame, epoch: int) -> None:
+            batch.withColumn("place", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{to}/epoch={epoch}")
+
+        return stream.writeStream.foreachBatch(each).option("checkpointLocation", check).trigger(processingTime="0 seconds").start()
 
-    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", check).trigger(processingTime="0 seconds").start()
+    members = dealt(spark, path, budgets) if shared else [None]
+    queries: list[StreamingQuery] = []
     try:
-        query.processAllAvailable()
+        for m, assigned in enumerate(members):
+            stream = build(log.stream(spark, path, *budgets, assigned))
+            queries.append(start(stream, f"{out}/member={m}" if shared else out, f"{check}/{m}"))
+        for query in queries:
+            query.processAllAvailable()
     finally:
-        query.stop()
-    whole = T.StructType([*stream.schema.fields, T.StructField("place", T.LongType()), T.StructField("epoch", T.LongType())])
+        for query in queries:
+            query.stop()
+    keys = ["place", *(["member"] if shared else []), "epoch"]
+    whole = T.StructType([*stream.schema.fields, *(T.StructField(k, T.LongType()) for k in keys)])
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
         return spark.createDataFrame([], whole)  # the log was empty
