@@ -74,10 +74,14 @@ def shares(spark: SparkSession, path: str, steps: int) -> tuple[int, int]:
     return most, most
 
 
+#: Streams side by side: each holds a Python planner of about 160 MB beside the driver.
+STREAMS = 3
+
+
 def dealt(spark: SparkSession, path: str, budgets: tuple[int, int]) -> list[list[str]]:
-    """The partitions of a log dealt to streams, near equal in bytes and so many that a micro-batch has room for each of a stream's partitions; no more streams than cores."""
+    """The partitions of a log dealt to streams, near equal in bytes: so many streams that a micro-batch has room for each of a stream's partitions, but no more than ``STREAMS`` or cores."""
     of = log.zones(spark, path).groupBy("topic", "partition").agg(F.sum("bytes").alias("bytes")).collect()  # a row per partition
-    n = max(1, min(-(-len(of) * budgets[1] // budgets[0]), spark.sparkContext.defaultParallelism))
+    n = max(1, min(-(-len(of) * budgets[1] // budgets[0]), STREAMS, spark.sparkContext.defaultParallelism))
     groups: list[list[str]] = [[] for _ in range(n)]
     heap = [(0, i) for i in range(n)]
     for r in sorted(of, key=lambda r: (-r["bytes"], r["topic"], r["partition"])):
