@@ -121,15 +121,23 @@ q AS (
 def stream_fair(r: Relations):
     """Orders join their lane as they come, and after two in three a job is taken: tenants leave and come back at the ring's least virtual time."""
     r = _streaming(r)
-    lanes = r.customer.select(F.col("c_custkey").alias("tenant_id"), F.concat_ws("-", "c_mktsegment", "c_nationkey").alias("lane"), F.col("c_nationkey").alias("nation"))
-    o = fairness.weighted(r.orders.select(F.col("o_custkey").alias("tenant_id"), "o_orderkey", "o_orderdate").join(lanes, "tenant_id"), weights(r))
+    lanes = r.customer.select(F.col("c_custkey").alias("tenant_id"), F.concat_ws("-", "c_mktsegment", "c_nationkey").alias("lane"), (F.col("c_nationkey") % 16).alias("partition"))
+    o = fairness.weighted(r.orders.select(F.col("o_custkey").alias("tenant_id"), "o_orderkey", "o_orderdate").join(lanes.drop("partition"), "tenant_id"), weights(r))
     o = numbered(o, ["lane"], ["o_orderdate", "o_orderkey"])
+    # a row for each lane; its place among those of its partition makes offsets of places in lanes, so lanes advance together
+    spots = lanes.select("lane", "partition").distinct().withColumn("spot", F.row_number().over(Window.partitionBy("partition").orderBy("lane")) - 1)
+    spots = spots.withColumn("spots", F.count("*").over(Window.partitionBy("partition")))
     kinds = F.when(F.col("o_orderkey") % 3 != 0, F.array(F.lit("enqueue"), F.lit("checkout"))).otherwise(F.array(F.lit("enqueue")))
-    acts = o.select("*", F.posexplode(kinds).alias("late", "action")).withColumn("arrival", (F.col("n") * 2 + 2 + F.col("late")).cast("double"))
+    acts = o.join(F.broadcast(spots), "lane").select("*", F.posexplode(kinds).alias("late", "action")).withColumn("arrival", F.col("n") * 2 + 2 + F.col("late"))
     put = F.col("action") == "enqueue"
-    value = F.to_json(F.struct("lane", F.when(put, F.col("tenant_id").cast("string")).otherwise("").alias("tenant_id"), "weight", F.when(put, F.col("o_orderkey").cast("string")).otherwise("").alias("job_id"), "action", F.lit(0.0).alias("duration"), "arrival"))
-    schema = "lane string, tenant_id string, weight double, job_id string, action string, duration double, arrival double"
-    out = _run(r, _records(acts, "fair", F.col("nation") % 16, ["lane", "arrival"], value), lambda s: fair.fair_stream(_values(s, schema), window=3))
+    value = F.to_json(F.struct("action", F.when(put, F.col("tenant_id").cast("string")).alias("tenant_id"), F.when(put, F.col("weight")).alias("weight"), F.when(put, F.col("o_orderkey").cast("string")).alias("job_id"), F.col("arrival").cast("double").alias("arrival")))
+    records = acts.select(F.lit("fair").alias("topic"), F.col("partition").cast("int").alias("partition"), (F.col("arrival") * F.col("spots") + F.col("spot")).alias("offset"), F.col("lane").alias("key"), value.alias("value"), F.lit(0).cast("timestamp").alias("timestamp"))
+
+    def build(s: DataFrame) -> DataFrame:
+        actions = s.select(F.col("key").alias("lane"), F.from_json("value", "action string, tenant_id string, weight double, job_id string, arrival double").alias("v"))
+        return fair.fair_stream(actions.select("lane", "v.*", F.lit(0.0).alias("duration")), window=3)
+
+    out = _run(r, records, build)
     return out.select("lane", "tenant_id", "job_id", "result", F.col("at").alias("arrival"))
 
 

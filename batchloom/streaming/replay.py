@@ -68,10 +68,11 @@ def log_of(records: DataFrame) -> str:
 
 
 def shares(spark: SparkSession, path: str, steps: int) -> tuple[int, int]:
-    """Byte budgets (all, each partition) by which a log takes about ``steps`` micro-batches, whatever its size."""
-    total = log.zones(spark, path).agg(F.sum("bytes")).first()[0] or 0
-    most = max(1, -(-total // steps))
-    return most, most
+    """Byte budgets (all, each partition) by which a log takes about ``steps`` micro-batches, whatever its size, each with a share of every partition."""
+    of = log.zones(spark, path).groupBy("topic", "partition").agg(F.sum("bytes").alias("bytes"))
+    total, largest = of.agg(F.sum("bytes"), F.max("bytes")).first()
+    each = (largest or 0) // steps + (largest or 0) // 64 + 1  # somewhat more, since records are not cut
+    return max(1, total or 0), each
 
 
 #: Streams side by side: each holds a Python planner of about 160 MB beside the driver.
